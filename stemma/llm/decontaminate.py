@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ._arrow import ALNUM, LOWER, column, covered, gram_hashes, loads, padded, row_of, slices, text_buffer, word_hashes, words
+from ._tables import bounded_batches
 
 #: Words that one search cursor walks over.
 STRIDE = 256
@@ -172,6 +173,7 @@ def find_benchmark(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id"
     what is broadcast is bounded. One block needs one scan and no shuffle; with more of them each block is a scan of
     the documents, and results are put together by row.
     """
+    bounded_batches(docs.sparkSession)
     keep = keep or []
     base = docs.select(F.col(id_col).alias("__id"), F.col(text_col).cast("string").alias("__text"), *[F.col(c).alias(f"__k{i}") for i, c in enumerate(keep)])
     blocks = list(blocks_of(benchmark, item_id_col, item_text_col, block_bytes))

@@ -56,6 +56,43 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of all documents, learned from labels outside the held-out fold."""
+    from ._learn import held_out
+    from .toxicity import score_texts, train
+
+    docs = _read(spark, sf_dir, "documents")
+    scored = score_texts(docs, train(docs, _read(spark, sf_dir, "labels"), label_col="toxic"))
+    return scored.select("doc_id", held_out("doc_id").alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of all documents, learned outside the held-out fold."""
+    from ._learn import held_out
+    from .langid import identify, train
+
+    docs = _read(spark, sf_dir, "documents")
+    return identify(docs, train(docs)).select("doc_id", held_out("doc_id").alias("held_out"), "lang_pred", "score")
+
+
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Expected grade and tail probability of all documents, learned from graded ones outside the held-out fold."""
+    from ._learn import held_out
+    from .quality import grade, train
+
+    docs = _read(spark, sf_dir, "documents")
+    graded = grade(docs, train(docs, _read(spark, sf_dir, "labels"), grade_col="quality"))
+    return graded.select("doc_id", held_out("doc_id").alias("held_out"), "expected_grade", "p_above", (F.col("p_above") >= 0.5).alias("selected"))
+
+
+def op8_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and components of all embeddings at cosine 0.9."""
+    from .vectors import link_vectors
+
+    found = link_vectors(_read(spark, sf_dir, "embeddings"), cosine=0.9)
+    return found.select("vec_id", "n_links", "component_id", (F.col("vec_id") == F.col("component_id")).alias("kept"))
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents packed into sequences of 2048 tokens."""
     from .packing import pack_documents
@@ -71,7 +108,7 @@ def op10_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_tokens(spark, path).select("doc_id", "start", (F.octet_length("tokens") / 4).cast("long").alias("n_tokens"), F.crc32("tokens").alias("ids_crc32"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_chat_formatting, op2_decontamination, op3_substring_dedup, op4_simhash, op9_packing, op10_token_binary)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_chat_formatting, op2_decontamination, op3_substring_dedup, op4_simhash, op5_toxicity, op6_language_id, op7_quality, op8_embedding_dedup, op9_packing, op10_token_binary)}
 
 #: DuckDB SQL for the queries that it can express in reasonable time over whole tables.
 ORACLE_SQL: dict[str, str] = {}

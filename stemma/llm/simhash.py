@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ._arrow import column
 from ._components import components
-from ._tables import stored
+from ._tables import bounded_batches, stored
 
 BITS = 64
 #: A block value that more distinct fingerprints share is not probed; see link_fingerprints().
@@ -283,6 +283,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     larger than all others and give a null component_id only where all of a component are null; an empty table gives
     no rows; other columns are not read.
     """
+    bounded_batches(docs.sparkSession)
     prints = stored(fingerprints(docs, id_col, text_col, words, seed), "fingerprints")
     nodes = prints.groupBy("fp").agg(F.min(id_col).alias("low"))
     found = components(link_fingerprints(nodes, radius, hot))
