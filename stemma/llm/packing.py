@@ -11,9 +11,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._arrow import column
-from ._tables import stored, unused
-from .tokens import piece_ids, vocabulary
+from ._arrow import column, slices, text_buffer
+from ._tables import bounded_batches, stored, unused
+from .tokens import encoder, vocabulary
 
 #: Pieces that one packing holds at most; a task with more of them packs several times.
 MOST_PIECES = 200_000
@@ -68,23 +68,26 @@ def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     tokens of room (capacity / 64 unless given) are taken apart and packed again across tasks, in rounds of fewer
     tasks, until one task holds what is open.
     """
+    bounded_batches(docs.sparkSession)
     spark = docs.sparkSession
     path, slack = vocabulary_path or vocabulary(), capacity // 64 if slack is None else slack
     kind = docs.schema[id_col].dataType
     out = T.StructType([T.StructField(id_col, kind), *(T.StructField(c, t) for c, t in (("piece", T.IntegerType()), ("start", T.LongType()), ("length", T.LongType()), ("ids_crc32", T.LongType()), ("sequence_id", T.LongType()), ("offset", T.LongType()), ("room", T.LongType())))])
 
     def cut(batches):
-        text_ids = piece_ids(path).text
-        end = np.array([end_id], "<u4").tobytes()
+        encode = encoder(path).encode
         ids, rows, parts = [], [], 0
         base = TaskContext.get().partitionId() << 36
         for batch in batches:
             found = []
-            for r, text in enumerate(column(batch, "text").cast(pa.binary()).to_pylist()):
-                data = (text_ids(text) if text else b"") + end
-                for p, lo in enumerate(range(0, len(data), 4 * capacity)):
-                    one = data[lo : lo + 4 * capacity]
-                    found.append((r, p, lo // 4, len(one) // 4, zlib.crc32(one)))
+            data, off = text_buffer(column(batch, "text"))
+            for a, z in slices(off):
+                tokens, begins = encode(data[off[a] : off[z]], off[a : z + 1] - off[a], end_id)
+                view = memoryview(tokens.astype("<u4")).cast("B")
+                for r, (lo, hi) in enumerate(zip(begins[:-1].tolist(), begins[1:].tolist(), strict=True), a):
+                    for p, at in enumerate(range(lo, hi, capacity)):
+                        end = min(hi, at + capacity)
+                        found.append((r, p, at - lo, end - at, zlib.crc32(view[4 * at : 4 * end])))
             found = np.array(found, np.int64).reshape(-1, 5)
             ids.append(column(batch, "id").take(pa.array(found[:, 0])))
             rows.append(found[:, 1:])
@@ -142,13 +145,17 @@ def sequences(docs: DataFrame, pieces: DataFrame, id_col: str = "doc_id", text_c
     places = pieces.groupBy(id_col).agg(F.sort_array(F.collect_list(F.struct("piece", "start", "length", "sequence_id", "offset"))).alias(hold))
 
     def cut(batches):
-        text_ids = piece_ids(path).text
-        end = np.array([end_id], "<u4").tobytes()
+        encode = encoder(path).encode
         for batch in batches:
             found = []
-            for text, all_places in zip(column(batch, "text").cast(pa.binary()).to_pylist(), column(batch, "places").to_pylist(), strict=True):
-                data = np.frombuffer((text_ids(text) if text else b"") + end, "<u4")
-                found += [(p["sequence_id"], p["offset"], data[p["start"] : p["start"] + p["length"]].astype(np.int32)) for p in all_places]
+            data, off = text_buffer(column(batch, "text"))
+            places = column(batch, "places").to_pylist()
+            for a, z in slices(off):
+                tokens, begins = encode(data[off[a] : off[z]], off[a : z + 1] - off[a], end_id)
+                for r in range(a, z):
+                    for p in places[r]:
+                        at = int(begins[r - a]) + p["start"]
+                        found.append((p["sequence_id"], p["offset"], tokens[at : at + p["length"]].astype(np.int32)))
             yield pa.record_batch([pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.int64()), pa.array([x[2] for x in found], pa.list_(pa.int32()))], names=["sequence_id", "offset", "part"])
 
     parts = docs.select(id_col, F.col(text_col).cast("string").alias("text")).join(places, id_col).select("text", F.col(hold).alias("places")).mapInArrow(cut, "sequence_id long, offset long, part array<int>")

@@ -12,9 +12,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ._arrow import column
-from ._tables import new_path
-from .tokens import piece_ids, vocabulary
+from ._arrow import column, slices, text_buffer
+from ._tables import bounded_batches, new_path
+from .tokens import encoder, vocabulary
 
 MAGIC = b"WVMX1\0\0\0"
 #: Tokens that a shard holds about; one longer document is a shard of its own.
@@ -38,8 +38,9 @@ class WaveletMatrix:
         values = np.asarray(values).astype(np.uint32)
         bits = max(1, int(values.max()).bit_length() if len(values) else 1) if bits is None else bits
         planes, zeros = [], []
+        values = values.astype(np.uint16) if bits <= 16 else values
         for b in range(bits - 1, -1, -1):
-            one = (values >> np.uint32(b) & np.uint32(1)).astype(bool)
+            one = (values & values.dtype.type(1 << b)).astype(bool)
             planes.append(np.packbits(one, bitorder="little"))
             low = values[~one]
             zeros.append(len(low))
@@ -79,18 +80,16 @@ class WaveletMatrix:
 
     def all(self) -> np.ndarray:
         """The whole sequence: one walk over the planes for all positions at once."""
-        out = np.zeros(self.n, np.uint32)
-        order = None  # the first position of what now stands at each place
+        # what now stands at each place: its first position in the high half, its bits so far in the low one
+        now = np.arange(self.n, dtype=np.uint64) << np.uint64(32)
         for k in range(self.bits):
-            bit = self.plane(k).view(bool)
-            if order is None:
-                out[:] = bit
-                order = np.arange(self.n, dtype=np.int32)
-            else:
-                out <<= np.uint32(1)
-                out[order[bit]] |= np.uint32(1)
+            bit = self.plane(k)
+            now |= bit.astype(np.uint64) << np.uint64(self.bits - 1 - k)
             if k + 1 < self.bits:
-                order = np.concatenate([order[~bit], order[bit]])
+                one = bit.view(bool)
+                now = np.concatenate([now[~one], now[one]])
+        out = np.empty(self.n, np.uint32)
+        out[(now >> np.uint64(32)).astype(np.int64)] = now.astype(np.uint32)
         return out
 
     def _range(self, symbol: int, lo: int, hi: int) -> tuple[int, int]:
@@ -154,31 +153,33 @@ def write_tokens(docs: DataFrame, path: str | None = None, id_col: str = "doc_id
     not read; an empty table gives a path with no shards. Texts are dealt by ranges of the id, so one id that very
     many rows share stays in one task (and in shards of bounded size); nothing else depends on how rows are spread.
     """
+    bounded_batches(docs.sparkSession)
     spark = docs.sparkSession
     path = path or new_path(spark, "tokens")
     vocab = vocabulary_path or vocabulary()
     id_type = docs.schema[id_col].dataType.simpleString()
 
     def encode(batches):
-        text_ids, end = piece_ids(vocab).text, np.array([end_id], "<u4").tobytes()
+        encode_texts = encoder(vocab).encode
         task, number, held, size, ids = TaskContext.get().partitionId(), 0, [], 0, []
 
         def shard():
-            # ids go through uint32 so that files of any vocabulary are read alike
-            tokens = np.frombuffer(b"".join(held), "<u4")
-            sizes = np.array([len(x) // 4 for x in held], np.int64)
+            tokens, sizes = np.concatenate(held), np.array([len(x) for x in held], np.int64)
             docs_of = pa.ListArray.from_arrays(pa.array([0, len(held)], pa.int32()), pa.concat_arrays(ids))
             return pa.record_batch([pa.array([task], pa.int32()), pa.array([number], pa.int32()), pa.array([len(held)], pa.int64()), pa.array([len(tokens)], pa.int64()), docs_of, pa.array([encode_shard(tokens, sizes)], pa.binary())], names=["task", "number", "n_docs", "n_tokens", "ids", "file"])
 
         for batch in batches:
             keys, lo = column(batch, "id"), 0
-            for r, text in enumerate(column(batch, "text").cast(pa.binary()).to_pylist()):
-                held.append((text_ids(text) if text else b"") + end)
-                size += len(held[-1]) // 4
-                if size >= shard_tokens:
-                    ids.append(keys[lo : r + 1])
-                    yield shard()
-                    held, size, ids, lo, number = [], 0, [], r + 1, number + 1
+            data, off = text_buffer(column(batch, "text"))
+            for a, z in slices(off):
+                tokens, begins = encode_texts(data[off[a] : off[z]], off[a : z + 1] - off[a], end_id)
+                for r in range(a, z):
+                    held.append(tokens[begins[r - a] : begins[r - a + 1]])
+                    size += len(held[-1])
+                    if size >= shard_tokens:
+                        ids.append(keys[lo : r + 1])
+                        yield shard()
+                        held, size, ids, lo, number = [], 0, [], r + 1, number + 1
             ids.append(keys[lo:])
         if held:
             yield shard()
