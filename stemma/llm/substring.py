@@ -6,7 +6,7 @@ window's fingerprint is the least hash among its grams of GRAM words (winnowing:
 "Winnowing: Local Algorithms for Document Fingerprinting"). It depends on the window's words alone, so equal windows always
 agree on it, and neighbouring windows mostly share one: a run holds about one value in seven words.
 
-Verification. Windows whose fingerprint was met more than once are compared by a 128-bit hash of all their words; the earliest
+Verification. Windows whose fingerprint was met more than once are compared by a 96-bit hash of all their words; the earliest
 keeps its words. Which windows to compare is asked of a bit sketch of the repeated fingerprints; it has a fixed
 greatest size and no false negatives, so a full sketch costs time and never changes the result.
 """
@@ -18,17 +18,20 @@ import uuid
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ._arrow import NOT_SPACE, column, gram_hashes, padded, row_of, slices, text_buffer, word_hashes, words
-from ._tables import stored
+from ._tables import bounded_batches
 
 #: Words of a gram whose hash can be a window's fingerprint.
 GRAM = 8
 #: The sketch's most bits; 16 MB. A larger one keeps verification selective for more repeated fingerprints.
 SKETCH_BITS = 27
+#: Windows or fingerprints that a task holds before it makes them unique and sends them on.
+MOST_WINDOWS = 1_000_000
+#: Parts into which a task cuts its windows at most.
+MOST_BUCKETS = 1 << 14
 #: Runs that a log holds before they are merged to one.
 FANOUT = 3
 
@@ -74,7 +77,7 @@ class Windows:
         return self.gram[self.gram == _slide(at_most, self.span, np.maximum)]
 
     def digests(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """128-bit hashes of the windows from these words on."""
+        """Two 64-bit hashes of the windows from these words on."""
         second = word_hashes(self.buf, self.s, self.e, seed=0x5D588B65)
         return gram_hashes(self.h, self.width)[which], gram_hashes(second, self.width)[which]
 
@@ -93,8 +96,8 @@ class FingerprintLog:
     def _write(self, df: DataFrame) -> str:
         table = f"{self.name}_{self.number}"
         self.number += 1
-        # one file a bucket: dealt by the value that buckets are hashed by, then sorted on writing
-        df.repartition(self.buckets, "h").write.bucketBy(self.buckets, "h").sortBy("h").format("parquet").saveAsTable(table)
+        # dealt by h already, by the hash that buckets use: one file a bucket, sorted on writing
+        df.write.bucketBy(self.buckets, "h").sortBy("h").format("parquet").saveAsTable(table)
         return table
 
     def history(self) -> DataFrame | None:
@@ -154,16 +157,29 @@ def _sketch(values: DataFrame, most_bits: int) -> tuple[np.ndarray, int]:
 
 
 def repeated_windows(docs: DataFrame, width: int = 20, batches: int = 3, sketch_bits: int = SKETCH_BITS) -> DataFrame:
-    """(id, digest, starts array<int>): per text, the windows that also start earlier. docs: id, text, digest (of the text)."""
+    """Windows that also start earlier, packed: group, and of its texts ids and digests; doc (place among them) and start of each window.
+
+    docs: id, text, digest (of the text) and group (an int that id and digest decide). A group has a row for each task that found some.
+    """
     spark = docs.sparkSession
     log = FingerprintLog(spark)
 
     def fingerprints(record_batches):
+        found, size = [], 0
         for batch in record_batches:
             data, off = text_buffer(column(batch, "text"))
-            found = [Windows(data[off[lo] : off[hi]], off[lo : hi + 1] - off[lo], width).fingerprints() for lo, hi in slices(off)]
-            h, n = np.unique(np.concatenate(found) if found else np.empty(0, np.uint64), return_counts=True)
-            yield pa.record_batch([pa.array(h.view(np.int64)), pa.array(n > 1)], names=["h", "again"])
+            for lo, hi in slices(off):
+                found.append(Windows(data[off[lo] : off[hi]], off[lo : hi + 1] - off[lo], width).fingerprints())
+                size += len(found[-1])
+            if size >= MOST_WINDOWS:
+                yield from unique(found)
+                found, size = [], 0
+        if found:
+            yield from unique(found)
+
+    def unique(found):
+        h, n = np.unique(np.concatenate(found), return_counts=True)
+        yield from pa.table([pa.array(h.view(np.int64)), pa.array(n > 1)], names=["h", "again"]).to_batches(max_chunksize=100_000)
 
     # batches in ascending order of ids, null first
     cuts = docs.where("id is not null").select(F.percentile_approx("id", [i / batches for i in range(1, batches)], 1000).alias("c")).first().c if batches > 1 else None
@@ -179,17 +195,20 @@ def repeated_windows(docs: DataFrame, width: int = 20, batches: int = 3, sketch_
     for r in log.repeats[1:]:
         repeats = repeats.unionByName(r)
     sketch, bits = _sketch(repeats, sketch_bits)
+    log.drop()
     sent = spark.sparkContext.broadcast(sketch)
     kind = docs.schema["id"].dataType
-    out = T.StructType([T.StructField("w1", T.LongType()), T.StructField("w2", T.LongType()), T.StructField("id", kind), T.StructField("digest", T.LongType()), T.StructField("start", T.IntegerType()), T.StructField("starts", T.ArrayType(T.IntegerType()))])
+    ids_type = T.ArrayType(kind)
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    buckets = min(4 * tasks, MOST_BUCKETS)
+    packed = T.StructType([T.StructField("bucket", T.IntegerType()), T.StructField("ids", ids_type), T.StructField("digests", T.ArrayType(T.LongType())), T.StructField("groups", T.ArrayType(T.IntegerType())), *(T.StructField(c, T.BinaryType()) for c in ("w1", "w2", "doc", "start"))])
 
     def compare(record_batches):
-        """Of windows that a batch holds more than once only the first goes on; the others are decided here."""
+        """Windows to compare, by bucket of their hash. Of those that a task holds more than once only the first goes on."""
         bitmap = sent.value
+        held, ids, digests, groups, rows, size = [], [], [], [], 0, 0
         for batch in record_batches:
-            ids, digest = column(batch, "id"), column(batch, "digest")
             data, off = text_buffer(column(batch, "text"))
-            w1, w2, row, start = [], [], [], []
             for lo, hi in slices(off):
                 one = Windows(data[off[lo] : off[hi]], off[lo : hi + 1] - off[lo], width)
                 if not len(one.start):
@@ -199,40 +218,107 @@ def repeated_windows(docs: DataFrame, width: int = 20, batches: int = 3, sketch_
                 if len(which):
                     a, b = one.digests(which)
                     r = row_of(one.first)[which]
-                    w1.append(a)
-                    w2.append(b)
-                    row.append(r + lo)
-                    start.append(which - one.first[r])
-            if not w1:
-                continue
-            w1, w2, row, start = (np.concatenate(x) for x in (w1, w2, row, start))
-            # rows in the order of ids (equal ids equal), null first
-            rank = _ranks(ids)
-            place = rank[row] << 32 | start
-            order = np.lexsort((place, w2, w1))
-            w1, w2, row, start, place = (x[order] for x in (w1, w2, row, start, place))
-            new = np.concatenate([[True], (w1[1:] != w1[:-1]) | (w2[1:] != w2[:-1])])
-            head = np.flatnonzero(new)
-            least = np.repeat(place[head], np.diff(np.append(head, len(place))))
-            first = place == least
-            f = np.flatnonzero(first)
-            for lo in range(0, len(f), 20_000):
-                g = f[lo : lo + 20_000]
-                yield pa.record_batch([pa.array(w1[g].view(np.int64)), pa.array(w2[g].view(np.int64)), ids.take(pa.array(row[g])), digest.take(pa.array(row[g])), pa.array(start[g].astype(np.int32)), pa.nulls(len(g), pa.list_(pa.int32()))], names=out.names)
-            rest = np.flatnonzero(~first)
-            rest = rest[np.lexsort((start[rest], row[rest]))]
-            if len(rest):
-                rows, at = np.unique(row[rest], return_index=True)
-                lists = pa.ListArray.from_arrays(pa.array(np.append(at, len(rest)).astype(np.int32)), pa.array(start[rest].astype(np.int32)))
-                k = len(rows)
-                yield pa.record_batch([pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), ids.take(pa.array(rows)), digest.take(pa.array(rows)), pa.nulls(k, pa.int32()), lists], names=out.names)
-
-    marked = stored(docs.select("id", "text", "digest").mapInArrow(compare, out), "windows")
-    log.drop()
-    here = F.struct(F.col("id").isNotNull().alias("n"), "id", "start")
-    firsts = marked.where("start is not null").select("w1", "w2", "id", "digest", "start").withColumn("first", F.min(here).over(W.partitionBy("w1", "w2")))
-    later = firsts.where(here > F.col("first")).groupBy("id", "digest").agg(F.collect_list("start").alias("starts"))
-    return marked.where("starts is not null").select("id", "digest", "starts").unionByName(later)
+                    held.append((a, (b >> np.uint64(32)).astype(np.uint32), (r + lo + rows).astype(np.int64), which - one.first[r]))
+                    size += len(which)
+            # copies, as slices would keep the batch's texts
+            ids.append(pa.array(column(batch, "id").to_pylist(), column(batch, "id").type))
+            digests.append(column(batch, "digest").to_numpy(zero_copy_only=False).copy())
+            groups.append(column(batch, "group").to_numpy(zero_copy_only=False).copy())
+            rows += batch.num_rows
+            if size >= MOST_WINDOWS:
+                yield from deal(held, ids, digests, groups)
+                held, ids, digests, groups, rows, size = [], [], [], [], 0, 0
+        if held:
+            yield from deal(held, ids, digests, groups)
+
+    def deal(held, ids, digests, groups):
+        w1, w2, doc, start = (np.concatenate([x[i] for x in held]) for i in range(4))
+        ids, digests, groups = pa.concat_arrays(ids), np.concatenate(digests), np.concatenate(groups)
+        # texts in the order of ids (equal ids equal), null first
+        first, _ = _firsts(w1, w2, _ranks(ids)[doc], start)
+        for mark, which in ((0, np.flatnonzero(first)), (-1, np.flatnonzero(~first))):
+            if mark:  # decided: only where they start is sent on, in the bucket of the first hash of its text
+                key = (digests[doc[which]].view(np.uint64) % np.uint64(buckets)).astype(np.int64)
+            else:
+                key = (w1[which] % np.uint64(buckets)).astype(np.int64)
+            which = which[np.lexsort((start[which], doc[which], key))]
+            key = np.sort(key)
+            edge = np.flatnonzero(np.diff(key, prepend=-1, append=-1))
+            for a, z in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
+                some = which[a:z]
+                used, back = np.unique(doc[some], return_inverse=True)
+                none = pa.array([None], pa.binary())
+                yield pa.record_batch([pa.array([int(key[a])], pa.int32()), _list(ids.take(pa.array(used))), _list(pa.array(digests[used])), _list(pa.array(groups[used])), none if mark else _bytes(w1[some]), none if mark else _bytes(w2[some]), _bytes(_narrow(back)), _bytes(_narrow(start[some]))], names=packed.names)
+
+    def decide(record_batches):
+        """All of a task's buckets at once: numbers only, whose share is set by the number of tasks."""
+        ids, digests, groups, rows, open_, done = [], [], [], 0, [], []
+        for batch in record_batches:
+            for r in range(batch.num_rows):
+                own = column(batch, "ids")[r].values
+                ids.append(pa.array(own.to_pylist(), own.type))
+                digests.append(column(batch, "digests")[r].values.to_numpy(zero_copy_only=False).copy())
+                groups.append(column(batch, "groups")[r].values.to_numpy(zero_copy_only=False).copy())
+                w1, w2, doc, start = (column(batch, c)[r].as_py() for c in ("w1", "w2", "doc", "start"))
+                doc, start = _wide(doc) + rows, _wide(start)
+                rows += len(own)
+                if w1 is None:
+                    done.append((doc, start))
+                else:
+                    open_.append((np.frombuffer(w1, np.uint64), np.frombuffer(w2, np.uint32), doc, start))
+        if not rows:
+            return
+        ids, digests, groups = pa.concat_arrays(ids), np.concatenate(digests), np.concatenate(groups)
+        # a text has an entry for each bucket; take the first
+        rank = _ranks(ids)
+        order = np.lexsort((digests, rank))
+        new = np.concatenate([[True], (np.diff(rank[order]) != 0) | (np.diff(digests[order]) != 0)])
+        one = np.empty(rows, np.int64)
+        one[order] = order[new][np.cumsum(new) - 1]
+        if open_:
+            w1, w2, doc, start = (np.concatenate([x[i] for x in open_]) for i in range(4))
+            first, _ = _firsts(w1, w2, rank[doc], start)
+            done.append((doc[~first], start[~first]))
+        doc, start = (np.concatenate([x[i] for x in done]) for i in range(2))
+        doc = one[doc]
+        order = np.lexsort((start, doc, groups[doc]))
+        doc, start = doc[order], start[order]
+        edge = np.flatnonzero(np.diff(groups[doc], prepend=-1, append=-1))
+        for a, z in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
+            used, back = np.unique(doc[a:z], return_inverse=True)
+            yield pa.record_batch([pa.array([int(groups[doc[a]])], pa.int32()), _list(ids.take(pa.array(used))), _list(pa.array(digests[used])), _bytes(_narrow(back)), _bytes(_narrow(start[a:z]))], names=out.names)
+
+    out = T.StructType([T.StructField("group", T.IntegerType()), T.StructField("ids", ids_type), T.StructField("digests", T.ArrayType(T.LongType())), T.StructField("doc", T.BinaryType()), T.StructField("start", T.BinaryType())])
+    return docs.select("id", "text", "digest", "group").mapInArrow(compare, packed).repartition(tasks, "bucket").mapInArrow(decide, out)
+
+
+def _firsts(w1: np.ndarray, w2: np.ndarray, rank: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which windows are at the earliest place of their kind (all that share it), and the order by kind and place."""
+    place = rank << 32 | start
+    order = np.lexsort((place, w2, w1))
+    a, b, p = w1[order], w2[order], place[order]
+    head = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])]))
+    first = np.empty(len(p), bool)
+    first[order] = p == np.repeat(p[head], np.diff(np.append(head, len(p))))
+    return first, order
+
+
+def _bytes(x: np.ndarray) -> pa.Array:
+    return pa.array([x.tobytes()], pa.binary())
+
+
+def _list(x: pa.Array) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x)
+
+
+def _narrow(x: np.ndarray) -> np.ndarray:
+    """As 16 bits where they do, with a mark in front; see _wide()."""
+    x = np.asarray(x)
+    return np.concatenate([[1], x]).astype("<u2") if x.max(initial=0) < 1 << 16 else np.concatenate([[0, 0], x]).astype("<u4")
+
+
+def _wide(data: bytes) -> np.ndarray:
+    return (np.frombuffer(data, "<u2")[1:] if data[0] else np.frombuffer(data, "<u4")[2:]).astype(np.int64)
 
 
 def _ranks(ids: pa.Array) -> np.ndarray:
@@ -257,35 +343,51 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     Each batch of ids reads its documents once; verification and removal read all of them once more. Fingerprints and
     windows are made unique in the tasks that read them, so a passage that very many texts share is shuffled
-    once per batch of rows. Texts are shuffled once, by id, to meet what goes from them.
+    once per batch of rows. Texts are shuffled once, by a hash of id and
+    text, to meet what goes from them.
     """
     keep = keep or []
+    bounded_batches(docs.sparkSession)
     base = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), *[F.col(c).alias(f"k{i}") for i, c in enumerate(keep)]).withColumn("digest", F.xxhash64("text"))
-    found = repeated_windows(base.select("id", "text", "digest"), width, batches, sketch_bits)
-    cut = found.groupBy("id", "digest").agg(F.flatten(F.collect_list("starts")).alias("starts")).select(F.col("id").alias("i"), F.col("digest").alias("d"), "starts")
-    rows = base.join(cut, base["id"].eqNullSafe(cut["i"]) & (base["digest"] == cut["d"]), "left")
+    tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    base = base.withColumn("group", F.pmod(F.xxhash64("id", "digest"), F.lit(4 * tasks)).cast("int"))
+    found = repeated_windows(base.select("id", "text", "digest", "group"), width, batches, sketch_bits)
+    # texts and what goes from them meet by group, the latter first
+    lacks = [F.lit(None).cast(f.dataType).alias(f.name) for f in found.schema if f.name != "group"]
+    texts = base.select("group", F.lit(1).alias("kind"), *[c for c in base.columns if c != "group"], *lacks)
+    lacks = [F.lit(None).cast(f.dataType).alias(f.name) for f in base.schema if f.name != "group"]
+    marks = found.select("group", F.lit(0).alias("kind"), *lacks, *[c for c in found.columns if c != "group"])
+    rows = marks.unionByName(texts).repartition(tasks, "group").sortWithinPartitions("kind")
     front = [base.schema["id"], *(base.schema[f"k{i}"] for i in range(len(keep)))]
     out = T.StructType([*front, T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept", T.StringType())])
 
     def run(record_batches):
+        goes: dict[tuple, list[np.ndarray]] = {}
         for batch in record_batches:
+            marks = int(np.count_nonzero(column(batch, "kind").to_numpy() == 0))
+            for r in range(marks):
+                keys = zip(column(batch, "ids")[r].as_py(), column(batch, "digests")[r].as_py(), strict=True)
+                doc, start = _wide(column(batch, "doc")[r].as_py()), _wide(column(batch, "start")[r].as_py()).astype(np.int32)
+                for key, own in zip(keys, np.split(start, np.flatnonzero(np.diff(doc)) + 1), strict=True):
+                    goes.setdefault(key, []).append(own)
+            batch = batch.slice(marks)
+            if not batch.num_rows:
+                continue
             n_words, n_removed, kept = [], [], []
-            starts = column(batch, "starts")
-            off = starts.offsets.to_numpy()
-            values = starts.values.to_numpy(zero_copy_only=False)
-            some = starts.is_valid().to_numpy(zero_copy_only=False)
+            keys = zip(column(batch, "id").to_pylist(), column(batch, "digest").to_pylist(), strict=True)
+            some = [goes.get(k) for k in keys]
             for r, text in enumerate(column(batch, "text").cast(pa.binary()).to_pylist()):
                 if text is None:
                     n_words.append(0), n_removed.append(0), kept.append(b"" if layout == "words" else None)
                     continue
-                if not some[r]:
+                if some[r] is None:
                     parts = text.split()
                     n_words.append(len(parts)), n_removed.append(0), kept.append(b" ".join(parts) if layout == "words" else text)
                     continue
                 data = np.frombuffer(text, np.uint8)
                 s, e, _ = words(data, np.array([0, len(data)]), NOT_SPACE)
                 d = np.zeros(len(s) + 1, np.int32)
-                at = values[off[r] : off[r + 1]]
+                at = np.concatenate(some[r])
                 np.add.at(d, at, 1)
                 np.add.at(d, at + width, -1)
                 left = np.flatnonzero(np.cumsum(d[:-1]) == 0)
@@ -300,5 +402,5 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             cols = [column(batch, f.name) for f in front]
             yield pa.record_batch([*cols, pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())], names=out.names)
 
-    done = rows.select("id", *[f"k{i}" for i in range(len(keep))], "text", "starts").mapInArrow(run, out)
+    done = rows.mapInArrow(run, out)
     return done.select(F.col("id").alias(id_col), *[F.col(f"k{i}").alias(c) for i, c in enumerate(keep)], "n_words", "n_removed", "kept")
