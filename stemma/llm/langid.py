@@ -196,3 +196,12 @@ def identify(docs: DataFrame, model: ByteCNN | None, id_col: str = "doc_id", tex
             yield pa.record_batch([*(column(batch, f.name) for f in front), pa.array(names.tolist(), pa.string()), pa.array(scores)], names=out.names)
 
     return base.mapInArrow(run, out).select(F.col("id").alias(id_col), *[F.col(f"k{i}").alias(c) for i, c in enumerate(keep)], "lang_pred", "score")
+
+
+def known_languages(docs: DataFrame, model: ByteCNN | None, id_col: str = "doc_id", text_col: str = "text", least: float = 0.0) -> DataFrame:
+    """The rows whose language is known (not 'und') with at least that score, with all their columns."""
+    found = identify(docs, model, id_col, text_col, keep=docs.columns)
+    plain = found.toDF(*[f"c{i}" for i in range(len(found.columns))])
+    n = len(docs.columns)
+    kept = plain.where((F.col(f"c{n + 1}") != UNKNOWN) & (F.col(f"c{n + 2}") >= least))
+    return kept.select(*[F.col(f"c{i + 1}").alias(c) for i, c in enumerate(docs.columns)])

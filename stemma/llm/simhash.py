@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ._arrow import column
 from ._components import components
-from ._tables import bounded_batches, stored
+from ._tables import bounded_batches, stored, unused
 
 BITS = 64
 #: A block value that more distinct fingerprints share is not probed; see link_fingerprints().
@@ -30,7 +30,7 @@ def _majority(hashes: np.ndarray, n: np.ndarray) -> np.ndarray:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, seed: int = 42) -> DataFrame:
-    """(id_col, fp long) for each row: SimHash over all shingles of so many words, repeats included.
+    """(id_col, fp long, digest long) for each row: SimHash over all shingles of so many words, repeats included, and a hash of the text.
 
     Texts are lower-cased in A-Z and cut at ASCII white space; a shingle is XXH64 of its words joined by a space. Fewer
     words make one shingle; no words (null, empty or blank texts) have fingerprint 0.
@@ -64,10 +64,11 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 if len(held) > 100_000:
                     flush()
             flush()
-            yield pa.record_batch([column(batch, "id"), pa.array(out.view(np.int64))], names=["id", "fp"])
+            yield pa.record_batch([column(batch, "id"), pa.array(out.view(np.int64)), column(batch, "digest")], names=["id", "fp", "digest"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, f"id {kind}, fp long").withColumnRenamed("id", id_col)
+    text = F.col(text_col).cast("string")
+    return docs.select(F.col(id_col).alias("id"), text.alias("text"), F.xxhash64(text).alias("digest")).mapInArrow(run, f"id {kind}, fp long, digest long").withColumnRenamed("id", id_col)
 
 
 class Partitions:
@@ -283,18 +284,30 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     larger than all others and give a null component_id only where all of a component are null; an empty table gives
     no rows; other columns are not read.
     """
+    prints, of = _grouped(docs, id_col, text_col, words, radius, seed, hot)
+    ids = of.groupBy("c").agg(F.min("low").alias("component_id"))
+    return prints.join(of.join(ids, "c").select("fp", "component_id"), "fp").select(id_col, "fp", "component_id")
+
+
+def _grouped(docs: DataFrame, id_col: str, text_col: str, words: int, radius: int, seed: int, hot: int) -> tuple[DataFrame, DataFrame]:
+    """The fingerprints of all rows, and of each distinct one its least id and a number that its component shares."""
     bounded_batches(docs.sparkSession)
     prints = stored(fingerprints(docs, id_col, text_col, words, seed), "fingerprints")
     nodes = prints.groupBy("fp").agg(F.min(id_col).alias("low"))
     found = components(link_fingerprints(nodes, radius, hot))
-    of = nodes.join(found, nodes["fp"] == found["node"], "left").select(nodes["fp"], "low", F.coalesce("component", nodes["fp"]).alias("c"))
-    ids = of.groupBy("c").agg(F.min("low").alias("component_id"))
-    return prints.join(of.select("fp", "c").join(ids, "c").select("fp", "component_id"), "fp").select(id_col, "fp", "component_id")
-
-
-def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The row with the smallest id of each group of near-duplicates, with all its columns; of rows with that id, one."""
-    found = near_duplicates(docs, id_col, text_col, **options)
-    keep = found.where(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("__keep")).distinct()
-    rows = docs.join(keep, docs[id_col].eqNullSafe(keep["__keep"]), "left_semi")
-    return rows.dropDuplicates([id_col])
+    return prints, nodes.join(found, nodes["fp"] == found["node"], "left").select(nodes["fp"], "low", F.coalesce("component", nodes["fp"]).alias("c"))
+
+
+def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, radius: int = 2, seed: int = 42, hot: int = HOT_BLOCK) -> DataFrame:
+    """One row of each group of near-duplicates, with all its columns: the one with the smallest id (null last), then hash of its text."""
+    prints, of = _grouped(docs, id_col, text_col, words, radius, seed, hot)
+    first = F.min(F.struct(F.col(id_col).isNull().alias("n"), F.col(id_col).alias("i"), F.col("digest").alias("d"))).alias("k")
+    keep = stored(prints.join(of.select("fp", "c"), "fp").groupBy("c").agg(first).select("k.i", "k.d"), "kept")
+    text = F.xxhash64(F.col(text_col).cast("string"))
+    rows = docs.join(keep, docs[id_col].eqNullSafe(keep["i"]) & (text == keep["d"]), "left_semi")
+    met = prints.join(keep, prints[id_col].eqNullSafe(keep["i"]) & (prints["digest"] == keep["d"]), "left_semi").count()
+    if met == keep.count():
+        return rows
+    # rows that repeat both id and text: one of them
+    number = unused(docs.columns, "nth")
+    return rows.withColumn(number, F.row_number().over(W.partitionBy(id_col, text).orderBy(F.lit(1)))).where(F.col(number) == 1).drop(number)
