@@ -19,7 +19,7 @@ def iou_selfjoin(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.box_pairs(boxes(spark, sf_dir)).withColumn("iou", F.round("iou", 6))
 
 
-@query(f"WITH {BOXES_SQL} SELECT a.page, a.item, round(COALESCE(max({_INTER} / greatest(1e-9, a.w * a.h)), 0.0), 6) AS overlap FROM boxes a LEFT JOIN boxes b ON a.page = b.page AND a.item <> b.item GROUP BY ALL")
+@query(f"WITH {BOXES_SQL} SELECT a.page, a.item, round(COALESCE(max(CASE WHEN b.item IS NOT NULL THEN {_INTER} / greatest(1e-9, a.w * a.h) END), 0.0), 6) AS overlap FROM boxes a LEFT JOIN boxes b ON a.page = b.page AND a.item <> b.item GROUP BY ALL")
 def max_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How much of each box another one covers."""
     return G.max_overlap(boxes(spark, sf_dir)).withColumn("overlap", F.round("overlap", 6))

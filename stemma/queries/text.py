@@ -18,7 +18,7 @@ def canonical_number(spark: SparkSession, sf_dir: str) -> DataFrame:
     return problems(spark, sf_dir).select("doc_id", "number", X.canonical_number(F.col("number")).alias("canonical"))
 
 
-@query("SELECT o_orderkey, 'HQB-' || lpad(CAST(o_orderkey * 37 AS VARCHAR), greatest(6, length(CAST(o_orderkey * 37 AS VARCHAR))), '0') AS code FROM orders")
+@query("SELECT o_orderkey, 'HQB-' || lpad(CAST(o_orderkey * 37 AS VARCHAR), CAST(greatest(6, length(CAST(o_orderkey * 37 AS VARCHAR))) AS INTEGER), '0') AS code FROM orders")
 def public_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Codes of at least six digits."""
     return table(spark, sf_dir, "orders").select("o_orderkey", X.public_code(F.col("o_orderkey") * 37).alias("code"))
@@ -79,15 +79,15 @@ def token_hit_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.select("item_id", "doc_id", F.round(X.token_hit_rate(F.col("text"), F.col("tokens")), 6).alias("hit"))
 
 
-@query("""WITH t AS (SELECT conv_id, turn, regexp_replace(text, '\\s+', '', 'g') AS h, regexp_replace(COALESCE(lag(text) OVER (PARTITION BY conv_id ORDER BY turn), ''), '\\s+', '', 'g') AS t FROM conversations)
+@query("""WITH t AS (SELECT conv_id, turn, regexp_replace(text, '[^!-~]', '', 'g') AS h, regexp_replace(COALESCE(lag(text) OVER (PARTITION BY conv_id ORDER BY turn), ''), '[^!-~]', '', 'g') AS t FROM conversations)
 SELECT conv_id, turn, round(CASE WHEN length(t) = 0 THEN CASE WHEN length(h) = 0 THEN 0 ELSE 1 END ELSE levenshtein(h, t) / length(t) END, 6) AS cer FROM t WHERE length(h) * length(t) < 40000""")
 def turn_cer(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Character error rate of each turn against the one before (pairs whose product of lengths is under 40,000)."""
     from pyspark.sql import Window as W
 
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "text", F.coalesce(F.lag("text").over(W.partitionBy("conv_id").orderBy("turn")), F.lit("")).alias("before"))
-    small = F.length(F.regexp_replace("text", r"\s+", "")) * F.length(F.regexp_replace("before", r"\s+", "")) < 40_000
-    return rows.where(small).select("conv_id", "turn", F.round(X.char_error_rate(F.col("text"), F.col("before")), 6).alias("cer"))
+    rows = rows.withColumns({c: F.regexp_replace(c, "[^!-~]", "") for c in ("text", "before")})  # DuckDB counts bytes
+    return rows.where(F.length("text") * F.length("before") < 40_000).select("conv_id", "turn", F.round(X.char_error_rate(F.col("text"), F.col("before")), 6).alias("cer"))
 
 
 @query("""WITH l AS (SELECT conv_id * 1000 + turn AS k, list_filter(list_transform(string_split(text, chr(10)), lambda s: trim(s)), lambda s: s <> '') AS lines FROM conversations),
