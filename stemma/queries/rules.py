@@ -2,27 +2,31 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..catalog import query
 from ..functions import rules as U
 from ..sources.tables import table
 
-_K = F.col("l_orderkey") * 7 + F.col("l_partkey") * 3 + F.col("l_linenumber")
+
+def _k() -> Column:
+    return F.col("l_orderkey") * 7 + F.col("l_partkey") * 3 + F.col("l_linenumber")
+
+
 _KS = "(l_orderkey * 7 + l_partkey * 3 + l_linenumber)"
 
 
-def _conf(step: int, low: float = 0.4) -> F.Column:
-    return low + (_K * step % 60) / 100.0
+def _conf(step: int, low: float = 0.4) -> Column:
+    return low + (_k() * step % 60) / 100.0
 
 
 def _conf_sql(step: int, low: float = 0.4) -> str:
     return f"({low} + CAST({_KS} * {step} % 60 AS DOUBLE) / 100.0)"
 
 
-def _flag(step: int, every: int) -> F.Column:
-    return _K * step % every == 0
+def _flag(step: int, every: int) -> Column:
+    return _k() * step % every == 0
 
 
 def _flag_sql(step: int, every: int) -> str:
@@ -85,8 +89,8 @@ def error_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", status.alias("status")).withColumn("class", U.error_class(F.col("status")))
 
 
-def _label(step: int, every: int) -> F.Column:
-    return F.when(_K * step % every != 0, F.concat(F.lit("T"), (_K * step % 3).cast("string")))
+def _label(step: int, every: int) -> Column:
+    return F.when(_k() * step % every != 0, F.concat(F.lit("T"), (_k() * step % 3).cast("string")))
 
 
 def _label_sql(step: int, every: int) -> str:
