@@ -1 +1,5 @@
 """Operators for preparing training data. Nothing else in the library imports this subpackage."""
+
+from ._components import components as components_of
+
+__all__ = ["components_of"]
