@@ -74,7 +74,7 @@ def threshold_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH {ITEMS_SQL}, p AS (SELECT brand, price, row_number() OVER (PARTITION BY brand ORDER BY price, item_id) - 1 AS i, count(*) OVER (PARTITION BY brand) AS n FROM items)
-SELECT brand, max(price) FILTER (i = CAST(floor((n - 1) * 0.18 + 0.5) AS BIGINT)) AS c1, max(price) FILTER (i = CAST(floor((n - 1) * 0.38 + 0.5) AS BIGINT)) AS c2, max(price) FILTER (i = CAST(floor((n - 1) * 0.62 + 0.5) AS BIGINT)) AS c3, max(price) FILTER (i = CAST(floor((n - 1) * 0.82 + 0.5) AS BIGINT)) AS c4 FROM p GROUP BY brand""")
+SELECT brand, max(price) FILTER (i = CAST(floor((n - 1) * CAST(0.18 AS DOUBLE) + 0.5) AS BIGINT)) AS c1, max(price) FILTER (i = CAST(floor((n - 1) * CAST(0.38 AS DOUBLE) + 0.5) AS BIGINT)) AS c2, max(price) FILTER (i = CAST(floor((n - 1) * CAST(0.62 AS DOUBLE) + 0.5) AS BIGINT)) AS c3, max(price) FILTER (i = CAST(floor((n - 1) * CAST(0.82 AS DOUBLE) + 0.5) AS BIGINT)) AS c4 FROM p GROUP BY brand""")
 def calibrate_cuts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cuts at nearest ranks per brand."""
     return S.nearest_rank(items(spark, sf_dir), "brand", "price", ["price", "item_id"], {"c1": 0.18, "c2": 0.38, "c3": 0.62, "c4": 0.82})
