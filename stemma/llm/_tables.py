@@ -18,7 +18,7 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 #: Bytes of text that Spark hands to a Python worker at once.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 
 
 def bounded_batches(spark: SparkSession) -> None:
