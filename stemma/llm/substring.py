@@ -29,7 +29,7 @@ GRAM = 8
 #: The sketch's most bits; 16 MB. A larger one keeps verification selective for more repeated fingerprints.
 SKETCH_BITS = 27
 #: Windows or fingerprints that a task holds before it makes them unique and sends them on.
-MOST_WINDOWS = 1_000_000
+MOST_WINDOWS = 400_000
 #: Parts into which a task cuts its windows at most.
 MOST_BUCKETS = 1 << 14
 #: Runs that a log holds before they are merged to one.
@@ -200,7 +200,7 @@ def repeated_windows(docs: DataFrame, width: int = 20, batches: int = 3, sketch_
     kind = docs.schema["id"].dataType
     ids_type = T.ArrayType(kind)
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    buckets = min(4 * tasks, MOST_BUCKETS)
+    buckets = min(tasks, MOST_BUCKETS)
     packed = T.StructType([T.StructField("bucket", T.IntegerType()), T.StructField("ids", ids_type), T.StructField("digests", T.ArrayType(T.LongType())), T.StructField("groups", T.ArrayType(T.IntegerType())), *(T.StructField(c, T.BinaryType()) for c in ("w1", "w2", "doc", "start"))])
 
     def compare(record_batches):
@@ -289,7 +289,7 @@ def repeated_windows(docs: DataFrame, width: int = 20, batches: int = 3, sketch_
             yield pa.record_batch([pa.array([int(groups[doc[a]])], pa.int32()), _list(ids.take(pa.array(used))), _list(pa.array(digests[used])), _bytes(_narrow(back)), _bytes(_narrow(start[a:z]))], names=out.names)
 
     out = T.StructType([T.StructField("group", T.IntegerType()), T.StructField("ids", ids_type), T.StructField("digests", T.ArrayType(T.LongType())), T.StructField("doc", T.BinaryType()), T.StructField("start", T.BinaryType())])
-    return docs.select("id", "text", "digest", "group").mapInArrow(compare, packed).repartition(tasks, "bucket").mapInArrow(decide, out)
+    return docs.select("id", "text", "digest", "group").mapInArrow(compare, packed).repartitionById(buckets, "bucket").mapInArrow(decide, out)
 
 
 def _firsts(w1: np.ndarray, w2: np.ndarray, rank: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -350,14 +350,14 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     bounded_batches(docs.sparkSession)
     base = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), *[F.col(c).alias(f"k{i}") for i, c in enumerate(keep)]).withColumn("digest", F.xxhash64("text"))
     tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    base = base.withColumn("group", F.pmod(F.xxhash64("id", "digest"), F.lit(4 * tasks)).cast("int"))
+    base = base.withColumn("group", F.pmod(F.xxhash64("id", "digest"), F.lit(tasks)).cast("int"))
     found = repeated_windows(base.select("id", "text", "digest", "group"), width, batches, sketch_bits)
     # texts and what goes from them meet by group, the latter first
     lacks = [F.lit(None).cast(f.dataType).alias(f.name) for f in found.schema if f.name != "group"]
     texts = base.select("group", F.lit(1).alias("kind"), *[c for c in base.columns if c != "group"], *lacks)
     lacks = [F.lit(None).cast(f.dataType).alias(f.name) for f in base.schema if f.name != "group"]
     marks = found.select("group", F.lit(0).alias("kind"), *lacks, *[c for c in found.columns if c != "group"])
-    rows = marks.unionByName(texts).repartition(tasks, "group").sortWithinPartitions("kind")
+    rows = marks.unionByName(texts).repartitionById(tasks, "group").sortWithinPartitions("kind")
     front = [base.schema["id"], *(base.schema[f"k{i}"] for i in range(len(keep)))]
     out = T.StructType([*front, T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept", T.StringType())])
 
