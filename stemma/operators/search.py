@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scores import cosine, dot, norm
 
-#: Rows that a set of queries may have before it is joined rather than sent to all tasks.
+#: Queries that are sent to all tasks at once; more are searched in blocks of about this many.
 MOST_BROADCAST = 20_000
 
 
@@ -20,13 +20,22 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int | None = 5, *, id_col:
     """The k most similar vectors of each query (query_id, query_vec): query_id, id_col, similarity, rank from 1.
 
     A query never finds itself. excluded: (query_id, id_col) pairs to leave out, as blocked ones or twins are. Ties go to the smaller id.
-    Queries are a stated set; up to MOST_BROADCAST of them go to all tasks, more are searched in that many at a time by the caller.
+    Queries are a stated set: up to MOST_BROADCAST of them go to all tasks, more are searched in blocks by a hash of their id.
     Each task keeps k rows per query before anything is shuffled.
     """
     k = clamp_k(k)
-    n = queries.count()
-    if n > MOST_BROADCAST:
-        raise ValueError(f"{n} queries; search at most {MOST_BROADCAST} at a time")
+    blocks = max(1, -(-queries.count() // MOST_BROADCAST))
+    if blocks > 1:
+        of = F.pmod(F.xxhash64("query_id"), F.lit(blocks))
+        parts = [_search(vectors, queries.where(of == b), k, id_col, vec_col, excluded, where) for b in range(blocks)]
+        out = parts[0]
+        for p in parts[1:]:
+            out = out.unionByName(p)
+        return out
+    return _search(vectors, queries, k, id_col, vec_col, excluded, where)
+
+
+def _search(vectors: DataFrame, queries: DataFrame, k: int, id_col: str, vec_col: str, excluded: DataFrame | None, where: Column | None) -> DataFrame:
     base = vectors.select(F.col(id_col), F.col(vec_col).alias("__v")).where(F.lit(True) if where is None else where)
     base = base.withColumn("__n", norm(F.col("__v")))
     asked = F.broadcast(queries.select("query_id", "query_vec", norm(F.col("query_vec")).alias("__qn")))

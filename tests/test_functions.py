@@ -106,3 +106,54 @@ def test_plans_run_twice(spark, tmp_path):
     assert {r.k: r.action for r in append_versions(versions, edits, "k", "text").collect()} == {1: "APPEND", 2: "SKIP_TEACHER", 3: "SKIP_MISSING"}
     drafts = spark.createDataFrame([("d", 1, "7", 1, False, 1), ("d", 1, "x", 2, True, 1)], "doc string, page int, number string, problem_id int, verified boolean, created int")
     assert [(r.identity, r.action) for r in identity_upsert(drafts, drafts).collect()] == [("d|1|0007", "EXISTING_DRAFT")]
+
+
+def test_search_in_blocks(spark, monkeypatch):
+    from stemma.operators import search as V
+
+    rows = spark.createDataFrame([(i, [float(i % 7), float(i % 5), 1.0]) for i in range(60)], "vec_id long, embedding array<double>")
+    asked = rows.where("vec_id % 3 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vec"))
+    whole = sorted(map(tuple, V.top_k(rows, asked, 4).collect()))
+    monkeypatch.setattr(V, "MOST_BROADCAST", 6)
+    assert sorted(map(tuple, V.top_k(rows, asked, 4).collect())) == whole and len(whole) == 80
+
+
+def test_readings_and_choices(spark):
+    from stemma.functions import mathtext as M
+
+    d = one(spark, M.reading_diff(F.lit("x^2 + 3"), F.lit("x^3 - 3")))
+    assert d.worst == "CRITICAL" and d.codes == ["NUMBERS", "EXPONENTS", "OPERATORS"]
+    assert one(spark, M.reading_diff(F.lit("A b"), F.lit("ac"))).worst == "COSMETIC" and one(spark, M.reading_diff(F.lit(None).cast("string"), F.lit(""))).worst == "SAME"
+    assert one(spark, M.conflicts(F.lit("x^1 x^2 y^3"), F.lit("x^2 y^4"))) == ["y"] and one(spark, M.index_conflicts(F.lit("a_1"), F.lit("a_2"))) == ["a"]
+    c = one(spark, M.choices(F.lit("stem\n(1) a\n2) b\nnot (3) c")))
+    assert [(x.label, x.text) for x in c] == [(1, "a"), (2, "b")]
+    assert one(spark, M.in_sequence(F.array(F.lit(1), F.lit(2)))) and not one(spark, M.in_sequence(F.array(F.lit(1), F.lit(3))))
+
+
+def test_files(spark, tmp_path):
+    import json
+
+    from pyspark.sql import types as T
+
+    from stemma import sources as R
+    from stemma.sources.files import text_kind
+
+    item = T.StructType([T.StructField("id", T.StringType()), T.StructField("n", T.LongType())])
+    (tmp_path / "a.json").write_text(json.dumps({"items": [{"id": "a", "n": 1}, {"id": "b"}]}))
+    assert R.read_items(spark, str(tmp_path / "a.json"), item).count() == 2
+    assert R.read_manifest(spark, str(tmp_path / "a.json"), item, ["id"], 2).count() == 2
+    with pytest.raises(Exception, match="required field"):
+        R.read_manifest(spark, str(tmp_path / "a.json"), item, ["n"]).collect()
+    with pytest.raises(ValueError, match="not 3"):
+        R.read_manifest(spark, str(tmp_path / "a.json"), item, ["id"], 3)
+    report = R.write_report(spark.createDataFrame([(1, "a|b")], "k int, v string"), "Title")
+    assert report.splitlines()[-1] == "| 1 | a\\|b |"
+    (tmp_path / "x.pdf").write_bytes(b"%PDF-1.4 text")
+    (tmp_path / "y.pdf").write_bytes(b"nothing")
+    files = R.binary_guard(spark.read.format("binaryFile").load([str(tmp_path / "x.pdf"), str(tmp_path / "y.pdf")]))
+    assert sorted((r.ok, r.reasons) for r in files.collect()) == [(False, ["MAGIC"]), (True, [])]
+    layout = json.dumps({"pageWidth": 100, "pageHeight": 200, "blocks": [{"type": "text", "content": "a", "bbox": {"x": 10, "y": 20, "width": 50, "height": 40, "unit": "px"}, "confidence": 0.9}]})
+    block = R.layout_blocks(spark.createDataFrame([(1, layout), (2, None)], "page int, layout string")).collect()
+    assert [(b.page, b.x, b.y, b.width, b.height) for b in block] == [(1, 0.1, 0.1, 0.5, 0.2)]
+    pages = spark.createDataFrame([("d", "x" * 50), ("d", ""), ("e", None)], "doc string, text string")
+    assert {r.doc: r.kind for r in text_kind(pages, "doc", "text").collect()} == {"d": "MIXED", "e": "SCAN"}
