@@ -97,3 +97,22 @@ def confirm_type(content: Column, source: Column, cluster: Column, section: Colu
         .when(F.coalesce(content, cluster, section).isNotNull() & fingerprint_ok, pick(F.coalesce(content, cluster, section), "CLUSTER_CONFIRMED"))
         .otherwise(pick(F.coalesce(content, cluster, section, ai), "LOW_CONFIDENCE_REVIEW"))
     )
+
+
+def strengthen(confidence: Column, boosts: Sequence[tuple[Column, float]], blocked: Column, cap: float = 0.93) -> Column:
+    """A confidence raised by each piece of evidence that holds, up to a cap; unchanged where a conflict blocks it."""
+    total = confidence
+    for condition, boost in boosts:
+        total = total + F.when(F.coalesce(condition, F.lit(False)), F.lit(boost)).otherwise(0.0)
+    return F.when(F.coalesce(blocked, F.lit(False)), confidence).otherwise(F.greatest(confidence, F.least(F.lit(cap), total)))
+
+
+def label_confidence(hits: Column, pages: Column) -> Column:
+    """How sure the labels of a source are, by how often and on how many pages they were met."""
+    return F.when((hits >= 6) & (pages >= 3), 0.9).when(hits >= 8, 0.72).when(hits > 0, 0.4).otherwise(0.15)
+
+
+def all_hold(gates: Mapping[str, Column]) -> Column:
+    """struct(safe, failed): whether every gate is known to hold, and the names of those that do not."""
+    failed = F.array_compact(F.array(*[F.when(~F.coalesce(c, F.lit(False)), F.lit(n)) for n, c in gates.items()]))
+    return F.struct((F.size(failed) == 0).alias("safe"), failed.alias("failed"))

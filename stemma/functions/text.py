@@ -132,3 +132,26 @@ def sanitise_html(html: Column, allowed: Sequence[str] = ("p", "br", "b", "i", "
     gone = F.regexp_replace(html, r"(?is)<(script|style)\b[^>]*>.*?</\1\s*>|<!--.*?-->", "")
     bare = F.regexp_replace(gone, rf"(?i)<(/?)({'|'.join(allowed)})\b[^>]*>", "<$1$2>")
     return F.regexp_replace(bare, rf"(?i)<(?!/?(?:{'|'.join(allowed)})>)[^>]*>", "")
+
+
+def strip_leading_number(text: Column, number: Column) -> Column:
+    """The text without its own number in front, padded or not, and what sets it off."""
+    plain = F.regexp_replace(number, "^0+(?=[0-9])", "")
+    return F.regexp_replace(text, F.concat(F.lit(r"^\s*#?\s*0*"), plain, F.lit(r"(?![0-9])[.)]?\s*")), F.lit(""))
+
+
+def strip_trailing_lines(text: Column, pattern: str, most: int = 8) -> Column:
+    """The text without its last lines that are blank or match a pattern whole, at most so many of them."""
+    lines = F.split(text, "\n")
+    kept = F.aggregate(
+        F.reverse(lines),
+        F.struct(F.lit(0).alias("gone"), F.lit(True).alias("open")),
+        lambda a, s: F.struct((a["gone"] + F.when(a["open"] & s.rlike(rf"^\s*(?:{pattern})?\s*$"), 1).otherwise(0)).alias("gone"), (a["open"] & s.rlike(rf"^\s*(?:{pattern})?\s*$") & (a["gone"] + 1 < most)).alias("open")),
+    )
+    return F.array_join(F.slice(lines, F.lit(1), F.size(lines) - kept["gone"]), "\n")
+
+
+def compose_stem(shared: Column, own: Column) -> Column:
+    """A shared prompt in front of an item's own text, unless it is there already."""
+    blank = F.trim(F.coalesce(shared, F.lit(""))) == ""
+    return F.when(blank, own).when(F.contains(squeeze(own), squeeze(shared)), own).otherwise(F.concat(F.trim(shared), F.lit("\n"), own))

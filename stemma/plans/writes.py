@@ -90,3 +90,11 @@ def validate(rows: DataFrame, key: str, checks: Mapping[str, Column]) -> DataFra
     """(key, problems): rows that break a check (a condition that must hold; unknown breaks it), with the names of those."""
     found = F.array_compact(F.array(*[F.when(~F.coalesce(c, F.lit(False)), F.lit(n)) for n, c in checks.items()]))
     return rows.select(key, found.alias("problems")).where(F.size("problems") > 0)
+
+
+def next_stage(runs: DataFrame, done: DataFrame, stages: Sequence[str], run: str = "run_id", stage: str = "stage") -> DataFrame:
+    """(run, next): the first stage in order that a run has not done; null where all are."""
+    had = done.groupBy(run).agg(F.collect_set(stage).alias("__had"))
+    every = F.array(*[F.lit(s) for s in stages])
+    left = F.filter(every, lambda s: ~F.array_contains(F.coalesce("__had", F.array().cast("array<string>")), s))
+    return runs.select(run).distinct().join(had, run, "left").select(run, F.get(left, F.lit(0)).alias("next"))

@@ -77,3 +77,11 @@ def child_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Array elements as numbered child rows."""
     c = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("turn", "role"))), lambda x: x["role"]).alias("p"))
     return P.replace_children(c, "conv_id", "p", "line")
+
+
+@query("""WITH d AS (SELECT user_id, list(DISTINCT event_type) AS had FROM events WHERE event_id % 3 = 0 GROUP BY user_id), u AS (SELECT DISTINCT user_id FROM events)
+SELECT u.user_id AS run_id, list_filter(['view', 'click', 'signup', 'purchase', 'error'], lambda s: NOT list_contains(COALESCE(d.had, []), s))[1] AS next FROM u LEFT JOIN d ON u.user_id = d.user_id""")
+def next_stage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first stage that each run has still to do (a third of events are done)."""
+    e = table(spark, sf_dir, "events").select(F.col("user_id").alias("run_id"), F.col("event_type").alias("stage"), "event_id")
+    return P.next_stage(e, e.where("event_id % 3 = 0"), ["view", "click", "signup", "purchase", "error"])

@@ -112,3 +112,19 @@ def router(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Where pages go, by ordered evidence."""
     rules = [(F.length("html") > 4000, "PAID", "LARGE"), (F.col("page_id") % 4 == 0, "CACHED", "SEEN"), (F.length("html") < 500, "SKIP", "SMALL")]
     return table(spark, sf_dir, "pages").select("page_id", U.decide(rules, "LOCAL")["verdict"].alias("route"))
+
+
+@query(f"""SELECT {', '.join(_KEYS)}, round(CASE WHEN {_flag_sql(3, 7)} THEN {_conf_sql(5, 0.3)} ELSE greatest({_conf_sql(5, 0.3)}, least(CAST(0.93 AS DOUBLE), {_conf_sql(5, 0.3)} + CASE WHEN {_flag_sql(11, 2)} THEN 0.1 ELSE 0 END + CASE WHEN {_flag_sql(13, 3)} THEN 0.08 ELSE 0 END + CASE WHEN {_flag_sql(17, 5)} THEN 0.04 ELSE 0 END)) END, 6) AS strong,
+  list_filter([CASE WHEN NOT {_flag_sql(11, 2)} THEN 'CROP' END, CASE WHEN NOT {_flag_sql(13, 3)} THEN 'OWNER' END], lambda x: x IS NOT NULL) = [] AS safe FROM lineitem""")
+def strengthened(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Confidences raised by evidence, and whether all gates hold."""
+    strong = U.strengthen(_conf(5, 0.3), [(_flag(11, 2), 0.1), (_flag(13, 3), 0.08), (_flag(17, 5), 0.04)], _flag(3, 7))
+    return table(spark, sf_dir, "lineitem").select(*_KEYS, F.round(strong, 6).alias("strong"), U.all_hold({"CROP": _flag(11, 2), "OWNER": _flag(13, 3)})["safe"].alias("safe"))
+
+
+@query("""WITH h AS (SELECT source, count(*) FILTER (n_chars < 300) AS hits, count(DISTINCT doc_id % 7) FILTER (n_chars < 300) AS pages FROM documents GROUP BY source) SELECT source, CAST(hits AS BIGINT) AS hits, CAST(CASE WHEN hits >= 6 AND pages >= 3 THEN 0.9 WHEN hits >= 8 THEN 0.72 WHEN hits > 0 THEN 0.4 ELSE 0.15 END AS DOUBLE) AS confidence FROM h""")
+def source_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How sure a label is for each source, by hits and pages."""
+    short = F.col("n_chars") < 300
+    h = table(spark, sf_dir, "documents").groupBy("source").agg(F.count_if(short).alias("hits"), F.countDistinct(F.when(short, F.col("doc_id") % 7)).alias("pages"))
+    return h.select("source", "hits", U.label_confidence(F.col("hits"), F.col("pages")).alias("confidence"))

@@ -132,3 +132,21 @@ def range_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     stem = F.when(k % 3 == 0, F.concat(F.lit("See ["), a, F.lit("~"), b, F.lit("]."))).otherwise("none")
     covered = F.aggregate(X.ranges(F.col("stem"), span=20), F.lit(0).cast("long"), lambda s, p: s + p["b"] - p["a"] + 1)
     return table(spark, sf_dir, "orders").select("o_orderkey", stem.alias("stem")).select("o_orderkey", "stem", covered.alias("covered"))
+
+
+@query("""WITH c AS (SELECT doc_id, text, string_split(text, chr(10)) AS l FROM documents), k AS (SELECT *, list_reverse(list_transform(l, lambda s: regexp_matches(s, '^\\s*(?:(?:.*[Ll]icensed under.*|.*[Ll]icense.*))?\\s*$'))) AS m FROM c),
+g AS (SELECT *, least(8, COALESCE(list_position(m, FALSE) - 1, len(m))) AS gone FROM k) SELECT doc_id, sha256(array_to_string(l[1 : len(l) - gone], chr(10))) AS kept FROM g""")
+def packaging_strip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts without licence lines and blank lines at their end."""
+    kept = X.strip_trailing_lines(F.col("text"), "(?:.*[Ll]icensed under.*|.*[Ll]icense.*)")
+    return table(spark, sf_dir, "documents").select("doc_id", F.sha2(kept, 256).alias("kept"))
+
+
+@query("""SELECT o_orderkey, 'Item ' || o_custkey AS stem, CASE WHEN o_orderkey % 3 = 0 THEN 'Item ' || o_custkey WHEN o_orderkey % 3 = 1 THEN 'Read this.' || chr(10) || 'Item ' || o_custkey ELSE 'Item ' || o_custkey END AS composed FROM orders""")
+def composed_stems(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Numbers taken off and shared prompts put in front of stems that lack them."""
+    k = F.col("o_orderkey")
+    own = X.strip_leading_number(F.concat(F.lpad((k % 1000).cast("string"), 4, "0"), F.lit(". Item "), F.col("o_custkey").cast("string")), F.lpad((k % 1000).cast("string"), 4, "0"))
+    shared = F.when(k % 3 == 0, F.lit("item")).when(k % 3 == 1, F.lit("Read this.")).otherwise(F.lit(" "))
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", own.alias("stem"), F.when(k % 3 == 0, F.lit("Item")).otherwise(shared).alias("shared"))
+    return rows.select("o_orderkey", "stem", X.compose_stem(F.col("shared"), F.col("stem")).alias("composed"))
