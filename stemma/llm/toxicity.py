@@ -164,18 +164,18 @@ def worst_strings(model: StringSVM, data: np.ndarray, off: np.ndarray) -> np.nda
     return out
 
 
-def _map(x: np.ndarray) -> np.ndarray:
-    """The subsequence map of one string over all triples of symbols."""
-    out = np.zeros(SYMBOLS**3)
+def _map(x: np.ndarray, out: np.ndarray | None = None, weight: float = 1.0) -> np.ndarray:
+    """The subsequence map of one string over all triples of symbols, added to out."""
+    out = np.zeros(SYMBOLS**3) if out is None else out
     x = x.astype(np.int64)
     for i in range(len(x) - 2):
         for j in range(i + 1, len(x) - 1):
             for k in range(j + 1, len(x)):
-                out[(x[i] * SYMBOLS + x[j]) * SYMBOLS + x[k]] += DECAY ** (k - i + 1)
+                out[(x[i] * SYMBOLS + x[j]) * SYMBOLS + x[k]] += weight * DECAY ** (k - i + 1)
     return out
 
 
-def fit(texts: list[bytes], labels: np.ndarray, landmarks: int = LANDMARKS, rounds: int = 3, seed: int = 7) -> StringSVM:
+def fit(texts: list[bytes], labels: np.ndarray, landmarks: int = LANDMARKS, rounds: int = 6, seed: int = 7) -> StringSVM:
     """Train on labelled texts. Half of them choose the strings and train the SVM, the others set the score's slope (all do both if there are fewer than 1,000).
 
     Only texts have labels. A string counts as an insult if it is met in so many toxic texts and so few others that
@@ -185,18 +185,34 @@ def fit(texts: list[bytes], labels: np.ndarray, landmarks: int = LANDMARKS, roun
     rng = np.random.default_rng(seed)
     labels = np.asarray(labels)
     off = np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64)
-    buf, s, e, row = strings(np.frombuffer(b"".join(texts), np.uint8), off)
-    usable = e - s >= 3
-    s, e, row = s[usable], e[usable], row[usable]
+    data = np.frombuffer(b"".join(texts), np.uint8)
+    # strings of all texts by hash, and each distinct one's bytes
+    hashes, row, known, bytes_of, size = [], [], [], [], []
+    for lo, hi in slices(off):
+        part, a, z, r = strings(data[off[lo] : off[hi]], off[lo : hi + 1] - off[lo])
+        usable = z - a >= 3
+        a, z, r = a[usable], z[usable], r[usable]
+        h, one, _ = _unique(part, a, z)
+        hashes.append(h)
+        row.append((r + lo).astype(np.int32))
+        known.append(h[one])
+        size.append(z[one] - a[one])
+        bytes_of.append(part[np.minimum(a[one][:, None] + np.arange(LONGEST), len(part) - 1)])
     flat = StringSVM(np.zeros(SYMBOLS**3), -1.0)
-    if not len(s) or labels.min() == labels.max():
+    if not sum(map(len, row)) or labels.min() == labels.max():
         share = float(np.clip(labels.mean() if len(labels) else 0, 0.001, 0.999))
         flat.slope, flat.intercept = 0.0, float(np.log(share / (1 - share)))
         return flat
-    _, at, back = _unique(buf, s, e)
+    row = np.concatenate(row)
+    distinct, one = np.unique(np.concatenate(known), return_index=True)
+    back = np.searchsorted(distinct, np.concatenate(hashes)).astype(np.int32)
+    buf, size = padded(np.concatenate(bytes_of)[one].ravel()), np.concatenate(size)[one]
+    at = np.arange(len(distinct))
+    s, e = LONGEST * at, LONGEST * at + size
+    del hashes, known, bytes_of
     half = np.arange(len(texts)) % 2 == 0 if len(texts) >= 1000 else np.ones(len(texts), bool)
     learn = half[row]
-    pairs = np.unique(back[learn] * len(texts) + row[learn])
+    pairs = np.unique(back[learn].astype(np.int64) * len(texts) + row[learn])
     word, doc = np.divmod(pairs, len(texts))
     bad = np.bincount(word, labels[doc] == 1, len(at))
     good = np.bincount(word, labels[doc] == 0, len(at))
@@ -208,23 +224,32 @@ def fit(texts: list[bytes], labels: np.ndarray, landmarks: int = LANDMARKS, roun
         flat.slope, flat.intercept = 0.0, float(np.log(labels.mean() / (1 - labels.mean())))
         return flat
     insult = insult[np.argsort(-bad[insult], kind="stable")][:MOST_INSULTS]
+    known = _Features(buf, s, e)
+    # landmarks: insults, each next one the least like those before, and clean strings, to which each round adds those hardest to tell
+    marks, like = [int(insult[0])], np.zeros(len(insult))
+    while True:
+        like = np.maximum(like, known.of(insult, np.array(marks[-1:]))[:, 0])
+        if len(marks) >= landmarks // 2 or like.min() >= 0.7:
+            break
+        marks.append(int(insult[like.argmin()]))
     often = np.bincount(word, minlength=len(at))
-    # landmarks: the insults met most and others evenly, and clean strings, to which each round adds those hardest to tell
     share = landmarks // 4
-    marks = np.unique(np.concatenate([insult[:share], insult[np.linspace(0, len(insult) - 1, share).astype(int)], clean[np.argsort(-often[clean], kind="stable")[:share]], rng.choice(clean, min(len(clean), share), replace=False)]))
-    negative = np.unique(np.concatenate([rng.choice(clean, min(len(clean), 3000), replace=False), marks[good[marks] > 0]]))
-    model, known = flat, _Features(buf, s[at], e[at])
+    marks = np.unique(np.concatenate([marks, clean[np.argsort(-often[clean], kind="stable")[:share]], rng.choice(clean, min(len(clean), share), replace=False)]))
+    easy = rng.choice(clean, min(len(clean), 2000), replace=False)
+    hard = np.empty(0, np.int64)
+    model = flat
     for _ in range(rounds):
-        root, maps = known.landmarks(marks)
-        which = np.concatenate([insult, negative])
-        y = np.concatenate([np.ones(len(insult)), -np.ones(len(negative))])
-        weight = np.concatenate([0.5 * bad[insult] / bad[insult].sum(), np.full(len(negative), 0.5 / len(negative))])
+        root = known.root(marks)
+        which = np.concatenate([insult, easy, hard])
+        y = np.concatenate([np.ones(len(insult)), -np.ones(len(easy) + len(hard))])
+        half_weight = 0.5 if not len(hard) else 0.25
+        weight = np.concatenate([0.25 * bad[insult] / bad[insult].sum() + 0.25 / len(insult), np.full(len(easy), half_weight / len(easy)), np.full(len(hard), 0.25 / max(1, len(hard)))])
         w, b = _svm(known.of(which, marks) @ root, y, weight)
-        model = StringSVM((root @ w) @ maps, float(b))
-        decided = model.decide(buf, s[at], e[at])
-        hard = clean[np.argsort(-decided[clean], kind="stable")][:1000]
-        negative = np.unique(np.concatenate([negative, hard[decided[hard] > -0.8]]))
-        marks = np.unique(np.concatenate([marks, hard[:share]]))
+        model = StringSVM(known.table(marks, root @ w), float(b))
+        decided = model.decide(buf, s, e)
+        top = clean[np.argsort(-decided[clean], kind="stable")][:600]
+        hard = np.union1d(hard, top[decided[top] > -0.9])
+        marks = np.unique(np.concatenate([marks, top[:share]]))
     worst = np.full(len(texts), -1.0)
     np.maximum.at(worst, row, decided[back])
     rest = half if half.all() else ~half
@@ -238,31 +263,42 @@ class _Features:
     def __init__(self, buf: np.ndarray, s: np.ndarray, e: np.ndarray):
         self.buf, self.s, self.e = buf, s, e
         self.norm: dict[int, float] = {}
-        self.columns: dict[int, dict[int, float]] = {}
+        self.columns: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
     def symbols(self, k: int) -> np.ndarray:
         return _SYMBOL[self.buf[self.s[k] : self.e[k]]]
 
-    def landmarks(self, marks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """K_mm^-1/2, and the landmarks' normalised subsequence maps."""
-        syms = [self.symbols(m) for m in marks.tolist()]
-        for m, x in zip(marks.tolist(), syms, strict=True):
-            self.norm[m] = float(np.sqrt(self_kernel(x[None])[0]))
+    def root(self, marks: np.ndarray) -> np.ndarray:
+        """K_mm^-1/2."""
         gram = self.of(marks, marks)
         value, vector = np.linalg.eigh((gram + gram.T) / 2)
         ok = value > 1e-6 * value.max()
-        root = vector[:, ok] / np.sqrt(value[ok]) @ vector[:, ok].T
-        return root, np.stack([_map(x) / self.norm[m] for m, x in zip(marks.tolist(), syms, strict=True)])
+        return vector[:, ok] / np.sqrt(value[ok]) @ vector[:, ok].T
+
+    def table(self, marks: np.ndarray, weights: np.ndarray) -> np.ndarray:
+        """The landmarks' normalised subsequence maps, weighted and added up."""
+        out = np.zeros(SYMBOLS**3)
+        for m, w in zip(marks.tolist(), weights.tolist(), strict=True):
+            _map(self.symbols(m), out, w / self.norm[m])
+        return out
 
     def of(self, which: np.ndarray, marks: np.ndarray) -> np.ndarray:
-        for m in marks.tolist():
-            column = self.columns.setdefault(m, {})
-            new = np.array([k for k in which.tolist() if k not in column], np.int64)
-            y = self.symbols(m)[None]
-            for group, x in by_length(self.buf, self.s[new], self.e[new]) if len(new) else ():
-                k = kernel(x, y) / (np.sqrt(self_kernel(x)) * self.norm[m])
-                column.update(zip(new[group].tolist(), k.tolist(), strict=True))
-        return np.array([[self.columns[m][k] for m in marks.tolist()] for k in which.tolist()])
+        out = np.empty((len(which), len(marks)))
+        for c, m in enumerate(marks.tolist()):
+            if m not in self.norm:
+                self.norm[m] = float(np.sqrt(self_kernel(self.symbols(m)[None])[0]))
+                self.columns[m] = np.empty(0, np.int64), np.empty(0)
+            ids, values = self.columns[m]
+            new = np.setdiff1d(which, ids)
+            if len(new):
+                found = np.empty(len(new))
+                for group, x in by_length(self.buf, self.s[new], self.e[new]):
+                    found[group] = kernel(x, self.symbols(m)[None]) / (np.sqrt(self_kernel(x)) * self.norm[m])
+                ids, values = np.concatenate([ids, new]), np.concatenate([values, found])
+                order = np.argsort(ids)
+                self.columns[m] = ids, values = ids[order], values[order]
+            out[:, c] = values[np.searchsorted(ids, which)]
+        return out
 
 
 def _svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, reg: float = 1e-5, steps: int = 30) -> tuple[np.ndarray, float]:
