@@ -19,7 +19,7 @@ HASH_BITS = 14
 #: shapes, words, and whether a word or a line was met before in the text.
 KINDS = 4
 #: Rows that training reads at most, and its steps.
-TRAIN_ROWS, STEPS = 3000, 150
+TRAIN_ROWS, STEPS = 1500, 150
 
 #: Letters by themselves (small and capital apart), digits as one, white space as one, other bytes by themselves.
 _CLASS = np.arange(256, dtype=np.uint8)
