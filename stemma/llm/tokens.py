@@ -57,24 +57,23 @@ class TextEncoder:
         self.flat, self.used = np.zeros(1 << 20, np.uint32), 0
         self.start, self.size, self.n = np.zeros(1 << 18, np.int32), np.zeros(1 << 18, np.int32), 0
 
-    def _simple(self, word: bytes) -> list[int]:
-        low = word if word.isascii() else word.decode().lower().encode()
-        return [t.id for t in self.tokenizer.model.tokenize(low.decode("latin-1").translate(_BYTE_LEVEL))]
-
     def _whole(self, piece: bytes) -> list[int]:
         return self.tokenizer.encode(piece.decode(), add_special_tokens=False).ids
 
-    def _add(self, ids: list[int]) -> int:
-        n = len(ids)
+    def _add(self, ids: list[int], sizes: list[int]) -> int:
+        """Keep the ids of some words, one after another; the number of the first."""
+        n, k = len(ids), len(sizes)
         while self.used + n > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-        if self.n == len(self.start):
+        while self.n + k > len(self.start):
             self.start, self.size = np.concatenate([self.start, np.zeros_like(self.start)]), np.concatenate([self.size, np.zeros_like(self.size)])
+        first = self.n
         self.flat[self.used : self.used + n] = ids
-        self.start[self.n], self.size[self.n] = self.used, n
+        self.size[first : first + k] = sizes
+        self.start[first : first + k] = self.used + np.cumsum(sizes) - sizes
         self.used += n
-        self.n += 1
-        return self.n - 1
+        self.n += k
+        return first
 
     def encode(self, data: np.ndarray, off: np.ndarray, end_id: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, one after another (each with end_id behind), and where each begins (texts + 1)."""
@@ -115,9 +114,17 @@ class TextEncoder:
             new, where, back = np.unique(h[miss], return_index=True, return_inverse=True)
             own = miss[where]
             raw, low = data.tobytes(), buf[:n].tobytes()
-            found = np.empty(len(new), np.int64)
-            for k, (a, z, o) in enumerate(zip(ws[own].tolist(), we[own].tolist(), odd[own].tolist(), strict=True)):
-                found[k] = self._add(self._whole(raw[a:z]) if o else self._simple(low[a:z]))
+            ids, sizes, model = [], [], self.tokenizer.model.tokenize
+            for a, z, o in zip(ws[own].tolist(), we[own].tolist(), odd[own].tolist(), strict=True):
+                if o:
+                    one = self._whole(raw[a:z])
+                else:
+                    word = low[a:z]
+                    text = word.decode() if word.isascii() else word.decode().lower().encode().decode("latin-1").translate(_BYTE_LEVEL)
+                    one = [t.id for t in model(text)]
+                ids += one
+                sizes.append(len(one))
+            found = self._add(ids, sizes) + np.arange(len(new))
             index[miss] = found[back]
             at = (new >> np.uint64(64 - _SLOT_BITS)).astype(np.int64)
             self.keys[at], self.at[at] = new, found

@@ -80,16 +80,18 @@ class WaveletMatrix:
 
     def all(self) -> np.ndarray:
         """The whole sequence: one walk over the planes for all positions at once."""
-        # what now stands at each place: its first position in the high half, its bits so far in the low one
-        now = np.arange(self.n, dtype=np.uint64) << np.uint64(32)
+        # what now stands at each place: its first position above its bits so far; half as wide where both fit
+        kind = np.uint32 if self.n <= 1 << 16 and self.bits <= 16 else np.uint64
+        half = kind(16 if kind is np.uint32 else 32)
+        now = np.arange(self.n, dtype=kind) << half
         for k in range(self.bits):
             bit = self.plane(k)
-            now |= bit.astype(np.uint64) << np.uint64(self.bits - 1 - k)
+            now |= bit.astype(kind) << kind(self.bits - 1 - k)
             if k + 1 < self.bits:
                 one = bit.view(bool)
                 now = np.concatenate([now[~one], now[one]])
         out = np.empty(self.n, np.uint32)
-        out[(now >> np.uint64(32)).astype(np.int64)] = now.astype(np.uint32)
+        out[(now >> half).astype(np.int64)] = now & ((kind(1) << half) - kind(1))
         return out
 
     def _range(self, symbol: int, lo: int, hi: int) -> tuple[int, int]:
