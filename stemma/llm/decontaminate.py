@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._arrow import ALNUM, LOWER, column, covered, gram_hashes, loads, padded, row_of, slices, text_buffer, word_hashes, words
+from ._arrow import ALNUM, LOWER, column, covered, gram_hashes, loads, padded, slices, text_buffer, word_hashes, words
 from ._tables import bounded_batches
 
 #: Words that one search cursor walks over.
@@ -130,7 +129,7 @@ class Matcher:
             self.groups.append((WuManber([windows[i] for i in which]), np.array(which)))
 
     def search(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[set[str]]]:
-        """Of each text: its number of words, of words hit, and the items found."""
+        """Which words are hit, each text's first word, and the items found in each text."""
         buf = padded(LOWER[data])
         s, e, first = words(buf[: len(data)], off, ALNUM)
         h = word_hashes(buf, s, e)
@@ -199,11 +198,9 @@ def find_benchmark(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id"
                     n_hit.append(np.diff(total[first]))
                     items += [sorted(x) for x in found]
                     if wide:
-                        row = row_of(first)
                         for r in range(hi - lo):
                             own = np.flatnonzero(hit[first[r] : first[r + 1]]) if n_hit[-1][r] else ()
                             spans.append(list(map(int, own)))
-                        del row
                 cols = [column(batch, f.name) for f in front]
                 cols += [pa.array(np.concatenate(x) if x else np.empty(0, np.int64), pa.int64()) for x in (n_words, n_hit)]
                 cols.append(pa.array(items, pa.list_(pa.string())))
@@ -230,8 +227,3 @@ def clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     names = found.columns
     last = found.toDF(*[f"c{i}" for i in range(len(names))])
     return last.select(*[F.col(f"c{i + 1}").alias(c) for i, c in enumerate(docs.columns)])
-
-
-def items_digest(items: list[str]) -> str:
-    """SHA-256 of comma-joined ids, as the query returns it."""
-    return hashlib.sha256(",".join(sorted(items)).encode()).hexdigest()
