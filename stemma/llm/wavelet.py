@@ -79,20 +79,17 @@ class WaveletMatrix:
         return out
 
     def all(self) -> np.ndarray:
-        """The whole sequence: one walk over the planes for all positions at once."""
-        # what now stands at each place: its first position above its bits so far; half as wide where both fit
-        kind = np.uint32 if self.n <= 1 << 16 and self.bits <= 16 else np.uint64
-        half = kind(16 if kind is np.uint32 else 32)
-        now = np.arange(self.n, dtype=kind) << half
-        for k in range(self.bits):
-            bit = self.plane(k)
-            now |= bit.astype(kind) << kind(self.bits - 1 - k)
-            if k + 1 < self.bits:
-                one = bit.view(bool)
-                now = np.concatenate([now[~one], now[one]])
-        out = np.empty(self.n, np.uint32)
-        out[(now >> half).astype(np.int64)] = now & ((kind(1) << half) - kind(1))
-        return out
+        """The whole sequence: from the lowest plane up, each taking its zeros and ones back to where they stood."""
+        kind = np.uint16 if self.bits <= 16 else np.uint32
+        now = np.zeros(self.n, kind)  # in the order below the lowest plane
+        for k in range(self.bits - 1, -1, -1):
+            one = self.plane(k).view(bool)
+            zeros = int(self.zeros[k])
+            up = np.empty_like(now)
+            up[~one] = now[:zeros]
+            up[one] = now[zeros:] | kind(1 << (self.bits - 1 - k))
+            now = up
+        return now.astype(np.uint32)
 
     def _range(self, symbol: int, lo: int, hi: int) -> tuple[int, int]:
         for k in range(self.bits):
