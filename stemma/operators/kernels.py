@@ -8,7 +8,7 @@ from __future__ import annotations
 import json
 import math
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -149,6 +149,32 @@ def tree_text(tree: pd.Series) -> pd.Series:
     return pd.Series([text(t) for t in tree])
 
 
+def each_group(rows: DataFrame, key: str, order: list[str], work: Callable[[object, dict[str, list]], list[tuple]], schema: str) -> DataFrame:
+    """work(key, columns) for each group in order, many groups to a batch: rows are dealt and sorted by key, so no frame is made per group."""
+    names = [f.split()[0] for f in schema.split(", ")]
+
+    def many(pdf: pd.DataFrame) -> pd.DataFrame:
+        columns = {c: pdf[c].tolist() for c in pdf.columns}
+        k = columns[key]
+        edge = [0, *(i for i in range(1, len(k)) if k[i] != k[i - 1]), len(k)]
+        out = [r for a, z in zip(edge[:-1], edge[1:], strict=True) if z > a for r in work(k[a], {c: v[a:z] for c, v in columns.items()})]
+        return pd.DataFrame(out, columns=names)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = None
+        for pdf in batches:
+            pdf = pdf if held is None else pd.concat([held, pdf], ignore_index=True)
+            k = pdf[key].to_numpy()
+            cuts = np.flatnonzero(k[1:] != k[:-1]) + 1
+            held = pdf.iloc[cuts[-1] :] if len(cuts) else pdf
+            if len(cuts):
+                yield many(pdf.iloc[: cuts[-1]])
+        if held is not None and len(held):
+            yield many(held)
+
+    return rows.repartition(key).sortWithinPartitions(key, *order).mapInPandas(run, schema)
+
+
 def _inter(a, b) -> float:
     return max(0.0, min(a[0] + a[2], b[0] + b[2]) - max(a[0], b[0])) * max(0.0, min(a[1] + a[3], b[1] + b[3]) - max(a[1], b[1]))
 
@@ -166,9 +192,8 @@ def correct_boxes(boxes: DataFrame, page: str = "page", item: str = "item", *, g
     """
     kinds = {f.name: f.dataType.simpleString() for f in boxes.schema if f.name in (page, item)}
 
-    def page_of(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["y", "x", item], kind="stable").reset_index(drop=True)
-        old = [list(r) for r in pdf[["x", "y", "w", "h"]].itertuples(index=False)]
+    def page_of(key, c: dict[str, list]) -> list[tuple]:
+        old = [list(r) for r in zip(c["x"], c["y"], c["w"], c["h"], strict=True)]
         now = [list(b) for b in old]
         n = len(now)
         group = list(range(n))
@@ -195,29 +220,28 @@ def correct_boxes(boxes: DataFrame, page: str = "page", item: str = "item", *, g
         worst = lambda bs, i: max((_inter(bs[i], bs[j]) / max(1e-9, bs[i][2] * bs[i][3]) for j in range(n) if j != i), default=0.0)
         before, after = [worst(old, i) for i in range(n)], [worst(now, i) for i in range(n)]
         ok = [b > 0 and a < most and now[i][3] >= least_area * old[i][3] for i, (b, a) in enumerate(zip(before, after, strict=True))]
-        return pd.DataFrame({page: pdf[page], item: pdf[item], "y": [round(now[i][1] if ok[i] else old[i][1], 6) for i in range(n)], "h": [round(now[i][3] if ok[i] else old[i][3], 6) for i in range(n)], "before": np.round(before, 6), "after": np.round(after, 6), "applied": ok})
+        return [(key, c[item][i], round(now[i][1] if ok[i] else old[i][1], 6), round(now[i][3] if ok[i] else old[i][3], 6), round(before[i], 6), round(after[i], 6), ok[i]) for i in range(n)]
 
     schema = f"{page} {kinds[page]}, {item} {kinds[item]}, y double, h double, before double, after double, applied boolean"
-    return boxes.select(page, item, "x", "y", "w", "h").groupBy(page).applyInPandas(page_of, schema)
+    return each_group(boxes.select(page, item, "x", "y", "w", "h"), page, ["y", "x", item], page_of, schema)
 
 
 def paginate(items: DataFrame, sheet: str, order: str, height: str, *, page_height: float = 297.0, columns: int = 2, force: str | None = None) -> DataFrame:
     """Items of a worksheet in order, each to the shorter column, a new page when it fits in none or a break is forced. Adds page and column from 1, and top."""
-    out = T.StructType([*items.schema.fields, T.StructField("page_no", T.IntegerType()), T.StructField("column_no", T.IntegerType()), T.StructField("top", T.DoubleType())])
-
-    def lay(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order, kind="stable")
-        page, used, spots = 1, [0.0] * columns, []
-        for row in pdf.itertuples(index=False):
-            tall = float(getattr(row, height))
-            if (force and getattr(row, force) and any(used)) or (any(used) and min(used) + tall > page_height):
+    names = items.columns
+
+    def lay(key, c: dict[str, list]) -> list[tuple]:
+        page, used, rows = 1, [0.0] * columns, []
+        for i, tall in enumerate(c[height]):
+            if (force and c[force][i] and any(used)) or (any(used) and min(used) + tall > page_height):
                 page, used = page + 1, [0.0] * columns
-            c = used.index(min(used))
-            spots.append((page, c + 1, round(used[c], 6)))
-            used[c] += tall
-        return pdf.assign(page_no=[s[0] for s in spots], column_no=[s[1] for s in spots], top=[s[2] for s in spots])
+            k = used.index(min(used))
+            rows.append((*(c[n][i] for n in names), page, k + 1, round(used[k], 6)))
+            used[k] += float(tall)
+        return rows
 
-    return items.groupBy(sheet).applyInPandas(lay, out)
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in items.schema)
+    return each_group(items, sheet, [order], lay, f"{kinds}, page_no int, column_no int, top double")
 
 
 def greedy_match(truth: DataFrame, found: DataFrame, page: str = "page") -> DataFrame:
@@ -229,34 +253,32 @@ def greedy_match(truth: DataFrame, found: DataFrame, page: str = "page") -> Data
     both = truth.select(page, F.lit(0).alias("side"), F.col("t").alias("k"), *cols).unionByName(found.select(page, F.lit(1).alias("side"), F.col("p").alias("k"), *cols))
     kind = truth.schema[page].dataType.simpleString()
 
-    def match(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("k", kind="stable")
-        t, p = pdf[pdf.side == 0], pdf[pdf.side == 1]
-        free, rows = list(p.itertuples(index=False)), []
-        for a in t.itertuples(index=False):
+    def match(key, c: dict[str, list]) -> list[tuple]:
+        every = list(zip(c["side"], c["k"], c["number"], c["x"], c["y"], c["w"], c["h"], strict=True))
+        free, rows = [r for r in every if r[0] == 1], []
+        for a in (r for r in every if r[0] == 0):
             best, top = None, 0.0
             for b in free:
-                box_a, box_b = (a.x, a.y, a.w, a.h), (b.x, b.y, b.w, b.h)
-                i = _inter(box_a, box_b)
-                iou = i / max(1e-12, a.w * a.h + b.w * b.h - i)
-                same = a.number == b.number
+                i = _inter(a[3:], b[3:])
+                iou = i / max(1e-12, a[5] * a[6] + b[5] * b[6] - i)
+                same = a[2] == b[2]
                 if (same or iou >= 0.3) and 2 * same + iou > top:
                     best, top = (b, iou), 2 * same + iou
             if best:
-                free = [b for b in free if b.k != best[0].k]
-            rows.append((pdf[page].iloc[0], a.k, best[0].k if best else None, round(best[1], 6) if best else None))
-        rows += [(pdf[page].iloc[0], None, b.k, None) for b in free]
-        return pd.DataFrame(rows, columns=[page, "t", "p", "iou"]).astype({"t": "Int64", "p": "Int64", "iou": "float64"})
+                free = [b for b in free if b[1] != best[0][1]]
+            rows.append((key, a[1], best[0][1] if best else None, round(best[1], 6) if best else None))
+        return rows + [(key, None, b[1], None) for b in free]
 
-    return both.groupBy(page).applyInPandas(match, f"{page} {kind}, t long, p long, iou double")
+    found = each_group(both, page, ["k", "side"], match, f"{page} {kind}, t double, p double, iou double")
+    return found.select(page, F.nanvl("t", F.lit(None).cast("double")).cast("long").alias("t"), F.nanvl("p", F.lit(None).cast("double")).cast("long").alias("p"), F.nanvl("iou", F.lit(None).cast("double")).alias("iou"))
 
 
 def cluster_labels(blocks: DataFrame, page: str = "page", item: str = "item", *, dx: float = 0.22, dy: float = 0.18, least: int = 3) -> DataFrame:
     """Short labels that stand close, as figures: seeds in reading order gather what is near their running box. (page, figure, n, x, y, w, h)"""
     kind = blocks.schema[page].dataType.simpleString()
 
-    def gather(pdf: pd.DataFrame) -> pd.DataFrame:
-        left = [list(r) for r in pdf.sort_values(["y", "x", item], kind="stable")[["x", "y", "w", "h"]].itertuples(index=False)]
+    def gather(key, c: dict[str, list]) -> list[tuple]:
+        left = [list(r) for r in zip(c["x"], c["y"], c["w"], c["h"], strict=True)]
         out = []
         while left:
             box, rest = list(left[0]), []
@@ -271,11 +293,11 @@ def cluster_labels(blocks: DataFrame, page: str = "page", item: str = "item", *,
                 else:
                     rest.append(b)
             if n >= least:
-                out.append((pdf[page].iloc[0], len(out) + 1, n, *(round(v, 6) for v in box)))
+                out.append((key, len(out) + 1, n, *(round(v, 6) for v in box)))
             left = rest
-        return pd.DataFrame(out, columns=[page, "figure", "n", "x", "y", "w", "h"])
+        return out
 
-    return blocks.select(page, item, "x", "y", "w", "h").groupBy(page).applyInPandas(gather, f"{page} {kind}, figure int, n int, x double, y double, w double, h double")
+    return each_group(blocks.select(page, item, "x", "y", "w", "h"), page, ["y", "x", item], gather, f"{page} {kind}, figure int, n int, x double, y double, w double, h double")
 
 
 def item_height(text: Column, choices: Column, *, chars_per_line: int = 32, line_mm: float = 6.0) -> Column:
