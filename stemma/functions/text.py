@@ -23,7 +23,7 @@ def canonical_number(raw: Column) -> Column:
     return F.when(plain.rlike(r"^[0-9]{1,4}$"), F.lpad(plain, 4, "0"))
 
 
-def public_code(n: Column, prefix: str = "HQB-") -> Column:
+def public_code(n: Column, prefix: str = "QB-") -> Column:
     """prefix and at least six digits."""
     text = n.cast("string")
     return F.concat(F.lit(prefix), F.lpad(text, F.greatest(F.lit(6), F.length(text)), F.lit("0")))

@@ -18,7 +18,7 @@ def canonical_number(spark: SparkSession, sf_dir: str) -> DataFrame:
     return problems(spark, sf_dir).select("doc_id", "number", X.canonical_number(F.col("number")).alias("canonical"))
 
 
-@query("SELECT o_orderkey, 'HQB-' || lpad(CAST(o_orderkey * 37 AS VARCHAR), CAST(greatest(6, length(CAST(o_orderkey * 37 AS VARCHAR))) AS INTEGER), '0') AS code FROM orders")
+@query("SELECT o_orderkey, 'QB-' || lpad(CAST(o_orderkey * 37 AS VARCHAR), CAST(greatest(6, length(CAST(o_orderkey * 37 AS VARCHAR))) AS INTEGER), '0') AS code FROM orders")
 def public_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Codes of at least six digits."""
     return table(spark, sf_dir, "orders").select("o_orderkey", X.public_code(F.col("o_orderkey") * 37).alias("code"))

@@ -19,7 +19,7 @@ def problems(spark: SparkSession, sf_dir: str) -> DataFrame:
     joined = d.join(labels, "doc_id", "left")
     return joined.select(
         "doc_id",
-        F.concat(F.lit("HQB-"), F.lpad(k.cast("string"), 6, "0")).alias("public_code"),
+        F.concat(F.lit("QB-"), F.lpad(k.cast("string"), 6, "0")).alias("public_code"),
         "text",
         "lang",
         "source",
@@ -36,7 +36,7 @@ def problems(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 PROBLEMS_SQL = """problems AS (
-  SELECT d.doc_id, 'HQB-' || lpad(CAST(d.doc_id AS VARCHAR), 6, '0') AS public_code, d.text, d.lang, d.source, d.n_chars, l.quality, l.toxic,
+  SELECT d.doc_id, 'QB-' || lpad(CAST(d.doc_id AS VARCHAR), 6, '0') AS public_code, d.text, d.lang, d.source, d.n_chars, l.quality, l.toxic,
     CASE WHEN d.doc_id % 11 <> 0 THEN d.doc_id % 200 END AS page,
     CAST(d.doc_id % 300 AS VARCHAR) || CASE WHEN d.doc_id % 5 = 0 THEN '.' ELSE '' END AS number,
     CASE WHEN l.quality = 0 THEN 'NEEDS_REVIEW' WHEN l.quality = 1 THEN 'VERIFIED' ELSE 'AUTO_CLASSIFIED' END AS review_status,

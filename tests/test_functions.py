@@ -38,7 +38,7 @@ def test_numbers_and_texts(spark):
     rows = spark.createDataFrame([("12.",), (" 7 ",), ("12345",), ("a1",), (None,)], "n string")
     assert [r.c for r in rows.select(X.canonical_number(F.col("n")).alias("c")).collect()] == ["0012", "0007", None, None, None]
     assert one(spark, X.normal_text(F.lit(" a ![x](y)  b $$z$$ \n\n c "))) == "a b $z$\nc"
-    assert one(spark, X.public_code(F.lit(7))) == "HQB-000007" and one(spark, X.public_code(F.lit(12345678))) == "HQB-12345678"
+    assert one(spark, X.public_code(F.lit(7))) == "QB-000007" and one(spark, X.public_code(F.lit(12345678))) == "QB-12345678"
     assert [tuple(p) for p in one(spark, X.ranges(F.lit("[3~9] x [9~3] [0~2] [10 ~ 12]")))] == [(3, 9), (10, 12)]
     assert one(spark, X.char_error_rate(F.lit(""), F.lit(""))) == 0 and one(spark, X.char_error_rate(F.lit("x"), F.lit(""))) == 1
     assert one(spark, X.token_hit_rate(F.lit("abc"), F.array(F.lit("a"), F.lit(""), F.lit("z")))) == pytest.approx(1 / 3)
