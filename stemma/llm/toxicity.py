@@ -50,14 +50,16 @@ def strings(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray,
         same = row[1:] == row[:-1]
         space = np.concatenate([[0], np.cumsum(low <= 0x20)])
         glued = same & (space[s[1:]] == space[e[:-1]])
-        single = e - s == 1
+        # characters, not bytes: all but what continues one
+        chars = np.concatenate([[0], np.cumsum(low & 0xC0 != 0x80)])
+        single = chars[e] - chars[s] == 1
         alone = same & single[1:] & single[:-1] & (s[1:] - e[:-1] <= 3)
         extra_s, extra_e, extra_row, more = [], [], [], []
         at = len(low)
         for link, least in ((glued, 2), (alone, 3)):
             edge = np.flatnonzero(np.diff(np.concatenate([[0], link.view(np.int8), [0]])))
             for a, z in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True):
-                if z - a + 1 >= least and e[z] - s[a] <= 400:
+                if z - a + 1 >= least:
                     joined = low[s[a] : e[z]]
                     joined = joined[ALNUM[joined]]
                     more.append(joined)

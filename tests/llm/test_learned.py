@@ -101,6 +101,14 @@ def test_quality(spark, data):
     assert quality.grade(d.limit(0), model).count() == 0
 
 
+def test_hidden_strings():
+    """Insults spelt in single letters are joined within long runs too, and by characters, not bytes."""
+    for text, want in (("b c " * 150 + "i d i o t " + "f g " * 150, "idiot"), ("b-c." * 150 + "i-d-i-o-t" + ".f-g" * 150, "idiot"), ("such an í d i ó t here", "ídiót"), ("바 보 야", "바보야")):
+        data = np.frombuffer(text.encode(), np.uint8)
+        buf, s, e, row = toxicity.strings(data, np.array([0, len(data)]))
+        assert any(want.encode() in bytes(buf[a:z]) for a, z in zip(s, e)) and (e - s).max() <= toxicity.LONGEST and not row.any()
+
+
 def test_sample_is_bounded(spark):
     rows = spark.range(5000).withColumnRenamed("id", "doc_id")
     some = _learn.sample(rows, "doc_id", 500)
