@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -10,6 +12,8 @@ from ..functions.scores import cosine, dot, norm
 
 #: Queries that are sent to all tasks at once; more are searched in blocks of about this many.
 MOST_BROADCAST = 20_000
+#: Distinct words whose tokens a task keeps at once.
+MOST_WORDS = 100_000
 
 
 def clamp_k(k: int | None, most: int = 50, default: int = 5) -> int:
@@ -72,3 +76,50 @@ def upsert_vectors(stored: DataFrame, incoming: DataFrame, keys: list[str], hash
     old = stored.select(*keys, F.col(hash_col).alias("__old"), F.lit(True).alias("__known"))
     action = F.when(~F.coalesce("__known", F.lit(False)), "CREATE").when(~F.col(hash_col).eqNullSafe(F.col("__old")), "UPDATE").otherwise("SKIP")
     return incoming.join(old, keys, "left").withColumn("action", action).drop("__old", "__known")
+
+
+def partial_hits(docs: DataFrame, queries: DataFrame, *, id_col: str = "doc_id", query_col: str = "item_id", text_col: str = "text") -> DataFrame:
+    """(query_col, id_col, hit) of each query and text that holds any of its tokens: the share of the query's tokens, repeats included, that it holds.
+
+    Tokens are what white space surrounds in a query, so one that a text holds lies within a word of it: each distinct word is searched
+    once while it stays in a cache. Queries are a stated set of at most MOST_BROADCAST rows, sent to all tasks; nothing is shuffled.
+    """
+    if queries.count() > MOST_BROADCAST:
+        raise ValueError("too many queries to compare all texts with")
+    asked = queries.select(F.col(query_col).alias("q"), F.col(text_col).cast("string").alias("text")).toArrow()
+    own = [(t or "").split() for t in asked.column("text").to_pylist()]
+    some = [i for i, w in enumerate(own) if w]
+    names = asked.column("q").combine_chunks().take(pa.array(some, pa.int64()))
+    number: dict[str, int] = {}
+    flat = np.array([number.setdefault(w, len(number)) for i in some for w in own[i]], np.int64)
+    size = np.array([len(own[i]) for i in some], np.int64)
+    begin = np.cumsum(size) - size
+    sent = docs.sparkSession.sparkContext.broadcast((number, sorted({len(w) for w in number}), flat, size, begin, names))
+    base = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    kinds = f"q {queries.schema[query_col].dataType.simpleString()}, id {base.schema['id'].dataType.simpleString()}, hit double"
+
+    def run(batches):
+        number, sizes, flat, size, begin, names = sent.value
+        cache: dict[str, frozenset[int]] = {}
+
+        def tokens(word: str) -> frozenset[int]:
+            found = cache.get(word)
+            if found is None:
+                if len(cache) >= MOST_WORDS:
+                    cache.clear()
+                found = cache[word] = frozenset(number[t] for k in sizes if k <= len(word) for t in {word[i : i + k] for i in range(len(word) - k + 1)} & number.keys())
+            return found
+
+        for batch in batches:
+            ids, texts = batch.column(0), batch.column(1)
+            for lo in range(0, batch.num_rows if len(size) else 0, 256):
+                of, row, rate = [], [], []
+                for r in range(lo, min(lo + 256, batch.num_rows)):
+                    held = np.zeros(len(number), bool)
+                    held[list(set().union(*map(tokens, set((texts[r].as_py() or "").split()))))] = True
+                    n = np.add.reduceat(held[flat], begin, dtype=np.int64)
+                    at = np.flatnonzero(n)
+                    of.append(at), row.append(np.full(len(at), r)), rate.append(n[at] / size[at])
+                yield pa.record_batch([names.take(pa.array(np.concatenate(of))), ids.take(pa.array(np.concatenate(row))), pa.array(np.concatenate(rate))], names=["q", "id", "hit"])
+
+    return base.mapInArrow(run, kinds).select(F.col("q").alias(query_col), F.col("id").alias(id_col), F.round("hit", 6).alias("hit"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..catalog import query
 from ..functions import text as X
+from ..operators.search import partial_hits
 from ..sources.files import markdown_layout
 from ..sources.tables import table
 from ..sources.views import PROBLEMS_SQL, problems
@@ -79,6 +80,15 @@ def token_hit_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.select("item_id", "doc_id", F.round(X.token_hit_rate(F.col("text"), F.col("tokens")), 6).alias("hit"))
 
 
+@query()
+def token_hit_rate_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Share of all tokens of each benchmark text that a document holds, for every pair with at least one.
+
+    token_hit_rate, whose SQL fixes its rows, gives only pairs that hold all of an item's first 40 characters.
+    """
+    return partial_hits(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 @query("""WITH t AS (SELECT conv_id, turn, regexp_replace(text, '[^!-~]', '', 'g') AS h, regexp_replace(COALESCE(lag(text) OVER (PARTITION BY conv_id ORDER BY turn), ''), '[^!-~]', '', 'g') AS t FROM conversations)
 SELECT conv_id, turn, round(CASE WHEN length(t) = 0 THEN CASE WHEN length(h) = 0 THEN 0 ELSE 1 END ELSE levenshtein(h, t) / length(t) END, 6) AS cer FROM t WHERE length(h) * length(t) < 40000""")
 def turn_cer(spark: SparkSession, sf_dir: str) -> DataFrame:
