@@ -273,8 +273,17 @@ def greedy_match(truth: DataFrame, found: DataFrame, page: str = "page") -> Data
     return found.select(page, F.nanvl("t", F.lit(None).cast("double")).cast("long").alias("t"), F.nanvl("p", F.lit(None).cast("double")).cast("long").alias("p"), F.nanvl("iou", F.lit(None).cast("double")).alias("iou"))
 
 
-def cluster_labels(blocks: DataFrame, page: str = "page", item: str = "item", *, dx: float = 0.22, dy: float = 0.18, least: int = 3) -> DataFrame:
-    """Short labels that stand close, as figures: seeds in reading order gather what is near their running box. (page, figure, n, x, y, w, h)"""
+def _sparse(text: str | None) -> bool:
+    """At most ten visible characters, and no choice marks."""
+    bare = re.sub(r"\s+", "", text) if isinstance(text, str) else ""
+    return len(bare) <= 10 and not re.search("[①②③④⑤]", bare)
+
+
+def cluster_labels(blocks: DataFrame, page: str = "page", item: str = "item", *, dx: float = 0.22, dy: float = 0.18, least: int = 3, text: str | None = None) -> DataFrame:
+    """Short labels that stand close, as figures: seeds in reading order gather what is near their running box. (page, figure, n, x, y, w, h)
+
+    text: the blocks' content; each large block of the page's body with next to none is then a figure of its own (n = 1), after the clusters.
+    """
     kind = blocks.schema[page].dataType.simpleString()
 
     def gather(key, c: dict[str, list]) -> list[tuple]:
@@ -295,9 +304,13 @@ def cluster_labels(blocks: DataFrame, page: str = "page", item: str = "item", *,
             if n >= least:
                 out.append((key, len(out) + 1, n, *(round(v, 6) for v in box)))
             left = rest
+        if text:
+            for x, y, w, h, t in zip(c["x"], c["y"], c["w"], c["h"], c["__text"], strict=True):
+                if 0.07 < y < 0.93 and 0 <= x <= 1 and h >= 0.09 and w >= 0.12 and _sparse(t):
+                    out.append((key, len(out) + 1, 1, *(round(v, 6) for v in (x, y, w, h))))
         return out
 
-    return each_group(blocks.select(page, item, "x", "y", "w", "h"), page, ["y", "x", item], gather, f"{page} {kind}, figure int, n int, x double, y double, w double, h double")
+    return each_group(blocks.select(page, item, "x", "y", "w", "h", *([F.col(text).alias("__text")] if text else [])), page, ["y", "x", item], gather, f"{page} {kind}, figure int, n int, x double, y double, w double, h double")
 
 
 def item_height(text: Column, choices: Column, *, chars_per_line: int = 32, line_mm: float = 6.0) -> Column:

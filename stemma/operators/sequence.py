@@ -140,10 +140,20 @@ def round_robin(rows: DataFrame, strata: list[str], order: list, n: int) -> Data
     return turn.orderBy("__turn", *strata).limit(n).withColumnRenamed("__turn", "turn")
 
 
-def hold_out(rows: DataFrame, keys: list[str], every: int = 5) -> DataFrame:
-    """Rows with a split: whole groups go one way, every fifth in the order of their keys to HOLDOUT."""
+def hold_out(rows: DataFrame, keys: list[str], every: int = 5, *, start: int | None = None, badge: str | None = None, need: tuple[str, ...] = ("LOW_BADGE", "HIGH_BADGE"), order: list[str] | None = None) -> DataFrame:
+    """Rows with a split: whole groups go one way, every fifth in the order of their keys to HOLDOUT, from group number `start` on (the fifth if none is given).
+
+    badge: a column of classes; of each in `need` that HOLDOUT lacks, the first row of TRAIN by group and `order`, which tells rows apart, goes there too.
+    """
     groups = rows.select(*keys).distinct().withColumn("__g", F.dense_rank().over(W.orderBy(*keys)))
-    return rows.join(groups, keys).withColumn("split", F.when(F.col("__g") % every == 0, "HOLDOUT").otherwise("TRAIN")).drop("__g")
+    held = F.pmod(F.col("__g") - (every if start is None else start), F.lit(every)) == 0
+    out = rows.join(groups, keys).withColumn("split", F.when(held, "HOLDOUT").otherwise("TRAIN"))
+    if badge is None:
+        return out.drop("__g")
+    at = F.struct("__g", *(order or keys))
+    lacking = out.where(F.col(badge).isin(*need)).groupBy(F.col(badge).alias("__b")).agg(F.max(F.col("split") == "HOLDOUT").alias("__has"), F.min(at).alias("__first")).where("not __has")
+    moved = F.coalesce(at == F.col("__first"), F.lit(False))
+    return out.join(F.broadcast(lacking), F.col(badge) == F.col("__b"), "left").withColumn("split", F.when(moved, "HOLDOUT").otherwise(F.col("split"))).select(*rows.columns, "split")
 
 
 def evenly_spaced(rows: DataFrame, group: list[str], order: list, n: int) -> DataFrame:

@@ -54,8 +54,8 @@ def greedy_match(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def figure_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Close labels gathered to figures."""
-    return K.cluster_labels(boxes(spark, sf_dir))
+    """Close labels gathered to figures, and large boxes, which hold no text here."""
+    return K.cluster_labels(boxes(spark, sf_dir).withColumn("content", F.lit("")), text="content")
 
 
 @query("""SELECT time_bucket(INTERVAL 1 DAY, ts, TIMESTAMP '1970-01-01') AS day, event_type, CAST(count(*) AS BIGINT) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL""")

@@ -157,3 +157,19 @@ def test_files(spark, tmp_path):
     assert [(b.page, b.x, b.y, b.width, b.height) for b in block] == [(1, 0.1, 0.1, 0.5, 0.2)]
     pages = spark.createDataFrame([("d", "x" * 50), ("d", ""), ("e", None)], "doc string, text string")
     assert {r.doc: r.kind for r in text_kind(pages, "doc", "text").collect()} == {"d": "MIXED", "e": "SCAN"}
+
+
+def test_sparse_blocks(spark):
+    boxes = [(1, 1, 0.1, 0.2, 0.3, 0.2, " a "), (1, 2, 0.1, 0.2, 0.05, 0.2, ""), (1, 3, 0.5, 0.01, 0.3, 0.2, None), (2, 1, 0.1, 0.6, 0.12, 0.09, None), (2, 2, 0.1, 0.5, 0.3, 0.2, "a long text here"), (2, 3, 0.6, 0.5, 0.3, 0.2, "① 3")]
+    blocks = spark.createDataFrame(boxes, "page int, item int, x double, y double, w double, h double, content string")
+    assert sorted(tuple(r) for r in K.cluster_labels(blocks, text="content").collect()) == [(1, 1, 1, 0.1, 0.2, 0.3, 0.2), (2, 1, 1, 0.1, 0.6, 0.12, 0.09)]
+    assert K.cluster_labels(blocks).count() == 0
+
+
+def test_hold_out_repair(spark):
+    badges = {1: "MID", 2: "LOW_BADGE", 3: "LOW_BADGE", 4: "HIGH_BADGE", 5: None, 6: "HIGH_BADGE", 7: "LOW_BADGE"}
+    rows = spark.createDataFrame([(g, i, b) for g, b in badges.items() for i in (2, 1)], "g int, i int, badge string")
+    held = lambda **k: {(r.g, r.i) for r in Q.hold_out(rows, ["g"], **k).where("split = 'HOLDOUT'").collect()}
+    assert held() == {(5, 1), (5, 2)} and held(start=1) == {(1, 1), (1, 2), (6, 1), (6, 2)}
+    assert held(start=1, badge="badge", order=["i"]) == {(1, 1), (1, 2), (6, 1), (6, 2), (2, 1)}
+    assert held(start=5, badge="badge", order=["i"]) == {(5, 1), (5, 2), (2, 1), (4, 1)}
