@@ -199,7 +199,9 @@ def identify(docs: DataFrame, model: ByteCNN | None, id_col: str = "doc_id", tex
 
 
 def known_languages(docs: DataFrame, model: ByteCNN | None, id_col: str = "doc_id", text_col: str = "text", least: float = 0.0) -> DataFrame:
-    """The rows whose language is known (not 'und') with at least that score, with all their columns."""
+    """The rows whose language is known (not 'und') with at least that score, with all their columns; without a model, those with a letter."""
+    if model is None:
+        return docs.where(F.col(text_col).cast("string").rlike(r"\p{L}"))
     found = identify(docs, model, id_col, text_col, keep=docs.columns)
     plain = found.toDF(*[f"c{i}" for i in range(len(found.columns))])
     n = len(docs.columns)

@@ -101,6 +101,15 @@ def test_quality(spark, data):
     assert quality.grade(d.limit(0), model).count() == 0
 
 
+def test_no_language_model(spark):
+    """Where there is nothing to learn from, texts with letters stay."""
+    d = spark.createDataFrame([(*r, None) for r in ODD], "doc_id long, text string, lang string")
+    model = langid.train(d)
+    kept = langid.known_languages(d, model)
+    assert model is None and kept.columns == d.columns
+    assert sorted(str(r.doc_id) for r in kept.collect()) == ["9005", "9005", "9006", "None"]
+
+
 def test_hidden_strings():
     """Insults spelt in single letters are joined within long runs too, and by characters, not bytes."""
     for text, want in (("b c " * 150 + "i d i o t " + "f g " * 150, "idiot"), ("b-c." * 150 + "i-d-i-o-t" + ".f-g" * 150, "idiot"), ("such an í d i ó t here", "ídiót"), ("바 보 야", "바보야")):
