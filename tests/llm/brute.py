@@ -89,6 +89,16 @@ def near_copies(fps, radius=2):
     return groups(len(v), [(i, int(j)) for i in range(len(v)) for j in np.flatnonzero(np.bitwise_count(v ^ v[i]) <= radius)])
 
 
+def similar_texts(texts, words=5, least=0.8):
+    """Class of each text under links of shingle sets with that Jaccard similarity."""
+    sets = []
+    for t in texts:
+        w = (t or "").encode().lower().split()
+        k = min(words, len(w))
+        sets.append({tuple(w[i : i + k]) for i in range(len(w) - k + 1)} if w else {()})
+    return groups(len(sets), [(i, j) for i in range(len(sets)) for j in range(i) if len(sets[i] & sets[j]) >= least * len(sets[i] | sets[j])])
+
+
 def vector_links(vectors, cosine=0.9):
     """(links of each, class of each); None for vectors that cannot be compared."""
     good = [i for i, v in enumerate(vectors) if v and all(x is not None and np.isfinite(x) for x in v) and any(v)]

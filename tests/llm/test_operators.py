@@ -127,19 +127,70 @@ def test_simhash(spark):
 
 @pytest.mark.parametrize("radius", [1, 2, 3])
 @pytest.mark.parametrize("hot", [64, 2])
-def test_links(spark, radius, hot):
-    """All pairs' components, with blocks that are probed and with blocks that are too full."""
+@pytest.mark.parametrize("blocks", [None, 2])
+def test_links(spark, radius, hot, blocks):
+    """All pairs' components, with blocks that are probed, fewer and wider ones as for large tables, and blocks that are too full."""
     rng = random.Random(radius)
     base = [rng.getrandbits(64) for _ in range(30)]
     fps = set(base) | {b ^ sum(1 << rng.randrange(64) for _ in range(rng.randrange(6))) for b in base[:10] for _ in range(20)} | {0, 1, 3, 7, 15, 1 << 63}
     fps = sorted(f & (1 << 64) - 1 for f in fps)
     signed = [f - (1 << 64) if f >> 63 else f for f in fps]
-    found = simhash.link_fingerprints(spark.createDataFrame([(f,) for f in signed], "fp long"), radius, hot).collect()
+    found = simhash.link_fingerprints(spark.createDataFrame([(f,) for f in signed], "fp long"), radius, hot, blocks).collect()
     at = {f: i for i, f in enumerate(signed)}
     assert all(bin(fps[at[r.a]] ^ fps[at[r.b]]).count("1") <= radius for r in found)
     assert brute.groups(len(fps), [(at[r.a], at[r.b]) for r in found]) == brute.near_copies(fps, radius)
 
 
+def test_block_count():
+    assert simhash.block_count(10**6, 2) == 3 and simhash.block_count(10**9, 2) == 2 and simhash.block_count(5, 0) == 1
+
+
+def near_texts(seed=0, groups=12, copies=6):
+    """Groups of texts with a few words changed, and the odd rows."""
+    rng = random.Random(seed)
+    rows = odd_texts(seed, 20)
+    for g in range(groups):
+        base = [f"v{rng.randrange(3000)}" for _ in range(rng.choice([60, 150, 400]))]
+        for c in range(copies):
+            w = list(base)
+            for _ in range(max(1, int(len(w) * rng.choice([0.005, 0.01, 0.015])))) if c else ():
+                w[rng.randrange(len(w))] = f"v{rng.randrange(3000)}"
+            rows.append((1000 + 20 * g + c, " ".join(w)))
+    return rows
+
+
+@pytest.mark.parametrize("hot", [4000, 10])
+def test_similar(spark, hot, monkeypatch):
+    """Components of all pairs with similar shingle sets; also where keys are compared in parts."""
+    monkeypatch.setattr(simhash, "HOT_KEY", hot)
+    docs = near_texts(2)
+    want = brute.similar_texts([t for _, t in docs])
+    found = simhash.near_duplicates(table(spark, docs), words=5, similarity=0.8).collect()
+    assert len(found) == len(docs)
+    unique = {k: i for i, (k, _) in enumerate(docs) if k not in (105, None)}
+    have = {r.doc_id: r.component_id for r in found if r.doc_id in unique}
+    groups_found, groups_want = {}, {}
+    for k, i in unique.items():
+        groups_found.setdefault(have[k], set()).add(k)
+        groups_want.setdefault(want[i], set()).add(k)
+    same = sum(g in groups_found.values() for g in groups_want.values())
+    assert same >= 0.97 * len(groups_want) and len(groups_found) >= len(groups_want)
+    kept = simhash.deduplicate(table(spark, docs), words=5, similarity=0.8)
+    assert len(groups_want) - 2 <= kept.count() <= len(groups_want) + 3 and kept.columns == table(spark, docs).columns
+    assert simhash.deduplicate(table(spark, docs).limit(0), words=5, similarity=0.8).count() == 0
+
+
+def test_forest():
+    rng = np.random.default_rng(3)
+    for n in (1, 2, 30, 200):
+        u, v, d = rng.integers(0, n, 300), rng.integers(0, n, 300), rng.integers(1, 9, 300)
+        tree = simhash.forest(u, v, d, n)
+        assert brute.groups(n, list(zip(u[tree], v[tree]))) == brute.groups(n, list(zip(u, v))) and len(tree) == n - len(set(brute.groups(n, list(zip(u, v)))))
+        for level in range(1, 9):
+            some = tree[d[tree] <= level]
+            assert brute.groups(n, list(zip(u[some], v[some]))) == brute.groups(n, list(zip(u[d <= level], v[d <= level])))
+
+
 def test_components(spark):
     rng = random.Random(5)
     links = [(i, i + 1) for i in range(40)] + [(100 + rng.randrange(50), 100 + rng.randrange(50)) for _ in range(30)] + [(200, 200 + i) for i in range(1, 60)] + [(7, 7), (300, 301), (300, 301)]
