@@ -30,3 +30,18 @@ def sample(rows: DataFrame, id_col: str, most: int) -> DataFrame:
         return rows
     share = most / n
     return rows.where(F.xxhash64(F.col(id_col).cast("string"), F.lit("sample")) < F.lit(int(-(2**63) + share * 2**64))).limit(most + math.ceil(most / 10))
+
+
+def sample_each(rows: DataFrame, id_col: str, class_col: str, most: int, total: int | None = None) -> DataFrame:
+    """About `most` rows of each class at most, all rows of a smaller one; chosen as sample() does.
+
+    `total` (10 * most unless given) bounds all classes together: where there are very many, each gives a like share.
+    """
+    counts = rows.groupBy(class_col).count()
+    total = 10 * most if total is None else total
+    wanted = counts.agg(F.sum(F.least(F.col("count"), F.lit(most)))).first()[0] or 0
+    part = min(1.0, total / max(1, wanted))
+    share = F.least(F.lit(1.0), F.lit(float(most)) / F.col("count")) * part
+    shares = counts.select(F.col(class_col).alias("__class"), share.alias("__share"))
+    hashed = F.xxhash64(F.col(id_col).cast("string"), F.lit("sample")) / F.lit(2.0**64) + 0.5
+    return rows.join(shares, rows[class_col] == shares["__class"]).where((F.col("__share") >= 1) | (hashed < F.col("__share"))).drop("__class", "__share").limit(total + math.ceil(total / 10))

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._arrow import LOWER, column, slices, text_buffer
-from ._learn import held_out, sample
+from ._learn import held_out, sample_each
 from ._tables import bounded_batches
 
 #: Bytes of a window; a text is cut into as many as it needs, the last one filled with zero bytes.
@@ -18,8 +18,10 @@ WINDOW = 128
 WIDTHS = (2, 3, 4)
 FILTERS = 12
 EMBED = 8
-#: Rows that training reads at most, windows that it takes of each, and passes over them.
-TRAIN_ROWS, TRAIN_WINDOWS, EPOCHS = 3000, 2, 6
+#: Rows of each language that training reads at most (whole texts), and passes over their windows.
+TRAIN_ROWS, EPOCHS = 400, 2
+#: Windows of noise that stand for what is in no learned language, as a share of all others.
+NOISE = 0.2
 #: What a text without letters is.
 UNKNOWN = "und"
 
@@ -48,7 +50,10 @@ def windows(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 @dataclass
 class ByteCNN:
-    """embedding -> convolutions of several widths -> ReLU -> max over the window -> softmax."""
+    """embedding -> convolutions of several widths -> ReLU -> max over the window -> softmax.
+
+    The softmax has a class for each label and, last, one for noise: what looks like none of them.
+    """
 
     labels: list[str]
     embed: np.ndarray
@@ -85,7 +90,11 @@ class ByteCNN:
 
 
 def fit(texts: list[bytes], labels: list[str], seed: int = 5) -> ByteCNN | None:
-    """Train on labelled texts: Adam on windows, each a sample of its text's label. None if there is nothing to learn from."""
+    """Train on labelled texts: Adam on all their windows, each a sample of its text's label. None if there is nothing to learn from.
+
+    Labels weigh alike, and within a label texts by the root of their windows, so neither a frequent language nor a
+    few very long texts decide. Noise windows are random strings of all symbols, of those that no text has, and of letters.
+    """
     names = sorted(set(labels))
     texts = list(texts)
     if not names or not any(texts):
@@ -93,19 +102,23 @@ def fit(texts: list[bytes], labels: list[str], seed: int = 5) -> ByteCNN | None:
     rng = np.random.default_rng(seed)
     off = np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64)
     x, row = windows(np.frombuffer(b"".join(texts), np.uint8), off)
-    # some windows of each text, whichever
-    order = rng.permutation(len(row))
-    order = order[np.argsort(row[order], kind="stable")]
-    first = np.searchsorted(row[order], np.arange(len(texts)))
-    nth = np.arange(len(order)) - first[row[order]]
-    pick = order[nth < TRAIN_WINDOWS]
-    x, y = x[pick], np.array([names.index(v) for v in labels])[row[pick]]
-    classes, scale = len(names), 0.2
+    y = np.array([names.index(v) for v in labels])[row]
+    classes, scale = len(names) + 1, 0.2
+    weight = 1 / np.sqrt(np.bincount(row))[row]
+    weight /= np.bincount(y, weight, minlength=len(names))[y]
+    # noise: any symbols, those beyond ASCII that are not met in texts, letters in no order
+    met = np.bincount(x.ravel(), minlength=SYMBOLS) > 0
+    strange = np.flatnonzero(~met[28:]) + 28
+    n_noise = max(30, int(NOISE * len(x)))
+    kinds = [np.arange(1, SYMBOLS), strange if len(strange) else np.arange(28, SYMBOLS), np.arange(1, 28)]
+    noise = np.concatenate([rng.choice(k, (n_noise // 3 + 1, WINDOW)) for k in kinds]).astype(x.dtype)
+    x, y = np.concatenate([x, noise]), np.append(y, np.full(len(noise), classes - 1))
+    weight = np.append(weight, np.full(len(noise), 1 / len(noise)))
+    weight *= len(y) / weight.sum()
     p = {"e": rng.normal(0, scale, (SYMBOLS, EMBED)), "d": rng.normal(0, scale, (len(WIDTHS) * FILTERS, classes)), "c": np.zeros(classes)}
     for w in WIDTHS:
         p[f"f{w}"], p[f"b{w}"] = rng.normal(0, scale, (w, EMBED, FILTERS)), np.zeros(FILTERS)
     m, v, step, rate = {k: 0.0 for k in p}, {k: 0.0 for k in p}, 0, 5e-3
-    weight = len(y) / (classes * np.bincount(y, minlength=classes).clip(1))
     for epoch in range(EPOCHS):
         for some in np.array_split(rng.permutation(len(y)), max(1, len(y) // 128)):
             xs, n = x[some], len(some)
@@ -125,7 +138,7 @@ def fit(texts: list[bytes], labels: list[str], seed: int = 5) -> ByteCNN | None:
             q = np.exp(z)
             q /= q.sum(axis=1, keepdims=True)
             q[np.arange(n), y[some]] -= 1
-            q *= (weight[y[some]] / n)[:, None]
+            q *= (weight[some] / n)[:, None]
             g = {"d": hidden.T @ q, "c": q.sum(axis=0), "e": np.zeros_like(p["e"])}
             back = (q @ p["d"].T) * (raw > 0)
             for i, w in enumerate(WIDTHS):
@@ -145,10 +158,10 @@ def fit(texts: list[bytes], labels: list[str], seed: int = 5) -> ByteCNN | None:
 
 
 def predict(model: ByteCNN, tables: list[list[np.ndarray]], data: np.ndarray, off: np.ndarray) -> np.ndarray:
-    """Class probabilities of each text: softmax of its windows' mean logits, windows weighted by what they hold."""
+    """Class probabilities of each text, noise last: softmax of its windows' mean logits, windows weighted by what they hold."""
     x, row = windows(data, off)
     n = len(off) - 1
-    total, held = np.zeros((n, len(model.labels))), np.zeros(n)
+    total, held = np.zeros((n, len(model.labels) + 1)), np.zeros(n)
     for lo in range(0, len(x), 512):
         part = x[lo : lo + 512]
         size = (part > 0).sum(axis=1)
@@ -161,16 +174,19 @@ def predict(model: ByteCNN, tables: list[list[np.ndarray]], data: np.ndarray, of
 
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", most: int = TRAIN_ROWS) -> ByteCNN | None:
-    """Fit on at most about `most` rows with a language, whose ids are not in the held-out fold."""
+    """Fit on whole texts of at most about `most` rows of each language (ten times that in all), whose ids are not in the held-out fold.
+
+    A language of fewer rows gives all of them.
+    """
     rows = docs.where(~held_out(id_col) & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    found = sorted((r.t, r.y) for r in sample(rows, id_col, most).select(F.col(text_col).cast("string").alias("t"), F.col(lang_col).cast("string").alias("y")).toLocalIterator())
+    found = sorted((r.t, r.y) for r in sample_each(rows, id_col, lang_col, most).select(F.col(text_col).cast("string").alias("t"), F.col(lang_col).cast("string").alias("y")).toLocalIterator())
     return fit([t.encode() for t, _ in found], [y for _, y in found])
 
 
 def identify(docs: DataFrame, model: ByteCNN | None, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
     """id_col, the columns in `keep`, lang_pred and score (probability of lang_pred) for each row, over its whole text.
 
-    Null texts and texts without a letter are 'und' with score 0, as are all where there was nothing to learn from.
+    lang_pred is the likeliest learned language; where noise is likelier the score is below one half. Null texts and texts without a letter are 'und' with score 0, as are all where there was nothing to learn from.
     Repeated rows and null ids each get their row; an empty table gives no rows. The model (a few MB) is sent to the tasks
     once; nothing is shuffled.
     """
@@ -190,7 +206,7 @@ def identify(docs: DataFrame, model: ByteCNN | None, id_col: str = "doc_id", tex
             known = column(batch, "letters").to_numpy(zero_copy_only=False).astype(bool)
             names, scores = np.full(batch.num_rows, UNKNOWN, object), np.zeros(batch.num_rows)
             if network:
-                q = np.concatenate([predict(network, tables, data[off[lo] : off[hi]], off[lo : hi + 1] - off[lo]) for lo, hi in slices(off, 1 << 20)] or [np.zeros((0, len(network.labels)))])
+                q = np.concatenate([predict(network, tables, data[off[lo] : off[hi]], off[lo : hi + 1] - off[lo]) for lo, hi in slices(off, 1 << 20)] or [np.zeros((0, len(network.labels) + 1))])[:, :-1]
                 names = np.where(known, np.array(network.labels, object)[q.argmax(axis=1)] if len(q) else names, UNKNOWN)
                 scores = np.where(known, q.max(axis=1, initial=0), 0.0)
             yield pa.record_batch([*(column(batch, f.name) for f in front), pa.array(names.tolist(), pa.string()), pa.array(scores)], names=out.names)
@@ -198,12 +214,17 @@ def identify(docs: DataFrame, model: ByteCNN | None, id_col: str = "doc_id", tex
     return base.mapInArrow(run, out).select(F.col("id").alias(id_col), *[F.col(f"k{i}").alias(c) for i, c in enumerate(keep)], "lang_pred", "score")
 
 
-def known_languages(docs: DataFrame, model: ByteCNN | None, id_col: str = "doc_id", text_col: str = "text", least: float = 0.0) -> DataFrame:
-    """The rows whose language is known (not 'und') with at least that score, with all their columns; without a model, those with a letter."""
+def known_languages(docs: DataFrame, model: ByteCNN | None, id_col: str = "doc_id", text_col: str = "text", least: float = 0.5, languages: list[str] | None = None) -> DataFrame:
+    """The rows whose language is known (not 'und', and one of `languages` if given) with at least that score, with all their columns.
+
+    The default score is that of a language likelier than all others and noise together. Without a model, the rows with a letter.
+    """
     if model is None:
         return docs.where(F.col(text_col).cast("string").rlike(r"\p{L}"))
     found = identify(docs, model, id_col, text_col, keep=docs.columns)
     plain = found.toDF(*[f"c{i}" for i in range(len(found.columns))])
     n = len(docs.columns)
     kept = plain.where((F.col(f"c{n + 1}") != UNKNOWN) & (F.col(f"c{n + 2}") >= least))
+    if languages is not None:
+        kept = kept.where(F.col(f"c{n + 1}").isin(languages))
     return kept.select(*[F.col(f"c{i + 1}").alias(c) for i, c in enumerate(docs.columns)])

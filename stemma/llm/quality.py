@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._arrow import NOT_SPACE, column, padded, row_of, slices, text_buffer, word_hashes, words
-from ._learn import held_out, sample
+from ._learn import held_out, sample_each
 from ._tables import bounded_batches
 
 #: Hashed features of each kind, as a power of two.
@@ -20,6 +20,8 @@ HASH_BITS = 14
 KINDS = 4
 #: Rows that training reads at most, and its steps.
 TRAIN_ROWS, STEPS = 1500, 150
+#: Grades that the model tells apart; more are grouped.
+LEVELS = 10
 
 #: Letters by themselves (small and capital apart), digits as one, white space as one, other bytes by themselves.
 _CLASS = np.arange(256, dtype=np.uint8)
@@ -170,18 +172,27 @@ def linear_scores(model: OrdinalModel, data: np.ndarray, off: np.ndarray) -> np.
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", grade_col: str = "quality", most: int = TRAIN_ROWS) -> OrdinalModel:
-    """Fit on at most about `most` graded rows of each grade (of at most 10 grades) outside the held-out fold."""
+    """Fit on at most about `most` graded rows of each grade, and ten times that in all, outside the held-out fold.
+
+    Of rows with one id the greatest grade and the smallest text count. More than LEVELS grades are taken in so many groups of like size, each
+    with its median as its grade.
+    """
     known = labels.where(~held_out(id_col) & F.col(grade_col).isNotNull()).groupBy(id_col).agg(F.max(grade_col).alias("y"))
-    grades = sorted(r.y for r in known.select("y").distinct().limit(11).collect())
-    if len(grades) > 10:
-        raise ValueError("more than 10 grades")
-    ids = [r for g in grades for r in sample(known.where(F.col("y") == g), id_col, most).collect()]
+    ids = sample_each(known, id_col, "y", most).collect()
     if not ids:
         return fit([], np.empty(0))
     chosen = docs.sparkSession.createDataFrame(ids, known.schema)
-    rows = docs.select(id_col, F.col(text_col).cast("string").alias("t")).join(F.broadcast(chosen), id_col).where("t is not null").dropDuplicates([id_col]).select("t", "y").toLocalIterator()
+    rows = docs.select(id_col, F.col(text_col).cast("string").alias("t")).join(F.broadcast(chosen), id_col).where("t is not null").groupBy(id_col).agg(F.min("t").alias("t"), F.max("y").alias("y")).toLocalIterator()
     found = sorted((r.t, r.y) for r in rows)
-    return fit([t.encode() for t, _ in found], np.array([y for _, y in found]))
+    return fit([t.encode() for t, _ in found], grouped(np.array([y for _, y in found], float)))
+
+
+def grouped(y: np.ndarray) -> np.ndarray:
+    """Grades as they are, or where there are more than LEVELS of them the medians of groups of like size."""
+    if len(np.unique(y)) <= LEVELS:
+        return y
+    group = np.searchsorted(np.unique(np.quantile(y, np.arange(1, LEVELS) / LEVELS)), y, "right")
+    return np.array([np.median(y[group == g]) for g in range(LEVELS + 1) if (group == g).any()])[np.unique(group, return_inverse=True)[1]]
 
 
 def grade(docs: DataFrame, model: OrdinalModel, id_col: str = "doc_id", text_col: str = "text", above: float | None = None) -> DataFrame:

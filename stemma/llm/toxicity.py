@@ -39,7 +39,7 @@ def strings(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     """A buffer, and starts, ends and texts of all strings to score.
 
     These are the words (digits, letters, characters beyond ASCII), and with the characters between them left out: what white space
-    surrounds ("i-d-i-o-t") and runs of three or more single letters ("i d i o t").
+    surrounds ("i-d-i-o-t") and runs of three or more single letters ("i d i o t"), however long.
     """
     low = LOWER[data]
     s, e, first = words(low, off, ALNUM)
@@ -337,13 +337,13 @@ def _platt(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", most: int = TRAIN_ROWS) -> StringSVM:
-    """Fit on at most about `most` labelled rows of each class whose ids are not in the held-out fold."""
+    """Fit on at most about `most` labelled rows of each class whose ids are not in the held-out fold; of rows with one id the smallest text."""
     known = labels.where(~held_out(id_col) & F.col(label_col).isin(0, 1)).groupBy(id_col).agg(F.max(label_col).alias("y"))
     ids = [r for y in (0, 1) for r in sample(known.where(F.col("y") == y), id_col, most).collect()]
     if not ids:
         return fit([], np.empty(0))
     chosen = docs.sparkSession.createDataFrame(ids, known.schema)  # at most 2.2 * most rows
-    rows = docs.select(id_col, F.col(text_col).cast("string").alias("t")).join(F.broadcast(chosen), id_col).where("t is not null").dropDuplicates([id_col]).orderBy(F.xxhash64(F.col(id_col).cast("string"))).select("t", "y").collect()
+    rows = docs.select(id_col, F.col(text_col).cast("string").alias("t")).join(F.broadcast(chosen), id_col).where("t is not null").groupBy(id_col).agg(F.min("t").alias("t"), F.max("y").alias("y")).orderBy(F.xxhash64(F.col(id_col).cast("string"))).select("t", "y").collect()
     return fit([r.t.encode() for r in rows], np.array([r.y for r in rows]))
 
 

@@ -59,10 +59,46 @@ def test_language(spark, data):
         assert found[k].lang_pred == "und"
     assert langid.identify(d, model).count() == d.count()
     kept = langid.known_languages(d, model)
-    assert kept.columns == d.columns and kept.count() == d.count() - 4
+    found = {r.doc_id: r.score for r in langid.identify(d, model).collect()}
+    assert kept.columns == d.columns and {r.doc_id for r in kept.collect()} == {k for k, s in found.items() if s >= 0.5}
+    assert all(found[k] >= 0.5 for k, *_ in docs) and all(found[k] == 0 for k in (9001, 9002, 9003, 9004))
+    assert {r.lang_pred for r in langid.identify(langid.known_languages(d, model, languages=["aa"]), model).collect()} == {"aa"}
+    strange = spark.createDataFrame([(1, "Привет, это русский " * 20), (2, "这是一个中文文本。" * 30), (3, "xqzj vbnk wpqx zzxq " * 20)], "doc_id long, text string")
+    assert all(r.score < 0.5 and r.lang_pred != "und" for r in langid.identify(strange, model).collect())
+    assert langid.identify(d.limit(0), model).count() == 0
     assert langid.train(d.limit(0)) is None and langid.identify(d, None).where("lang_pred != 'und'").count() == 0
 
 
+def test_rare_language(spark):
+    """One row in ten thousand is learned from, and whole texts are: the language stands at the end of a long one."""
+    rows = [(i, "the ing on er and " * 8, "aa") for i in range(10_000) if i != 777] + [(777, "\n" * 6000 + "zukk vrok zukk " * 40, "zz")]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.train(d)
+    assert model.labels == ["aa", "zz"]
+    asked = spark.createDataFrame([(1, "zukk vrok zukk vrok " * 10), (2, "and the on er " * 10)], "doc_id long, text string")
+    assert [r.lang_pred for r in langid.identify(asked, model).orderBy("doc_id").collect()] == ["zz", "aa"]
+
+
+def test_repeated_ids_learn_alike(spark):
+    """Of rows with one id the smallest text is learned from, however rows are spread."""
+    docs = [(i, t) for i in range(40) for t in (f"good words {i} here", f"a bad plimbus text {i}")]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, toxic int")
+    grades = labels.withColumnRenamed("toxic", "quality")
+    made = [(toxicity.train(d, labels), quality.train(d, grades)) for d in (spark.createDataFrame(x, "doc_id long, text string").repartition(n) for x, n in ((docs, 2), (docs[::-1], 5)))]
+    assert np.array_equal(made[0][0].weights, made[1][0].weights) and np.array_equal(made[0][1].weights, made[1][1].weights)
+    none = made[0][0]
+    assert toxicity.score_texts(spark.createDataFrame([], "doc_id long, text string"), none).count() == 0
+
+
+def test_many_grades(spark):
+    docs = spark.createDataFrame([(i, "ok " * 5 + "%%% " * (i % 50)) for i in range(400)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, float(i % 50) + 0.25) for i in range(400)], "doc_id long, quality double")
+    model = quality.train(docs, labels)
+    assert len(model.grades) == quality.LEVELS and (np.diff(model.thresholds) > 0).all()
+    found = {r.doc_id: r.expected_grade for r in quality.grade(docs, model).collect()}
+    assert np.corrcoef([found[i] for i in range(400)], [i % 50 for i in range(400)])[0, 1] > 0.6
+
+
 def test_toxicity(spark, data):
     d, labels, _, docs, toxic, _ = data
     model = toxicity.train(d, labels)
@@ -118,6 +154,13 @@ def test_hidden_strings():
         assert any(want.encode() in bytes(buf[a:z]) for a, z in zip(s, e)) and (e - s).max() <= toxicity.LONGEST and not row.any()
 
 
+def test_sample_each(spark):
+    rows = spark.range(6000).selectExpr("id as doc_id", "case when id = 5 then 'r' when id < 1000 then 'b' else 'a' end as c")
+    n = {r.c: r["count"] for r in _learn.sample_each(rows, "doc_id", "c", 300).groupBy("c").count().collect()}
+    assert n["r"] == 1 and 220 < n["a"] < 380 and 220 < n["b"] < 380
+    assert 40 < _learn.sample_each(rows, "doc_id", "doc_id", 10).count() <= 110 and _learn.sample_each(rows.limit(0), "doc_id", "c", 10).count() == 0
+
+
 def test_sample_is_bounded(spark):
     rows = spark.range(5000).withColumnRenamed("id", "doc_id")
     some = _learn.sample(rows, "doc_id", 500)
