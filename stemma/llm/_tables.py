@@ -30,12 +30,34 @@ BATCH_BYTES = 4 << 20
 
 
 def bounded_batches(spark: SparkSession) -> None:
-    """Bound what a Python worker gets at once by bytes, not by rows alone, so that long texts need no more memory."""
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    """Bound what a Python worker gets at once by bytes, not by rows alone, so that long texts need no more memory.
+
+    Results are lazy, so the setting has to stay on the session; a bound that the user has set is left alone.
+    """
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if not spark.conf._jconf.contains(name):
+        spark.conf.set(name, str(BATCH_BYTES))
+
+
+_made: dict[str, list[str]] = {}
 
 
 def new_path(spark: SparkSession, what: str) -> str:
-    return f"{shared_dir(spark)}/stemma/{what}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/stemma/{what}-{uuid.uuid4().hex}"
+    _made.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder, wherever Spark can reach it."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def clear_tables(spark: SparkSession) -> None:
+    """Delete all that operators have stored in this application: call it when their results have been written."""
+    for path in _made.pop(spark.sparkContext.applicationId, []):
+        remove(spark, path)
 
 
 def stored(df: DataFrame, what: str) -> DataFrame:

@@ -1,7 +1,7 @@
 """Substring deduplication with a log-structured index of window fingerprints.
 
-The log. Each batch of documents becomes one immutable run: the fingerprints of its windows, sorted and bucketed by
-value. A new batch is merge-joined with the runs before it; runs are compacted when they grow many. A
+The log. Each batch of documents becomes one immutable run in the shared folder: the fingerprints of its windows, sorted and bucketed by
+value, listed in a manifest. A new batch is merge-joined with the runs before it; as many runs of one level as FANOUT are compacted to one of the next. A
 window's fingerprint is the least hash among its grams of GRAM words (winnowing: Schleimer, Wilkerson, Aiken,
 "Winnowing: Local Algorithms for Document Fingerprinting"). It depends on the window's words alone, so equal windows always
 agree on it, and neighbouring windows mostly share one: a run holds about one value in seven words.
@@ -17,12 +17,14 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.errors import AnalysisException
 
 from ._arrow import NOT_SPACE, column, gram_hashes, padded, row_of, slices, text_buffer, word_hashes, words
-from ._tables import bounded_batches
+from ._tables import bounded_batches, new_path, remove
 
 #: Words of a gram whose hash can be a window's fingerprint.
 GRAM = 8
@@ -32,8 +34,12 @@ SKETCH_BITS = 27
 MOST_WINDOWS = 400_000
 #: Parts into which a task cuts its windows at most.
 MOST_BUCKETS = 1 << 14
-#: Runs that a log holds before they are merged to one.
+#: Runs of one level that are merged to one of the next.
 FANOUT = 3
+#: Batches of a table that is not added to an earlier log: enough for compaction.
+BATCHES = FANOUT + 2
+#: Windows that a task decides, and texts that a task cuts, about; where there are more, there are more tasks.
+TASK_WINDOWS, TASK_TEXTS = 4_000_000, 200_000
 
 
 def _slide(x: np.ndarray, k: int, op) -> np.ndarray:
@@ -69,12 +75,13 @@ class Windows:
         self.least = least[self.start]
         self.every, self.fits, self.span = least, fits, width - gram + 1
 
-    def fingerprints(self) -> np.ndarray:
-        """The hash of every gram that is the least of some window: once for each place, so repeats within a text count."""
+    def fingerprints(self) -> tuple[np.ndarray, np.ndarray]:
+        """The hash of every gram that is the least of some window, and its text: once for each place, so repeats within a text count."""
         if not len(self.start):
-            return np.empty(0, np.uint64)
+            return np.empty(0, np.uint64), np.empty(0, np.int64)
         at_most = np.concatenate([np.zeros(self.span - 1, np.uint64), np.where(self.fits, self.every, 0), np.zeros(self.span - 1, np.uint64)])
-        return self.gram[self.gram == _slide(at_most, self.span, np.maximum)]
+        at = np.flatnonzero(self.gram == _slide(at_most, self.span, np.maximum))
+        return self.gram[at], np.searchsorted(self.first, at, "right") - 1
 
     def digests(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Two 64-bit hashes of the windows from these words on."""
@@ -83,65 +90,107 @@ class Windows:
 
 
 class FingerprintLog:
-    """Sorted immutable runs of window fingerprints in bucketed tables of the warehouse."""
+    """Sorted immutable runs of window fingerprints, bucketed files in a folder that all executors share.
 
-    def __init__(self, spark: SparkSession, name: str | None = None, buckets: int | None = None, fanout: int = FANOUT):
+    The folder holds a folder for each run and a manifest, a table to which each version adds a row: the runs in force, with
+    their levels. A run counts once the manifest lists it, so an append that dies leaves the log as it was. Opening the
+    folder again, in any session, goes on where it stood.
+    """
+
+    def __init__(self, spark: SparkSession, path: str | None = None, buckets: int | None = None, fanout: int = FANOUT):
         self.spark, self.fanout = spark, fanout
-        self.name = name or f"stemma_log_{uuid.uuid4().hex[:12]}"
+        self.path = (path or new_path(spark, "log")).rstrip("/")
         self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
-        self.runs: list[str] = []
-        self.repeats: list[DataFrame] = []
-        self.number = 0
+        self.version, self.runs = 0, []
+        last = self._manifest()
+        if last is not None:
+            self.version, self.buckets = last.version, last.buckets
+            self.runs = [(r.name, r.level) for r in last.runs]
+
+    def _manifest(self):
+        try:
+            return self.spark.read.schema("version long, buckets int, runs array<struct<name: string, level: int>>").parquet(f"{self.path}/manifest").orderBy(F.desc("version")).first()
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
+            return None
+
+    def _commit(self, runs: list[tuple[str, int]]) -> None:
+        row = self.spark.createDataFrame([(self.version + 1, self.buckets, runs)], "version long, buckets int, runs array<struct<name: string, level: int>>")
+        row.coalesce(1).write.mode("append").parquet(f"{self.path}/manifest")
+        self.version, self.runs = self.version + 1, runs
 
     def _write(self, df: DataFrame) -> str:
-        table = f"{self.name}_{self.number}"
-        self.number += 1
-        # dealt by h already, by the hash that buckets use: one file a bucket, sorted on writing
-        df.write.bucketBy(self.buckets, "h").sortBy("h").format("parquet").saveAsTable(table)
-        return table
+        """A run of (h, again, known); its table is only a handle for the time of writing."""
+        run, table = f"run-{uuid.uuid4().hex}", f"stemma_run_{uuid.uuid4().hex}"
+        try:
+            # dealt by h already, by the hash that buckets use: one file a bucket, sorted on writing
+            df.write.bucketBy(self.buckets, "h").sortBy("h").format("parquet").option("path", f"{self.path}/{run}").saveAsTable(table)
+        finally:
+            self.spark.sql(f"drop table if exists {table}")
+        return run
+
+    def _read(self, run: str) -> DataFrame:
+        """A run by its buckets: a handle is made for the plan to see them, and goes again; the files are not its own."""
+        table, at = f"stemma_run_{uuid.uuid4().hex}", f"{self.path}/{run}".replace("'", "\\'")
+        self.spark.sql(f"create table {table} (h bigint, again boolean, known boolean) using parquet clustered by (h) sorted by (h) into {self.buckets} buckets location '{at}'")
+        try:
+            return self.spark.table(table)
+        finally:
+            self.spark.sql(f"drop table if exists {table}")
 
     def history(self) -> DataFrame | None:
-        """All values of the runs so far, each once per run."""
-        if not self.runs:
-            return None
-        every = self.spark.table(self.runs[0]).select("h")
-        for r in self.runs[1:]:
-            every = every.unionByName(self.spark.table(r).select("h"))
+        """All values of the runs in force, each once per run."""
+        every = None
+        for run, _ in self.runs:
+            some = self._read(run).select("h")
+            every = some if every is None else every.unionByName(some)
         return every
 
     def append(self, values: DataFrame) -> DataFrame:
         """Add a batch: values (h long, again boolean: more than one place). Returns those that repeat, here or in history."""
         now = values.groupBy("h").agg((F.count("*") > 1).alias("many"), F.max("again").alias("again")).select("h", F.expr("many or again").alias("again"))
         # one run after another, so that each is read bucket by bucket in its order
-        for i, run in enumerate(self.runs):
-            now = now.join(self.spark.table(run).select("h", F.lit(True).alias(f"r{i}")), "h", "left")
-        met = F.greatest(F.lit(False), *[F.coalesce(F.col(f"r{i}"), F.lit(False)) for i in range(len(self.runs))]) if self.runs else F.lit(False)
-        if len(self.runs) == 1:
-            met = F.coalesce("r0", F.lit(False))
+        met = F.lit(False)
+        for i, (run, _) in enumerate(self.runs):
+            now = now.join(self._read(run).select("h", F.lit(True).alias(f"r{i}")), "h", "left")
+            met = met | F.coalesce(F.col(f"r{i}"), F.lit(False))
         run = self._write(now.select("h", (F.col("again") | met).alias("again"), met.alias("known")))
-        self.runs.append(run)
-        again = self.spark.table(run).where("again").select("h")
-        self.repeats.append(again)
-        if len(self.runs) > self.fanout:
-            self.compact()
+        self._commit([*self.runs, (run, 0)])
+        again = self._read(run).where("again").select("h")
+        self.compact()
         return again
 
     def compact(self) -> None:
-        """Merge all runs to one. Tables that were merged stay until drop(), as plans may still read them."""
-        every = None
-        for r in self.runs:
-            some = self.spark.table(r).where("not known").select("h")
-            every = some if every is None else every.unionByName(some)
-        self.runs = [self._write(every.select("h", F.lit(False).alias("again"), F.lit(False).alias("known")))]
+        """Merge the runs of a level to one of the next, as long as there are `fanout` of them. What was merged stays until vacuum() or drop(), as plans may still read it."""
+        level = 0
+        while level <= max((at for _, at in self.runs), default=-1):
+            own = [run for run, at in self.runs if at == level]
+            if len(own) >= self.fanout:
+                every = None
+                for run in own:
+                    some = self._read(run).where("not known").select("h")
+                    every = some if every is None else every.unionByName(some)
+                # a value is new in one run only; one of an older level stays there
+                merged = self._write(every.repartition(self.buckets, "h").select("h", F.lit(False).alias("again"), F.lit(False).alias("known")))
+                self._commit([r for r in self.runs if r[1] != level] + [(merged, level + 1)])
+            level += 1
+
+    def vacuum(self) -> None:
+        """Delete the runs that the manifest no longer lists."""
+        in_force = {run for run, _ in self.runs}
+        rows = self.spark.read.parquet(f"{self.path}/manifest").select(F.explode("runs.name").alias("run")).distinct().collect()  # one row for each append
+        for r in rows:
+            if r.run not in in_force:
+                remove(self.spark, f"{self.path}/{r.run}")
 
     def drop(self) -> None:
-        for i in range(self.number):
-            self.spark.sql(f"drop table if exists {self.name}_{i}")
+        remove(self.spark, self.path)
+        self.version, self.runs = 0, []
 
 
-def _sketch(values: DataFrame, most_bits: int) -> tuple[np.ndarray, int]:
-    """A bitmap of the top bits of all values of column h. What reaches the driver is bounded by its size."""
-    n = values.count()
+def _sketch(values: DataFrame, most_bits: int, n: int) -> tuple[np.ndarray, int]:
+    """A bitmap of the top bits of all n values of column h. What reaches the driver is bounded by its size."""
     bits = max(10, min(most_bits, int(16 * max(n, 1)).bit_length()))
     parts = values.select(F.shiftrightunsigned("h", 64 - bits).alias("at")).select(F.shiftright("at", 5).alias("w"), F.expr("shiftleft(1, cast(at & 31 as int))").alias("b")).groupBy("w").agg(F.bit_or("b").alias("b"))
 
@@ -156,21 +205,24 @@ def _sketch(values: DataFrame, most_bits: int) -> tuple[np.ndarray, int]:
     return sketch.view(np.uint32), bits
 
 
-def repeated_windows(docs: DataFrame, width: int = 20, batches: int = 3, sketch_bits: int = SKETCH_BITS) -> DataFrame:
+def repeated_windows(docs: DataFrame, width: int = 20, batches: int = BATCHES, sketch_bits: int = SKETCH_BITS, log: FingerprintLog | None = None, history: DataFrame | None = None) -> DataFrame:
     """Windows that also start earlier, packed: group, and of its texts ids and digests; doc (place among them) and start of each window.
 
     docs: id, text, digest (of the text) and group (an int that id and digest decide). A group has a row for each task that found some.
+    history: the documents (id, text) whose windows `log` holds already; they come before all of docs, and get no rows.
     """
     spark = docs.sparkSession
-    log = FingerprintLog(spark)
+    own, log = log is None, log or FingerprintLog(spark)
 
     def fingerprints(record_batches):
         found, size = [], 0
         for batch in record_batches:
             data, off = text_buffer(column(batch, "text"))
+            part = column(batch, "batch").to_numpy()
             for lo, hi in slices(off):
-                found.append(Windows(data[off[lo] : off[hi]], off[lo : hi + 1] - off[lo], width).fingerprints())
-                size += len(found[-1])
+                h, row = Windows(data[off[lo] : off[hi]], off[lo : hi + 1] - off[lo], width).fingerprints()
+                found.append((part[lo + row], h))
+                size += len(h)
             if size >= MOST_WINDOWS:
                 yield from unique(found)
                 found, size = [], 0
@@ -178,29 +230,32 @@ def repeated_windows(docs: DataFrame, width: int = 20, batches: int = 3, sketch_
             yield from unique(found)
 
     def unique(found):
-        h, n = np.unique(np.concatenate(found), return_counts=True)
-        yield from pa.table([pa.array(h.view(np.int64)), pa.array(n > 1)], names=["h", "again"]).to_batches(max_chunksize=100_000)
-
-    # batches in ascending order of ids, null first
-    cuts = docs.where("id is not null").select(F.percentile_approx("id", [i / batches for i in range(1, batches)], 1000).alias("c")).first().c if batches > 1 else None
-    edges = [None, *sorted(set(cuts or [])), None]
-    for lo, hi in zip(edges[:-1], edges[1:], strict=True):
-        part = docs
-        if lo is not None:
-            part = part.where(F.col("id") > lo)
-        if hi is not None:
-            part = part.where(F.col("id") <= hi) if lo is not None else part.where((F.col("id") <= hi) | F.col("id").isNull())
-        log.append(part.select("text").mapInArrow(fingerprints, "h long, again boolean"))
-    repeats = log.repeats[0]
-    for r in log.repeats[1:]:
-        repeats = repeats.unionByName(r)
-    sketch, bits = _sketch(repeats, sketch_bits)
-    log.drop()
+        part, h = (np.concatenate([x[i] for x in found]) for i in range(2))
+        for k in np.unique(part).tolist():
+            value, n = np.unique(h[part == k], return_counts=True)
+            yield from pa.table([pa.array(np.full(len(value), k, np.int32)), pa.array(value.view(np.int64)), pa.array(n > 1)], names=["batch", "h", "again"]).to_batches(max_chunksize=100_000)
+
+    # every text is read once; batches are dealt by a hash, whatever the type of ids
+    dealt = docs.select("text", F.pmod(F.xxhash64("id", "digest"), F.lit(batches)).cast("int").alias("batch")).mapInArrow(fingerprints, "batch int, h long, again boolean")
+    path = new_path(spark, "batches")
+    dealt.write.partitionBy("batch").parquet(path)
+    values = spark.read.schema("h long, again boolean, batch int").parquet(path)
+    repeats = None
+    for k in range(batches):
+        again = log.append(values.where(F.col("batch") == k).select("h", "again"))
+        repeats = again if repeats is None else repeats.unionByName(again)
+    many = repeats.count()
+    sketch, bits = _sketch(repeats, sketch_bits, many)
+    if own:
+        log.drop()
+    remove(spark, path)
+    if history is not None:
+        docs = docs.unionByName(history.select("id", "text", F.xxhash64("text").alias("digest"), F.lit(-1).alias("group")))
     sent = spark.sparkContext.broadcast(sketch)
     kind = docs.schema["id"].dataType
     ids_type = T.ArrayType(kind)
-    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    buckets = min(tasks, MOST_BUCKETS)
+    # a fingerprint stands for some seven windows, and each is met in two tasks or more
+    buckets = min(max(int(spark.conf.get("spark.sql.shuffle.partitions")), 20 * many // TASK_WINDOWS), MOST_BUCKETS)
     packed = T.StructType([T.StructField("bucket", T.IntegerType()), T.StructField("ids", ids_type), T.StructField("digests", T.ArrayType(T.LongType())), T.StructField("groups", T.ArrayType(T.IntegerType())), *(T.StructField(c, T.BinaryType()) for c in ("w1", "w2", "doc", "start"))])
 
     def compare(record_batches):
@@ -234,9 +289,8 @@ def repeated_windows(docs: DataFrame, width: int = 20, batches: int = 3, sketch_
     def deal(held, ids, digests, groups):
         w1, w2, doc, start = (np.concatenate([x[i] for x in held]) for i in range(4))
         ids, digests, groups = pa.concat_arrays(ids), np.concatenate(digests), np.concatenate(groups)
-        # texts in the order of ids (equal ids equal), null first
-        first, _ = _firsts(w1, w2, _ranks(ids)[doc], start)
-        for mark, which in ((0, np.flatnonzero(first)), (-1, np.flatnonzero(~first))):
+        first, _ = _firsts(w1, w2, _ranks(ids, groups)[doc], start)
+        for mark, which in ((0, np.flatnonzero(first)), (-1, np.flatnonzero(~first & (groups[doc] >= 0)))):
             if mark:  # decided: only where they start is sent on, in the bucket of the first hash of its text
                 key = (digests[doc[which]].view(np.uint64) % np.uint64(buckets)).astype(np.int64)
             else:
@@ -270,7 +324,7 @@ def repeated_windows(docs: DataFrame, width: int = 20, batches: int = 3, sketch_
             return
         ids, digests, groups = pa.concat_arrays(ids), np.concatenate(digests), np.concatenate(groups)
         # a text has an entry for each bucket; take the first
-        rank = _ranks(ids)
+        rank = _ranks(ids, groups)
         order = np.lexsort((digests, rank))
         new = np.concatenate([[True], (np.diff(rank[order]) != 0) | (np.diff(digests[order]) != 0)])
         one = np.empty(rows, np.int64)
@@ -278,7 +332,8 @@ def repeated_windows(docs: DataFrame, width: int = 20, batches: int = 3, sketch_
         if open_:
             w1, w2, doc, start = (np.concatenate([x[i] for x in open_]) for i in range(4))
             first, _ = _firsts(w1, w2, rank[doc], start)
-            done.append((doc[~first], start[~first]))
+            later = ~first & (groups[doc] >= 0)
+            done.append((doc[later], start[later]))
         doc, start = (np.concatenate([x[i] for x in done]) for i in range(2))
         doc = one[doc]
         order = np.lexsort((start, doc, groups[doc]))
@@ -321,14 +376,14 @@ def _wide(data: bytes) -> np.ndarray:
     return (np.frombuffer(data, "<u2")[1:] if data[0] else np.frombuffer(data, "<u4")[2:]).astype(np.int64)
 
 
-def _ranks(ids: pa.Array) -> np.ndarray:
-    """Ranks of values from 1, equal ones equal; nulls 0."""
-    import pyarrow.compute as pc
+def _ranks(ids: pa.Array, groups: np.ndarray) -> np.ndarray:
+    """Ranks of texts: those of history (group -1) before others, then by id, null first; equal ids equal."""
+    rank = pc.fill_null(pc.rank(ids, sort_keys="ascending", null_placement="at_start", tiebreaker="dense"), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    rank[~ids.is_valid().to_numpy(zero_copy_only=False)] = 0
+    return rank + (groups >= 0) * (len(ids) + 1)
 
-    return pc.fill_null(pc.rank(ids, sort_keys="ascending", null_placement="at_start", tiebreaker="dense"), 0).to_numpy(zero_copy_only=False).astype(np.int64)
 
-
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 20, batches: int = 3, layout: str = "words", keep: list[str] | None = None, sketch_bits: int = SKETCH_BITS) -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 20, batches: int | None = None, layout: str = "words", keep: list[str] | None = None, sketch_bits: int = SKETCH_BITS, log: FingerprintLog | None = None, history: DataFrame | None = None) -> DataFrame:
     """Texts without the words of windows that also start earlier.
 
     A window is `width` consecutive words (runs of anything but ASCII white space) of one text; it starts earlier in a text of a
@@ -341,7 +396,12 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     count as the same document, so equal windows at the same place of two of them are both kept; repeated rows
     each get their row; an empty table gives no rows.
 
-    Each batch of ids reads its documents once; verification and removal read all of them once more. Fingerprints and
+    Incremental use: with `log`, docs are one new batch that is added to it (unless `batches` says otherwise), and `history` names the documents
+    it holds (with the same columns for id and text), which count as earlier than all of docs. Windows of docs that stand in history
+    go too; history is read once to verify them and not changed. Without `log`, docs are dealt to BATCHES batches of a log of their own.
+    The log is written when this is called, the rows when they are asked for.
+
+    Every text is read once for fingerprints, once for verification and once for removal. Fingerprints and
     windows are made unique in the tasks that read them, so a passage that very many texts share is shuffled
     once per batch of rows. Texts are shuffled once, by a hash of id and
     text, to meet what goes from them.
@@ -349,9 +409,12 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     keep = keep or []
     bounded_batches(docs.sparkSession)
     base = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), *[F.col(c).alias(f"k{i}") for i, c in enumerate(keep)]).withColumn("digest", F.xxhash64("text"))
-    tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    tasks = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), docs.count() // TASK_TEXTS)
     base = base.withColumn("group", F.pmod(F.xxhash64("id", "digest"), F.lit(tasks)).cast("int"))
-    found = repeated_windows(base.select("id", "text", "digest", "group"), width, batches, sketch_bits)
+    if history is not None:
+        history = history.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    batches = batches or (BATCHES if log is None else 1)
+    found = repeated_windows(base.select("id", "text", "digest", "group"), width, batches, sketch_bits, log, history)
     # texts and what goes from them meet by group, the latter first
     lacks = [F.lit(None).cast(f.dataType).alias(f.name) for f in found.schema if f.name != "group"]
     texts = base.select("group", F.lit(1).alias("kind"), *[c for c in base.columns if c != "group"], *lacks)

@@ -97,17 +97,43 @@ def test_substring_text_layout(spark):
     assert sorted(" ".join(brute.plain_words(r.kept)) for r in rows) == sorted(" ".join(w) for _, w in brute.substring(docs))
 
 
-def test_fingerprint_log(spark):
-    log = substring.FingerprintLog(spark, fanout=2)
-    seen = set()
+def test_fingerprint_log(spark, tmp_path):
+    """Batches added to a log that is opened anew each time; runs are merged level by level."""
+    path, seen = str(tmp_path / "log"), set()
     for part in ([1, 2, 2], [2, 3], [4], [1, 5, 3], [6]):
+        log = substring.FingerprintLog(spark, path, fanout=2)
         values = spark.createDataFrame([(v, part.count(v) > 1) for v in part], "h long, again boolean")
         want = {v for v in part if v in seen or part.count(v) > 1}
         assert {r.h for r in log.append(values).collect()} == want
         seen |= set(part)
-        assert len(log.runs) <= 3
-    assert {r.h for r in log.history().collect()} == seen
-    log.drop()
+        assert len(log.runs) <= 2 and {r.h for r in log.history().collect()} == seen
+    assert max(level for _, level in log.runs) == 2
+    log.vacuum()
+    again = substring.FingerprintLog(spark, path)
+    assert again.runs == log.runs and {r.h for r in again.history().collect()} == seen
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("stemma")]
+    again.drop()
+    assert substring.FingerprintLog(spark, path).runs == []
+
+
+def test_incremental(spark, tmp_path):
+    """Batches one by one over a reopened log give the rows of one whole run."""
+    docs = [(k, t) for k, t in odd_texts(5) if k is not None]
+    want = sorted((str(k), n, n - len(w), " ".join(w)) for (k, _), (n, w) in zip(docs, brute.substring(docs)))
+    have, path = [], str(tmp_path / "log")
+    for lo, hi in ((0, 10), (10, 11), (11, 40), (40, 103), (103, 1000)):
+        batch, before = (table(spark, [d for d in docs if a <= d[0] < z]) for a, z in ((lo, hi), (0, lo)))
+        found = substring.remove_repeats(batch, log=substring.FingerprintLog(spark, path), history=before if lo else None)
+        have += [(str(r.doc_id), r.n_words, r.n_removed, r.kept) for r in found.collect()]
+    assert sorted(have) == want
+    assert any(level for _, level in substring.FingerprintLog(spark, path).runs)
+
+
+def test_substring_string_ids(spark):
+    docs = [(f"d{k:04d}" if k is not None else None, t) for k, t in odd_texts(7)]
+    full = spark.createDataFrame([(*r, 1, "x") for r in docs], "doc_id string, text string, batch int, h string").repartition(3)
+    want = sorted((str(k), n, n - len(w), " ".join(w)) for (k, _), (n, w) in zip(docs, brute.substring([(k or "", t) for k, t in docs])))
+    assert sorted((str(r.doc_id), r.n_words, r.n_removed, r.kept) for r in substring.remove_repeats(full).collect()) == want
 
 
 def test_simhash(spark):
