@@ -67,8 +67,40 @@ def test_decontamination(spark):
         assert sorted((str(r.doc_id), r.n_words, r.n_hit, list(r.items)) for r in found.collect()) == want
     assert decontaminate.find_benchmark(table(spark, docs).limit(0), bench).count() == 0
     assert decontaminate.find_benchmark(table(spark, docs), bench.limit(0)).where("n_hit > 0").count() == 0
-    kept = decontaminate.clean(table(spark, docs), bench)
-    assert kept.columns == table(spark, docs).columns and kept.count() == sum(x[2] == 0 for x in want)
+    for block in (8 << 20, 20):
+        kept = decontaminate.clean(table(spark, docs), bench, block_bytes=block)
+        assert kept.columns == table(spark, docs).columns and kept.count() == sum(x[2] == 0 for x in want)
+        texts = sorted(str(t) for (_, t), x in zip(sorted(docs, key=lambda d: str(d[0])), sorted(want)) if x[2] == 0)
+        assert len(texts) == kept.count()
+
+
+def test_large_benchmark_is_joined(spark):
+    """Beyond one block: one scan of the documents, texts in no shuffle."""
+    docs = [(i, " ".join(f"q{(i * 7 + j) % 997}" for j in range(60))) for i in range(200)]
+    items = [(i, " ".join(f"q{(i * 13 + j) % 997}" for j in range(14))) for i in range(50)] + [(99, "q1 q2"), (98, "nowhere at all")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    want = brute.contamination(docs, items)
+    t = spark.createDataFrame(docs, "doc_id long, text string").repartition(4)
+    for block in (8 << 20, 100):
+        found = decontaminate.find_benchmark(t, bench, block_bytes=block).collect()
+        assert sorted((r.doc_id, r.n_words, r.n_hit, list(r.items)) for r in found) == sorted((k, *x) for (k, _), x in zip(docs, want))
+
+
+def test_long_words():
+    """One word of 100,000 bytes among items and texts, and one that differs in its last letter."""
+    import tracemalloc
+
+    long = "語" * 33_333
+    items = [("a", f"one two {long} four".encode()), ("b", " ".join(f"w{i}" for i in range(2000)).encode()), ("c", (long + "x").encode())]
+    tracemalloc.start()
+    matcher = decontaminate.Matcher(items, 10)
+    texts = [f"so one two {long} four", f"one two {long}y four", long + "x", "w5 " + " ".join(f"w{i}" for i in range(100, 110))]
+    coded = [t.encode() for t in texts]
+    off = np.concatenate([[0], np.cumsum([len(c) for c in coded])]).astype(np.int64)
+    hit, first, found = matcher.search(np.frombuffer(b"".join(coded), np.uint8), off)
+    assert tracemalloc.get_traced_memory()[1] < 100 << 20
+    tracemalloc.stop()
+    assert found == [{"a"}, set(), {"c"}, {"b"}] and np.add.reduceat(hit, first[:-1]).tolist() == [4, 0, 1, 10]
 
 
 @pytest.mark.parametrize("bits", [27, 10])
