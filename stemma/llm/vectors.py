@@ -23,8 +23,10 @@ CODES = 4
 BUCKET = 32
 #: A filter of more rows is compared in parts of this many.
 HOT_FILTER = 1000
-#: Rounds that gather tight groups.
-ROUNDS = 2
+#: Members of a unit that are compared with another's in one go; larger units are compared in parts of this size.
+PART = 4096
+#: Directions of the first round that gathers tight groups; each next round has so many times more.
+COARSE = 16
 
 
 @dataclass
@@ -49,6 +51,11 @@ class ProductCode:
             # of the caps of a vector, those that one at the cosine is in too
             both = 2 * (1 - normal.cdf(z * math.sqrt((1 - cosine) / (1 + cosine))))
             per_vector = shared / max(0.01, 0.9 * both)
+        return cls.of(filters, dim, z / math.sqrt(dim), seed)
+
+    @classmethod
+    def of(cls, filters: float, dim: int, least: float, seed: int) -> ProductCode:
+        """A code of about so many directions."""
         m = 1
         while filters ** (1 / m) > 256 and m < dim:
             m += 1
@@ -59,7 +66,7 @@ class ProductCode:
         for cols in np.array_split(np.arange(dim), m):
             c = rng.normal(size=(size, len(cols)))
             parts.append(c / np.linalg.norm(c, axis=1, keepdims=True) / math.sqrt(m))
-        return cls(turn, parts, z / math.sqrt(dim))
+        return cls(turn, parts, least)
 
     def _products(self, x: np.ndarray) -> list[np.ndarray]:
         y, at, out = x @ self.turn, 0, []
@@ -89,10 +96,11 @@ class ProductCode:
 
 
 def _matrix(col: pa.Array, dim: int) -> np.ndarray:
-    """Unit rows, in double precision."""
+    """Unit rows, in double precision; scaled by their greatest component first, so that no square overflows or vanishes."""
     if isinstance(col, pa.ChunkedArray):
         col = col.combine_chunks()
     x = col.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
+    x = x / np.abs(x).max(axis=1, keepdims=True)
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
@@ -108,7 +116,7 @@ def link_vectors(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "emb
     Equal vectors are one class. Classes within half the angle of a common centre form a unit: all of its members
     link with each other, so a dense group needs no pairs within. Filters bring units together; the angle between
     centres and their radii decide most pairs of units as wholes (all members link, or none), and only in between members
-    are compared. Every link counted is implied by exact angles or verified in double precision; a pair is missed only
+    are compared, where what is written is how many each links with, not with which. Every link counted is implied by exact angles or verified in double precision; a pair is missed only
     if it shares no filter (about one in a million of pairs at the threshold if filters were independent; measured recall stands in the README).
 
     Vectors that are null, empty, zero, or hold null or non-finite components link with nothing and are their own
@@ -139,7 +147,7 @@ def _links_of(classes: DataFrame, dim: int, n: int, cosine: float) -> DataFrame:
     codes, angle = [ProductCode.plan(n, dim, cosine, seed=11 + k) for k in range(CODES)], math.acos(cosine)
     units = _units(classes, dim, n, angle)
     centres = classes.select(F.col("cid").alias("unit"), "v")
-    heads = units.groupBy("unit").agg(F.max("far").alias("far"), F.sum("copies").alias("weight"))
+    heads = units.groupBy("unit").agg(F.max("far").alias("far"), F.sum("copies").alias("weight"), F.count("*").alias("members"))
 
     def filters(batches):
         for batch in batches:
@@ -201,20 +209,55 @@ def _links_of(classes: DataFrame, dim: int, n: int, cosine: float) -> DataFrame:
 
     met = stored(rows.select("filter", "lo", "hi", "own", "unit", "far", "v").mapInArrow(compare, "a long, b long, whole boolean").distinct(), "met")
     whole = met.where("whole").select("a", "b")
+    # members of two units meet in one task, as rows of each and not as pairs; larger units in parts
+    parts = heads.select("unit", F.ceil(F.col("members") / PART).cast("int").alias("n"))
+    open_ = met.where(~F.col("whole")).select("a", "b")
+    open_ = open_.join(parts.select(F.col("unit").alias("a"), F.col("n").alias("na")), "a").join(parts.select(F.col("unit").alias("b"), F.col("n").alias("nb")), "b")
     member = units.select("unit", "cid", "v", "copies")
-    left = member.select(F.col("unit").alias("a"), F.col("cid").alias("x"), F.col("v").alias("vx"), F.col("copies").alias("nx"))
-    right = member.select(F.col("unit").alias("b"), F.col("cid").alias("y"), F.col("v").alias("vy"), F.col("copies").alias("ny"))
+    own = lambda n: F.pmod(F.xxhash64("cid"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    left = open_.join(member, open_["a"] == member["unit"]).select("a", "b", own("na").alias("i"), every("nb").alias("j"), F.lit(0).alias("side"), "cid", "v", "copies")
+    right = open_.join(member, open_["b"] == member["unit"]).select("a", "b", every("na").alias("i"), own("nb").alias("j"), F.lit(1).alias("side"), "cid", "v", "copies")
 
-    def verify(batches):
+    def count(batches):
+        held, key = [], None
         for batch in batches:
-            d = np.einsum("ij,ij->i", _matrix(column(batch, "vx"), dim), _matrix(column(batch, "vy"), dim))
-            yield batch.select(["a", "b", "x", "y", "nx", "ny"]).filter(pa.array(d >= cosine))
-
-    between = met.where(~F.col("whole")).select("a", "b").join(left, "a").join(right, "b").mapInArrow(verify, "a long, b long, x long, y long, nx long, ny long")
+            cols = [column(batch, c).to_numpy() for c in ("a", "b", "i", "j", "side", "cid", "copies")]
+            x = _matrix(column(batch, "v"), dim)
+            new = np.zeros(len(x), bool)
+            for c in cols[:4]:
+                new[1:] |= c[1:] != c[:-1]
+            edge = [0, *np.flatnonzero(new).tolist(), len(x)]
+            for lo, hi in zip(edge[:-1], edge[1:], strict=True):
+                if hi > lo:
+                    now = tuple(int(c[lo]) for c in cols[:4])
+                    if now != key and held:
+                        yield from links(held, key)
+                        held = []
+                    key = now
+                    held.append((cols[4][lo:hi], cols[5][lo:hi], cols[6][lo:hi], x[lo:hi]))
+        if held:
+            yield from links(held, key)
+
+    def links(held, key):
+        """How many vectors of the other side each member links with."""
+        side, cid, copies, x = (np.concatenate([h[k] for h in held]) for k in range(4))
+        one, two = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+        k = np.zeros(len(x), np.int64)
+        for lo in range(0, len(one), 512):
+            some = one[lo : lo + 512]
+            met = x[some] @ x[two].T >= cosine
+            k[some] += met @ copies[two]
+            k[two] += copies[some] @ met
+        at = np.flatnonzero(k)
+        if len(at):
+            yield pa.record_batch([pa.array(np.full(len(at), key[0])), pa.array(np.full(len(at), key[1])), pa.array(cid[at]), pa.array(k[at])], names=["a", "b", "cid", "k"])
+
+    between = left.unionByName(right).repartition("a", "b", "i", "j").sortWithinPartitions("a", "b", "i", "j").mapInArrow(count, "a long, b long, cid long, k long")
     between = stored(between, "verified")
     weights = heads.select("unit", "weight")
     by_unit = whole.join(weights.withColumnRenamed("unit", "b"), "b").select(F.col("a").alias("unit"), "weight").unionByName(whole.join(weights.withColumnRenamed("unit", "a"), "a").select(F.col("b").alias("unit"), "weight")).groupBy("unit").agg(F.sum("weight").alias("out"))
-    by_class = between.select(F.col("x").alias("cid"), F.col("ny").alias("k")).unionByName(between.select(F.col("y").alias("cid"), F.col("nx").alias("k"))).groupBy("cid").agg(F.sum("k").alias("more"))
+    by_class = between.groupBy("cid").agg(F.sum("k").alias("more"))
     groups = components(whole.unionByName(between.select("a", "b").distinct()))
     counted = units.select("unit", "cid").join(weights, "unit").join(by_unit, "unit", "left").join(by_class, "cid", "left")
     counted = counted.select("unit", "cid", (F.col("weight") - 1 + F.coalesce("out", F.lit(0)) + F.coalesce("more", F.lit(0))).alias("n_links"))
@@ -224,12 +267,13 @@ def _links_of(classes: DataFrame, dim: int, n: int, cosine: float) -> DataFrame:
 def _units(classes: DataFrame, dim: int, n: int, angle: float) -> DataFrame:
     """(unit, cid, v, copies, far): every class in one unit; far: its angle to the centre, which is the vector of class `unit`.
 
-    In each round, vectors (later: centres) that are nearest to the same filter direction are tried with the smallest of
-    them as their centre. The smallest is found with map-side combine; it is one row in the join that follows.
+    In each round, vectors (later: centres) that are nearest to the same direction are tried with the first of
+    them by a hash as their centre. It is found with map-side combine, and is one row in the join that follows. Rounds go from few directions to
+    as many as there are vectors: a group is gathered, before it is cut up, in the round in which it makes up much of its cell.
     """
     units = classes.select(F.col("cid").alias("unit"), "cid", "v", "copies", F.lit(0.0).alias("far"))
-    for k in range(ROUNDS):
-        coarse = ProductCode.plan(max(16, n), dim, math.cos(angle), seed=101 + k)
+    for k in range(max(2, math.ceil(math.log(max(2, n), COARSE)))):
+        coarse = ProductCode.of(COARSE ** (k + 1), dim, 0.0, seed=101 + k)
 
         def keys(batches, coarse=coarse):
             for batch in batches:
@@ -237,7 +281,7 @@ def _units(classes: DataFrame, dim: int, n: int, angle: float) -> DataFrame:
 
         heads = units.groupBy("unit").agg(F.max("far").alias("far")).join(classes.select(F.col("cid").alias("unit"), "v"), "unit").select("unit", "v", "far")
         keyed = stored(heads.mapInArrow(keys, "unit long, v array<double>, far double, key long"), "keys")
-        low = keyed.groupBy("key").agg(F.min_by("v", "unit").alias("c"), F.min("unit").alias("centre"))
+        low = keyed.groupBy("key").agg(F.min_by(F.struct("unit", "v"), F.xxhash64("unit")).alias("m")).select("key", F.col("m.v").alias("c"), F.col("m.unit").alias("centre"))
 
         def near(batches):
             for batch in batches:

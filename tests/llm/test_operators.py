@@ -274,6 +274,36 @@ def test_vectors(spark):
     assert vectors.link_vectors(t.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("part", [4096, 20])
+def test_dense_groups(spark, part, monkeypatch):
+    """Two dense groups 22 degrees apart: all links are counted, and what is written grows with the vectors, not with their pairs."""
+    monkeypatch.setattr(vectors, "PART", part)
+    written = {}
+    keep = vectors.stored
+    monkeypatch.setattr(vectors, "stored", lambda df, what: written.setdefault(what, keep(df, what)))
+    rng = np.random.default_rng(4)
+    for n in (100, 200):
+        written.clear()
+        centre = np.zeros((2, 32))
+        centre[:, 0], centre[0, 1], centre[1, 1] = 1, 0.19, -0.19
+        rows = [list(map(float, c + rng.normal(size=32) * 0.02)) for c in centre for _ in range(n)]
+        want, of = brute.vector_links(rows)
+        t = spark.createDataFrame([(i, v) for i, v in enumerate(rows)], "vec_id long, embedding array<double>").repartition(3)
+        found = {r.vec_id: r for r in vectors.link_vectors(t).collect()}
+        assert sum(r.n_links for r in found.values()) >= 0.99 * sum(want) and all(found[i].n_links <= want[i] for i in range(2 * n))
+        if part == 4096:
+            assert written["verified"].count() <= 20 * n
+
+
+def test_odd_vectors(spark):
+    """Repeated and null ids, huge and tiny components."""
+    a, b = [1.0, 2.0, 3.0], [3.0, -1.0, 0.5]
+    rows = [(1, a), (1, a), (2, [x * 1e200 for x in a]), (3, [x * 1e-200 for x in a]), (None, b), (None, [x * 1e300 for x in b]), (7, None), (4, [1e308, 1e308, -1e308])]
+    t = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    found = sorted((str(r.vec_id), r.n_links, str(r.component_id)) for r in vectors.link_vectors(t).collect())
+    assert found == sorted([("1", 3, "1"), ("1", 3, "1"), ("2", 3, "1"), ("3", 3, "1"), ("None", 1, "None"), ("None", 1, "None"), ("7", 0, "7"), ("4", 0, "4")])
+
+
 def test_packing(spark):
     docs = odd_texts(4)
     ids = brute.token_ids([t for _, t in docs], 0)
