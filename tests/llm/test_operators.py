@@ -354,7 +354,14 @@ def test_wavelet_file(spark, tmp_path):
         found = wavelet.read_tokens(spark, path, group=group).orderBy("start").collect()
         assert [(str(r.doc_id), r.start, bytes(r.tokens)) for r in found] == want
     assert spark.read.parquet(path).count() > 5
+    flat = [(docs[i][0], p, t) for i in order for p, t in enumerate(ids[i])]
+    asked = [2, flat[10][2], flat[-2][2], 49_000, 70_000]
+    for group in (1000, 2):
+        found = wavelet.find_tokens(spark, path, asked, group=group).collect()
+        assert sorted((r.token, r.place, r.position, str(r.doc_id)) for r in found) == sorted((t, n, p, str(k)) for n, (k, p, t) in enumerate(flat) if t in asked)
+    assert {r.token: r.n for r in wavelet.count_tokens(spark, path, asked).collect()} == {a: sum(t == a for *_, t in flat) for a in asked}
     empty = wavelet.write_tokens(table(spark, docs).limit(0), str(tmp_path / "e"))
+    assert wavelet.find_tokens(spark, empty, asked).count() == 0 and wavelet.count_tokens(spark, empty, asked).where("n > 0").count() == 0
     assert wavelet.read_tokens(spark, empty).count() == 0
 
 
@@ -370,6 +377,23 @@ def test_wavelet_matrix():
             assert m.count(v, 10, 500) == (x[10:500] == v).sum() if len(x) > 500 else True
 
 
+def test_wavelet_blocks():
+    """One token is read from one block a plane, and select is exact across blocks and in the last, short one."""
+    rng = np.random.default_rng(1)
+    x = rng.integers(0, 50_000, 3 * wavelet.BLOCK + 1001)
+    m, _ = wavelet.decode_shard(wavelet.encode_shard(x, np.array([len(x)])))
+    assert m.access(np.array([70_000]))[0] == x[70_000] and [len(p._open) for p in m.planes] == [1] * m.bits
+    for bit in (0, 1):
+        at = np.flatnonzero(m.planes[0].bits() == bit)
+        assert (m.planes[0].select(bit, np.arange(len(at))) == at).all()
+    assert m.planes[0].rank1(np.array([len(x)]))[0][0] == m.planes[0].bits().sum()
+    for v in x[:3].tolist():
+        assert (m.occurrences(v) == np.flatnonzero(x == v)).all() and m.count(v, 5, 200_000) == (x[5:200_000] == v).sum()
+    whole = np.arange(wavelet.BLOCK) % 4
+    m, _ = wavelet.decode_shard(wavelet.encode_shard(whole, np.array([len(whole)])))
+    assert (m.all() == whole).all() and (m.occurrences(3) == np.flatnonzero(whole == 3)).all() and m.count(3) == len(whole) // 4
+
+
 def test_token_ids():
     from stemma.llm._arrow import slices
     from stemma.llm.tokens import TextEncoder, vocabulary
