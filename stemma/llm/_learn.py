@@ -39,9 +39,11 @@ def sample_each(rows: DataFrame, id_col: str, class_col: str, most: int, total:
     """
     counts = rows.groupBy(class_col).count()
     total = 10 * most if total is None else total
-    wanted = counts.agg(F.sum(F.least(F.col("count"), F.lit(most)))).first()[0] or 0
-    part = min(1.0, total / max(1, wanted))
+    wanted, classes = counts.agg(F.sum(F.least(F.col("count"), F.lit(most))), F.count("*")).first()
+    part = min(1.0, total / max(1, wanted or 0))
     share = F.least(F.lit(1.0), F.lit(float(most)) / F.col("count")) * part
     shares = counts.select(F.col(class_col).alias("__class"), share.alias("__share"))
+    if classes <= 100_000:  # some tens of bytes a class: rows stay where they are, however many have one class
+        shares = F.broadcast(shares)
     hashed = F.xxhash64(F.col(id_col).cast("string"), F.lit("sample")) / F.lit(2.0**64) + 0.5
     return rows.join(shares, rows[class_col] == shares["__class"]).where((F.col("__share") >= 1) | (hashed < F.col("__share"))).drop("__class", "__share").limit(total + math.ceil(total / 10))

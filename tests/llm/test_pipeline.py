@@ -136,14 +136,14 @@ def test_op9_and_op10_queries(spark, sf):
 
 def test_learned_queries_on_held_out_rows(spark):
     """Floors of the registered queries' own output on rows that they did not learn from."""
-    sf = "/root/testdata/sf0.01"
+    sf = "/root/testdata/sf0.1"
     if not os.path.isdir(sf):
         pytest.skip("no test data")
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     labels = spark.read.parquet(f"{sf}/labels.parquet")
     lang = registry.queries()["op6_language_id"](spark, sf).where("held_out").join(docs, "doc_id").where("lang is not null").selectExpr("avg(cast(lang = lang_pred as int)) a", "count(*) n").first()
-    assert lang.a > 0.97 and lang.n > 200
+    assert lang.a > 0.98 and lang.n > 2000
     toxic = registry.queries()["op5_toxicity"](spark, sf).where("held_out").join(labels, "doc_id").selectExpr("avg(cast(predicted = toxic as int)) a", "sum(toxic) p", "sum(toxic * predicted) h").first()
-    assert toxic.a > 0.95 and toxic.h >= 0.8 * toxic.p
+    assert toxic.a > 0.95 and toxic.h >= 0.75 * toxic.p
     grade = registry.queries()["op7_quality"](spark, sf).where("held_out").join(labels, "doc_id").selectExpr("avg(cast(cast(selected as int) = quality as int)) a", "min(expected_grade) lo", "max(expected_grade) hi", "min(p_above) p", "max(p_above) q").first()
-    assert grade.a > 0.9 and 0 <= grade.lo <= grade.hi <= 1 and 0 <= grade.p <= grade.q <= 1
+    assert grade.a > 0.97 and 0 <= grade.lo <= grade.hi <= 1 and 0 <= grade.p <= grade.q <= 1
