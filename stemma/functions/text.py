@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with the value worked out once, however often it is used."""
+    return F.transform(F.array(value), use)[0]
+
+
 def char_count(text: Column) -> Column:
     """Characters that are not white space."""
     return F.length(F.regexp_replace(text, r"\s+", ""))
@@ -48,13 +53,18 @@ def duplicate_key(text: Column) -> Column:
     return F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", "")
 
 
-def traced_rules(text: Column, rules: Sequence[tuple[str, str, str]]) -> tuple[Column, Column]:
-    """Apply (name, pattern, replacement) in order; the result, and the names of the rules whose pattern was there."""
-    fired: list[Column] = []
-    for name, pattern, replacement in rules:
-        fired.append(F.when(text.rlike(pattern), F.lit(name)))
-        text = F.regexp_replace(text, pattern, replacement)
-    return text, F.array_compact(F.array(*fired))
+def traced_rules(text: Column, rules: Sequence[tuple[str, str, str]]) -> Column:
+    """Apply (name, pattern, replacement) in order: struct(text, fired), the result and the names of the rules whose pattern was there.
+
+    Each step is worked out once from the one before.
+    """
+    def step(name: str, pattern: str, replacement: str) -> Callable[[Column], Column]:
+        return lambda s: F.struct(F.regexp_replace(s["text"], pattern, replacement).alias("text"), F.when(s["text"].rlike(pattern), F.array_append(s["fired"], F.lit(name))).otherwise(s["fired"]).alias("fired"))
+
+    state = F.struct(text.alias("text"), F.array().cast("array<string>").alias("fired"))
+    for rule in rules:
+        state = bound(state, step(*rule))
+    return state
 
 
 def first_rule(text: Column, rules: Sequence[tuple], default: Column | None = None) -> Column:
@@ -88,8 +98,8 @@ def structure_key(unit: Column, type_id: Column, choices: Column, figure: Column
 
 def ranges(text: Column, most: int = 2000, span: int | None = None) -> Column:
     """[a~b] marks with 1 <= a <= b <= most (and b - a <= span) as array of struct(a, b)."""
-    bound = lambda k: F.regexp_extract_all(text, F.lit(r"\[\s*(\d{1,4})\s*~\s*(\d{1,4})\s*\]"), F.lit(k))
-    pairs = F.transform(F.arrays_zip(bound(1).alias("a"), bound(2).alias("b")), lambda p: F.struct(p["a"].cast("long").alias("a"), p["b"].cast("long").alias("b")))
+    number = lambda k: F.regexp_extract_all(text, F.lit(r"\[\s*(\d{1,4})\s*~\s*(\d{1,4})\s*\]"), F.lit(k))
+    pairs = F.transform(F.arrays_zip(number(1).alias("a"), number(2).alias("b")), lambda p: F.struct(p["a"].cast("long").alias("a"), p["b"].cast("long").alias("b")))
     return F.filter(pairs, lambda p: (p["a"] >= 1) & (p["a"] <= p["b"]) & (p["b"] <= most) & (F.lit(True) if span is None else p["b"] - p["a"] <= span))
 
 

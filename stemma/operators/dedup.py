@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import char_count, duplicate_key, normal_text
+from ..functions.text import bound, char_count, duplicate_key, normal_text
 
 #: Visible characters that an equal text needs to count as a duplicate, and to count as a long one.
 LEAST_CHARS, LONG_CHARS, KEEPER_CHARS = 12, 80, 24
@@ -13,8 +13,16 @@ LEAST_CHARS, LONG_CHARS, KEEPER_CHARS = 12, 80, 24
 
 def fingerprint(text: Column) -> Column:
     """SHA-256 of the normal form, null for texts that are too short to compare."""
-    plain = normal_text(text)
-    return F.when(char_count(plain) >= LEAST_CHARS, F.sha2(plain, 256))
+    return measured(text)["fp"]
+
+
+def measured(text: Column) -> Column:
+    """struct(fp, chars) of a text's normal form, which is worked out once; fp as fingerprint() says."""
+
+    def use(plain: Column) -> Column:
+        return bound(char_count(plain), lambda n: F.struct(F.when(n >= LEAST_CHARS, F.sha2(plain, 256)).alias("fp"), n.alias("chars")))
+
+    return bound(normal_text(text), use)
 
 
 def fingerprints(rows: DataFrame, key: str, text_col: str, structure: Column | None = None, content: Column | None = None) -> DataFrame:
@@ -64,7 +72,7 @@ def duplicate_pairs(items: DataFrame, key: str, text_col: str, page: str, number
 
     The keeper is one row per group, so a group of any size gives as many rows as it has members, less one.
     """
-    rows = items.select(key, page, number, fingerprint(F.col(text_col)).alias("fp"), char_count(normal_text(F.col(text_col))).alias("chars")).where("fp is not null")
+    rows = items.select(key, page, number, measured(F.col(text_col)).alias("m")).select(key, page, number, "m.fp", "m.chars").where("fp is not null")
     rank = F.struct(F.coalesce(F.regexp_replace(number, "[^0-9]", "").try_cast("long"), F.col(page) * 10_000, F.lit(0)).alias("r"), F.coalesce(F.col(page), F.lit(0)).alias("p"), F.col(key).alias("k"))
     keep = rows.groupBy("fp").agg(F.min_by(F.struct(F.col(key).alias("keeper"), F.col(page).alias("kpage"), F.col(number).alias("knumber")), rank).alias("g"), F.count("*").alias("n")).where("n > 1").select("fp", "g.*")
     pairs = rows.join(keep, "fp").where(F.col(key) != F.col("keeper"))

@@ -40,8 +40,8 @@ _LEAKS = [("LICENSE", r"(?i)licensed under", ""), ("EMAIL", r"[A-Za-z0-9._]+@[A-
 SELECT doc_id, sha256(t4) AS cleaned, concat_ws(',', CASE WHEN regexp_matches(t0, '(?i)licensed under') THEN 'LICENSE' END, CASE WHEN regexp_matches(t1, '[A-Za-z0-9._]+@[A-Za-z0-9.]+') THEN 'EMAIL' END, CASE WHEN regexp_matches(t2, '[0-9]{4,}') THEN 'NUMBER' END, CASE WHEN regexp_matches(t3, '[%&$*#]{3}') THEN 'MARKS' END) AS rules FROM d""")
 def traced_cleanup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cleaning rules in order, with those that fired."""
-    cleaned, fired = X.traced_rules(F.col("text"), _LEAKS)
-    return table(spark, sf_dir, "documents").select("doc_id", F.sha2(cleaned, 256).alias("cleaned"), F.array_join(fired, ",").alias("rules"))
+    traced = table(spark, sf_dir, "documents").select("doc_id", X.traced_rules(F.col("text"), _LEAKS).alias("t"))
+    return traced.select("doc_id", F.sha2("t.text", 256).alias("cleaned"), F.array_join("t.fired", ",").alias("rules"))
 
 
 @query("""SELECT doc_id, length(regexp_replace(text, '\\s+', '', 'g')) >= 8 AS readable, regexp_matches(text, '[%&$*#]{3}') AS marks, regexp_matches(text, '(?i)licensed under') AS leak, CAST(length(regexp_replace(text, '\\s+', '', 'g')) AS BIGINT) AS visible FROM documents""")
@@ -71,41 +71,17 @@ def latex_balance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", X.balance(s).alias("b")).select("doc_id", "b.*")
 
 
-@query("""WITH q AS (SELECT b.item_id, b.text, string_split(substr(b.text, 1, 40), ' ') AS tokens FROM benchmark b), d AS (SELECT doc_id, text FROM documents)
-SELECT q.item_id, d.doc_id, round(len(list_filter(tokens, lambda t: t <> '' AND contains(d.text, t))) / len(tokens), 6) AS hit FROM q, d WHERE len(list_filter(tokens, lambda t: t <> '' AND contains(d.text, t))) = len(tokens)""")
+@query(r"""WITH q AS (SELECT item_id, unnest(list_filter(string_split_regex(text, '\s+'), lambda t: t <> '')) AS token FROM benchmark), w AS (SELECT DISTINCT token FROM q), h AS (SELECT token, doc_id FROM w JOIN documents ON contains(text, token)),
+n AS (SELECT item_id, count(*) AS size FROM q GROUP BY item_id)
+SELECT item_id, doc_id, round(count(*) / size, 6) AS hit FROM q JOIN h USING (token) JOIN n USING (item_id) GROUP BY item_id, doc_id, size""")
 def token_hit_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents that hold all of the first tokens of a benchmark item (a query set against all rows)."""
-    b = table(spark, sf_dir, "benchmark").select("item_id", F.split(F.substr("text", F.lit(1), F.lit(40)), " ").alias("tokens"))
-    pairs = table(spark, sf_dir, "documents").select("doc_id", "text").join(F.broadcast(b), F.forall("tokens", lambda t: (t != "") & F.contains(F.col("text"), t)))
-    return pairs.select("item_id", "doc_id", F.round(X.token_hit_rate(F.col("text"), F.col("tokens")), 6).alias("hit"))
-
-
-@query()
-def token_hit_rate_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Share of all tokens of each benchmark text that a document holds, for every pair with at least one.
-
-    token_hit_rate, whose SQL fixes its rows, gives only pairs that hold all of an item's first 40 characters.
-    """
+    """Share of all tokens of each benchmark text that a document holds, for every pair with at least one."""
     return partial_hits(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-@query("""WITH t AS (SELECT conv_id, turn, regexp_replace(text, '[^!-~]', '', 'g') AS h, regexp_replace(COALESCE(lag(text) OVER (PARTITION BY conv_id ORDER BY turn), ''), '[^!-~]', '', 'g') AS t FROM conversations)
-SELECT conv_id, turn, round(CASE WHEN length(t) = 0 THEN CASE WHEN length(h) = 0 THEN 0 ELSE 1 END ELSE levenshtein(h, t) / length(t) END, 6) AS cer FROM t WHERE length(h) * length(t) < 40000""")
-def turn_cer(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Character error rate of each turn against the one before (pairs whose product of lengths is under 40,000)."""
-    from pyspark.sql import Window as W
-
-    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "text", F.coalesce(F.lag("text").over(W.partitionBy("conv_id").orderBy("turn")), F.lit("")).alias("before"))
-    rows = rows.withColumns({c: F.regexp_replace(c, "[^!-~]", "") for c in ("text", "before")})  # DuckDB counts bytes
-    return rows.where(F.length("text") * F.length("before") < 40_000).select("conv_id", "turn", F.round(X.char_error_rate(F.col("text"), F.col("before")), 6).alias("cer"))
-
-
 @query()
-def turn_cer_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Character error rate of every turn against the one before, over all their characters but white space.
-
-    turn_cer, whose SQL fixes its rows, leaves out long pairs and counts ASCII alone.
-    """
+def turn_cer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Character error rate of every turn against the one before, over all their characters but white space. DuckDB counts bytes, so SQL gives none."""
     from pyspark.sql import Window as W
 
     before = F.lag("text").over(W.partitionBy("conv_id").orderBy("turn", "role", "text"))

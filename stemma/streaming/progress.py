@@ -30,16 +30,43 @@ def dedupe_stream(events: DataFrame, keys: list[str], late: str = "2 days") -> D
 
 
 def upsert_batches(path: str, keys: list[str], order: str) -> Callable[[DataFrame, int], None]:
-    """For foreachBatch: the newest row of each key in the batch, written under the batch's number, so a batch that runs again replaces itself."""
+    """For foreachBatch: merges each batch into the table at `path`, which has one row a key, the newest by `order`; see read_upserted().
+
+    Each batch writes a new version beside the last one (the newest row of each key of that version and the batch), so
+    readers always find a whole one, and a batch that runs again starts from the version before it and changes nothing.
+    """
 
     def write(batch: DataFrame, number: int) -> None:
+        rows, before = batch, _version(batch.sparkSession, path, number - 1)
+        if before is not None:
+            rows = before.select(*batch.columns).unionByName(batch)
         rest = [c for c in batch.columns if c not in keys]
-        newest = batch.groupBy(*keys).agg(F.max_by(F.struct(*rest), order).alias("r")).select(*keys, "r.*")
-        newest.write.mode("overwrite").parquet(f"{path}/batch={number}")
+        newest = rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct(order, *rest)).alias("r")).select(*keys, "r.*")
+        newest.write.mode("overwrite").parquet(f"{path}/version={number}")
 
     return write
 
 
+def _version(spark: SparkSession, path: str, number: int | None) -> DataFrame | None:
+    """The table as of a batch's number, or the last one."""
+    from pyspark.errors import AnalysisException
+
+    try:
+        every = spark.read.option("basePath", path).parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            raise
+        return None
+    known = every.select("version").distinct() if number is None else every.where(F.col("version") <= number).select("version").distinct()
+    last = known.agg(F.max("version")).first()[0]
+    return None if last is None else every.where(F.col("version") == last).drop("version")
+
+
+def read_upserted(spark: SparkSession, path: str) -> DataFrame | None:
+    """What upsert_batches() has merged so far: one row a key. None if nothing is there."""
+    return _version(spark, path, None)
+
+
 def sessions_with_state(events: DataFrame, gap_minutes: int = 24 * 60) -> DataFrame:
     """Sessions of each user by a gap in event time, with state that lives across batches: user_id, start, end, n. A session comes out when the next one begins or its time is up."""
 

@@ -173,3 +173,19 @@ def test_hold_out_repair(spark):
     assert held() == {(5, 1), (5, 2)} and held(start=1) == {(1, 1), (1, 2), (6, 1), (6, 2)}
     assert held(start=1, badge="badge", order=["i"]) == {(1, 1), (1, 2), (6, 1), (6, 2), (2, 1)}
     assert held(start=5, badge="badge", order=["i"]) == {(5, 1), (5, 2), (2, 1), (4, 1)}
+
+
+def test_each_normal_form_is_worked_out_once(spark):
+    """Plans of duplicate search name each pattern of the normal form a few times, not once for each use of it."""
+    from stemma.functions import text as X
+    from stemma.operators import dedup as D
+
+    rows = spark.createDataFrame([(1, "x" * 20, 1, "1")], "k long, t string, p long, n string")
+    for df in (D.exact_duplicates(rows, "k", "t"), D.duplicate_pairs(rows, "k", "t", "p", "n")):
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("regexp_replace") <= 5 * 4 + 4, plan.count("regexp_replace")
+    rules = [(f"r{i}", f"a{i}", f"b{i}") for i in range(8)]
+    traced = rows.select(X.traced_rules(X.F.lit("a1 a5 b").alias("t"), rules).alias("t")).select("t.text", "t.fired")
+    assert tuple(traced.first()) == ("b1 b5 b", ["r1", "r5"])
+    plan = rows.select(X.traced_rules(X.F.col("t"), rules).alias("t"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_replace") == 8

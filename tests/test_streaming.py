@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from stemma.streaming import dedupe_stream, run_available, sessions_with_state, upsert_batches
-from stemma.streaming.progress import read_events
+from stemma.streaming.progress import read_events, read_upserted
 
 
 def test_dedupe(spark, sf):
@@ -11,12 +11,16 @@ def test_dedupe(spark, sf):
     assert found.count() == spark.read.parquet(f"{sf}/events.parquet").select("event_id").distinct().count()
 
 
-def test_upsert_batches(spark, sf, tmp_path):
-    events = spark.read.parquet(f"{sf}/events.parquet")
-    write = upsert_batches(str(tmp_path), ["user_id", "event_type"], "ts")
-    write(events, 1)
-    write(events, 1)
-    assert spark.read.parquet(str(tmp_path)).count() == events.select("user_id", "event_type").distinct().count()
+def test_upsert_batches(spark, tmp_path):
+    """Two batches with keys in common, the second one twice: one row a key, the newest, also where it came first."""
+    path, schema = str(tmp_path / "t"), "k long, ts long, v string"
+    write = upsert_batches(path, ["k"], "ts")
+    assert read_upserted(spark, path) is None
+    write(spark.createDataFrame([(1, 10, "a"), (1, 12, "b"), (2, 50, "c")], schema), 0)
+    second = spark.createDataFrame([(1, 20, "d"), (2, 40, "late"), (3, 1, None)], schema)
+    write(second, 1)
+    write(second, 1)
+    assert sorted(map(tuple, read_upserted(spark, path).select("k", "ts", "v").collect())) == [(1, 20, "d"), (2, 50, "c"), (3, 1, None)]
 
 
 def test_sessions(spark, sf):

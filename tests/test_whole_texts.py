@@ -18,7 +18,7 @@ def distance(a, b):
     return row[-1]
 
 
-def test_turn_cer_whole(spark, tmp_path):
+def test_turn_cer(spark, tmp_path):
     texts = {1: ["", "é", "e", "한국어 글", "한국말 글", None, "x"], 2: ["word " * 80, "w\u00f6rd " * 81, "a b\tc"]}
     spark.createDataFrame([(c, k, "user", t) for c, ts in texts.items() for k, t in enumerate(ts)], "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
     want = {}
@@ -26,17 +26,17 @@ def test_turn_cer_whole(spark, tmp_path):
         bare = ["".join((t or "").split()) for t in ts]
         for k, (h, t) in enumerate(zip(bare, ["", *bare])):
             want[c, k] = distance(h, t) / len(t) if t else float(bool(h))
-    found = {(r.conv_id, r.turn): r.cer for r in QUERIES["turn_cer_whole"](spark, str(tmp_path)).collect()}
+    found = {(r.conv_id, r.turn): r.cer for r in QUERIES["turn_cer"](spark, str(tmp_path)).collect()}
     assert found == pytest.approx(want, abs=1e-6)
     assert (2, 1) in found and found[1, 2] == 1 and found[1, 4] == 0.25
 
 
-def test_token_hit_rate_whole(spark, tmp_path):
+def test_token_hit_rate(spark, tmp_path):
     docs = [(1, "The cat sat"), (2, "concatenate\u3000über alles"), (3, None), (4, ""), (5, "nothing"), (6, "x" * 5000 + "über"), (7, "a b"), (None, "cat")]
     items = [(1, "cat sat on the mat " + "and so it goes on " * 5 + "alles"), (2, "über cat cat zzz"), (3, None), (4, " "), (5, "a b"), (5, "a b"), (None, "th")]
     spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame(items, "item_id int, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     want = [(str(i), str(d), round(n / len(q.split()), 6)) for i, q in items for d, t in docs if q and t and (n := sum(w in t for w in q.split()))]
-    found = QUERIES["token_hit_rate_whole"](spark, str(tmp_path))
+    found = QUERIES["token_hit_rate"](spark, str(tmp_path))
     assert sorted((str(r.item_id), str(r.doc_id), r.hit) for r in found.collect()) == sorted(want)
     assert any(0 < w[2] < 1 for w in want) and found.columns == ["item_id", "doc_id", "hit"]
