@@ -116,3 +116,38 @@ def all_hold(gates: Mapping[str, Column]) -> Column:
     """struct(safe, failed): whether every gate is known to hold, and the names of those that do not."""
     failed = F.array_compact(F.array(*[F.when(~F.coalesce(c, F.lit(False)), F.lit(n)) for n, c in gates.items()]))
     return F.struct((F.size(failed) == 0).alias("safe"), failed.alias("failed"))
+
+
+def review_decision(e: Mapping[str, Column]) -> Column:
+    """struct(verdict, rule) on an item in review: AUTO_SAFE (its text may be put right), PASS_FALSE_POSITIVE (nothing is wrong), REVIEW_REQUIRED or BLOCKED.
+
+    e: hidden, protected; signals duplicate_body, own_range, too_short, packaging, range_leak, next_leak, number_dup; and what was found: later (a later
+    range's mark), siblings, covered, page_prompt, atom, trimmed, on_next, next_listed, leak_found, leak_packaging, original. Unknown evidence does not hold.
+    """
+    has = {k: F.coalesce(c, F.lit(False)) for k, c in e.items()}
+    auto, fine, human, blocked = "AUTO_SAFE", "PASS_FALSE_POSITIVE", "REVIEW_REQUIRED", "BLOCKED"
+    own, short, leak, next_ = has["own_range"] & ~has["later"], has["too_short"], has["range_leak"], has["next_leak"]
+    return decide(
+        [
+            (has["hidden"], blocked, "HIDDEN"),
+            (has["protected"], human, "PROTECTED"),
+            (has["duplicate_body"], human, "DUPLICATE_BODY"),
+            (own & ~has["siblings"], fine, "OWN_RANGE"),
+            (own, human, "GLUED_SIBLINGS"),
+            (short & has["covered"], fine, "SHORT_COVERED"),
+            (short & has["page_prompt"], auto, "PROMPT_FROM_PAGE"),
+            (short & has["atom"], fine, "SHORT_ATOM"),
+            (short, human, "SHORT_UNPROVEN"),
+            (has["trimmed"], auto, "GLUED_ITEMS_TRIMMED"),
+            (has["packaging"], auto, "PACKAGING"),
+            (leak & has["later"] & has["on_next"], auto, "RANGE_ON_NEXT"),
+            (leak, human, "RANGE_LEAK"),
+            (next_ & ~has["next_listed"], human, "NEXT_MISSING"),
+            (next_ & has["leak_packaging"], auto, "NEXT_IS_PACKAGING"),
+            (next_ & ~has["leak_found"], fine, "NEXT_NOT_FOUND"),
+            (next_, human, "NEXT_UNEQUAL"),
+            (has["number_dup"] & has["atom"], fine, "NUMBER_OF_ATOM"),
+            (~has["original"], blocked, "NO_ORIGINAL"),
+        ],
+        human,
+    )

@@ -13,11 +13,10 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Rows that a dimension may have to be compared with everything.
+#: Candidates that are sent to all tasks at once.
 MOST_CANDIDATES = 5_000
 
 
@@ -36,26 +35,49 @@ def lcs(a: str, b: str) -> int:
     return len(a) - bin(row).count("1")
 
 
-@F.pandas_udf(T.DoubleType())
-def lcs_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-    """LCS over the longer length; 0 for empty titles."""
-    return pd.Series([lcs(x, y) / max(len(x), len(y)) if x and y else 0.0 for x, y in zip(a.fillna(""), b.fillna(""), strict=True)])
+def best_two(titles: pd.Series, codes: list[str], names: list[str]) -> list[tuple]:
+    """(title, code, score) of each title's two best names, ties by code. Names are tried by what their lengths allow, so most are never compared."""
+    order = sorted(range(len(names)), key=lambda i: codes[i])
+    size = np.array([len(names[i]) for i in order], float)
+    out = []
+    for t in titles:
+        bound = np.minimum(size, len(t)) / np.maximum(np.maximum(size, len(t)), 1)
+        top: list[tuple] = []
+        for j in np.argsort(-bound, kind="stable").tolist():
+            if len(top) == 2 and bound[j] < -top[1][0]:
+                break
+            name = names[order[j]]
+            top = sorted([*top, (-lcs(t, name) / max(len(t), len(name)) if t and name else 0.0, codes[order[j]])])[:2]
+        out += [(t, c, abs(s)) for s, c in top]
+    return out
 
 
 def match_titles(rows: DataFrame, candidates: DataFrame, key: str, title: str, *, sure: float = 0.88, least: float = 0.72, margin: float = 0.1) -> DataFrame:
     """Rows with their best candidate (code, candidate_title): accepted if sure, or good enough and clearly better than the second.
 
-    candidates are a dimension of at most MOST_CANDIDATES rows. Distinct titles are compared once.
+    Distinct titles are compared once, in tasks that give two candidates for each; candidates of over MOST_CANDIDATES rows go to them in blocks. Null titles match nothing.
     """
-    if candidates.count() > MOST_CANDIDATES:
-        raise ValueError("too many candidates to compare all with")
-    titles = rows.select(F.col(title).alias("__t")).distinct()
-    scored = titles.join(F.broadcast(candidates.select("code", "candidate_title"))).withColumn("score", lcs_ratio("__t", "candidate_title"))
-    order = W.partitionBy("__t").orderBy(F.col("score").desc(), "code")
-    top = scored.withColumn("n", F.row_number().over(order)).where("n <= 2").groupBy("__t").agg(F.max(F.when(F.col("n") == 1, F.col("code"))).alias("code"), F.max("score").alias("score"), F.coalesce(F.max(F.when(F.col("n") == 2, F.col("score"))), F.lit(0.0)).alias("second"))
-    fine = (F.col("score") >= sure) | ((F.col("score") >= least) & (F.col("score") - F.col("second") >= margin))
-    judged = top.withColumn("accepted", fine)
-    return rows.select(key, F.col(title).alias("__t")).join(judged, "__t", "left").select(key, "code", F.round("score", 6).alias("score"), F.coalesce("accepted", F.lit(False)).alias("accepted"))
+    titles = rows.select(F.col(title).cast("string").alias("t")).where("t is not null").distinct()
+    names = candidates.select(F.col("code").cast("string").alias("code"), F.coalesce(F.col("candidate_title").cast("string"), F.lit("")).alias("name")).where("code is not null")
+    blocks = max(1, -(-names.count() // MOST_CANDIDATES))
+    found = None
+    for b in range(blocks):
+        block = names.where(F.pmod(F.xxhash64("code"), F.lit(blocks)) == b).toArrow()
+        sent = rows.sparkSession.sparkContext.broadcast((block.column("code").to_pylist(), block.column("name").to_pylist()))
+
+        def run(batches: Iterator[pd.DataFrame], sent=sent) -> Iterator[pd.DataFrame]:
+            for pdf in batches:
+                yield pd.DataFrame(best_two(pdf["t"], *sent.value), columns=["t", "code", "score"])
+
+        part = titles.mapInPandas(run, "t string, code string, score double")
+        found = part if found is None else found.unionByName(part)
+    # at most two rows of each block
+    two = found.groupBy("t").agg(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("s"), "code"))).alias("c"))
+    score = F.abs(F.col("c")[0]["s"])
+    second = F.coalesce(F.abs(F.try_element_at("c", F.lit(2))["s"]), F.lit(0.0))
+    fine = (score >= sure) | ((score >= least) & (score - second >= margin))
+    judged = two.select(F.col("t").alias("__t"), F.col("c")[0]["code"].alias("code"), score.alias("score"), fine.alias("accepted"))
+    return rows.select(key, F.col(title).cast("string").alias("__t")).join(judged, "__t", "left").select(key, "code", F.round("score", 6).alias("score"), F.coalesce("accepted", F.lit(False)).alias("accepted"))
 
 
 _MATH = re.compile(r"\$\$.*?\$\$|\$(?:\\\$|[^$])+\$|\\begin\{([A-Za-z*]+)\}.*?\\end\{\1\}", re.S)

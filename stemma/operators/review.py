@@ -98,3 +98,11 @@ def relation_faults(relations: DataFrame, a: str, b: str, level: str) -> DataFra
     ordered = F.coalesce(F.col(a) < F.col(b), F.lit(False))
     faults = tags(PAIR_ORDER=~ordered, LEVEL=F.coalesce(~F.col(level).isin(*RELATION_LEVELS), F.lit(False)), REPEATED_PAIR=F.col("__a").isNotNull())
     return known.select(a, b, level, faults.alias("faults")).where(F.size("faults") > 0)
+
+
+def page_groups(candidates: DataFrame, listed: DataFrame, keys: list[str], page: str = "page", number: str = "number") -> DataFrame:
+    """Candidates by page and keys: how many, and the least and greatest number listed on the page (of the candidates where none is), as 0001~0099."""
+    on = listed.groupBy(page).agg(F.min(number).alias("__lo"), F.max(number).alias("__hi"))
+    met = candidates.groupBy(page, *keys).agg(F.count("*").alias("candidates"), F.min(number).alias("__a"), F.max(number).alias("__z")).join(on, page, "left")
+    pad = lambda c: F.lpad(c.cast("string"), 4, "0")
+    return met.select(page, *keys, "candidates", F.concat(pad(F.coalesce("__lo", "__a")), F.lit("~"), pad(F.coalesce("__hi", "__z"))).alias("number_range"))

@@ -12,6 +12,8 @@ from ..functions.scores import cosine, dot, norm
 
 #: Queries that are sent to all tasks at once; more are searched in blocks of about this many.
 MOST_BROADCAST = 20_000
+#: Rows and bytes that the centres of an index are fitted on.
+SAMPLE_ROWS, SAMPLE_BYTES = 20_000, 64 << 20
 #: Distinct words whose tokens a task keeps at once.
 MOST_WORDS = 100_000
 
@@ -53,6 +55,114 @@ def _search(vectors: DataFrame, queries: DataFrame, k: int, id_col: str, vec_col
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
+def _matrix(column: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
+    """(unit vectors, which rows they are of): rows that are null, zero, of another length or not finite are left out."""
+    rows = [i for i, v in enumerate(column.to_pylist()) if v is not None and len(v) == dim and None not in v]
+    m = np.array(column.take(pa.array(rows, pa.int64())).flatten().to_numpy(zero_copy_only=False), float).reshape(len(rows), dim)
+    top = np.abs(m).max(axis=1, initial=0.0)
+    fine = np.isfinite(top) & (top > 0)
+    m = m[fine] / top[fine, None]
+    return m / np.linalg.norm(m, axis=1, keepdims=True), np.array(rows, np.int64)[fine]
+
+
+def fit_centres(vectors: DataFrame, lists: int = 100, *, id_col: str = "vec_id", vec_col: str = "embedding", rounds: int = 10) -> np.ndarray:
+    """Directions that an index files vectors under: spherical k-means over a bounded sample.
+
+    The sample is the SAMPLE_ROWS rows whose ids have the smallest hashes, or as many as SAMPLE_BYTES hold. Without a usable vector there are no centres.
+    """
+    first = vectors.select(F.max(F.size(vec_col))).first()[0]
+    dim = first if first and first > 0 else 0
+    if not dim:
+        return np.zeros((0, 0))
+    some = vectors.where(F.size(vec_col) == dim).select(F.col(vec_col).cast("array<double>").alias("v"), F.xxhash64(id_col).alias("h")).orderBy("h").limit(min(SAMPLE_ROWS, SAMPLE_BYTES // (8 * dim)))
+    m, _ = _matrix(some.toArrow().column("v").combine_chunks(), dim)
+    centres = m[np.linspace(0, len(m) - 1, min(lists, len(m))).astype(int)]
+    for _ in range(rounds if len(m) else 0):
+        at = np.argmax(m @ centres.T, axis=1)
+        total = np.zeros_like(centres)
+        np.add.at(total, at, m)
+        size = np.linalg.norm(total, axis=1, keepdims=True)
+        centres = np.where(size > 0, total / np.maximum(size, 1e-300), centres)
+    return centres
+
+
+def index_vectors(vectors: DataFrame, centres: np.ndarray, *, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
+    """Every vector with the list it is filed under (id_col, vec_col, list): its nearest centre; -1 for vectors that cannot be searched. Store it by `list` to let searches skip files."""
+    base = vectors.select(F.col(id_col), F.col(vec_col).cast("array<double>").alias(vec_col))
+    sent = vectors.sparkSession.sparkContext.broadcast(centres)
+
+    def run(batches):
+        c = sent.value
+        for batch in batches:
+            at = np.full(batch.num_rows, -1, np.int32)
+            m, rows = _matrix(batch.column(1), c.shape[1]) if len(c) else (None, [])
+            if len(rows):
+                at[rows] = np.argmax(m @ c.T, axis=1)
+            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(at)], names=[id_col, vec_col, "list"])
+
+    return base.mapInArrow(run, f"{id_col} {base.schema[id_col].dataType.simpleString()}, {vec_col} array<double>, list int")
+
+
+def search_index(indexed: DataFrame, queries: DataFrame, centres: np.ndarray, k: int | None = 5, *, probes: int = 16, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
+    """Approximate top_k(): each query (query_id, query_vec) is compared with the vectors of its `probes` nearest lists.
+
+    As many probes as lists give the exact answer; vectors of equal similarity may stand for each other at the end of a list. Queries go to all tasks in
+    blocks of about MOST_BROADCAST; each task holds k rows per query of a block, and gives no more.
+    """
+    k = clamp_k(k)
+    kind = indexed.schema[id_col].dataType.simpleString()
+    asked = queries.select(F.col("query_id"), F.col("query_vec").cast("array<double>").alias("query_vec"))
+    blocks = max(1, -(-asked.count() // MOST_BROADCAST))
+    found = None
+    for b in range(blocks):
+        part = asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b).toArrow()
+        q, rows = _matrix(part.column("query_vec").combine_chunks(), centres.shape[1]) if len(centres) else (np.zeros((0, 0)), [])
+        ids = [part.column("query_id")[int(i)].as_py() for i in rows]
+        near = np.argsort(-(q @ centres.T), axis=1)[:, :probes] if len(ids) else np.zeros((0, 0), int)
+        sent = indexed.sparkSession.sparkContext.broadcast((q, ids, near))
+
+        def run(batches, sent=sent):
+            q, ids, near = sent.value
+            of_list = {c: np.flatnonzero((near == c).any(axis=1)) for c in np.unique(near).tolist()}
+            place: dict = {}
+            for i, name in enumerate(ids):
+                place.setdefault(name, []).append(i)
+            best, names = np.full((len(ids), k), -np.inf), np.full((len(ids), k), None, object)
+            for batch in batches:
+                lists = batch.column(2).to_numpy(zero_copy_only=False)
+                for c in np.unique(lists).tolist():
+                    at = np.flatnonzero(lists == c)
+                    who = of_list.get(c)
+                    if who is None:
+                        continue
+                    m, fine = _matrix(batch.column(1).take(pa.array(at)), q.shape[1])
+                    own = np.array([batch.column(0)[int(i)].as_py() for i in at[fine]] + [None], object)[:-1]
+                    for lo in range(0, len(who), 1024):
+                        some = who[lo : lo + 1024]
+                        s = q[some] @ m.T
+                        where = {int(w): i for i, w in enumerate(some)}
+                        for j, name in enumerate(own):
+                            for w in place.get(name, ()):
+                                if w in where:
+                                    s[where[w], j] = -np.inf
+                        all_s = np.hstack([best[some], s])
+                        top = np.argsort(-all_s, axis=1, kind="stable")[:, :k]
+                        all_n = np.hstack([names[some], np.broadcast_to(own, (len(some), len(own)))])
+                        best[some], names[some] = np.take_along_axis(all_s, top, 1), np.take_along_axis(all_n, top, 1)
+            r, c = np.nonzero(np.isfinite(best))
+            yield pa.RecordBatch.from_pydict({"query_id": [ids[i] for i in r], id_col: names[r, c].tolist(), "similarity": best[r, c]}, schema=shape)
+
+        shape = pa.schema([pa.field("query_id", part.schema.field("query_id").type), pa.field(id_col, _arrow_type(indexed, id_col)), pa.field("similarity", pa.float64())])
+        block = indexed.select(id_col, vec_col, "list").mapInArrow(run, f"query_id {asked.schema['query_id'].dataType.simpleString()}, {id_col} {kind}, similarity double")
+        found = block if found is None else found.unionByName(block)
+    order = W.partitionBy("query_id").orderBy(F.col("similarity").desc(), F.col(id_col))
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+
+def _arrow_type(df: DataFrame, column: str) -> pa.DataType:
+    return df.select(column).limit(0).toArrow().schema.field(column).type
+
+
 def transfer_labels(vectors: DataFrame, labelled: Column, label_col: str, section_col: str, *, k: int = 3, least: float = 0.82, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """For each row without a label, that of its most similar labelled one in its section among the k nearest of at least `least`."""
     some = vectors.where(labelled).select(F.col(section_col), F.col(id_col).alias("from_id"), F.col(vec_col).alias("from_vec"), F.col(label_col).alias("found_label"))

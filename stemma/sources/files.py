@@ -49,6 +49,31 @@ def layout_blocks(pages: DataFrame, json_col: str = "layout", keep: tuple[str, .
     return parsed.select(*keep, "pos", F.col("b.type").alias("type"), F.col("b.content").alias("content"), F.col("b.confidence").alias("confidence"), scale("x", "pageWidth").alias("x"), scale("y", "pageHeight").alias("y"), scale("width", "pageWidth").alias("width"), scale("height", "pageHeight").alias("height"))
 
 
+def provider_layout(pages: DataFrame, json_col: str = "raw", keep: tuple[str, ...] = ("page",)) -> DataFrame:
+    """Blocks and images of a provider's page JSON ({dimensions, blocks, images}, boxes as pixel corners): (keep, kind, pos, type, content, confidence, x, y, width, height).
+
+    Boxes are normalised and stay within the page; texts are never rewritten. Images are those listed and blocks that are images, the first of each id (from 0
+    in order); unnamed ones are told apart by place. Without page sizes, or without a box, there is no row.
+    """
+    d = T.DoubleType()
+    size = T.StructType([T.StructField(c, d) for c in ("width", "height")])
+    box = T.StructType([*(T.StructField(c, T.StringType()) for c in ("id", "type", "content")), T.StructField("confidence", d), *(T.StructField(c, d) for c in ("top_left_x", "top_left_y", "bottom_right_x", "bottom_right_y"))])
+    schema = T.StructType([T.StructField("dimensions", size), T.StructField("blocks", T.ArrayType(box)), T.StructField("images", T.ArrayType(box))])
+    page = pages.select(*keep, F.from_json(json_col, schema).alias("p")).where("p.dimensions.width > 0 and p.dimensions.height > 0")
+    none = F.array().cast(T.ArrayType(box))
+    blocks, listed = (F.coalesce(F.col(f"p.{c}"), none) for c in ("blocks", "images"))
+    boxed = lambda b: F.coalesce(b["top_left_x"], b["top_left_y"], b["bottom_right_x"], b["bottom_right_y"]).isNotNull()
+    picture = lambda b: F.coalesce((b["type"] == "image") | b["id"].rlike("(?i)img|image"), F.lit(False))
+    images = F.filter(F.concat(listed, F.filter(blocks, picture)), boxed)
+    new = lambda a, b: F.when(b["id"].isNotNull() & F.exists(a, lambda o: o["id"] == b["id"]), a).otherwise(F.array_append(a, b))
+    once = F.aggregate(images, none, new)
+    rows = page.select(*keep, "p.dimensions", F.explode(F.array(F.struct(F.lit("block").alias("kind"), F.filter(blocks, boxed).alias("boxes")), F.struct(F.lit("image").alias("kind"), once.alias("boxes")))).alias("k"))
+    rows = rows.select(*keep, "dimensions", "k.kind", F.posexplode("k.boxes").alias("pos", "b"))
+    at = lambda c, side: F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.coalesce(F.col(f"b.{c}"), F.lit(0.0)) / F.col(f"dimensions.{side}")))
+    left, top, right, bottom = at("top_left_x", "width"), at("top_left_y", "height"), at("bottom_right_x", "width"), at("bottom_right_y", "height")
+    return rows.select(*keep, "kind", F.col("pos").cast("long").alias("pos"), "b.type", "b.content", "b.confidence", F.least(left, right).alias("x"), F.least(top, bottom).alias("y"), F.abs(right - left).alias("width"), F.abs(bottom - top).alias("height"))
+
+
 def markdown_layout(docs: DataFrame, key: str, text_col: str) -> DataFrame:
     """A stand-in layout for plain text: its n non-empty lines spread evenly down the page."""
     lines = F.filter(F.transform(F.split(text_col, "\n"), F.trim), lambda s: s != "")
