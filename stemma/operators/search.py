@@ -14,6 +14,8 @@ from ..functions.scores import cosine, dot, norm
 MOST_BROADCAST = 20_000
 #: Rows and bytes that the centres of an index are fitted on.
 SAMPLE_ROWS, SAMPLE_BYTES = 20_000, 64 << 20
+#: Sampled vectors that each list of an index stands for at least, and queries that the number of lists to look into is measured on.
+LEAST_PER_LIST, MEASURED_QUERIES = 39, 200
 #: Distinct words whose tokens a task keeps at once.
 MOST_WORDS = 100_000
 
@@ -76,7 +78,7 @@ def fit_centres(vectors: DataFrame, lists: int = 100, *, id_col: str = "vec_id",
         return np.zeros((0, 0))
     some = vectors.where(F.size(vec_col) == dim).select(F.col(vec_col).cast("array<double>").alias("v"), F.xxhash64(id_col).alias("h")).orderBy("h").limit(min(SAMPLE_ROWS, SAMPLE_BYTES // (8 * dim)))
     m, _ = _matrix(some.toArrow().column("v").combine_chunks(), dim)
-    centres = m[np.linspace(0, len(m) - 1, min(lists, len(m))).astype(int)]
+    centres = m[np.linspace(0, len(m) - 1, min(lists, -(-len(m) // LEAST_PER_LIST))).astype(int)]
     for _ in range(rounds if len(m) else 0):
         at = np.argmax(m @ centres.T, axis=1)
         total = np.zeros_like(centres)
@@ -103,6 +105,20 @@ def index_vectors(vectors: DataFrame, centres: np.ndarray, *, id_col: str = "vec
     return base.mapInArrow(run, f"{id_col} {base.schema[id_col].dataType.simpleString()}, {vec_col} array<double>, list int")
 
 
+def measured_probes(indexed: DataFrame, queries: DataFrame, centres: np.ndarray, k: int | None = 5, *, recall: float = 0.95, id_col: str = "vec_id", vec_col: str = "embedding") -> int:
+    """The fewest lists to look into that give this share of the exact neighbours of MEASURED_QUERIES queries (those with the smallest hashes of their ids); all of them if nothing can be measured."""
+    some = queries.orderBy(F.xxhash64("query_id")).limit(MEASURED_QUERIES)
+    exact = search_index(indexed, some, centres, k, probes=max(1, len(centres)), id_col=id_col, vec_col=vec_col).select("query_id", id_col)
+    # at most k rows for each measured query
+    met = indexed.select(id_col, "list").join(F.broadcast(exact), id_col).join(F.broadcast(some), "query_id").select("list", F.col("query_vec").cast("array<double>").alias("q")).toArrow()
+    if not met.num_rows:
+        return max(1, len(centres))
+    q, rows = _matrix(met.column("q").combine_chunks(), centres.shape[1])
+    order = np.argsort(np.argsort(-(q @ centres.T), axis=1), axis=1)
+    place = np.sort(order[np.arange(len(q)), met.column("list").to_numpy()[rows]])
+    return int(place[max(0, int(np.ceil(recall * len(place))) - 1)]) + 1
+
+
 def search_index(indexed: DataFrame, queries: DataFrame, centres: np.ndarray, k: int | None = 5, *, probes: int = 16, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """Approximate top_k(): each query (query_id, query_vec) is compared with the vectors of its `probes` nearest lists.
 
