@@ -4,16 +4,19 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.scores import cosine, dot, norm
+from ..functions.scores import dot, norm
 
 #: Queries that are sent to all tasks at once; more are searched in blocks of about this many.
 MOST_BROADCAST = 20_000
 #: Rows and bytes that the centres of an index are fitted on.
 SAMPLE_ROWS, SAMPLE_BYTES = 20_000, 64 << 20
+#: Rows of a section that meet others in one task.
+PART_ROWS = 4_096
 #: Sampled vectors that each list of an index stands for at least, and queries that the number of lists to look into is measured on.
 LEAST_PER_LIST, MEASURED_QUERIES = 39, 200
 #: Distinct words whose tokens a task keeps at once.
@@ -59,12 +62,13 @@ def _search(vectors: DataFrame, queries: DataFrame, k: int, id_col: str, vec_col
 
 def _matrix(column: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
     """(unit vectors, which rows they are of): rows that are null, zero, of another length or not finite are left out."""
-    rows = [i for i, v in enumerate(column.to_pylist()) if v is not None and len(v) == dim and None not in v]
-    m = np.array(column.take(pa.array(rows, pa.int64())).flatten().to_numpy(zero_copy_only=False), float).reshape(len(rows), dim)
+    same = pc.fill_null(pc.equal(pc.list_value_length(column), dim), False)
+    rows = np.flatnonzero(same.to_numpy(zero_copy_only=False))
+    m = np.array(column.filter(same).flatten().to_numpy(zero_copy_only=False), float).reshape(len(rows), dim)
     top = np.abs(m).max(axis=1, initial=0.0)
     fine = np.isfinite(top) & (top > 0)
     m = m[fine] / top[fine, None]
-    return m / np.linalg.norm(m, axis=1, keepdims=True), np.array(rows, np.int64)[fine]
+    return m / np.linalg.norm(m, axis=1, keepdims=True), rows[fine]
 
 
 def fit_centres(vectors: DataFrame, lists: int = 100, *, id_col: str = "vec_id", vec_col: str = "embedding", rounds: int = 10) -> np.ndarray:
@@ -180,13 +184,43 @@ def _arrow_type(df: DataFrame, column: str) -> pa.DataType:
 
 
 def transfer_labels(vectors: DataFrame, labelled: Column, label_col: str, section_col: str, *, k: int = 3, least: float = 0.82, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
-    """For each row without a label, that of its most similar labelled one in its section among the k nearest of at least `least`."""
-    some = vectors.where(labelled).select(F.col(section_col), F.col(id_col).alias("from_id"), F.col(vec_col).alias("from_vec"), F.col(label_col).alias("found_label"))
-    open_ = vectors.where(~labelled).select(section_col, id_col, vec_col)
-    pairs = open_.join(some, section_col).select(id_col, "from_id", "found_label", cosine(F.col(vec_col), F.col("from_vec")).alias("similarity")).where(F.col("similarity") >= least)
-    order = W.partitionBy(id_col).orderBy(F.col("similarity").desc(), F.col("from_id"))
-    near = pairs.withColumn("n", F.row_number().over(order)).where(F.col("n") <= k)
-    return near.groupBy(id_col).agg(F.min_by("found_label", "n").alias("label"), F.max("similarity").alias("similarity"), F.count("*").alias("neighbours"))
+    """For each row without a label, that of its most similar labelled one in its section among the k nearest of at least `least`.
+
+    Both sides of a section are cut into parts of about PART_ROWS rows; each pair of parts meets in one task, which keeps k rows per open one, so a hot section is
+    many tasks and no pair is written. Similarities are compared to twelve places, ties go to the smaller id; vectors that are null, zero, not finite or of
+    another length are similar to nothing.
+    """
+    base = vectors.where(F.col(section_col).isNotNull()).select(F.col(section_col).alias("s"), F.col(id_col).alias("i"), F.col(vec_col).cast("array<double>").alias("v"), F.col(label_col).alias("l"), labelled.alias("has")).where("has is not null")
+    # one row a section
+    parts = base.groupBy("s").agg(*[F.greatest(F.lit(1), F.ceil(F.count_if(c) / PART_ROWS)).cast("int").alias(n) for n, c in (("open_parts", ~F.col("has")), ("some_parts", F.col("has")))])
+    rows = base.join(parts, "s")
+    of = lambda n: F.pmod(F.xxhash64("i"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    open_ = rows.where("not has").select("s", of("open_parts").alias("a"), every("some_parts").alias("b"), "i", "v")
+    some = rows.where("has").select(F.col("s").alias("s2"), every("open_parts").alias("a2"), of("some_parts").alias("b2"), F.col("i").alias("from_id"), F.col("v").alias("from_v"), F.col("l").alias("label"))
+
+    def meet(left: pa.Table, right: pa.Table) -> pa.Table:
+        lv, rv = left.column("v").combine_chunks(), right.column("from_v").combine_chunks()
+        ids, mine, theirs, sims = right.column("from_id"), [], [], []
+        for dim in filter(None, pc.unique(pc.list_value_length(lv)).to_pylist()):
+            (q, at), (m, of) = _matrix(lv, dim), _matrix(rv, dim)
+            rank = np.empty(len(of), np.int64)
+            rank[pc.array_sort_indices(ids.take(pa.array(of)).combine_chunks()).to_numpy()] = np.arange(len(of))
+            for lo in range(0, len(at), 512):
+                s = np.round(q[lo : lo + 512] @ m.T, 12)
+                for r, row in enumerate(s):
+                    good = np.flatnonzero(row >= least)
+                    good = good[np.lexsort((rank[good], -row[good]))[:k]]
+                    mine.append(np.full(len(good), at[lo + r])), theirs.append(of[good]), sims.append(row[good])
+        flat = lambda x, t: pa.array(np.concatenate(x) if x else np.zeros(0, t))
+        mine, theirs = flat(mine, np.int64), flat(theirs, np.int64)
+        return pa.table({"i": left.column("i").take(mine), "from_id": ids.take(theirs), "l": right.column("label").take(theirs), "similarity": flat(sims, float)})
+
+    kind = {f.name: f.dataType.simpleString() for f in base.schema}
+    near = open_.groupBy("s", "a", "b").cogroup(some.groupBy("s2", "a2", "b2")).applyInArrow(meet, f"i {kind['i']}, from_id {kind['i']}, l {kind['l']}, similarity double")
+    order = W.partitionBy("i").orderBy(F.col("similarity").desc(), F.col("from_id"))
+    best = near.withColumn("n", F.row_number().over(order)).where(F.col("n") <= k)
+    return best.groupBy(F.col("i").alias(id_col)).agg(F.min_by("l", "n").alias("label"), F.max("similarity").alias("similarity"), F.count("*").alias("neighbours"))
 
 
 def check_vectors(vectors: DataFrame, dim: int, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:

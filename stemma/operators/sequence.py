@@ -6,6 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+#: Rows that are sampled to cut an order into parts, and the cuts.
+CUT_SAMPLE, MOST_CUTS = 20_000, 200
+
 
 def number_flow(rows: DataFrame, group: str, page: str, number: str, order: list[str]) -> DataFrame:
     """Rows with what is odd about their number: status (OK, REVIEW, SUSPICIOUS, EXPECTED_BOOK_STRUCTURE), why, and the number before.
@@ -140,12 +143,33 @@ def round_robin(rows: DataFrame, strata: list[str], order: list, n: int) -> Data
     return turn.orderBy("__turn", *strata).limit(n).withColumnRenamed("__turn", "turn")
 
 
+def numbered(rows: DataFrame, keys: list[str], name: str) -> DataFrame:
+    """Rows that `keys` tell apart, numbered from 1 in their order, without all of them in one task.
+
+    The keys with the CUT_SAMPLE smallest hashes, which go to the driver, cut the order into at most MOST_CUTS + 1 parts; numbers are those in the part and the counts of the parts before.
+    """
+    some = sorted((tuple(r) for r in rows.select(*keys).orderBy(F.xxhash64(*keys)).limit(CUT_SAMPLE).collect() if None not in tuple(r)))
+    kinds = [rows.schema[k].dataType for k in keys]
+    cuts = [some[i * len(some) // (MOST_CUTS + 1)] for i in range(1, MOST_CUTS + 1)] if len(some) > MOST_CUTS else []
+    at = F.struct(*keys)
+    part = F.lit(0)
+    if cuts:
+        ends = F.array(*[F.struct(*[F.lit(v).cast(t).alias(k) for v, t, k in zip(c, kinds, keys, strict=True)]) for c in cuts])
+        part = F.size(F.filter(ends, lambda c: c <= at))
+    placed = rows.withColumn("__part", part)
+    # at most MOST_CUTS + 1 rows
+    counts = placed.groupBy("__part").count()
+    before = counts.select("__part", (F.sum("count").over(W.orderBy("__part")) - F.col("count")).alias("__before"))
+    own = F.row_number().over(W.partitionBy("__part").orderBy(*keys))
+    return placed.withColumn("__own", own).join(F.broadcast(before), "__part").withColumn(name, (F.col("__own") + F.col("__before")).cast("long")).drop("__part", "__own", "__before")
+
+
 def hold_out(rows: DataFrame, keys: list[str], every: int = 5, *, start: int | None = None, badge: str | None = None, need: tuple[str, ...] = ("LOW_BADGE", "HIGH_BADGE"), order: list[str] | None = None) -> DataFrame:
     """Rows with a split: whole groups go one way, every fifth in the order of their keys to HOLDOUT, from group number `start` on (the fifth if none is given).
 
     badge: a column of classes; of each in `need` that HOLDOUT lacks, the first row of TRAIN by group and `order`, which tells rows apart, goes there too.
     """
-    groups = rows.select(*keys).distinct().withColumn("__g", F.dense_rank().over(W.orderBy(*keys)))
+    groups = numbered(rows.select(*keys).distinct(), keys, "__g")
     held = F.pmod(F.col("__g") - (every if start is None else start), F.lit(every)) == 0
     out = rows.join(groups, keys).withColumn("split", F.when(held, "HOLDOUT").otherwise("TRAIN"))
     if badge is None:

@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.scores import rate
+from .sequence import numbered
 
 
 def census(rows: DataFrame, reasons: str, policy: Sequence[str] = ()) -> DataFrame:
@@ -120,9 +121,9 @@ def cost_rollup(rows: DataFrame, text: str, *, usd_per_million: float = 0.1, cap
 
 
 def capped_plan(rows: DataFrame, order: list[str], price: float, calls: int, usd: float) -> DataFrame:
-    """Rows in order with the running cost, and whether calls and money last for them. One ordered pass: a plan is small (pages of a book)."""
-    n = F.row_number().over(W.orderBy(*order))
-    return rows.withColumn("call", n.cast("long")).withColumn("cost", F.round(F.col("call") * price, 6)).withColumn("planned", (F.col("call") <= calls) & (F.col("cost") <= usd))
+    """Rows, which `order` tells apart, in that order with the running cost, and whether calls and money last for them."""
+    out = numbered(rows, order, "call").withColumn("cost", F.round(F.col("call") * price, 6))
+    return out.withColumn("planned", (F.col("call") <= calls) & (F.col("cost") <= usd))
 
 
 def assert_counts(rows: DataFrame, **expected: Column) -> DataFrame:

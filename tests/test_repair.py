@@ -12,6 +12,7 @@ from stemma.functions import repair as X
 from stemma.operators import kernels as K
 from stemma.operators import repair as R
 from stemma.operators import search as S
+from stemma.operators import sequence as Q
 from stemma.operators.dedup import CLASS_ORDER, pick_decision
 from stemma.sources.files import provider_layout
 
@@ -151,3 +152,31 @@ def test_word_errors_and_decisions(spark):
     assert [r[0] for r in rows.select(K.word_error_rate("h", "t")).collect()] == [0.5, 0.0, 1.0, 1.0]
     kinds = spark.createDataFrame([(1, CLASS_ORDER[1]), (1, CLASS_ORDER[0]), (2, "other"), (2, CLASS_ORDER[-1]), (3, "other")], "item long, kind string")
     assert {tuple(r) for r in pick_decision(kinds, "item").collect()} == {(1, CLASS_ORDER[0]), (2, CLASS_ORDER[-1]), (3, "other")}
+
+
+def test_numbers_without_one_task(spark, monkeypatch):
+    rows = spark.createDataFrame([(w, i) for w in ["b", "a", None, "é", "z"] for i in (3, 1, 2)], "w string, n long")
+    key = lambda r: (r.w is not None, (r.w or "").encode(), r.n)
+    want = [(r.w, r.n) for r in sorted(rows.collect(), key=key)]
+    for most in (200, 3):
+        monkeypatch.setattr(Q, "MOST_CUTS", most)
+        got = {r.at: (r.w, r.n) for r in Q.numbered(rows, ["w", "n"], "at").collect()}
+        assert [got[i] for i in range(1, 16)] == want and len(got) == 15
+    assert Q.numbered(rows.limit(0), ["w", "n"], "at").count() == 0
+
+
+def test_labels_in_parts(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    rows = [(i, int(i % 3 == 0), f"L{i % 4}" if i % 5 else None, [float(x) for x in rng.integers(-2, 3, 4)]) for i in range(120)] + [(900, 0, None, None), (901, 0, "L1", [float("nan")] * 4), (902, None, "L1", [1.0] * 4), (903, 0, "L1", [1.0])]
+    v = spark.createDataFrame(rows, "vec_id long, label long, kind string, embedding array<double>")
+    cos = lambda a, b: float(np.dot(a, b) / np.linalg.norm(a) / np.linalg.norm(b)) if np.any(a) and np.any(b) else -1.0
+    want = {}
+    for i, s, k, e in rows[:120]:
+        if k is None:
+            near = sorted((-round(cos(e, f), 12), j, m) for j, t, m, f in rows[:120] if m is not None and t == s and round(cos(e, f), 12) >= 0.5)[:3]
+            if near:
+                want[i] = (near[0][2], round(-near[0][0], 9), len(near))
+    for part in (4096, 7):
+        monkeypatch.setattr(S, "PART_ROWS", part)
+        got = {r.vec_id: (r.label, round(r.similarity, 9), r.neighbours) for r in S.transfer_labels(v, F.col("kind").isNotNull(), "kind", "label", least=0.5).collect()}
+        assert got == want
