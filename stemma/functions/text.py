@@ -165,3 +165,13 @@ def compose_stem(shared: Column, own: Column) -> Column:
     """A shared prompt in front of an item's own text, unless it is there already."""
     blank = F.trim(F.coalesce(shared, F.lit(""))) == ""
     return F.when(blank, own).when(F.contains(squeeze(own), squeeze(shared)), own).otherwise(F.concat(F.trim(shared), F.lit("\n"), own))
+
+
+def script_only(text: Column, letters: str = "가-힣") -> Column:
+    """What is left of a text of letters in one range, Hangul syllables if none is given."""
+    return F.regexp_replace(text, f"[^{letters}]", "")
+
+
+def core_title(title: Column) -> Column:
+    """A type's title without its word and number in front."""
+    return F.trim(F.regexp_replace(title, r"^유형\s*\d+\s*", ""))

@@ -1,3 +1,3 @@
 """Queries by topic; importing this package registers all of them."""
 
-from . import dedup, kernels, mathtext, plans, relational, repair, review, rules, search, sequence, spatial, stats, text  # noqa: F401
+from . import dedup, kernels, mathtext, plans, relational, repair, review, rules, search, sequence, spatial, stats, text, workflow  # noqa: F401
