@@ -151,3 +151,61 @@ def review_decision(e: Mapping[str, Column]) -> Column:
         ],
         human,
     )
+
+
+#: The least confidence of a detected figure, owners that are sure, and boxes that spoil it.
+FIGURE_DETECTED = 0.7
+SURE_OWNERS, SPOILT_BOXES = ("SINGLE_OWNER_HIGH", "SHARED_OWNER_HIGH"), ("MAJOR_CUT", "WRONG_REGION")
+
+
+def figure_safe(e: Mapping[str, Column]) -> Column:
+    """struct(safe, failed) of a figure that is kept without review. e: identity_stable, boundary_safe, confidence, crop, ownership, required_complete, neighbour_figure, shared_unresolved, choices_safe, box_quality, owner_correct."""
+    return all_hold(
+        {
+            "IDENTITY": e["identity_stable"],
+            "BOUNDARY": e["boundary_safe"],
+            "DETECTION": e["confidence"] >= FIGURE_DETECTED,
+            "CROP": e["crop"] == "FIGURE_CROP_SAFE",
+            "OWNERSHIP": e["ownership"].isin(*SURE_OWNERS),
+            "INCOMPLETE": e["required_complete"],
+            "NEIGHBOUR": ~e["neighbour_figure"],
+            "SHARED": ~e["shared_unresolved"],
+            "CHOICES": e["choices_safe"],
+            "BOX": ~e["box_quality"].isin(*SPOILT_BOXES),
+            "OWNER": e["owner_correct"],
+        }
+    )
+
+
+def figure_reason(e: Mapping[str, Column]) -> Column:
+    """Why a person should look at a figure. e: detected, formula, table_confusion, box_quality, crop, ownership, sidebar; unknown ones do not hold, but for detected."""
+    return decide(
+        [
+            (~F.coalesce(e["detected"], F.lit(False)), "FIGURE_NOT_DETECTED", "DETECTED"),
+            (e["formula"], "FORMULA_FALSE_POSITIVE", "FORMULA"),
+            (e["table_confusion"], "TABLE_CONFUSION", "TABLE"),
+            (e["box_quality"] == "WRONG_REGION", "FIGURE_BBOX_UNCERTAIN", "BOX"),
+            ((e["box_quality"] == "MAJOR_CUT") | (e["crop"] == "FIGURE_CROP_UNSAFE"), "FIGURE_CUT_RISK", "CUT"),
+            (e["crop"] == "FIGURE_CROP_REVIEW", "LABEL_CUT_RISK", "CROP"),
+            (e["ownership"].isin("UNRESOLVED", "SINGLE_OWNER_REVIEW"), "FIGURE_OWNER_AMBIGUOUS", "OWNER"),
+            (e["ownership"] == "SHARED_OWNER_REVIEW", "SHARED_OWNER_AMBIGUOUS", "SHARED"),
+            (e["sidebar"], "SIDEBAR_FIGURE", "SIDEBAR"),
+        ],
+        "OTHER",
+    )["verdict"]
+
+
+def pipeline_status(e: Mapping[str, Column], least_choices: int = 5) -> Column:
+    """struct(status, complete, warnings) of a recognised item. e: crop_safe, number_ok, has_stem, expects_choices, choices, expects_figure, figures, conflicts; what is unknown is not fine."""
+    fine = {k: F.coalesce(e[k], F.lit(False)) for k in ("crop_safe", "number_ok", "has_stem")}
+    lacks = lambda expected, n, least: F.coalesce(expected, F.lit(False)) & (F.coalesce(n, F.lit(0)) < least)
+    faults = {
+        "crop_not_safe": ~fine["crop_safe"],
+        "stem_missing": ~fine["has_stem"],
+        "missing_choice": lacks(e["expects_choices"], e["choices"], least_choices),
+        "missing_figure": lacks(e["expects_figure"], e["figures"], 1),
+        "OCR_CONFLICT": F.coalesce(e["conflicts"], F.lit(0)) > 0,
+    }
+    complete = fine["number_ok"] & fine["has_stem"] & ~faults["missing_choice"] & ~faults["missing_figure"]
+    warnings = F.array_compact(F.array(*[F.when(c, F.lit(n)) for n, c in faults.items()]))
+    return F.struct(F.when(complete & (F.size(warnings) == 0), "DRAFT").otherwise("PIPELINE_REVIEW").alias("status"), complete.alias("complete"), warnings.alias("warnings"))
