@@ -209,3 +209,40 @@ def pipeline_status(e: Mapping[str, Column], least_choices: int = 5) -> Column:
     complete = fine["number_ok"] & fine["has_stem"] & ~faults["missing_choice"] & ~faults["missing_figure"]
     warnings = F.array_compact(F.array(*[F.when(c, F.lit(n)) for n, c in faults.items()]))
     return F.struct(F.when(complete & (F.size(warnings) == 0), "DRAFT").otherwise("PIPELINE_REVIEW").alias("status"), complete.alias("complete"), warnings.alias("warnings"))
+
+
+#: How sure a unit and a type are, by what the heading above and the text itself say, and a key point that is known.
+UNIT_SURE = {"both": 0.96, "heading": 0.88, "content": 0.55, "neither": 0.35, "conflict": 0.2}
+TYPE_SURE = {"both": 0.92, "heading": 0.8, "content": 0.62, "neither": 0.3, "conflict": 0.48}
+KEY_POINT_SURE, KEY_POINT_OPEN = 0.82, 0.2
+
+
+def _evidence(heading: Column, content: Column) -> Column:
+    return F.when(heading.isNull() & content.isNull(), "neither").when(content.isNull(), "heading").when(heading.isNull(), "content").when(heading == content, "both").otherwise("conflict")
+
+
+def draft_class(e: Mapping[str, Column], least_unit: float, least_type: float, least_difficulty: float) -> Column:
+    """struct(unit, unit_confidence, type, type_confidence, key_point_confidence, unit_auto, type_auto, difficulty_auto, auto, reasons) of a first classification.
+
+    e: heading_unit, content_unit, heading_type, content_type, key_point, difficulty (its confidence). The heading gives the unit unless the text says otherwise, the text the type
+    unless only the heading does. Each is automatic where sure enough and not in conflict (unit) or unclear (type); the whole where unit and type are.
+    """
+    unit_by, type_by = _evidence(e["heading_unit"], e["content_unit"]), _evidence(e["heading_type"], e["content_type"])
+    sure = lambda by, table: F.element_at(F.create_map(*[F.lit(x) for kv in table.items() for x in kv]), by)
+    known = F.coalesce(e["key_point"] != "REVIEW", F.lit(False))
+    unit_sure, type_sure = sure(unit_by, UNIT_SURE), sure(type_by, TYPE_SURE)
+    unit_auto = (unit_sure >= least_unit) & (unit_by != "conflict")
+    type_auto = (type_sure >= least_type) & (type_by != "neither")
+    faults = {"UNIT_CONFLICT": unit_by == "conflict", "TYPE_FROM_STEM_ONLY": type_by == "content", "TYPE_HEADING_STEM_MISMATCH": type_by == "conflict", "TYPE_UNCLEAR": type_by == "neither", "KEY_POINT_REVIEW": ~known}
+    return F.struct(
+        F.coalesce(e["content_unit"], e["heading_unit"]).alias("unit"),
+        unit_sure.alias("unit_confidence"),
+        F.coalesce(e["content_type"], e["heading_type"], F.lit("TYPE_UNCLEAR")).alias("type"),
+        type_sure.alias("type_confidence"),
+        F.when(known, KEY_POINT_SURE).otherwise(KEY_POINT_OPEN).alias("key_point_confidence"),
+        unit_auto.alias("unit_auto"),
+        type_auto.alias("type_auto"),
+        F.coalesce(e["difficulty"] >= least_difficulty, F.lit(False)).alias("difficulty_auto"),
+        (unit_auto & type_auto).alias("auto"),
+        F.array_compact(F.array(*[F.when(c, F.lit(n)) for n, c in faults.items()])).alias("reasons"),
+    )

@@ -89,3 +89,35 @@ def rate_judgements(rows: DataFrame, group: str, given: Column, truth: Column, s
     judged = tags(CORRECT=given == truth, WRONG=given != truth, AMBIGUOUS=truth.isNull(), MISSING=truth.isNotNull() & given.isNull())[0]
     out = rows.select(group, judged.alias("__j"), F.coalesce(sure, F.lit(False)).alias("__s")).groupBy(group).agg(*[F.count_if(F.col("__j") == n).alias(n.lower()) for n in ("CORRECT", "WRONG", "AMBIGUOUS", "MISSING")], F.count_if((F.col("__j") == "WRONG") & F.col("__s")).alias("sure_wrong"))
     return out.withColumn("right", F.when(F.col("correct") + F.col("wrong") > 0, F.round(F.col("correct") / (F.col("correct") + F.col("wrong")), 6)))
+
+
+def transitions(asked: DataFrame, versions: DataFrame, items: DataFrame) -> DataFrame:
+    """What requests (item, version, kind, note, gate) do: (item, version, kind, error, version_status, current_version, item_status, lifecycle), the states as they are afterwards.
+
+    versions: item, version, review_status; items: item, current_version, review_status, lifecycle. SUBMIT, VERIFY and REJECT move a version, and its item too where it is
+    current or verified; ARCHIVE and RESTORE move an item. A request with an error, or of another kind (UNKNOWN_KIND), changes nothing. Each is judged on the tables given.
+    """
+    v = versions.select("item", "version", F.col("review_status").alias("__v"), F.lit(True).alias("__there"))
+    i = items.select("item", F.col("current_version").alias("__cur"), F.col("review_status").alias("__i"), F.col("lifecycle").alias("__life"))
+    met = asked.join(v, ["item", "version"], "left").join(i, "item", "left")
+    kind, c = F.col("kind"), F.col
+    archived = F.col("__life").eqNullSafe("ARCHIVED")
+    of_version = kind.isin("SUBMIT", "VERIFY", "REJECT")
+    error = (
+        F.when(~F.coalesce(of_version | kind.isin("ARCHIVE", "RESTORE"), F.lit(False)), "UNKNOWN_KIND")
+        .when((kind == "REJECT") & (F.trim(F.coalesce("note", F.lit(""))) == ""), "MISSING_NOTE")
+        .when(of_version & c("__there").isNull(), "MISSING_VERSION")
+        .when((kind == "SUBMIT") & (c("__v") == "VERIFIED"), "VERIFIED_LOCKED")
+        .when((kind == "VERIFY") & ~F.coalesce("gate", F.lit(False)), "GATE")
+        .when((kind == "ARCHIVE") & (archived | c("__life").isNull()), "MISSING_ITEM")
+        .when((kind == "RESTORE") & ~archived, "MISSING_ITEM")
+    )
+    judged = met.withColumn("error", error)
+    done = lambda *kinds: c("error").isNull() & kind.isin(*kinds)
+    status = F.when(done("SUBMIT"), "NEEDS_REVIEW").when(done("VERIFY"), "VERIFIED").when(done("REJECT"), "REJECTED")
+    follows = done("VERIFY") | (done("SUBMIT", "REJECT") & (c("__cur") == c("version")))
+    life = F.when(done("VERIFY"), "ACTIVE").when(done("ARCHIVE"), "ARCHIVED").when(done("RESTORE"), "DRAFT")
+    return judged.select(
+        "item", "version", "kind", "error", F.coalesce(status, "__v").alias("version_status"), F.when(done("VERIFY"), c("version")).otherwise(c("__cur")).alias("current_version"),
+        F.when(follows, status).otherwise(c("__i")).alias("item_status"), F.coalesce(life, "__life").alias("lifecycle"),
+    )

@@ -128,3 +128,16 @@ def source_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     short = F.col("n_chars") < 300
     h = table(spark, sf_dir, "documents").groupBy("source").agg(F.count_if(short).alias("hits"), F.countDistinct(F.when(short, F.col("doc_id") % 7)).alias("pages"))
     return h.select("source", "hits", U.label_confidence(F.col("hits"), F.col("pages")).alias("confidence"))
+
+
+@query("""WITH e AS (SELECT o_orderkey, CASE WHEN o_custkey % 4 > 0 THEN 'U' || o_custkey % 3 END AS hu, CASE WHEN o_orderkey % 3 > 0 THEN 'U' || o_orderkey % 2 END AS cu, CASE WHEN o_custkey % 5 > 1 THEN 'T' || o_custkey % 2 END AS ht, CASE WHEN o_orderkey % 7 > 2 THEN 'T' || o_orderkey % 2 END AS ct, o_custkey % 6 > 0 AS known, (o_orderkey % 10) / 10.0 AS d FROM orders),
+c AS (SELECT *, CASE WHEN hu <> cu THEN 0.2 WHEN hu = cu THEN 0.96 WHEN hu IS NOT NULL THEN 0.88 WHEN cu IS NOT NULL THEN 0.55 ELSE 0.35 END AS us, CASE WHEN ht <> ct THEN 0.48 WHEN ht = ct THEN 0.92 WHEN ht IS NOT NULL THEN 0.8 WHEN ct IS NOT NULL THEN 0.62 ELSE 0.3 END AS ts FROM e)
+SELECT o_orderkey, COALESCE(cu, hu) AS unit, CAST(us AS DOUBLE) AS unit_confidence, COALESCE(ct, ht, 'TYPE_UNCLEAR') AS type, CAST(ts AS DOUBLE) AS type_confidence, CAST(CASE WHEN known THEN 0.82 ELSE 0.2 END AS DOUBLE) AS key_point_confidence, us >= 0.5 AS unit_auto, ts >= 0.6 AS type_auto, d >= 0.5 AS difficulty_auto, us >= 0.5 AND ts >= 0.6 AS auto,
+  array_to_string(list_filter([CASE WHEN hu <> cu THEN 'UNIT_CONFLICT' END, CASE WHEN ht IS NULL AND ct IS NOT NULL THEN 'TYPE_FROM_STEM_ONLY' END, CASE WHEN ht <> ct THEN 'TYPE_HEADING_STEM_MISMATCH' END, CASE WHEN ht IS NULL AND ct IS NULL THEN 'TYPE_UNCLEAR' END, CASE WHEN NOT known THEN 'KEY_POINT_REVIEW' END], lambda x: x IS NOT NULL), ',') AS reasons FROM c""")
+def draft_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """First classifications by what headings and texts say, and which of them need review."""
+    o, c = F.col("o_orderkey"), F.col("o_custkey")
+    name = lambda letter, n: F.concat(F.lit(letter), n)
+    e = {"heading_unit": F.when(c % 4 > 0, name("U", c % 3)), "content_unit": F.when(o % 3 > 0, name("U", o % 2)), "heading_type": F.when(c % 5 > 1, name("T", c % 2)), "content_type": F.when(o % 7 > 2, name("T", o % 2)), "key_point": F.when(c % 6 > 0, "known").otherwise("REVIEW"), "difficulty": (o % 10) / 10.0}
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", U.draft_class(e, 0.5, 0.6, 0.5).alias("v")).select("o_orderkey", "v.*")
+    return rows.withColumn("reasons", F.array_join("reasons", ","))

@@ -124,3 +124,25 @@ def tree_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     tree = F.when(k == 0, '{"type":"doc","content":[{"type":"paragraph","content":[{"text":"a"}]},{"type":"heading","content":[{"text":"b"}]}]}').when(k == 1, F.concat(F.lit('{"content":[{"text":"'), "page_id", F.lit('"},{"text":"c"}]}'))).when(k == 2, "{}").otherwise("no json")
     title = F.when(k == 0, "유형 07 Sums").when(k == 1, "12 Sums").otherwise("유형3x")
     return table(spark, sf_dir, "pages").select("page_id", K.tree_text(tree).alias("text"), X.core_title(title).alias("core"))
+
+
+@query("""WITH a AS (SELECT DISTINCT l_partkey % 400 AS item, l_linenumber % 4 AS version, CASE WHEN (l_partkey + l_linenumber) % 6 = 0 THEN 'SUBMIT' WHEN (l_partkey + l_linenumber) % 6 = 1 THEN 'VERIFY' WHEN (l_partkey + l_linenumber) % 6 = 2 THEN 'REJECT' WHEN (l_partkey + l_linenumber) % 6 = 3 THEN 'ARCHIVE' WHEN (l_partkey + l_linenumber) % 6 = 4 THEN 'RESTORE' ELSE 'OTHER' END AS kind,
+  CASE WHEN l_partkey % 5 > 0 THEN ' no ' ELSE ' ' END AS note, l_partkey % 7 > 1 AS gate FROM lineitem),
+v AS (SELECT item, version, CASE (item + version) % 3 WHEN 0 THEN 'VERIFIED' WHEN 1 THEN 'AUTO_CLASSIFIED' ELSE 'NEEDS_REVIEW' END AS vs FROM (SELECT p_partkey AS item, unnest([1, 2]) AS version FROM part)),
+i AS (SELECT p_partkey AS item, p_partkey % 2 + 1 AS cur, CASE WHEN p_size % 2 = 0 THEN 'VERIFIED' ELSE 'NEEDS_REVIEW' END AS st, CASE WHEN p_partkey % 3 = 0 THEN 'ARCHIVED' WHEN p_partkey % 3 = 1 THEN 'ACTIVE' END AS life FROM part WHERE p_partkey % 10 <> 9),
+m AS (SELECT a.*, vs, cur, st, life, CASE kind WHEN 'SUBMIT' THEN CASE WHEN vs IS NULL THEN 'MISSING_VERSION' WHEN vs = 'VERIFIED' THEN 'VERIFIED_LOCKED' END WHEN 'VERIFY' THEN CASE WHEN vs IS NULL THEN 'MISSING_VERSION' WHEN NOT gate THEN 'GATE' END WHEN 'REJECT' THEN CASE WHEN trim(note) = '' THEN 'MISSING_NOTE' WHEN vs IS NULL THEN 'MISSING_VERSION' END
+  WHEN 'ARCHIVE' THEN CASE WHEN COALESCE(life, 'ARCHIVED') = 'ARCHIVED' THEN 'MISSING_ITEM' END WHEN 'RESTORE' THEN CASE WHEN life IS DISTINCT FROM 'ARCHIVED' THEN 'MISSING_ITEM' END ELSE 'UNKNOWN_KIND' END AS error FROM a LEFT JOIN v ON a.item = v.item AND a.version = v.version LEFT JOIN i ON a.item = i.item)
+SELECT item, version, kind, error, CASE WHEN error IS NULL AND kind = 'SUBMIT' THEN 'NEEDS_REVIEW' WHEN error IS NULL AND kind = 'VERIFY' THEN 'VERIFIED' WHEN error IS NULL AND kind = 'REJECT' THEN 'REJECTED' ELSE vs END AS version_status, CASE WHEN error IS NULL AND kind = 'VERIFY' THEN version ELSE cur END AS current_version,
+  CASE WHEN error IS NULL AND kind = 'VERIFY' THEN 'VERIFIED' WHEN error IS NULL AND kind = 'SUBMIT' AND cur = version THEN 'NEEDS_REVIEW' WHEN error IS NULL AND kind = 'REJECT' AND cur = version THEN 'REJECTED' ELSE st END AS item_status,
+  CASE WHEN error IS NOT NULL THEN life WHEN kind = 'VERIFY' THEN 'ACTIVE' WHEN kind = 'ARCHIVE' THEN 'ARCHIVED' WHEN kind = 'RESTORE' THEN 'DRAFT' ELSE life END AS lifecycle FROM m""")
+def status_transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requests to submit, verify, reject, archive and restore, and the states after each."""
+    k, n = F.col("l_partkey"), F.col("l_linenumber").cast("long")
+    kinds = F.array(*[F.lit(x) for x in ("SUBMIT", "VERIFY", "REJECT", "ARCHIVE", "RESTORE", "OTHER")])
+    asked = table(spark, sf_dir, "lineitem").select((k % 400).alias("item"), (n % 4).alias("version"), F.get(kinds, ((k + n) % 6).cast("int")).alias("kind"), F.when(k % 5 > 0, " no ").otherwise(" ").alias("note"), (k % 7 > 1).alias("gate")).distinct()
+    p, part = F.col("p_partkey"), table(spark, sf_dir, "part")
+    both = part.select(p.alias("item"), F.explode(F.array(F.lit(1).cast("long"), F.lit(2).cast("long"))).alias("version"))
+    s = (F.col("item") + F.col("version")) % 3
+    versions = both.withColumn("review_status", F.when(s == 0, "VERIFIED").when(s == 1, "AUTO_CLASSIFIED").otherwise("NEEDS_REVIEW"))
+    items = part.where("p_partkey % 10 <> 9").select(p.alias("item"), (p % 2 + 1).alias("current_version"), F.when(F.col("p_size") % 2 == 0, "VERIFIED").otherwise("NEEDS_REVIEW").alias("review_status"), F.when(p % 3 == 0, "ARCHIVED").when(p % 3 == 1, "ACTIVE").alias("lifecycle"))
+    return P.transitions(asked, versions, items)

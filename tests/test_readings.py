@@ -68,3 +68,26 @@ def test_gates_on_unknown_evidence(spark):
     assert tuple(one(spark, U.pipeline_status(none), x="")) == ("PIPELINE_REVIEW", False, ["crop_not_safe", "stem_missing"])
     fine = none | {n: F.lit(True) for n in ("crop_safe", "number_ok", "has_stem", "expects_choices")} | {"choices": F.lit(5)}
     assert tuple(one(spark, U.pipeline_status(fine), x="")) == ("DRAFT", True, [])
+
+
+def test_transitions(spark):
+    from stemma.operators.workflow import transitions
+
+    versions = spark.createDataFrame([(1, 1, "NEEDS_REVIEW"), (1, 2, "VERIFIED")], "item long, version long, review_status string")
+    items = spark.createDataFrame([(1, 2, "VERIFIED", "ARCHIVED"), (2, None, None, None)], "item long, current_version long, review_status string, lifecycle string")
+    kind = "item long, version long, kind string, note string, gate boolean"
+    cases = {
+        (1, 1, "SUBMIT", None, None): (None, "NEEDS_REVIEW", 2, "VERIFIED", "ARCHIVED"),
+        (1, 2, "SUBMIT", None, None): ("VERIFIED_LOCKED", "VERIFIED", 2, "VERIFIED", "ARCHIVED"),
+        (1, 1, "VERIFY", None, True): (None, "VERIFIED", 1, "VERIFIED", "ACTIVE"),
+        (1, 1, "VERIFY", None, None): ("GATE", "NEEDS_REVIEW", 2, "VERIFIED", "ARCHIVED"),
+        (1, 2, "REJECT", "why", None): (None, "REJECTED", 2, "REJECTED", "ARCHIVED"),
+        (1, 2, "REJECT", "  ", None): ("MISSING_NOTE", "VERIFIED", 2, "VERIFIED", "ARCHIVED"),
+        (1, None, "RESTORE", None, None): (None, None, 2, "VERIFIED", "DRAFT"),
+        (2, None, "ARCHIVE", None, None): ("MISSING_ITEM", None, None, None, None),
+        (3, 1, "SUBMIT", None, None): ("MISSING_VERSION", None, None, None, None),
+        (1, 1, None, None, None): ("UNKNOWN_KIND", "NEEDS_REVIEW", 2, "VERIFIED", "ARCHIVED"),
+    }
+    asked = spark.createDataFrame([(*k[:3], k[3], k[4]) for k in cases], kind).withColumn("note", F.col("note"))
+    got = {(r.item, r.version, r.kind, r.error): tuple(r)[3:] for r in transitions(asked, versions, items).collect()}
+    assert got == {(*k[:3], v[0]): v for k, v in cases.items()}
