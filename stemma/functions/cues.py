@@ -5,13 +5,22 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import bound, squeeze
+from .text import bound, squeeze, strip_leading_number
 
 #: A type's mark, its heading with a title, and words that speak of figures and tables.
 TYPE_MARK = r"유형\s*0?(\d{1,2})"
 TYPE_TITLE = r"유형\s*(\d{1,2})(?:\s*([가-힣]{2,16}))?"
 FIGURE_WORDS = r"(?i)그림|도형|그래프|figure|diagram"
 TABLE_WORDS = r"(?i)다음 표|표\s*\d|table"
+#: Words that ask for something, lines of a book's packaging, a page's reference to a type, a choice alone on its line, and subjects.
+ASKING = r"구하시오|하시오|고르시오|나타내시오|풀이하시오|푸시오|전개하시오|인수분해하시오|계산하시오|답하시오|말하시오|정리하시오|구하여라"
+PACKAGING_LINE = r"^(?:#\s*)?(?:유형\s*\d+|개념\s*\d+(?:\s*-\s*\d+)?|정답 및 풀이\s*\d+쪽|대표 문제|보기)\s*\z"
+TYPE_REFERENCE = r"^\d+쪽\s*유형\s*\d+"
+CHOICE_LINE = r"^(?:[①-⑳]|\d+)\s*\z"
+SUBJECTS = r"방정식|부등식|복소수|다항식|행렬|순열"
+EXAMPLE = "대표 문제"
+#: The most letters of an example's caption, of a reference to a type (one less) and of an atom.
+CAPTION_LETTERS, REFERENCE_LETTERS, ATOM_LETTERS = 24, 39, 16
 #: Fixed value: the greatest code of a type.
 LAST_TYPE = 26
 
@@ -51,3 +60,33 @@ def leading_index(text: Column) -> Column:
     """The number that a text begins with, white space apart: one to three digits and no more, not 01 to 09, at least 1; else null."""
     digits = F.regexp_extract(F.regexp_replace(text, r"\s+", ""), r"^\d+", 0)
     return F.when(F.length(digits).between(1, 3) & ~digits.rlike(r"^0\d\z") & (digits.cast("int") >= 1), digits)
+
+
+def _body(text: Column, number: str) -> Column:
+    """The text without its number in front, where it has one of that form, and white space around it."""
+    own = F.regexp_extract(text, number, 0)
+    return F.regexp_replace(F.when(own == "", text).otherwise(strip_leading_number(text, own)), r"^\s+|\s+\z", "")
+
+
+def packaging_only(text: Column) -> Column:
+    """Whether what leaked behind an item is a book's packaging: nothing but its number, captions, references to types, or a choice above a subject. Null for null."""
+
+    def judge(body: Column) -> Column:
+        lines = F.filter(F.transform(F.split(body, "\n"), lambda t: F.regexp_replace(t, r"^\s+|\s+\z", "")), lambda t: t != "")
+        packs = lambda t: t.rlike(PACKAGING_LINE) | t.rlike(TYPE_REFERENCE) | F.contains(t, F.lit(EXAMPLE))
+        caption = (F.length(body) <= CAPTION_LETTERS) & F.contains(body, F.lit(EXAMPLE)) & ~body.rlike(ASKING)
+        reference = (F.length(body) <= REFERENCE_LETTERS) & body.rlike(TYPE_REFERENCE)
+        choice = (F.size(lines) == 2) & F.coalesce(F.get(lines, F.lit(0)).rlike(CHOICE_LINE) & F.get(lines, F.lit(1)).rlike(SUBJECTS), F.lit(False))
+        return (body == "") | caption | reference | body.rlike(PACKAGING_LINE) | ((F.size(lines) <= 2) & F.forall(lines, packs)) | choice
+
+    return F.when(text.isNotNull(), bound(_body(text, r"\d{3,4}"), judge))
+
+
+def short_atom(text: Column) -> Column:
+    """Whether an item is a short expression that asks for nothing: 1 to 16 letters without number, TeX commands, signs of grouping and white space. False for null."""
+
+    def judge(body: Column) -> Column:
+        letters = F.length(F.regexp_replace(body, r"\$+|\\[a-zA-Z]+|[{}]|\s+", ""))
+        return letters.between(1, ATOM_LETTERS) & ~body.rlike(ASKING + "|다음 중|" + EXAMPLE)
+
+    return F.coalesce(bound(_body(text, r"^\d{3,4}"), judge), F.lit(False))

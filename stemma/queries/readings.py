@@ -142,3 +142,16 @@ def preflight_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
     sources = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("item"), F.col("s_nationkey").alias("document"), (F.col("s_suppkey") % 50).alias("page"), F.lit("1").alias("number"))
     profiles = table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("string").alias("type"), F.col("n_regionkey").cast("string").alias("unit"))
     return R.preflight(rows, problems, sources, profiles, F.lit(7)).select("item", F.array_join("reasons", ",").alias("reasons"))
+
+
+_LEAKS = ("0123", "0123 유형 07", "123. 대표 문제 3", "123 x를 구하시오 대표 문제", "12쪽 유형 3 덧셈", "①\n이차방정식", "0094 $x^2 + \\frac{1}{2}$", "유형 1\n보기")
+
+
+@query("WITH t AS (SELECT c_custkey, list_extract([" + ", ".join("'" + t.replace("\n", "' || chr(10) || '") + "'" for t in _LEAKS) + """], CAST(c_custkey % 9 + 1 AS INT)) AS text FROM customer), b AS (SELECT *, regexp_replace(text, '^\\d{3,4}[.)]?\\s*', '') AS body FROM t)
+SELECT c_custkey, body = '' OR (length(body) <= 24 AND contains(body, '대표 문제') AND NOT contains(body, '구하시오')) OR (length(body) < 40 AND regexp_matches(body, '^\\d+쪽\\s*유형\\s*\\d+')) OR (len(string_split(body, chr(10))) <= 2 AND len(list_filter(string_split(body, chr(10)), lambda x: NOT regexp_matches(x, '^(유형 \\d+|보기)$|^\\d+쪽\\s*유형\\s*\\d+|대표 문제'))) = 0)
+  OR regexp_matches(body, '^[①-⑳]\\n.*방정식') AS packaging, COALESCE(length(regexp_replace(body, '\\$+|\\\\[a-zA-Z]+|[{}]|\\s+', '', 'g')) BETWEEN 1 AND 16 AND NOT regexp_matches(body, '구하시오|대표 문제'), FALSE) AS atom FROM b""")
+def packaging_tests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What leaked behind items: packaging of the book, or short expressions."""
+    texts = F.array(*[F.lit(t) for t in _LEAKS])
+    rows = table(spark, sf_dir, "customer").select("c_custkey", F.get(texts, (F.col("c_custkey") % 9).cast("int")).alias("text"))
+    return rows.select("c_custkey", C.packaging_only(F.col("text")).alias("packaging"), C.short_atom(F.col("text")).alias("atom"))

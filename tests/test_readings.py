@@ -91,3 +91,11 @@ def test_transitions(spark):
     asked = spark.createDataFrame([(*k[:3], k[3], k[4]) for k in cases], kind).withColumn("note", F.col("note"))
     got = {(r.item, r.version, r.kind, r.error): tuple(r)[3:] for r in transitions(asked, versions, items).collect()}
     assert got == {(*k[:3], v[0]): v for k, v in cases.items()}
+
+
+def test_packaging_and_atoms(spark):
+    t = F.col("t")
+    for text, packs in {"": True, "0123": True, "# 유형 3": True, "12쪽 유형 3 x": True, "12쪽 유형 3 " + "x" * 40: True, "12쪽 유형 3\nx\n" + "x" * 40: False, "대표 문제\nx\ny": True, "대표 문제\nx\ny를 구하시오": False, "대표 문제 " + "x" * 40: True, "a\n대표 문제": True, "x\ny 대표 문제를 구하시오": False, "3\n행렬": True, "3\nx": False, None: None}.items():
+        assert one(spark, C.packaging_only(t), t=text) is packs, text
+    for text, atom in {"0094 $x^2$": True, "x" * 16: True, "x" * 17: False, "": False, "0094": False, "x를 구하시오": False, "다음 중 x": False, None: False}.items():
+        assert one(spark, C.short_atom(t), t=text) is atom, text
