@@ -108,11 +108,22 @@ def op10_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_tokens(spark, path).select("doc_id", "start", (F.octet_length("tokens") / 4).cast("long").alias("n_tokens"), F.crc32("tokens").alias("ids_crc32"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_chat_formatting, op2_decontamination, op3_substring_dedup, op4_simhash, op5_toxicity, op6_language_id, op7_quality, op8_embedding_dedup, op9_packing, op10_token_binary)}
+def op12_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages by five rules, and by what their aliases' rules say where none fits."""
+    from .urls import judge_urls
+
+    rules = spark.createDataFrame([("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block")], "host string, path string, verdict string")
+    return judge_urls(_read(spark, sf_dir, "pages"), rules).select("page_id", "host", "path", "rule", "verdict")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_chat_formatting, op2_decontamination, op3_substring_dedup, op4_simhash, op5_toxicity, op6_language_id, op7_quality, op8_embedding_dedup, op9_packing, op10_token_binary, op12_url_filters)}
 
 _LOW = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS = "regexp_extract_all({0}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
 
+_AFTER = "CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) END"
+_HOST, _PATH = f"regexp_extract({_AFTER}, '^[^/?#]*')", f"regexp_extract({_AFTER}, '^[^/?#]*([^?#]*)', 1)"
+
 #: DuckDB SQL for the queries that it can express. Fingerprints by XXH64, learned scores and tokenizers have none.
 ORACLE_SQL: dict[str, str] = {
     "op1_chat_formatting": r"""WITH t AS (SELECT conv_id, turn, COALESCE(role, '') AS role, COALESCE(text, '') AS text FROM conversations
@@ -140,4 +151,15 @@ l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec
 r AS (SELECT vec_id AS a, vec_id AS b FROM embeddings UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a),
 c AS (SELECT a, min(b) AS component_id FROM r GROUP BY a), n AS (SELECT a, count(*) AS n FROM l GROUP BY a)
 SELECT c.a AS vec_id, CAST(COALESCE(n.n, 0) AS BIGINT) AS n_links, component_id, c.a = component_id AS kept FROM c LEFT JOIN n ON c.a = n.a""",
+    "op12_url_filters": rf"""WITH RECURSIVE p AS (SELECT page_id, url, COALESCE({_LOW.format(_HOST)}, '') AS host, COALESCE({_PATH}, '') AS path FROM pages),
+r(h, q, v) AS (VALUES ('org', '/', 'allow'), ('example.org', '/es/', 'block'), ('example.org', '/en/1', 'block'), ('com', '/fr/', 'allow'), ('com', '/de/', 'block')),
+b AS (SELECT DISTINCT host, path, max_by(h || q, length(h || q)) AS rule, max_by(v, length(h || q)) AS v FROM (SELECT DISTINCT host, path FROM p), r WHERE ends_with('.' || host, '.' || h) AND starts_with(path, q) GROUP BY host, path),
+j AS (SELECT p.*, b.rule, b.v FROM p LEFT JOIN b USING (host, path)),
+f AS (SELECT url AS s, 'https://' || regexp_replace(regexp_replace(host, '^(www|m)\.([^.]*\.)', '\2'), '^(m|www)\.$', '\0') || regexp_replace(path, '(/index)?(\.html?|/)$', '')
+  || COALESCE('?' || NULLIF(array_to_string(list_filter(string_split(regexp_extract(url, '^[^?#]*\?([^#]*)', 1), '&'), lambda x: x <> '' AND NOT regexp_matches(x, '^(utm_[^=]*|ref|fbclid|gclid)(=|$)')), '&'), ''), '') AS t FROM p WHERE contains(url, '://')),
+x AS (SELECT url AS s, unnest(regexp_extract_all(html, '(?i)<link\s[^>]*rel="canonical"[^>]*>')) AS g FROM pages), e AS (SELECT s, t FROM f UNION SELECT s, regexp_extract(g, '(?i)href="([^"]*)"', 1) FROM x),
+w AS (SELECT s, t FROM e WHERE contains(t, '://') UNION SELECT t, s FROM e WHERE contains(t, '://')),
+c AS (SELECT url AS a, url AS b FROM pages WHERE url IS NOT NULL UNION SELECT c.a, w.t FROM c JOIN w ON c.b = w.s),
+d AS (SELECT a, min(v) AS v FROM c JOIN j ON j.url = c.b WHERE v IS NOT NULL GROUP BY a)
+SELECT page_id, host, path, rule, COALESCE(j.v, d.v, 'allow') AS verdict FROM j LEFT JOIN d ON j.url = d.a""",
 }
