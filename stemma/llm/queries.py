@@ -108,6 +108,26 @@ def op10_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_tokens(spark, path).select("doc_id", "start", (F.octet_length("tokens") / 4).cast("long").alias("n_tokens"), F.crc32("tokens").alias("ids_crc32"))
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations, damaged by a checksum of each row, and repaired."""
+    from .repair import repair_conversations
+
+    turns = _read(spark, sf_dir, "conversations")
+    space = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(" "))
+    fault = F.crc32(F.concat(space("conv_id"), F.lit(":"), space("turn"))) % 20
+    damaged = turns.select("conv_id", "turn", space("role").alias("role"), space("text").alias("text"), fault.alias("f")).where("f <> 0")
+    damaged = damaged.withColumn("text", F.when(F.col("f") == 1, "").when(F.col("f") == 2, F.translate("text", ".!?", "")).otherwise(F.col("text"))).withColumn("role", F.when(F.col("f") == 4, "user").otherwise(F.col("role")))
+    damaged = damaged.withColumn("_", F.explode(F.when(F.col("f") == 3, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))))
+    report, repaired = repair_conversations(damaged)
+    lines = F.transform(F.sort_array(F.collect_list(F.struct("pos", "place", F.concat("role", F.lit(":"), "text").alias("line")))), lambda x: x["line"])
+    texts = repaired.groupBy("conv_id").agg(F.sha2(F.array_join(lines, "\n"), 256).alias("repaired_sha256")).withColumnRenamed("conv_id", "c")
+    report = report.withColumnRenamed("conv_id", "r")
+    every = turns.select("conv_id").distinct()
+    found = every.join(report, F.col("conv_id").eqNullSafe(F.col("r")), "left").join(texts, F.col("conv_id").eqNullSafe(F.col("c")), "left")
+    longs = [F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    return found.select("conv_id", *longs, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"))
+
+
 def op12_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All pages by five rules, and by what their aliases' rules say where none fits."""
     from .urls import judge_urls
@@ -116,11 +136,13 @@ def op12_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(_read(spark, sf_dir, "pages"), rules).select("page_id", "host", "path", "rule", "verdict")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_chat_formatting, op2_decontamination, op3_substring_dedup, op4_simhash, op5_toxicity, op6_language_id, op7_quality, op8_embedding_dedup, op9_packing, op10_token_binary, op12_url_filters)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_chat_formatting, op2_decontamination, op3_substring_dedup, op4_simhash, op5_toxicity, op6_language_id, op7_quality, op8_embedding_dedup, op9_packing, op10_token_binary, op11_conversation_repair, op12_url_filters)}
 
 _LOW = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS = "regexp_extract_all({0}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
 
+#: CRC-32 of an ASCII string, bit by bit.
+_CRC = "xor(list_reduce(list_transform(string_split({0}, ''), lambda ch: CAST(ascii(ch) AS BIGINT)), lambda c, b: list_reduce(range(8), lambda r, i: xor(r >> 1, (r & 1) * 3988292384), xor(c, b)), CAST(4294967295 AS BIGINT)), 4294967295)"
 _AFTER = "CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) END"
 _HOST, _PATH = f"regexp_extract({_AFTER}, '^[^/?#]*')", f"regexp_extract({_AFTER}, '^[^/?#]*([^?#]*)', 1)"
 
@@ -151,6 +173,21 @@ l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec
 r AS (SELECT vec_id AS a, vec_id AS b FROM embeddings UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a),
 c AS (SELECT a, min(b) AS component_id FROM r GROUP BY a), n AS (SELECT a, count(*) AS n FROM l GROUP BY a)
 SELECT c.a AS vec_id, CAST(COALESCE(n.n, 0) AS BIGINT) AS n_links, component_id, c.a = component_id AS kept FROM c LEFT JOIN n ON c.a = n.a""",
+    "op11_conversation_repair": rf"""WITH RECURSIVE o AS (SELECT conv_id, turn, COALESCE(role, ' ') AS role, COALESCE(text, ' ') AS text, {_CRC.format("COALESCE(CAST(conv_id AS VARCHAR), ' ') || ':' || COALESCE(CAST(turn AS VARCHAR), ' ')")} % 20 AS f FROM conversations),
+d AS (SELECT conv_id, turn, CASE f WHEN 4 THEN 'user' ELSE role END AS role, CASE f WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text, unnest(range(CASE f WHEN 3 THEN 2 ELSE 1 END)) AS copy FROM o WHERE f <> 0),
+s AS (SELECT *, regexp_matches(text, '[^\x20\x09-\x0D]') AS said, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(text), copy) AS k FROM d),
+t AS (SELECT conv_id, turn, k, role, text, left(role, 1) AS i, NOT said AS blank, said AND row_number() OVER (PARTITION BY conv_id, role, text ORDER BY k) > 1 AS dup, said AND NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*$') AS cut, lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY k) AS before FROM s),
+g(a, r, z) AS (VALUES (0, 's', 1), (0, 'u', 2), (1, 'u', 2), (2, 'a', 3), (3, 'u', 2)),
+c(f, a, cost, lab, ins) AS (VALUES (0, 0, 0, '', []), (0, 2, 3, 'I', ['user:']), (0, 3, 6, 'II', ['user:', 'assistant:']), (1, 1, 0, '', []), (1, 2, 3, 'I', ['user:']), (1, 3, 6, 'II', ['user:', 'assistant:']), (2, 2, 0, '', []), (2, 3, 3, 'I', ['assistant:']), (3, 3, 0, '', []), (3, 2, 3, 'I', ['user:'])),
+x AS (SELECT f, a AS z, 'D' AS e, NULL AS r, cost + 4 AS cost, lab || 'D' AS lab, ins FROM c UNION ALL SELECT f, z, 'K', r, cost, lab || 'K', ins FROM c JOIN g USING (a) UNION ALL SELECT f, z, 'R', r, cost + 3, lab || 'R', ins FROM c JOIN g USING (a) WHERE r <> 's'),
+w(conv_id, k, z, cost, lab, lines) AS (SELECT DISTINCT conv_id, CAST(0 AS BIGINT), 0, CAST(0 AS BIGINT), '', CAST([] AS VARCHAR[]) FROM t UNION ALL
+SELECT conv_id, k, z, min(cost), arg_min(lab, (cost, lab)), arg_min(lines, (cost, lab)) FROM (SELECT t.conv_id, t.k, x.z, w.cost + x.cost + CASE WHEN x.e <> 'D' AND t.cut AND NOT t.dup THEN 3 ELSE 0 END AS cost, w.lab || x.lab AS lab,
+    list_concat(w.lines, list_concat(x.ins, CASE x.e WHEN 'D' THEN [] WHEN 'K' THEN [t.role || ':' || t.text] ELSE [CASE x.r WHEN 'u' THEN 'user:' ELSE 'assistant:' END || t.text] END)) AS lines
+  FROM w JOIN t ON t.conv_id IS NOT DISTINCT FROM w.conv_id AND t.k = w.k + 1 JOIN x ON x.f = w.z AND (x.e = 'D' OR NOT (t.blank OR t.dup) AND (x.e = 'R' OR x.r = t.i))) GROUP BY conv_id, k, z),
+n AS (SELECT conv_id, max(k) AS n, COALESCE(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (blank) AS blank, count(*) FILTER (dup) AS dup, count(*) FILTER (cut AND NOT dup) AS cut, count(*) FILTER (k > 1 AND before || i NOT IN ('su', 'ua', 'au')) AS illegal FROM t GROUP BY conv_id),
+b AS (SELECT w.conv_id, min(w.cost + c.cost) AS cost, arg_min(w.lab || c.lab, (w.cost + c.cost, w.lab || c.lab)) AS lab, arg_min(list_concat(w.lines, c.ins), (w.cost + c.cost, w.lab || c.lab)) AS lines FROM w JOIN n ON n.conv_id IS NOT DISTINCT FROM w.conv_id AND n.n = w.k JOIN c ON c.f = w.z AND c.a IN (0, 3) GROUP BY w.conv_id)
+SELECT a.conv_id, CAST(COALESCE(n.gaps, 0) AS BIGINT) AS gaps, COALESCE(n.blank, 0) AS blank, COALESCE(n.dup, 0) AS duplicate, COALESCE(n.cut, 0) AS truncated, COALESCE(n.illegal, 0) AS illegal, CAST(COALESCE(b.cost, 0) AS BIGINT) AS cost, COALESCE(b.lab, '') AS audit, sha256(COALESCE(array_to_string(b.lines, chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) a LEFT JOIN n ON n.conv_id IS NOT DISTINCT FROM a.conv_id LEFT JOIN b ON b.conv_id IS NOT DISTINCT FROM a.conv_id""",
     "op12_url_filters": rf"""WITH RECURSIVE p AS (SELECT page_id, url, COALESCE({_LOW.format(_HOST)}, '') AS host, COALESCE({_PATH}, '') AS path FROM pages),
 r(h, q, v) AS (VALUES ('org', '/', 'allow'), ('example.org', '/es/', 'block'), ('example.org', '/en/1', 'block'), ('com', '/fr/', 'allow'), ('com', '/de/', 'block')),
 b AS (SELECT DISTINCT host, path, max_by(h || q, length(h || q)) AS rule, max_by(v, length(h || q)) AS v FROM (SELECT DISTINCT host, path FROM p), r WHERE ends_with('.' || host, '.' || h) AND starts_with(path, q) GROUP BY host, path),
