@@ -136,7 +136,15 @@ def op12_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(_read(spark, sf_dir, "pages"), rules).select("page_id", "host", "path", "rule", "verdict")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_chat_formatting, op2_decontamination, op3_substring_dedup, op4_simhash, op5_toxicity, op6_language_id, op7_quality, op8_embedding_dedup, op9_packing, op10_token_binary, op11_conversation_repair, op12_url_filters)}
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of all documents, some damaged by a checksum, grouped by near words."""
+    from .spelling import count_words, damaged, group_variants
+
+    counted = count_words(_read(spark, sf_dir, "documents"), least=7, change=damaged)
+    return group_variants(counted.where("n >= 2"), share=10)
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_chat_formatting, op2_decontamination, op3_substring_dedup, op4_simhash, op5_toxicity, op6_language_id, op7_quality, op8_embedding_dedup, op9_packing, op10_token_binary, op11_conversation_repair, op12_url_filters, op13_spelling_variants)}
 
 _LOW = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS = "regexp_extract_all({0}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
@@ -190,13 +198,23 @@ SELECT a.conv_id, CAST(COALESCE(n.gaps, 0) AS BIGINT) AS gaps, COALESCE(n.blank,
 FROM (SELECT DISTINCT conv_id FROM conversations) a LEFT JOIN n ON n.conv_id IS NOT DISTINCT FROM a.conv_id LEFT JOIN b ON b.conv_id IS NOT DISTINCT FROM a.conv_id""",
     "op12_url_filters": rf"""WITH RECURSIVE p AS (SELECT page_id, url, COALESCE({_LOW.format(_HOST)}, '') AS host, COALESCE({_PATH}, '') AS path FROM pages),
 r(h, q, v) AS (VALUES ('org', '/', 'allow'), ('example.org', '/es/', 'block'), ('example.org', '/en/1', 'block'), ('com', '/fr/', 'allow'), ('com', '/de/', 'block')),
-b AS (SELECT DISTINCT host, path, max_by(h || q, length(h || q)) AS rule, max_by(v, length(h || q)) AS v FROM (SELECT DISTINCT host, path FROM p), r WHERE ends_with('.' || host, '.' || h) AND starts_with(path, q) GROUP BY host, path),
-j AS (SELECT p.*, b.rule, b.v FROM p LEFT JOIN b USING (host, path)),
 f AS (SELECT url AS s, 'https://' || regexp_replace(regexp_replace(host, '^(www|m)\.([^.]*\.)', '\2'), '^(m|www)\.$', '\0') || regexp_replace(path, '(/index)?(\.html?|/)$', '')
   || COALESCE('?' || NULLIF(array_to_string(list_filter(string_split(regexp_extract(url, '^[^?#]*\?([^#]*)', 1), '&'), lambda x: x <> '' AND NOT regexp_matches(x, '^(utm_[^=]*|ref|fbclid|gclid)(=|$)')), '&'), ''), '') AS t FROM p WHERE contains(url, '://')),
 x AS (SELECT url AS s, unnest(regexp_extract_all(html, '(?i)<link\s[^>]*rel="canonical"[^>]*>')) AS g FROM pages), e AS (SELECT s, t FROM f UNION SELECT s, regexp_extract(g, '(?i)href="([^"]*)"', 1) FROM x),
 w AS (SELECT s, t FROM e WHERE contains(t, '://') UNION SELECT t, s FROM e WHERE contains(t, '://')),
 c AS (SELECT url AS a, url AS b FROM pages WHERE url IS NOT NULL UNION SELECT c.a, w.t FROM c JOIN w ON c.b = w.s),
-d AS (SELECT a, min(v) AS v FROM c JOIN j ON j.url = c.b WHERE v IS NOT NULL GROUP BY a)
-SELECT page_id, host, path, rule, COALESCE(j.v, d.v, 'allow') AS verdict FROM j LEFT JOIN d ON j.url = d.a""",
+n AS (SELECT url, COALESCE({_LOW.format(_HOST)}, '') AS host, COALESCE({_PATH}, '') AS path FROM (SELECT DISTINCT b AS url FROM c)),
+b AS (SELECT url, max_by(h || q, length(h || q)) AS rule, max_by(v, length(h || q)) AS v FROM n, r WHERE ends_with('.' || host, '.' || h) AND starts_with(path, q) GROUP BY url),
+d AS (SELECT a, min(v) AS v FROM c JOIN b ON b.url = c.b GROUP BY a)
+SELECT page_id, host, path, rule, COALESCE(b.v, d.v, 'allow') AS verdict FROM p LEFT JOIN b ON p.url = b.url LEFT JOIN d ON p.url = d.a""",
+    "op13_spelling_variants": rf"""WITH RECURSIVE r AS (SELECT COALESCE(CAST(doc_id AS VARCHAR), '') || ':' AS d, {_LOW.format("w")} AS w, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z\x{{00C0}}-\x{{00FF}}]+')) AS w FROM documents) WHERE length(w) >= 7 GROUP BY ALL),
+t AS (SELECT list(c) AS t FROM (SELECT list_reduce(range(8), lambda r, i: xor(r >> 1, (r & 1) * 3988292384), b) AS c FROM range(256) x(b) ORDER BY b)),
+u AS (SELECT w, n, xor(list_reduce(list_transform(range(octet_length(encode(d || w))), lambda i: CAST('0x' || substr(hex(encode(d || w)), 2 * i + 1, 2) AS BIGINT)), lambda c, b: xor(c >> 8, t.t[xor(c & 255, b) + 1]), CAST(4294967295 AS BIGINT)), 4294967295) AS h FROM r, t),
+v AS (SELECT CASE WHEN h % 31 = 0 THEN left(w, h % length(w)) || substr(w, h % length(w) + 2) ELSE w END AS w, CAST(sum(n) AS BIGINT) AS n FROM u GROUP BY 1 HAVING length(w) >= 7 AND sum(n) >= 2),
+k AS (SELECT w, n, i, left(w, i) || substr(w, i + 2) AS k FROM (SELECT w, n, unnest(range(length(w))) AS i FROM v)),
+p AS (SELECT a.w, b.w AS o, b.n FROM k a JOIN k b ON a.k = b.k AND a.i = b.i AND a.w <> b.w UNION SELECT k.w, v.w, v.n FROM k JOIN v ON k.k = v.w UNION SELECT v.w, k.w, k.n FROM k JOIN v ON k.k = v.w),
+b AS (SELECT w, count(*) AS n_near, arg_max(o, (n, -o_rank)) AS o, max(n) AS o_n FROM (SELECT *, row_number() OVER (ORDER BY o) AS o_rank FROM p) GROUP BY w),
+f AS (SELECT v.w, v.n, COALESCE(n_near, 0) AS n_near, CASE WHEN o_n >= 10 * v.n THEN o END AS form, CASE WHEN o_n >= 10 * v.n THEN o_n END AS form_n FROM v LEFT JOIN b USING (w)),
+c AS (SELECT w, w AS top, 0 AS k FROM f UNION ALL SELECT c.w, f.form, k + 1 FROM c JOIN f ON c.top = f.w WHERE f.form IS NOT NULL)
+SELECT f.w AS word, form, arg_max(top, k) AS root, n, n_near, form_n FROM f JOIN c ON f.w = c.w GROUP BY f.w, form, n, n_near, form_n""",
 }

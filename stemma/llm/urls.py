@@ -111,7 +111,7 @@ def judge_urls(pages: DataFrame, rules: DataFrame, url_col: str = "url", html_co
 
     A url's own rule decides, if one fits (see longest_rules()). Otherwise the url is an alias of those that redirect and
     canonical links connect it with: it is allowed if any of them is allowed by a rule, blocked if any is blocked by one and none allowed, and allowed if no rule
-    reaches them. Links are those of page_links() and of `links`, tables of (source, target) urls such as a crawler's redirects.
+    reaches them. Links are those of page_links() and of `links`, tables of (source, target) urls such as a crawler's redirects; urls that only links name count as aliases too.
 
     A url that is null or has no "://" has an empty host and path, no rule and no alias, and is allowed. Repeated rows, null ids and very long urls are
     rows like others; columns of pages called host, path, rule or verdict are replaced; an empty table gives no rows, and without rules all is allowed. Only urls,
@@ -119,11 +119,14 @@ def judge_urls(pages: DataFrame, rules: DataFrame, url_col: str = "url", html_co
     """
     rest = [c for c in pages.columns if c not in {html_col, "host", "path", "rule", "verdict"}]
     key, passed = unused(pages.columns, "key"), unused(pages.columns, "passed")
-    each = stored(pages.select(*rest, host_of(F.col(url_col)).alias("host"), path_of(F.col(url_col)).alias("path"), url_key(F.col(url_col)).alias(key)), "urls")
-    found = longest_rules(each.where("host <> '' OR path <> ''").select("host", "path").distinct(), rules)
-    each = stored(each.join(found, ["host", "path"], "left"), "urls-ruled")
     edges = reduce(DataFrame.unionByName, [page_links(pages, url_col, html_col), *[x.select("source", "target") for x in links or []]])
-    aliases = passed_on(each.where(F.col("verdict").isNotNull() & F.col(key).isNotNull()).select(F.col(key).alias("key"), "verdict"), edges)
-    aliases = aliases.select(F.col("key").alias(key), F.col("verdict").alias(passed))
-    judged = each.join(aliases, key, "left")
+    # a target may be written in another way than the url of its page
+    edges = stored(edges.unionByName(edges.select(F.col("target").alias("source"), usual_form(F.col("target")).alias("target"))).where("source <> target").distinct(), "links")
+    urls = reduce(DataFrame.union, [pages.select(F.col(url_col).alias("url")), edges.select("source"), edges.select("target")]).where("url IS NOT NULL").distinct()
+    urls = stored(urls.select(url_key(F.col("url")).alias(key), host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path")), "urls")
+    found = longest_rules(urls.select("host", "path").distinct(), rules)
+    ruled = stored(urls.join(found, ["host", "path"]).select(key, "rule", "verdict"), "urls-ruled")
+    aliases = passed_on(ruled.select(F.col(key).alias("key"), "verdict"), edges).select(F.col("key").alias(key), F.col("verdict").alias(passed))
+    each = pages.select(*rest, host_of(F.col(url_col)).alias("host"), path_of(F.col(url_col)).alias("path"), url_key(F.col(url_col)).alias(key))
+    judged = each.join(ruled, key, "left").join(aliases, key, "left")
     return judged.select(*rest, "host", "path", "rule", F.coalesce(F.col("verdict"), F.col(passed), F.lit("allow")).alias("verdict"))

@@ -127,3 +127,59 @@ def token_ids(texts, end):
 
 def crc(ids):
     return zlib.crc32(np.array(ids, "<u4").tobytes())
+
+
+def repaired(rows):
+    """(blank, duplicate, truncated, illegal, cost, audit, lines) of one conversation's (role, text) by trying every script with up to two insertions at a place."""
+    faults, seen = [], set()
+    for role, text in rows:
+        said = re.findall(r"[^\x20\x09-\x0D]", text)
+        faults.append("blank" if not said else "duplicate" if (role, text) in seen else "truncated" if said[-1] not in ".!?" else "")
+        seen.add((role, text))
+    best = None
+
+    def go(i, cost, labels, lines):
+        nonlocal best
+        put = [[]]
+        for _ in range(2):
+            put += [x + [r] for x in put for r in ("user", "assistant") if len(x) == max(map(len, put))]
+        for x in put:
+            c, a, o = cost + 3 * len(x), labels + "I" * len(x), lines + [(r, "") for r in x]
+            if i == len(rows):
+                if re.fullmatch(r"(s?(ua)+)?", "".join(r[:1] or "-" for r, _ in o)) and (best is None or (c, a) < best[:2]):
+                    best = c, a, [f"{r}:{t}" for r, t in o]
+                continue
+            role, text = rows[i]
+            go(i + 1, c + 4, a + "D", o)
+            if faults[i] not in ("blank", "duplicate"):
+                more = 3 * (faults[i] == "truncated")
+                go(i + 1, c + more, a + "K", o + [(role, text)])
+                for r in ("user", "assistant"):
+                    go(i + 1, c + more + 3, a + "R", o + [(r, text)])
+
+    go(0, 0, "", [])
+    illegal = sum((a[:1] + b[:1]) not in ("su", "ua", "au") for (a, _), (b, _) in zip(rows, rows[1:]))
+    return (*(faults.count(f) for f in ("blank", "duplicate", "truncated")), illegal, *best)
+
+
+def variants(counts, share=10):
+    """word: (form, root, n_near, form's n) by comparing every two words."""
+
+    def near(a, b):
+        if len(a) == len(b):
+            return sum(x != y for x, y in zip(a, b)) == 1
+        a, b = sorted((a, b), key=len)
+        return len(b) - len(a) == 1 and any(b[:i] + b[i + 1 :] == a for i in range(len(b)))
+
+    out, form = {}, {}
+    for w, n in counts.items():
+        own = [v for v in counts if v != w and near(v, w)]
+        best = min(own, key=lambda v: (-counts[v], v), default=None)
+        form[w] = best if best is not None and counts[best] >= share * n else None
+        out[w] = len(own)
+    for w in counts:
+        root = w
+        while form[root] is not None:
+            root = form[root]
+        out[w] = form[w], root, out[w], counts.get(form[w])
+    return out
