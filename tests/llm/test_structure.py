@@ -182,7 +182,8 @@ def test_spelling(spark, held, monkeypatch):
 
 def test_spelling_of_long_runs(spark):
     """Two runs of 50,000 letters, one letter apart, do not travel once a letter; a chain of forms is followed to its end."""
-    long = "".join(random.Random(3).choice("abcdefgh") for _ in range(50_000))
+    rng = random.Random(3)
+    long = "".join(rng.choice("abcdefgh") for _ in range(50_000))
     t = spark.createDataFrame([(1, f"{long} {long} {long[:400]}x{long[401:]} {long[:400]}x{long[401:]}"), (2, f"{long[1:]} {long[1:]}")], "doc_id long, text string")
     found = {r.word: r for r in spelling.group_variants(spelling.count_words(t), 2).collect()}
     assert {(len(w), r.n_near) for w, r in found.items()} == {(50_000, 2), (50_000, 1), (49_999, 1)}
