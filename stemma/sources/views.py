@@ -107,3 +107,37 @@ REVIEW_LOG_SQL = """review_log AS (
   SELECT event_id, user_id AS run_id, event_id % 40 AS candidate_id, event_type AS stage,
     CASE event_type WHEN 'purchase' THEN 'AUTO_APPROVED' WHEN 'signup' THEN 'AI_FIXED' WHEN 'click' THEN 'HUMAN_REVIEW' WHEN 'error' THEN 'FAILED' ELSE 'BLOCKED' END AS status, ts, value, props
   FROM events)"""
+
+
+#: Blocks on a page, and what stands before and behind a sentence so that it reads as the parts of a textbook's page.
+PAGE_BLOCKS = 24
+MARKS = [
+    ("lpad({n}, 4, '0') || ' '", "' 구하시오'"), ("{n} || '. '", "' 다음 중'"), ("'① '", "' ② ③'"), ("'풀이 '", "''"), ("'예제 '", "''"), ("'(' || {d} || ') '", "''"),
+    ("'STEP 1 '", "''"), ("{n}", "' x=3 이므로 따라서 y=2'"), ("{d} || ' '", "' 정리'"), ("{n} || '값은? '", "''"), ("{n} || {n} || '다음 '", "''"), ("'용어 '", "''"), ("''", "''"), ("''", "''"), ("{d} || ' 항: '", "''"), ("'설명 '", "' 그림'"),
+]
+
+
+def _marked(side: int, n: str, d: str) -> str:
+    return "CASE k " + " ".join(f"WHEN {i} THEN {m[side].format(n=n, d=d)}" for i, m in enumerate(MARKS)) + " END"
+
+
+def _block_columns() -> str:
+    """The columns of text_blocks() over (page, pos, k, lay, num, sentence), in SQL that both engines read."""
+    n, d = "CAST(num AS STRING)", "CAST(pos % 9 + 1 AS STRING)"
+    x = "CASE lay WHEN 0 THEN 10 + pos % 2 WHEN 1 THEN CASE WHEN pos < 12 THEN 20 ELSE 60 END WHEN 2 THEN CASE WHEN pos % 6 = 5 THEN 75 ELSE 20 END WHEN 3 THEN 10 + pos % 3 * 30 ELSE 20 END"
+    y = "CASE lay WHEN 1 THEN 100 + pos % 12 * 65 ELSE 30 + pos * 40 END"
+    w = "CASE lay WHEN 0 THEN 70 WHEN 1 THEN CASE WHEN pos < 12 THEN 28 ELSE 30 END WHEN 2 THEN CASE WHEN pos % 6 = 5 THEN 18 ELSE 50 END WHEN 3 THEN 20 ELSE 60 END"
+    return f"page, pos, CAST({x} AS DOUBLE) / 100 AS x, CAST({y} AS DOUBLE) / 1000 AS y, CAST({w} AS DOUBLE) / 100 AS w, CAST(0.02 AS DOUBLE) AS h, ({_marked(0, n, d)}) || sentence || ({_marked(1, n, d)}) AS content"
+
+
+def text_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as pages of a textbook: every sentence is a block, 24 to a page, in one of five layouts, with numbers and heads put before them: page, pos, x, y, w, h, content."""
+    d = table(spark, sf_dir, "documents").where("doc_id IS NOT NULL AND text IS NOT NULL")
+    said = d.select("doc_id", F.posexplode(F.split("text", r"\. ")).alias("i", "sentence"))
+    numbered = said.select((F.col("doc_id") * 1000 + F.floor(F.col("i") / PAGE_BLOCKS)).alias("page"), (F.col("i") % PAGE_BLOCKS).cast("long").alias("pos"), ((F.col("doc_id") * 5 + F.col("i") * 7 + F.floor(F.col("i") / 3)) % len(MARKS)).alias("k"), (F.col("doc_id") % 5).alias("lay"), (20 + F.col("doc_id") % 50 + F.col("i")).alias("num"), "sentence")
+    return spark.sql(f"SELECT {_block_columns()} FROM {{numbered}}", numbered=numbered)
+
+
+TEXT_BLOCKS_SQL = f"""said AS (SELECT doc_id, unnest(string_split(text, '. ')) AS sentence, generate_subscripts(string_split(text, '. '), 1) - 1 AS i FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL),
+numbered AS (SELECT doc_id * 1000 + i // {PAGE_BLOCKS} AS page, CAST(i % {PAGE_BLOCKS} AS BIGINT) AS pos, (doc_id * 5 + i * 7 + i // 3) % {len(MARKS)} AS k, doc_id % 5 AS lay, 20 + doc_id % 50 + i AS num, sentence FROM said),
+blocks AS (SELECT {_block_columns()} FROM numbered)"""
