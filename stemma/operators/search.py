@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -27,10 +29,10 @@ def clamp_k(k: int | None, most: int = 50, default: int = 5) -> int:
     return max(1, min(most, k or default))
 
 
-def top_k(vectors: DataFrame, queries: DataFrame, k: int | None = 5, *, id_col: str = "vec_id", vec_col: str = "embedding", excluded: DataFrame | None = None, where: Column | None = None) -> DataFrame:
+def top_k(vectors: DataFrame, queries: DataFrame, k: int | None = 5, *, id_col: str = "vec_id", vec_col: str = "embedding", excluded: DataFrame | None = None, where: Column | None = None, unlike: tuple[str, str] | None = None) -> DataFrame:
     """The k most similar vectors of each query (query_id, query_vec): query_id, id_col, similarity, rank from 1.
 
-    A query never finds itself. excluded: (query_id, id_col) pairs to leave out, as blocked ones or twins are. Ties go to the smaller id.
+    A query never finds itself. excluded: (query_id, id_col) pairs to leave out, as blocked ones are. unlike: columns of vectors and of queries; pairs in which they are equal are left out before they are ranked. Ties go to the smaller id.
     Queries are a stated set: up to MOST_BROADCAST of them go to all tasks, more are searched in blocks by a hash of their id.
     Each task keeps k rows per query before anything is shuffled.
     """
@@ -38,21 +40,23 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int | None = 5, *, id_col:
     blocks = max(1, -(-queries.count() // MOST_BROADCAST))
     if blocks > 1:
         of = F.pmod(F.xxhash64("query_id"), F.lit(blocks))
-        parts = [_search(vectors, queries.where(of == b), k, id_col, vec_col, excluded, where) for b in range(blocks)]
+        parts = [_search(vectors, queries.where(of == b), k, id_col, vec_col, excluded, where, unlike) for b in range(blocks)]
         out = parts[0]
         for p in parts[1:]:
             out = out.unionByName(p)
         return out
-    return _search(vectors, queries, k, id_col, vec_col, excluded, where)
+    return _search(vectors, queries, k, id_col, vec_col, excluded, where, unlike)
 
 
-def _search(vectors: DataFrame, queries: DataFrame, k: int, id_col: str, vec_col: str, excluded: DataFrame | None, where: Column | None) -> DataFrame:
-    base = vectors.select(F.col(id_col), F.col(vec_col).alias("__v")).where(F.lit(True) if where is None else where)
+def _search(vectors: DataFrame, queries: DataFrame, k: int, id_col: str, vec_col: str, excluded: DataFrame | None, where: Column | None, unlike: tuple[str, str] | None) -> DataFrame:
+    mine, theirs = ([F.col(unlike[0]).alias("__mine")], [F.col(unlike[1]).alias("__theirs")]) if unlike else ([], [])
+    base = vectors.select(F.col(id_col), F.col(vec_col).alias("__v"), *mine).where(F.lit(True) if where is None else where)
     base = base.withColumn("__n", norm(F.col("__v")))
-    asked = F.broadcast(queries.select("query_id", "query_vec", norm(F.col("query_vec")).alias("__qn")))
+    asked = F.broadcast(queries.select("query_id", "query_vec", norm(F.col("query_vec")).alias("__qn"), *theirs))
     size = F.col("__n") * F.col("__qn")
     similarity = F.when((F.size("__v") == F.size("query_vec")) & (size > 0), dot(F.col("__v"), F.col("query_vec")) / size).otherwise(0.0)
-    scored = base.join(asked, F.col(id_col) != F.col("query_id")).select("query_id", id_col, similarity.alias("similarity"))
+    met = (F.col(id_col) != F.col("query_id")) & (F.coalesce(F.col("__mine") != F.col("__theirs"), F.lit(True)) if unlike else F.lit(True))
+    scored = base.join(asked, met).select("query_id", id_col, similarity.alias("similarity"))
     if excluded is not None:
         scored = scored.join(excluded, ["query_id", id_col], "left_anti")
     # row_number below a limit is kept per task before the shuffle (WindowGroupLimit)
@@ -242,10 +246,17 @@ def partial_hits(docs: DataFrame, queries: DataFrame, *, id_col: str = "doc_id",
     """(query_col, id_col, hit) of each query and text that holds any of its tokens: the share of the query's tokens, repeats included, that it holds.
 
     Tokens are what white space surrounds in a query, so one that a text holds lies within a word of it: each distinct word is searched
-    once while it stays in a cache. Queries are a stated set of at most MOST_BROADCAST rows, sent to all tasks; nothing is shuffled.
+    once while it stays in a cache. Queries are a stated set: up to MOST_BROADCAST of them go to all tasks, more in blocks by a hash of
+    their id and text, each with a pass over the texts; nothing is shuffled.
     """
-    if queries.count() > MOST_BROADCAST:
-        raise ValueError("too many queries to compare all texts with")
+    blocks = max(1, -(-queries.count() // MOST_BROADCAST))
+    of = F.pmod(F.xxhash64(query_col, text_col), F.lit(blocks))
+    parts = [_partial_hits(docs, queries.where(of == b), id_col, query_col, text_col) for b in range(blocks)]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _partial_hits(docs: DataFrame, queries: DataFrame, id_col: str, query_col: str, text_col: str) -> DataFrame:
+    """As above, for one block of queries."""
     asked = queries.select(F.col(query_col).alias("q"), F.col(text_col).cast("string").alias("text")).toArrow()
     own = [(t or "").split() for t in asked.column("text").to_pylist()]
     some = [i for i, w in enumerate(own) if w]

@@ -6,8 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-#: Rows that are sampled to cut an order into parts, and the cuts.
-CUT_SAMPLE, MOST_CUTS = 20_000, 200
+from .scan import ranked, running
 
 
 def number_flow(rows: DataFrame, group: str, page: str, number: str, order: list[str]) -> DataFrame:
@@ -117,19 +116,17 @@ def stitch(rows: DataFrame, group: str, order: list[str], joins: Column) -> Data
     return chosen.withColumn("taken", F.coalesce(F.lag("takes_next").over(seq), F.lit(False))).drop("__j", "__r", "__b")
 
 
-def relative_rank(group: list[str], order: list) -> Column:
-    """Place in the group from 0 to 1; 0.5 alone."""
-    n = F.count("*").over(W.partitionBy(*group))
-    r = F.row_number().over(W.partitionBy(*group).orderBy(*order))
-    return F.when(n == 1, 0.5).otherwise((r - 1) / (n - 1))
+def relative_rank(rows: DataFrame, group: list[str], order: list, name: str) -> DataFrame:
+    """Rows with their place in the group from 0 to 1; 0.5 alone. Groups of any size: see scan.ranked()."""
+    out = ranked(rows, group, order, "__i", "__m")
+    return out.withColumn(name, F.when(F.col("__m") == 1, 0.5).otherwise((F.col("__i") - 1) / (F.col("__m") - 1))).drop("__i", "__m")
 
 
-def tercile(group: list[str], order: list) -> Column:
-    """LOW, MID or HIGH third by relative rank; MID for fewer than three."""
-    n = F.count("*").over(W.partitionBy(*group))
-    r = F.row_number().over(W.partitionBy(*group).orderBy(*order))
-    t = (r - 1) / (n - 1)
-    return F.when(n < 3, "MID").when(t < 1 / 3, "LOW").when(t < 2 / 3, "MID").otherwise("HIGH")
+def tercile(rows: DataFrame, group: list[str], order: list, name: str) -> DataFrame:
+    """Rows with their LOW, MID or HIGH third of the group by relative rank; MID in groups of fewer than three."""
+    out = ranked(rows, group, order, "__i", "__m")
+    t = (F.col("__i") - 1) / F.nullif(F.col("__m") - 1, F.lit(0))
+    return out.withColumn(name, F.when(F.col("__m") < 3, "MID").when(t < 1 / 3, "LOW").when(t < 2 / 3, "MID").otherwise("HIGH")).drop("__i", "__m")
 
 
 def chunks(order: list, size: int, group: list[str]) -> Column:
@@ -144,24 +141,8 @@ def round_robin(rows: DataFrame, strata: list[str], order: list, n: int) -> Data
 
 
 def numbered(rows: DataFrame, keys: list[str], name: str) -> DataFrame:
-    """Rows that `keys` tell apart, numbered from 1 in their order, without all of them in one task.
-
-    The keys with the CUT_SAMPLE smallest hashes, which go to the driver, cut the order into at most MOST_CUTS + 1 parts; numbers are those in the part and the counts of the parts before.
-    """
-    some = sorted((tuple(r) for r in rows.select(*keys).orderBy(F.xxhash64(*keys)).limit(CUT_SAMPLE).collect() if None not in tuple(r)))
-    kinds = [rows.schema[k].dataType for k in keys]
-    cuts = [some[i * len(some) // (MOST_CUTS + 1)] for i in range(1, MOST_CUTS + 1)] if len(some) > MOST_CUTS else []
-    at = F.struct(*keys)
-    part = F.lit(0)
-    if cuts:
-        ends = F.array(*[F.struct(*[F.lit(v).cast(t).alias(k) for v, t, k in zip(c, kinds, keys, strict=True)]) for c in cuts])
-        part = F.size(F.filter(ends, lambda c: c <= at))
-    placed = rows.withColumn("__part", part)
-    # at most MOST_CUTS + 1 rows
-    counts = placed.groupBy("__part").count()
-    before = counts.select("__part", (F.sum("count").over(W.orderBy("__part")) - F.col("count")).alias("__before"))
-    own = F.row_number().over(W.partitionBy("__part").orderBy(*keys))
-    return placed.withColumn("__own", own).join(F.broadcast(before), "__part").withColumn(name, (F.col("__own") + F.col("__before")).cast("long")).drop("__part", "__own", "__before")
+    """Rows that `keys` tell apart, numbered from 1 in their order, over as many tasks as there are ranges of it (see scan.running())."""
+    return running(rows, [], keys, {name: ("count", F.lit(1))})
 
 
 def hold_out(rows: DataFrame, keys: list[str], every: int = 5, *, start: int | None = None, badge: str | None = None, need: tuple[str, ...] = ("LOW_BADGE", "HIGH_BADGE"), order: list[str] | None = None) -> DataFrame:
@@ -182,14 +163,12 @@ def hold_out(rows: DataFrame, keys: list[str], every: int = 5, *, start: int | N
 
 def evenly_spaced(rows: DataFrame, group: list[str], order: list, n: int) -> DataFrame:
     """At most n rows of each group, evenly spaced from first to last."""
-    w = W.partitionBy(*group)
-    placed = rows.withColumn("__i", F.row_number().over(w.orderBy(*order)) - 1).withColumn("__m", F.count("*").over(w))
+    placed = ranked(rows, group, order, "__i", "__m").withColumn("__i", F.col("__i") - 1)
     # row i is chosen if it is the nearest to some i(m-1)/(n-1)
-    spaced = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda k: F.floor(k * (F.col("__m") - 1) / max(1, n - 1) + 0.5).cast("int"))
+    spaced = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda k: F.floor(k * (F.col("__m") - 1) / max(1, n - 1) + 0.5))
     return placed.where((F.col("__m") <= n) | F.array_contains(spaced, F.col("__i"))).drop("__i", "__m")
 
 
 def first_middle_last(rows: DataFrame, group: list[str], order: list) -> DataFrame:
-    w = W.partitionBy(*group)
-    placed = rows.withColumn("__i", F.row_number().over(w.orderBy(*order))).withColumn("__m", F.count("*").over(w))
+    placed = ranked(rows, group, order, "__i", "__m")
     return placed.where((F.col("__i") == 1) | (F.col("__i") == F.col("__m")) | (F.col("__i") == F.floor((F.col("__m") + 1) / 2))).drop("__i", "__m")

@@ -5,10 +5,10 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.scores import rate
+from .scan import quantiles, ranked, running
 from .sequence import numbered
 
 
@@ -41,8 +41,9 @@ def crosstab(rows: DataFrame, label: str, band: Column, bands: Sequence[str]) ->
 
 def describe(rows: DataFrame, group: str, column: str) -> DataFrame:
     """n, min, quartiles (interpolated), mean, max and population deviation, three decimals."""
-    q = F.expr(f"percentile({column}, array(0.25D, 0.5D, 0.75D))")
-    out = rows.groupBy(group).agg(F.count(column).alias("n"), F.min(column).alias("min"), F.max(column).alias("max"), F.avg(column).alias("mean"), F.stddev_pop(column).alias("std"), q.alias("q"))
+    sums = rows.groupBy(group).agg(F.count(column).alias("n"), F.min(column).alias("min"), F.max(column).alias("max"), F.avg(column).alias("mean"), F.stddev_pop(column).alias("std"))
+    cuts = quantiles(rows, [group], column, [0.25, 0.5, 0.75]).select(F.col(group).alias("__g"), "q")
+    out = sums.join(cuts, F.col(group).eqNullSafe(F.col("__g")), "left")
     r = lambda c: F.coalesce(F.round(c, 3), F.lit(0.0))
     return out.select(group, "n", r(F.col("min")).alias("min"), r(F.col("q")[0]).alias("q1"), r(F.col("q")[1]).alias("median"), r(F.col("mean")).alias("mean"), r(F.col("q")[2]).alias("q3"), r(F.col("max")).alias("max"), r(F.col("std")).alias("std"))
 
@@ -50,10 +51,13 @@ def describe(rows: DataFrame, group: str, column: str) -> DataFrame:
 def spearman(rows: DataFrame, group: str, x: str, y: str) -> DataFrame:
     """Rank correlation per group with average ranks for ties; null for fewer than three rows or no variance."""
 
-    def ranked(c):
-        return F.rank().over(W.partitionBy(group).orderBy(c)) + (F.count("*").over(W.partitionBy(group, c)) - 1) / 2
-
-    ranks = rows.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(group, ranked(x).alias("rx"), ranked(y).alias("ry"))
+    known = rows.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(group, F.col(x).alias("__x"), F.col(y).alias("__y"))
+    # ties share the mean of their places
+    for c, out in (("__x", "rx"), ("__y", "ry")):
+        known = running(known, [group], [c], {out: ("count", F.lit(1))})
+        means = known.groupBy(F.col(group).alias("__g"), F.col(c).alias("__v")).agg(F.avg(out).alias("__mean"))
+        known = known.join(means, F.col(group).eqNullSafe(F.col("__g")) & (F.col(c) == F.col("__v"))).withColumn(out, F.col("__mean")).drop("__g", "__v", "__mean")
+    ranks = known
     out = ranks.groupBy(group).agg(F.count("*").alias("n"), F.corr("rx", "ry").alias("c"), F.stddev_pop("rx").alias("sx"), F.stddev_pop("ry").alias("sy"))
     return out.select(group, "n", F.when((F.col("n") >= 3) & (F.col("sx") > 0) & (F.col("sy") > 0), F.round("c", 3)).alias("rho"))
 
@@ -80,8 +84,7 @@ def threshold_grid(rows: DataFrame, score: str, margin: str, correct: Column, th
 
 def nearest_rank(rows: DataFrame, group: str, column: str, order: list[str], cuts: Mapping[str, float]) -> DataFrame:
     """Values at positions round(p (n - 1)) of each group's order."""
-    w = W.partitionBy(group)
-    placed = rows.select(group, column, F.row_number().over(w.orderBy(*order)).alias("i"), F.count("*").over(w).alias("n"))
+    placed = ranked(rows.select(group, column, *[c for c in order if c not in (group, column)]), [group], order, "i", "n")
     return placed.groupBy(group).agg(*[F.max(F.when(F.col("i") - 1 == F.floor((F.col("n") - 1) * p + 0.5), F.col(column))).alias(name) for name, p in cuts.items()])
 
 

@@ -5,10 +5,10 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import canonical_number
+from ..operators.scan import running
 
 
 def identity_upsert(incoming: DataFrame, stored: DataFrame, *, doc: str = "doc", page: str = "page", number: str = "number", stored_id: str = "problem_id", verified: str = "verified", created: str = "created") -> DataFrame:
@@ -81,9 +81,10 @@ def pages_to_do(pages: DataFrame, done: DataFrame, cached: DataFrame, *, page: s
     before = done.select(page, F.col(digest).alias("__d"))
     open_ = pages.join(before, page, "left").where(~F.col(digest).eqNullSafe(F.col("__d"))).drop("__d")
     hit = open_.join(cached.select(page, digest, F.lit(True).alias("__c")), [page, digest], "left").withColumn("__c", F.coalesce("__c", F.lit(False)))
-    n = F.row_number().over(W.partitionBy("__c").orderBy(page))
-    within = F.lit(True) if cap is None else F.round(n * price, 6) <= cap
-    return hit.withColumn("action", F.when(F.col("__c"), "CACHE_HIT").when(within, "OCR").otherwise("OVER_CAP")).drop("__c")
+    if cap is None:
+        return hit.withColumn("action", F.when(F.col("__c"), "CACHE_HIT").otherwise("OCR")).drop("__c")
+    within = F.round(F.col("__n") * price, 6) <= cap
+    return running(hit, ["__c"], [page], {"__n": ("count", F.lit(1))}).withColumn("action", F.when(F.col("__c"), "CACHE_HIT").when(within, "OCR").otherwise("OVER_CAP")).drop("__c", "__n")
 
 
 def validate(rows: DataFrame, key: str, checks: Mapping[str, Column]) -> DataFrame:

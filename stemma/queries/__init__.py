@@ -1,3 +1,3 @@
 """Queries by topic; importing this package registers all of them."""
 
-from . import dedup, kernels, layout, mathtext, plans, readings, relational, repair, review, rules, search, sequence, spatial, stats, text, workflow  # noqa: F401
+from . import dedup, kernels, layout, mathtext, plans, readings, relational, repair, replay, review, rules, search, sequence, spatial, stats, text, workflow  # noqa: F401

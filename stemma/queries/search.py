@@ -27,8 +27,7 @@ def cosine_topk_excluding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """As above with a filter on candidates and pairs of one label left out."""
     e = table(spark, sf_dir, "embeddings")
     asked = e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vec"), F.col("label").alias("ql"))
-    twins = asked.select("query_id", "ql").join(e.select("vec_id", "label"), F.col("ql") == F.col("label")).select("query_id", "vec_id")
-    return S.top_k(e.where("label <> 3"), asked, 8, excluded=twins).select("query_id", "vec_id", F.round("similarity", 6).alias("similarity"), F.col("rank").cast("long").alias("rank"))
+    return S.top_k(e.where("label <> 3"), asked, 8, unlike=("label", "ql")).select("query_id", "vec_id", F.round("similarity", 6).alias("similarity"), F.col("rank").cast("long").alias("rank"))
 
 
 @query()

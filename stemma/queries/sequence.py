@@ -112,14 +112,15 @@ def stitch_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {ITEMS_SQL} SELECT item_id, type_id, round(CASE WHEN count(*) OVER w = 1 THEN 0.5 ELSE (row_number() OVER (w ORDER BY price, item_id) - 1) / (count(*) OVER w - 1) END, 6) AS rank FROM items WINDOW w AS (PARTITION BY type_id)""")
 def relative_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Place of each item within its type."""
-    return items(spark, sf_dir).select("item_id", "type_id", F.round(Q.relative_rank(["type_id"], ["price", "item_id"]), 6).alias("rank"))
+    found = Q.relative_rank(items(spark, sf_dir).select("item_id", "type_id", "price"), ["type_id"], ["price", "item_id"], "rank")
+    return found.select("item_id", "type_id", F.round("rank", 6).alias("rank"))
 
 
 @query(f"""WITH {ITEMS_SQL}, r AS (SELECT item_id, brand, count(*) OVER w AS n, (row_number() OVER (w ORDER BY price, item_id) - 1) / NULLIF(count(*) OVER w - 1, 0) AS t FROM items WINDOW w AS (PARTITION BY brand))
 SELECT item_id, brand, CASE WHEN n < 3 THEN 'MID' WHEN t < 1.0 / 3 THEN 'LOW' WHEN t < 2.0 / 3 THEN 'MID' ELSE 'HIGH' END AS third FROM r""")
 def terciles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Thirds of each brand by price."""
-    return items(spark, sf_dir).select("item_id", "brand", Q.tercile(["brand"], ["price", "item_id"]).alias("third"))
+    return Q.tercile(items(spark, sf_dir).select("item_id", "brand", "price"), ["brand"], ["price", "item_id"], "third").drop("price")
 
 
 @query(f"""WITH {PROBLEMS_SQL}, t AS (SELECT doc_id, lang, review_status, row_number() OVER (PARTITION BY lang, review_status ORDER BY doc_id) AS turn FROM problems) SELECT doc_id, lang, review_status, CAST(turn AS BIGINT) AS turn FROM t ORDER BY turn, lang, review_status LIMIT 60""")

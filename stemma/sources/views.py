@@ -141,3 +141,37 @@ def text_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 TEXT_BLOCKS_SQL = f"""said AS (SELECT doc_id, unnest(string_split(text, '. ')) AS sentence, generate_subscripts(string_split(text, '. '), 1) - 1 AS i FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL),
 numbered AS (SELECT doc_id * 1000 + i // {PAGE_BLOCKS} AS page, CAST(i % {PAGE_BLOCKS} AS BIGINT) AS pos, (doc_id * 5 + i * 7 + i // 3) % {len(MARKS)} AS k, doc_id % 5 AS lay, 20 + doc_id % 50 + i AS num, sentence FROM said),
 blocks AS (SELECT {_block_columns()} FROM numbered)"""
+
+
+#: Sections of pages: a first one that holds many, then 400 pages each; pages from a multiple of 7,000 on have none for a while.
+SECTION_OF = "CASE WHEN {p} % 7000 < 50 THEN NULL WHEN {p} < 20000 THEN 0 ELSE CAST(FLOOR({p} / 400) AS BIGINT) END"
+
+
+def section_headings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as headings: section, page, x, y, kind, code, node, type, how, ambiguous. Every eleventh is ambiguous, every thirteenth not resolved, and near some sections' ends a stage begins."""
+    o = table(spark, sf_dir, "orders").where("o_custkey % 3 <> 0")
+    code = "CASE WHEN o_orderkey % 13 = 0 THEN NULL ELSE o_custkey % 26 + 1 END"
+    return o.selectExpr(
+        f"{SECTION_OF.format(p='o_orderkey')} AS section", "o_orderkey AS page", "CAST(o_custkey % 2 AS DOUBLE) / 2 AS x", "CAST(o_orderkey % 90 AS DOUBLE) / 100 AS y", "CASE WHEN o_orderkey >= 20000 AND o_orderkey % 400 > 330 AND o_custkey % 5 = 1 THEN 'c_stage' WHEN o_custkey % 7 = 1 THEN 'concept_pill' ELSE 'type_pill' END AS kind",
+        f"{code} AS code", f"CASE WHEN o_custkey % 7 = 1 THEN NULL ELSE {code} END AS node", f"CASE WHEN o_custkey % 7 = 1 AND o_orderkey % 13 <> 0 THEN 500 ELSE {code} + 100 END AS type", "CASE WHEN o_custkey % 7 = 1 THEN 'concept_pill' ELSE 'type_pill_badge' END AS how", "o_orderkey % 11 = 0 AS ambiguous",
+    )
+
+
+def section_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Order lines as items of those pages: item, number, section, page, x, top, stem_codes, page_codes."""
+    rows = boxes(spark, sf_dir)
+    code = "CAST((page + item) % 26 + 1 AS BIGINT)"
+    return rows.selectExpr(
+        "page * 1000 + item AS item", "(page * 1000 + item) * 37 % 100003 AS number", f"{SECTION_OF.format(p='page')} AS section", "page", "x", "y AS top",
+        f"CASE WHEN (page + item) % 5 = 0 THEN array({code}) WHEN (page + item) % 17 = 1 THEN array({code}, {code} % 26 + 1) ELSE CAST(array() AS ARRAY<BIGINT>) END AS stem_codes", f"CASE WHEN page % 6 = 1 THEN array(page % 26 + 1) ELSE CAST(array() AS ARRAY<BIGINT>) END AS page_codes",
+    )
+
+
+def section_types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The types of each section: five in seven of 26 codes."""
+    sections = boxes(spark, sf_dir).selectExpr(f"{SECTION_OF.format(p='page')} AS section").distinct().where("section IS NOT NULL")
+    return sections.select("section", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(26).cast("long"))).alias("code")).where("(code + section) % 7 < 5").selectExpr("section", "code", "code AS node", "code + 100 AS type")
+
+
+SECTION_ITEMS_SQL = f"""headings AS (SELECT {SECTION_OF.format(p='o_orderkey')} AS section, o_orderkey AS page, o_custkey % 2 / 2 >= 0.48 AS col, CAST(o_orderkey % 90 AS DOUBLE) / 100 AS y, o_orderkey >= 20000 AND o_orderkey % 400 > 330 AND o_custkey % 5 = 1 AS c, o_custkey % 7 = 1 AS concept, CASE WHEN o_orderkey % 13 = 0 THEN NULL ELSE o_custkey % 26 + 1 END AS code, o_orderkey % 11 = 0 AS amb FROM orders WHERE o_custkey % 3 <> 0),
+items AS (SELECT page * 1000 + item AS item, (page * 1000 + item) * 37 % 100003 AS number, {SECTION_OF.format(p='page')} AS section, page, x >= 0.48 AS col, y AS top, CASE WHEN (page + item) % 5 = 0 THEN [(page + item) % 26 + 1] WHEN (page + item) % 17 = 1 THEN [(page + item) % 26 + 1, ((page + item) % 26 + 1) % 26 + 1] ELSE [] END AS sc, CASE WHEN page % 6 = 1 THEN [page % 26 + 1] ELSE [] END AS pc FROM boxes)"""

@@ -154,14 +154,12 @@ def test_word_errors_and_decisions(spark):
     assert {tuple(r) for r in pick_decision(kinds, "item").collect()} == {(1, CLASS_ORDER[0]), (2, CLASS_ORDER[-1]), (3, "other")}
 
 
-def test_numbers_without_one_task(spark, monkeypatch):
+def test_numbers_without_one_task(spark):
     rows = spark.createDataFrame([(w, i) for w in ["b", "a", None, "é", "z"] for i in (3, 1, 2)], "w string, n long")
     key = lambda r: (r.w is not None, (r.w or "").encode(), r.n)
     want = [(r.w, r.n) for r in sorted(rows.collect(), key=key)]
-    for most in (200, 3):
-        monkeypatch.setattr(Q, "MOST_CUTS", most)
-        got = {r.at: (r.w, r.n) for r in Q.numbered(rows, ["w", "n"], "at").collect()}
-        assert [got[i] for i in range(1, 16)] == want and len(got) == 15
+    got = {r.at: (r.w, r.n) for r in Q.numbered(rows, ["w", "n"], "at").collect()}
+    assert [got[i] for i in range(1, 16)] == want and len(got) == 15
     assert Q.numbered(rows.limit(0), ["w", "n"], "at").count() == 0
 
 
