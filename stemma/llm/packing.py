@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ._arrow import column, slices, text_buffer
-from ._tables import bounded_batches, stored, unused
+from ._tables import bounded_batches, stored
 from .tokens import encoder, vocabulary
 
 #: Pieces that one packing holds at most; a task with more of them packs several times.
@@ -138,25 +138,40 @@ def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return result
 
 
-def sequences(docs: DataFrame, pieces: DataFrame, id_col: str = "doc_id", text_col: str = "text", end_id: int = 0, vocabulary_path: str | None = None) -> DataFrame:
-    """The packed sequences themselves: sequence_id, ids (array of int). docs: the table that pieces came from, with unique ids."""
+def sequences(docs: DataFrame, pieces: DataFrame, id_col: str = "doc_id", text_col: str = "text", end_id: int = 0, vocabulary_path: str | None = None, capacity: int = 2048) -> DataFrame:
+    """The packed sequences themselves: sequence_id, ids (array of int). docs: the table that pieces came from; capacity: as it was packed.
+
+    Documents are encoded and cut again, and each place gets its ids by all that is known of its piece: id (nulls equal), number, start, length
+    and checksum of the ids. Rows with one id may hold different texts; pieces that agree in all of these are one piece, of
+    which each place takes a copy. Should two different ones agree, an error says so. An empty table gives no rows. A piece that many places
+    copy is one row of a join, whose other side Spark may split.
+    """
+    bounded_batches(docs.sparkSession)
     path = vocabulary_path or vocabulary()
-    hold = unused(pieces.columns, "places")
-    places = pieces.groupBy(id_col).agg(F.sort_array(F.collect_list(F.struct("piece", "start", "length", "sequence_id", "offset"))).alias(hold))
+    key = ["piece", "start", "length", "ids_crc32"]
+    kind = docs.schema[id_col].dataType.simpleString()
 
     def cut(batches):
         encode = encoder(path).encode
         for batch in batches:
-            found = []
             data, off = text_buffer(column(batch, "text"))
-            places = column(batch, "places").to_pylist()
             for a, z in slices(off):
                 tokens, begins = encode(data[off[a] : off[z]], off[a : z + 1] - off[a], end_id)
-                for r in range(a, z):
-                    for p in places[r]:
-                        at = int(begins[r - a]) + p["start"]
-                        found.append((p["sequence_id"], p["offset"], tokens[at : at + p["length"]].astype(np.int32)))
-            yield pa.record_batch([pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.int64()), pa.array([x[2] for x in found], pa.list_(pa.int32()))], names=["sequence_id", "offset", "part"])
-
-    parts = docs.select(id_col, F.col(text_col).cast("string").alias("text")).join(places, id_col).select("text", F.col(hold).alias("places")).mapInArrow(cut, "sequence_id long, offset long, part array<int>")
-    return parts.groupBy("sequence_id").agg(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("offset", "part"))), lambda x: x["part"])).alias("ids"))
+                rows, found = [], []
+                for r, (lo, hi) in enumerate(zip(begins[:-1].tolist(), begins[1:].tolist(), strict=True), a):
+                    for p, at in enumerate(range(lo, hi, capacity)):
+                        own = tokens[at : min(hi, at + capacity)].astype("<u4")
+                        rows.append(r)
+                        found.append((p, at - lo, len(own), zlib.crc32(own.tobytes()), own.astype(np.int32)))
+                columns = [pa.array([x[k] for x in found], t) for k, t in enumerate((pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32())))]
+                yield pa.record_batch([column(batch, "id").take(pa.array(rows, pa.int64())), *columns], names=["id", *key, "part"])
+
+    made = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(cut, f"id {kind}, piece int, start long, length long, ids_crc32 long, part array<int>")
+    same = F.min(F.xxhash64("part")) == F.max(F.xxhash64("part"))
+    known = made.groupBy("id", *key).agg(F.when(same, F.first("part")).otherwise(F.raise_error(F.lit("two pieces of one id agree in length and checksum"))).alias("part"))
+    known = known.select(F.col("id").alias("__id"), *[F.col(c).alias(f"__{c}") for c in key], "part")
+    met = F.col(id_col).eqNullSafe(F.col("__id"))
+    for c in key:
+        met &= F.col(c) == F.col(f"__{c}")
+    placed = pieces.select(id_col, *key, "sequence_id", "offset").join(known, met).select("sequence_id", F.struct("offset", "part").alias("p"))
+    return placed.groupBy("sequence_id").agg(F.flatten(F.transform(F.sort_array(F.collect_list("p")), lambda x: x["part"])).alias("ids"))

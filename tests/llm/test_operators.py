@@ -324,12 +324,18 @@ def test_packing(spark):
 
 
 def test_sequences(spark):
-    docs = [(k, t) for k, t in odd_texts(4) if k is not None and k != 105]
-    pieces = packing.pack_documents(table(spark, docs), capacity=64)
-    ids = dict(zip((k for k, _ in docs), brute.token_ids([t for _, t in docs], 0)))
-    made = {r.sequence_id: list(r.ids) for r in packing.sequences(table(spark, docs), pieces).collect()}
-    for r in pieces.collect():
-        assert made[r.sequence_id][r.offset : r.offset + r.length] == ids[r.doc_id][r.start : r.start + r.length]
+    """Ids as they were packed: also of repeated, null and clashing ids, and of documents over several sequences."""
+    docs = [*odd_texts(4), (1, "a"), (1, "b"), (1, "b"), (None, "c"), (2, "d"), (7, "long " * 300), (7, "long " * 299 + "end")]
+    t = table(spark, docs)
+    pieces = packing.pack_documents(t, capacity=64)
+    placed = pieces.collect()
+    made = {r.sequence_id: list(r.ids) for r in packing.sequences(t, pieces, capacity=64).collect()}
+    ids = brute.token_ids([x for _, x in docs], 0)
+    assert sum(map(len, made.values())) == sum(map(len, ids)) and max(map(len, made.values())) <= 64
+    # every place holds a piece of a document with that id, as often as there are such documents
+    found = sorted((str(r.doc_id), r.piece, tuple(made[r.sequence_id][r.offset : r.offset + r.length])) for r in placed)
+    assert found == sorted((str(k), p, tuple(x[p * 64 : p * 64 + 64])) for (k, _), x in zip(docs, ids) for p in range(-(-len(x) // 64)))
+    assert packing.sequences(t.limit(0), pieces.limit(0), capacity=64).count() == 0
 
 
 def test_sum_of_squares():
