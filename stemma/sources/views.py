@@ -175,3 +175,18 @@ def section_types(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 SECTION_ITEMS_SQL = f"""headings AS (SELECT {SECTION_OF.format(p='o_orderkey')} AS section, o_orderkey AS page, o_custkey % 2 / 2 >= 0.48 AS col, CAST(o_orderkey % 90 AS DOUBLE) / 100 AS y, o_orderkey >= 20000 AND o_orderkey % 400 > 330 AND o_custkey % 5 = 1 AS c, o_custkey % 7 = 1 AS concept, CASE WHEN o_orderkey % 13 = 0 THEN NULL ELSE o_custkey % 26 + 1 END AS code, o_orderkey % 11 = 0 AS amb FROM orders WHERE o_custkey % 3 <> 0),
 items AS (SELECT page * 1000 + item AS item, (page * 1000 + item) * 37 % 100003 AS number, {SECTION_OF.format(p='page')} AS section, page, x >= 0.48 AS col, y AS top, CASE WHEN (page + item) % 5 = 0 THEN [(page + item) % 26 + 1] WHEN (page + item) % 17 = 1 THEN [(page + item) % 26 + 1, ((page + item) % 26 + 1) % 26 + 1] ELSE [] END AS sc, CASE WHEN page % 6 = 1 THEN [page % 26 + 1] ELSE [] END AS pc FROM boxes)"""
+
+
+def crops(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Boxes as crops of problems, with the text of the document that has the page's number, other problems' numbers put in, and measures of an image."""
+    b = boxes(spark, sf_dir)
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("page"), "text")
+    rows = b.join(docs, "page", "left").selectExpr("*", "CAST((page * 7 + item) % 9000 + 1000 AS STRING) AS number", "CAST((page * 7 + item + 1) % 9000 + 1000 AS STRING) AS other", "CAST((page + item) % 8 AS INT) AS k", "(page * 31 + item * 17) % 100 AS m", "coalesce(text, 'none') AS said")
+    stem = r"CASE k WHEN 0 THEN number || ' ' || said WHEN 1 THEN number || ' ' || said || '\n' || other || ' | 대표\nlast' WHEN 2 THEN number || '\n' || said || '\n# ' || other || '. ' WHEN 3 THEN number || ' $x^{' || other || '}$\n$' || other || ' y$ ' || said WHEN 4 THEN number || ' [' || number || '~' || other || '] ' || said WHEN 5 THEN said WHEN 6 THEN number || ' ' || other || ' ' || said || ' of it that goes on for long' END"
+    image = "CASE WHEN m % 9 <> 4 THEN named_struct('width', CAST(w * 1000 AS INT), 'height', CAST(h * 1000 AS INT), 'ink', CASE WHEN m % 5 = 1 THEN NULL ELSE CAST(m AS DOUBLE) / 1000 END, 'components', CAST(m % 4 AS INT), 'left_top_ink', m % 3 = 0, 'top', CAST((m * 3) % 100 AS DOUBLE) / 150, 'bottom', CAST((m * 7) % 100 AS DOUBLE) / 150, 'left', CAST((m * 11) % 100 AS DOUBLE) / 150, 'right', CAST((m * 13) % 100 AS DOUBLE) / 150, 'blob_edge', m % 10 = 7, 'blob_share', CAST(m AS DOUBLE) / 500) END"
+    return rows.selectExpr("page", "item", "number", "CASE WHEN m % 13 <> 5 THEN number END AS canonical", "x", "y", "w", "h", f"{stem} AS stem", "CASE WHEN m % 2 = 0 THEN 'note' END AS markdown", "m % 4 <> 1 AS anchored", "m % 17 = 3 AS unstable", "m % 19 = 4 AS uncertain", "m % 3 AS columns", "m % 6 = 2 AS last", "m % 7 = 3 AS figure_hint", f"{image} AS image")
+
+
+def crop_parts(spark: SparkSession, sf_dir: str, shift: float) -> DataFrame:
+    """What is known to belong to crops: every third one has a part that may stick out: page, item, x, y, w, h, content."""
+    return boxes(spark, sf_dir).where("(page + item) % 3 = 0").selectExpr("page", "item", f"x + {shift} AS x", "y", "w", "h / 2 AS h", "'part ' || item AS content")
