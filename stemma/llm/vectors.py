@@ -27,6 +27,8 @@ HOT_FILTER = 1000
 PART = 4096
 #: Directions of the first round that gathers tight groups; each next round has so many times more.
 COARSE = 16
+#: What a comparison writes: two units that link with all members, two whose members are to be compared, how many a unit links with, and an edge of a tree of links.
+WHOLE, OPEN, COUNTED, LINKED = range(4)
 
 
 @dataclass
@@ -115,7 +117,8 @@ def link_vectors(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "emb
 
     Equal vectors are one class. Classes within half the angle of a common centre form a unit: all of its members
     link with each other, so a dense group needs no pairs within. Filters bring units together; the angle between
-    centres and their radii decide most pairs of units as wholes (all members link, or none), and only in between members
+    centres and their radii decide most pairs of units as wholes (all members link, or none); links of vectors that are alone in their units, as those of a
+    diffuse group are, are counted where they are met, and of which link which only a tree is written; only in between members
     are compared, where what is written is how many each links with, not with which. Every link counted is implied by exact angles or verified in double precision; a pair is missed only
     if it shares no filter (about one in a million of pairs at the threshold if filters were independent; measured recall stands in the README).
 
@@ -142,6 +145,67 @@ def link_vectors(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "emb
     return linked.select(F.col("id").alias(id_col), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), F.coalesce("component_id", "id").alias("component_id"))
 
 
+def _met(a: np.ndarray, b: np.ndarray, kind: np.ndarray, w: np.ndarray) -> pa.RecordBatch:
+    return pa.record_batch([pa.array(a), pa.array(b), pa.array(kind.astype(np.int32)), pa.array(w)], names=["a", "b", "kind", "w"])
+
+
+class Forest:
+    """Connected parts of the links of one comparison: a tree for each, whatever the number of links."""
+
+    def __init__(self) -> None:
+        self.up: dict[int, int] = {}
+
+    def top(self, x: int) -> int:
+        up = self.up
+        while up.setdefault(x, x) != x:
+            up[x] = x = up[up[x]]
+        return x
+
+    def join(self, links: np.ndarray, rows: np.ndarray, columns: np.ndarray) -> None:
+        """links: which row meets which column. Within the block labels spread until they stay, then one step for each row and column."""
+        n = len(rows)
+        low, across = np.arange(n), np.full(len(columns), n)
+        while True:
+            across = np.minimum(across, np.where(links, low[:, None], n).min(axis=0))
+            now = np.minimum(low, np.where(links, across[None, :], n).min(axis=1))
+            if (now == low).all():
+                break
+            low = now
+        for own, label in ((rows, low), (columns, across)):
+            for x, k in zip(own[label < n].tolist(), rows[label[label < n]].tolist(), strict=True):
+                a, b = self.top(x), self.top(k)
+                self.up[max(a, b)] = min(a, b)
+
+    def edges(self) -> tuple[np.ndarray, np.ndarray]:
+        pairs = [(x, t) for x in list(self.up) if (t := self.top(x)) != x]
+        return np.array([p[0] for p in pairs], np.int64), np.array([p[1] for p in pairs], np.int64)
+
+
+def shared_before(lists: pa.ListArray, a: np.ndarray, b: np.ndarray, links: np.ndarray, own: int) -> np.ndarray:
+    """Which of the linked pairs have a filter in common that comes before this one, in columns of at most 2,048 filters at a time."""
+    rows, columns = np.flatnonzero(links.any(axis=1)), np.flatnonzero(links.any(axis=0))
+    earlier = []
+    for at in (a[rows], b[columns]):
+        some = lists.take(pa.array(at))
+        of, value = np.repeat(np.arange(len(at)), np.diff(some.offsets.to_numpy())), some.flatten().to_numpy()
+        earlier.append((of[value < own], value[value < own]))
+    common = np.intersect1d(earlier[0][1], earlier[1][1])
+    out = np.zeros(links.shape, bool)
+    met = np.zeros((len(rows), len(columns)), bool)
+    for lo in range(0, len(common), 2048):
+        part = common[lo : lo + 2048]
+        held = []
+        for (of, value), n in zip(earlier, (len(rows), len(columns)), strict=True):
+            k = np.searchsorted(part, value)
+            hit = (k < len(part)) & (part[np.minimum(k, len(part) - 1)] == value)
+            m = np.zeros((n, len(part)), np.float32)
+            m[of[hit], k[hit]] = 1
+            held.append(m)
+        met |= held[0] @ held[1].T > 0
+    out[np.ix_(rows, columns)] = met
+    return out
+
+
 def _links_of(classes: DataFrame, dim: int, n: int, cosine: float) -> DataFrame:
     """(cid, n_links, component) for classes (cid, v, copies) of one length; component: a unit's number."""
     codes, angle = [ProductCode.plan(n, dim, cosine, seed=11 + k) for k in range(CODES)], math.acos(cosine)
@@ -166,14 +230,18 @@ def _links_of(classes: DataFrame, dim: int, n: int, cosine: float) -> DataFrame:
     full = caps.groupBy("filter").count().where(F.col("count") > HOT_FILTER).select("filter", F.ceil(F.col("count") / HOT_FILTER).cast("int").alias("parts"))
     dealt = caps.join(full, "filter", "left").withColumn("parts", F.coalesce("parts", F.lit(1))).withColumn("own", F.pmod(F.xxhash64("unit"), F.col("parts")).cast("int"))
     dealt = dealt.select("filter", "unit", "own", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other")).select("filter", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "unit")
-    shape = heads.join(centres, "unit").select("unit", "v", "far")
+    # a vector alone in its unit brings its filters along: a pair of such counts in the least filter that both have, so that no pair needs to be written
+    alone = heads.where("members = 1").select("unit")
+    lists = caps.join(alone, "unit").groupBy("unit").agg(F.sort_array(F.collect_list("filter")).alias("filters"))
+    shape = heads.join(centres, "unit").join(lists, "unit", "left").select("unit", "v", "far", "weight", "filters")
     rows = dealt.join(shape, "unit").repartition("filter", "lo", "hi").sortWithinPartitions("filter", "lo", "hi")
 
     def compare(batches):
         held, key = [], None
         for batch in batches:
-            cols = [column(batch, c).to_numpy(zero_copy_only=False) for c in ("filter", "lo", "hi", "own", "unit", "far")]
+            cols = [column(batch, c).to_numpy(zero_copy_only=False) for c in ("filter", "lo", "hi", "own", "unit", "far", "weight")]
             x = _matrix(column(batch, "v"), dim)
+            lists = column(batch, "filters")
             edge = np.flatnonzero(np.concatenate([[True], (np.diff(cols[0]) != 0) | (np.diff(cols[1]) != 0) | (np.diff(cols[2]) != 0), [True]]))
             for a, z in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
                 now = (cols[0][a], cols[1][a], cols[2][a])
@@ -181,23 +249,33 @@ def _links_of(classes: DataFrame, dim: int, n: int, cosine: float) -> DataFrame:
                     yield from pairs(held, key)
                     held = []
                 key = now
-                held.append((cols[3][a:z], cols[4][a:z], cols[5][a:z], x[a:z]))
+                held.append((cols[3][a:z], cols[4][a:z], cols[5][a:z], cols[6][a:z], x[a:z], lists[a:z]))
         if held:
             yield from pairs(held, key)
 
     def pairs(held, key):
-        own, unit, far, x = (np.concatenate([h[i] for h in held]) for i in range(4))
+        own, unit, far, weight, x = (np.concatenate([h[i] for h in held]) for i in range(5))
+        lists = pa.concat_arrays([h[5].combine_chunks() if isinstance(h[5], pa.ChunkedArray) else h[5] for h in held])
+        single = lists.is_valid().to_numpy(zero_copy_only=False)
         left = np.flatnonzero(own == key[1])
         right = np.flatnonzero(own == key[2])
+        out, forest = np.zeros(len(x), np.int64), Forest()
         for lo in range(0, len(left), 512):
             a = left[lo : lo + 512]
             dot = x[a] @ x[right].T
             reach = far[a][:, None] + far[right][None, :]
             # only what can hold a link
-            i, j = np.nonzero(dot >= np.cos(np.minimum(math.pi, angle + reach + 1e-9)))
+            near = dot >= np.cos(np.minimum(math.pi, angle + reach + 1e-9))
             if key[1] == key[2]:
-                some = unit[a[i]] < unit[right[j]]
-                i, j = i[some], j[some]
+                near &= unit[a][:, None] < unit[right][None, :]
+            both = single[a][:, None] & single[right][None, :]
+            links = near & both & (dot >= cosine)
+            if links.any():
+                links &= ~shared_before(lists, a, right, links, key[0])
+                out[a] += links @ weight[right]
+                out[right] += weight[a] @ links
+                forest.join(links, unit[a], unit[right])
+            i, j = np.nonzero(near & ~both)
             if not len(i):
                 continue
             d, r = dot[i, j], reach[i, j]
@@ -205,13 +283,19 @@ def _links_of(classes: DataFrame, dim: int, n: int, cosine: float) -> DataFrame:
             keep = whole | (r > 0)
             i, j, whole = i[keep], j[keep], whole[keep]
             u, v = unit[a[i]], unit[right[j]]
-            yield pa.record_batch([pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v)), pa.array(whole)], names=["a", "b", "whole"])
+            yield _met(np.minimum(u, v), np.maximum(u, v), np.where(whole, WHOLE, OPEN), np.zeros(len(u), np.int64))
+        at = np.flatnonzero(out)
+        if len(at):
+            yield _met(unit[at], unit[at], np.full(len(at), COUNTED), out[at])
+            u, v = forest.edges()
+            yield _met(u, v, np.full(len(u), LINKED), np.zeros(len(u), np.int64))
 
-    met = stored(rows.select("filter", "lo", "hi", "own", "unit", "far", "v").mapInArrow(compare, "a long, b long, whole boolean").distinct(), "met")
-    whole = met.where("whole").select("a", "b")
+    found = stored(rows.select("filter", "lo", "hi", "own", "unit", "far", "weight", "v", "filters").mapInArrow(compare, "a long, b long, kind int, w long"), "met")
+    met = found.where(F.col("kind").isin(WHOLE, OPEN)).select("a", "b", "kind").distinct()
+    whole = met.where(F.col("kind") == WHOLE).select("a", "b")
     # members of two units meet in one task, as rows of each and not as pairs; larger units in parts
     parts = heads.select("unit", F.ceil(F.col("members") / PART).cast("int").alias("n"))
-    open_ = met.where(~F.col("whole")).select("a", "b")
+    open_ = met.where(F.col("kind") == OPEN).select("a", "b")
     open_ = open_.join(parts.select(F.col("unit").alias("a"), F.col("n").alias("na")), "a").join(parts.select(F.col("unit").alias("b"), F.col("n").alias("nb")), "b")
     member = units.select("unit", "cid", "v", "copies")
     own = lambda n: F.pmod(F.xxhash64("cid"), F.col(n)).cast("int")
@@ -256,9 +340,10 @@ def _links_of(classes: DataFrame, dim: int, n: int, cosine: float) -> DataFrame:
     between = left.unionByName(right).repartition("a", "b", "i", "j").sortWithinPartitions("a", "b", "i", "j").mapInArrow(count, "a long, b long, cid long, k long")
     between = stored(between, "verified")
     weights = heads.select("unit", "weight")
-    by_unit = whole.join(weights.withColumnRenamed("unit", "b"), "b").select(F.col("a").alias("unit"), "weight").unionByName(whole.join(weights.withColumnRenamed("unit", "a"), "a").select(F.col("b").alias("unit"), "weight")).groupBy("unit").agg(F.sum("weight").alias("out"))
+    by_unit = whole.join(weights.withColumnRenamed("unit", "b"), "b").select(F.col("a").alias("unit"), "weight").unionByName(whole.join(weights.withColumnRenamed("unit", "a"), "a").select(F.col("b").alias("unit"), "weight"))
+    by_unit = by_unit.unionByName(found.where(F.col("kind") == COUNTED).select(F.col("a").alias("unit"), F.col("w").alias("weight"))).groupBy("unit").agg(F.sum("weight").alias("out"))
     by_class = between.groupBy("cid").agg(F.sum("k").alias("more"))
-    groups = components(whole.unionByName(between.select("a", "b").distinct()))
+    groups = components(whole.unionByName(between.select("a", "b").distinct()).unionByName(found.where(F.col("kind") == LINKED).select("a", "b")))
     counted = units.select("unit", "cid").join(weights, "unit").join(by_unit, "unit", "left").join(by_class, "cid", "left")
     counted = counted.select("unit", "cid", (F.col("weight") - 1 + F.coalesce("out", F.lit(0)) + F.coalesce("more", F.lit(0))).alias("n_links"))
     return counted.join(groups, counted["unit"] == groups["node"], "left").select("cid", "n_links", F.coalesce("component", "unit").alias("component"))

@@ -295,6 +295,37 @@ def test_dense_groups(spark, part, monkeypatch):
             assert written["verified"].count() <= 20 * n
 
 
+def test_diffuse_groups(spark, monkeypatch):
+    """Groups whose vectors link with each other but with no centre in common: links and components are right, and rows written grow with vectors, not pairs."""
+    written = []
+    keep = vectors.stored
+
+    def counting(df, what):
+        out = keep(df, what)
+        if what == "met":
+            written.append(out.count())
+        return out
+
+    monkeypatch.setattr(vectors, "stored", counting)
+    rng = np.random.default_rng(8)
+    for n in (150, 300, 600):
+        x = rng.normal(size=(n, 32))
+        centre = np.ones(32) / np.sqrt(32)
+        x -= np.outer(x @ centre, centre)
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        # mutual cosines around 0.93, and some stray ones and copies
+        x = np.sqrt(0.93) * centre + np.sqrt(0.07) * x
+        rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(n + i, rng.normal(size=32).tolist()) for i in range(20)] + [(n + 50, x[0].tolist())]
+        found = {r.vec_id: r for r in vectors.link_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)).collect()}
+        links, classes = brute.vector_links([v for _, v in rows])
+        got = [found[k].n_links for k, _ in rows]
+        assert sum(got) >= 0.999 * sum(links) and all(g <= w for g, w in zip(got, links))
+        assert [found[k].component_id for k, _ in rows] == [rows[c][0] for c in classes]
+        assert sum(links) > n * n / 2
+    # all pairs would be 11,175, 44,850 and 179,700 rows
+    assert all(w < 30 * n for w, n in zip(written, (150, 300, 600))), written
+
+
 def test_odd_vectors(spark):
     """Repeated and null ids, huge and tiny components."""
     a, b = [1.0, 2.0, 3.0], [3.0, -1.0, 0.5]
