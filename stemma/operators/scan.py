@@ -44,7 +44,7 @@ def _before(totals: DataFrame, group: Sequence[str], folds: Mapping[str, str]) -
     mine = W.partitionBy(*group)
     earlier = mine.orderBy("__part").rowsBetween(W.unboundedPreceding, -1)
     join = {"count": lambda c: F.sum(c).over(earlier)}
-    several = totals.withColumn("__n", F.count("*").over(mine)).where("__n > 1").drop("__n")
+    several = totals.withColumn("__scan_rows", F.count("*").over(mine)).where("__scan_rows > 1").drop("__scan_rows")
     return several.select("__part", *group, *[join.get(kind, lambda c, k=kind: _FOLDS[k][0](c, earlier))(F.col(name)).alias(f"__before_{name}") for name, kind in folds.items()])
 
 
