@@ -102,7 +102,7 @@ def test_odd_rows(spark, parts):
     types = ["A", "B", "TYPE_UNCLEAR", "CUBIC_QUARTIC_EQ"]
     some = lambda: rng.choice([None, [], ["A"], ["B"], ["A", "B"], ["A", "B"]])
     flag = lambda: rng.choice([None, False, False, True])
-    rows = [dict(k=i, g=rng.choice(["x", "x", "x", "y", None]), type=rng.choice(types), confidence=rng.choice([0.5, 0.6, 0.7, 0.75]), stem=rng.choice([None, "short", "a long enough stem", "a long stem 단, x", "a long stem (가) x"]), stem_intent=rng.choice([None, None, "A", "B", "CUBIC_QUARTIC_EQ"]), heading=rng.choice([None, None, "A", "B"]), inferred=rng.choice([None, "A", "B"]),
+    rows = [dict(k=i, g=rng.choice(["x", "x", "x", "y", None]), type=rng.choice(types), confidence=rng.choice([0.5, 0.6, 0.7, 0.75]), stem=rng.choice([None, "short", "a long enough stem", "a long enough stem", "a long enough stem", "a long stem 단, x", "a long stem (가) x"]), stem_intent=rng.choice([None, None, "A", "B", "CUBIC_QUARTIC_EQ"]), heading=rng.choice([None, None, "A", "B"]), inferred=rng.choice([None, "A", "B"]),
         agreement=rng.choice([None, {}, {"A": "SUPPORT", "B": "CONFLICT"}, {"A": "SUPPORT", "B": "SUPPORT"}, {"A": "WEAK", "CUBIC_QUARTIC_EQ": "SUPPORT"}]), strategies=some(), key_points=some(), requested=some(), review_reasons=rng.choice([None, [], [], ["UNIT_CONFLICT"], ["SUBUNIT_HEADING_RISK"]]), conditions=rng.choice([None, 0, 0, 2]), unit_auto=flag(), insufficient=rng.choice([None, False, False, False, True]), anchor=flag(), old_auto=rng.choice([None, False, False, False, False, True]), auto=rng.choice([None, True, True, True, False])) for i in range(6000)]
     names = "k int, g string, type string, confidence double, stem string, stem_intent string, heading string, inferred string, agreement map<string,string>, strategies array<string>, key_points array<string>, requested array<string>, review_reasons array<string>, conditions int, unit_auto boolean, insufficient boolean, anchor boolean, old_auto boolean, auto boolean"
     t = spark.createDataFrame([tuple(r[n.split()[0]] for n in names.split(", ")) for r in rows], names).repartition(3)
