@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -42,8 +43,8 @@ def append_new(plan: DataFrame, path: str, keys: list[str]) -> None:
     rows = plan.where("action = 'CREATE'").drop("action")
     try:
         rows = rows.join(spark.read.parquet(path).select(*keys), keys, "left_anti")
-    except Exception as e:  # the first write has nothing to read
-        if "PATH_NOT_FOUND" not in str(e):
+    except AnalysisException as e:  # the first write has nothing to read
+        if e.getCondition() != "PATH_NOT_FOUND":
             raise
     rows.write.mode("append").parquet(path)
 

@@ -1,5 +1,5 @@
 """Structured Streaming over the review log."""
 
-from .progress import dedupe_stream, progress_stream, run_available, sessions_with_state, upsert_batches
+from .progress import dedupe_stream, drop_covered, progress_stream, read_upserted, run_available, sessions_with_state, upsert_batches
 
-__all__ = ["dedupe_stream", "progress_stream", "run_available", "sessions_with_state", "upsert_batches"]
+__all__ = ["dedupe_stream", "drop_covered", "progress_stream", "read_upserted", "run_available", "sessions_with_state", "upsert_batches"]
