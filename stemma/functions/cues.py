@@ -90,3 +90,13 @@ def short_atom(text: Column) -> Column:
         return letters.between(1, ATOM_LETTERS) & ~body.rlike(ASKING + "|다음 중|" + EXAMPLE)
 
     return F.coalesce(bound(_body(text, r"^\d{3,4}"), judge), F.lit(False))
+
+
+#: Fixed value: what titles, file names and kinds of sources that are only for tests hold.
+FIXTURE_WORDS = r"(?i)STEP\s*\d|fixture|regression|Internal STEP|Production UI Test|do not use"
+
+
+def fixture_source(title: Column, filename: Column, kind: Column) -> Column:
+    """Whether a source is one for tests, by its title, file name and kind together; nulls are empty."""
+    part = lambda c: F.coalesce(c, F.lit(""))
+    return F.concat(part(title), F.lit(" "), part(filename), F.lit(" "), part(kind)).rlike(FIXTURE_WORDS)

@@ -25,7 +25,7 @@ LEAST_MEANINGFUL = 3
 TEX = (("<=", r"\\le "), (">=", r"\\ge "), ("≤", r"\\le "), ("≥", r"\\ge "), ("≠", r"\\neq "), ("±", r"\\pm "), ("√", r"\\sqrt "), (r"sqrt\(([^)]+)\)", r"\\sqrt{$1}"), (r"\^(\d+)", "^{$1}"), ("²", "^{2}"), ("³", "^{3}"))
 #: Labels of choices and titles of sections, which are no problems; numbers of four digits and of sections, and other heads.
 WORKBOOK_CHOICE = r"^[①-⑩]|^[ㄱㄴㄷ]\s|^보기(?![A-Za-z0-9_])|^\(가\)|^\(나\)|^\(\d{1,2}\)\s|^\d{1,2}\)\s"
-WORKBOOK_TITLE = r"^(?i:유형|개념|SSEN\s*NOTE|정답|풀이)(?=[A-Za-z0-9_])|^(?i:SSEN\s*NOTE)(?![A-Za-z0-9_])"
+WORKBOOK_TITLE = r"^(?:유형|개념|정답|풀이)(?=[A-Za-z0-9_])"
 FOUR_DIGITS, SECTION_NUMBER, DOTTED = r"^(\d{4})(?![A-Za-z0-9_])", r"^(\d{2}-\d)(?![A-Za-z0-9_])", r"^(?:문제\s+)?\d{1,2}\s*[.)]|^\[\d{1,2}\]"
 #: Formulas in one way of writing, in the order in which it is reached.
 COMPARED = ((r"\\left|\\right", ""), (r"\\bar\{([A-Za-z])\}", "$1bar"), (r"\\overline\{([A-Za-z])\}", "$1bar"), ("²", "^2"), ("³", "^3"), (r"\^\{(\d+)\}", "^$1"), (r"_\{(\d+)\}", "_$1"), (r"\\frac\{([^}]*)\}\{([^}]*)\}", "FRAC($1/$2)"), (r"\\sqrt\{([^}]*)\}", "SQRT($1)"), (r"\\le\b|≤", "<="), (r"\\ge\b|≥", ">="), (r"\\neq\b|≠", "!="), (r"\s+", ""))

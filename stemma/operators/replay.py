@@ -63,3 +63,43 @@ def replayed_types(items: DataFrame, headings: DataFrame, types: DataFrame, part
     typed = F.col("__f.node").isNotNull() | F.col("__f.type").isNotNull()
     reasons = F.array_compact(F.array(F.when(F.col("section").isNull(), "NO_SECTION").when(several, "TYPE_MARKER_AMBIGUOUS").when(~F.coalesce(typed, F.lit(False)), "TYPE_MARKER_MISSING")))
     return found.select("item", "section", "__f.code", "__f.node", "__f.type", "__f.how", reasons.alias("reasons"), "c_stage", "blocked")
+
+
+#: The first page that a text's heading of a stage counts on, and what is taken from a heading's certainty on later pages, down to the least.
+FIRST_STAGE_PAGE, CARRIED_LESS, LEAST_CARRIED = 8, 0.08, 0.55
+
+
+def stage_hits(pages: DataFrame, seen: DataFrame) -> DataFrame:
+    """(book, page, code, label, confidence, evidence) of the pages that begin a stage, one a page: what was seen (book, page, code, label, confidence; the surest) goes before a text's heading.
+
+    pages: book, page, code, label, confidence of the stage that a page's text names (null if none); those before FIRST_STAGE_PAGE do not count.
+    """
+    hit = lambda rows, rank, kind: rows.where("code IS NOT NULL").select("book", "page", F.struct(F.lit(rank).alias("rank"), (-F.col("confidence")).alias("less"), "code", "label", "confidence", F.lit(kind).alias("evidence")).alias("h"))
+    every = hit(seen, 0, "VISUAL_HEADING").unionByName(hit(pages.where(F.col("page") >= FIRST_STAGE_PAGE), 1, "TEXT_HEADING"))
+    return every.groupBy("book", "page").agg(F.min("h").alias("h")).select("book", "page", "h.code", "h.label", "h.confidence", "h.evidence")
+
+
+def stage_map(pages: DataFrame, seen: DataFrame, parts: int | None = None) -> DataFrame:
+    """Every page (book, page) with the stage that it lies in: code, label, confidence, evidence.
+
+    A stage goes on to the next one's page; pages before a book's first stage count to it. A page that begins a stage has its evidence and certainty, later ones are LAYOUT_BOUNDARY with a
+    little less. Pages that are filler (a column of `pages`), and books without stages, are UNKNOWN with 0. Books of any size: see scan.running().
+    """
+    hits = stage_hits(pages, seen)
+    stage = F.struct(F.col("page").alias("at"), "code", "label", "confidence", "evidence")
+    firsts = hits.groupBy(F.col("book").alias("__book")).agg(F.min(stage).alias("__first"))
+    rows = pages.select("book", "page", F.coalesce("filler", F.lit(False)).alias("filler"), F.lit(1).alias("__k"))
+    both = rows.unionByName(hits.select("book", "page", F.lit(0).alias("__k"), stage.alias("__h")), allowMissingColumns=True)
+    found = running(both, ["book"], ["page", "__k"], {"__last": ("last", F.col("__h"))}, parts=parts).where("__k = 1")
+    found = found.join(firsts, F.col("book").eqNullSafe(F.col("__book")), "left").withColumn("__s", F.when(~F.col("filler"), F.coalesce("__last", "__first")))
+    here = F.col("__s.at") == F.col("page")
+    confidence = F.when(F.col("__s").isNull(), 0.0).when(here, F.col("__s.confidence")).otherwise(F.greatest(F.lit(LEAST_CARRIED), F.col("__s.confidence") - CARRIED_LESS))
+    evidence = F.when(F.col("__s").isNull(), "UNKNOWN").when(here, F.col("__s.evidence")).otherwise("LAYOUT_BOUNDARY")
+    return found.select("book", "page", F.coalesce("__s.code", F.lit("UNKNOWN")).alias("code"), F.col("__s.label").alias("label"), confidence.alias("confidence"), evidence.alias("evidence"))
+
+
+def stage_ranges(hits: DataFrame, last: DataFrame, parts: int | None = None) -> DataFrame:
+    """(book, page_start, page_end, code, label, confidence) of stage_hits(): down to the page before the next one, or the book's last page (book, last_page)."""
+    after = running(hits, ["book"], [F.col("page").desc()], {"__next": ("last", F.col("page"))}, strict=True, parts=parts)
+    ends = last.select(F.col("book").alias("__book"), "last_page")
+    return after.join(ends, F.col("book").eqNullSafe(F.col("__book")), "left").select("book", F.col("page").alias("page_start"), F.coalesce(F.col("__next") - 1, "last_page").alias("page_end"), "code", "label", "confidence")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..catalog import query
+from ..functions.cues import fixture_source
 from ..operators import relational as R
 from ..sources.tables import table
 from ..sources.views import OUTLINE_SQL, PROBLEMS_SQL, REVIEW_LOG_SQL, outline, problems, review_log
@@ -188,3 +189,13 @@ def in_list_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = table(spark, sf_dir, "nation").where(F.col("n_regionkey").isin(1, 3))
     s = table(spark, sf_dir, "supplier").where((F.col("s_acctbal") > 0) & F.col("s_name").ilike("%0%"))
     return s.join(n, F.col("s_nationkey") == F.col("n_nationkey"), "left_semi").select("s_suppkey", "s_name")
+
+
+@query(r"""WITH s AS (SELECT doc_id, source AS title, CASE doc_id % 9 WHEN 0 THEN 'Regression' WHEN 1 THEN 'step  7' WHEN 2 THEN lang WHEN 3 THEN NULL ELSE left(text, strpos(text, '.')) END AS filename, CASE doc_id % 14 WHEN 5 THEN 'do not' WHEN 6 THEN 'DO NOT USE' END AS kind FROM documents)
+SELECT doc_id, regexp_matches(COALESCE(title, '') || ' ' || COALESCE(filename, '') || ' ' || COALESCE(kind, ''), '(?i)STEP\s*\d|fixture|regression|Internal STEP|Production UI Test|do not use') AS fixture FROM s""")
+def fixture_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which documents' sources are only for tests, by title, file name and kind."""
+    k = F.col("doc_id")
+    name = F.when(k % 9 == 0, "Regression").when(k % 9 == 1, "step  7").when(k % 9 == 2, F.col("lang")).when(k % 9 != 3, F.expr("left(text, locate('.', text))"))
+    kind = F.when(k % 14 == 5, "do not").when(k % 14 == 6, "DO NOT USE")
+    return table(spark, sf_dir, "documents").select("doc_id", fixture_source(F.col("source"), name, kind).alias("fixture"))

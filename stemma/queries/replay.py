@@ -41,3 +41,36 @@ def large_group_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = S.ranked(table(spark, sf_dir, "events").select("event_id", "event_type", "ts"), ["event_type"], ["ts", "event_id"], "place", "size")
     ahead, rest = (F.col("place") - 1) * 3, F.col("size") - 1
     return found.select("event_id", "event_type", "place", "size", F.when(F.col("size") < 3, "MID").when(ahead < rest, "LOW").when(ahead < 2 * rest, "MID").otherwise("HIGH").alias("third"))
+
+
+_STAGE_PAGES_SQL = """pages AS (SELECT o_custkey % 4 AS book, o_orderkey AS page, CASE WHEN o_orderkey % 37 = 5 THEN 'A_BASIC' WHEN o_orderkey % 23 = 4 THEN 'B_TYPE' END AS code, CASE WHEN o_orderkey % 37 = 5 THEN 0.9 WHEN o_orderkey % 23 = 4 THEN 0.72 END AS confidence, o_orderkey % 19 = 3 AS filler FROM orders),
+seen AS (SELECT o_custkey % 4 AS book, o_orderkey AS page, 'B_SKILL' AS code, CAST(0.98 AS DOUBLE) AS confidence FROM orders WHERE o_orderkey % 74 = 5 AND o_custkey % 4 <> 3),
+hits AS (SELECT book, page, arg_min(code, (rank, -confidence, code)) AS code, arg_min(confidence, (rank, -confidence, code)) AS confidence, CASE min(rank) WHEN 0 THEN 'VISUAL_HEADING' ELSE 'TEXT_HEADING' END AS evidence FROM (SELECT book, page, code, confidence, 0 AS rank FROM seen UNION ALL SELECT book, page, code, confidence, 1 FROM pages WHERE code IS NOT NULL AND page >= 8) GROUP BY book, page)"""
+
+
+def _stage_pages(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Orders as pages of four books, with the stages that their texts name, and what was seen on some."""
+    o = table(spark, sf_dir, "orders")
+    k = F.col("o_orderkey")
+    basic, kind = k % 37 == 5, k % 23 == 4
+    pages = o.select((F.col("o_custkey") % 4).alias("book"), k.alias("page"), F.when(basic, "A_BASIC").when(kind, "B_TYPE").alias("code"), F.when(basic, "A").when(kind, "B").alias("label"), F.when(basic, 0.9).when(kind, 0.72).alias("confidence"), (k % 19 == 3).alias("filler"))
+    seen = o.where((k % 74 == 5) & (F.col("o_custkey") % 4 != 3)).select((F.col("o_custkey") % 4).alias("book"), k.alias("page"), F.lit("B_SKILL").alias("code"), F.lit("S").alias("label"), F.lit(0.98).alias("confidence"))
+    return pages, seen
+
+
+@query(f"""WITH {_STAGE_PAGES_SQL}, f AS (SELECT book, arg_min({{'at': page, 'code': code, 'confidence': confidence, 'evidence': evidence}}, page) AS s FROM hits GROUP BY book),
+l AS (SELECT p.book, p.page, p.filler, last_value(CASE WHEN h.page IS NOT NULL THEN {{'at': h.page, 'code': h.code, 'confidence': h.confidence, 'evidence': h.evidence}} END IGNORE NULLS) OVER (PARTITION BY p.book ORDER BY p.page) AS s FROM pages p LEFT JOIN hits h ON h.book = p.book AND h.page = p.page),
+a AS (SELECT l.book, l.page, CASE WHEN NOT filler THEN COALESCE(l.s, f.s) END AS s FROM l LEFT JOIN f ON l.book = f.book)
+SELECT book, page, COALESCE(s.code, 'UNKNOWN') AS code, round(CASE WHEN s IS NULL THEN 0 WHEN s.at = page THEN s.confidence ELSE greatest(0.55, s.confidence - 0.08) END, 6) AS confidence, CASE WHEN s IS NULL THEN 'UNKNOWN' WHEN s.at = page THEN s.evidence ELSE 'LAYOUT_BOUNDARY' END AS evidence FROM a""")
+def page_stages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stage of every page: what was seen, what texts name, and what goes on from earlier pages."""
+    found = R.stage_map(*_stage_pages(spark, sf_dir))
+    return found.select("book", "page", "code", F.round("confidence", 6).alias("confidence"), "evidence")
+
+
+@query(f"""WITH {_STAGE_PAGES_SQL} SELECT h.book, h.page AS page_start, COALESCE(lead(h.page) OVER (PARTITION BY h.book ORDER BY h.page) - 1, m.last_page) AS page_end, code, round(confidence, 6) AS confidence FROM hits h JOIN (SELECT book, max(page) AS last_page FROM pages GROUP BY book) m ON m.book = h.book""")
+def stage_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where each stage begins and ends."""
+    pages, seen = _stage_pages(spark, sf_dir)
+    found = R.stage_ranges(R.stage_hits(pages, seen), pages.groupBy("book").agg(F.max("page").alias("last_page")))
+    return found.select("book", "page_start", "page_end", "code", F.round("confidence", 6).alias("confidence"))

@@ -116,3 +116,32 @@ def test_replay(spark, parts):
     assert {w[3] for w in want.values()} == {None, "stem_type_marker", "page_ocr_unique_type", "inherit_concept_heading", "inherit_previous_in_section"} and any(w[5] for w in want.values())
     assert R.replayed_types(its.limit(0), hs, ts, parts).count() == 0
     assert R.replayed_types(its, hs.limit(0), ts.limit(0), parts).where("code IS NOT NULL").count() == 0
+
+
+@pytest.mark.parametrize("parts", [1, 7])
+def test_stages(spark, parts):
+    """A book without stages, a null book, fillers, what was seen before what is named, early pages, and an empty table."""
+    rng = random.Random(9)
+    pages = [(b, p, rng.choice([None] * 6 + ["A", "B"]), rng.choice([0.72, 0.9]), rng.choice([None, False, False, True])) for b in (1, 2, None) for p in range(1, 60)] + [(4, 1, "A", 0.9, False), (4, 2, None, None, False)]
+    seen = [(b, p, "S", c) for b in (1, None) for p in (3, 30, 30, 58) for c in (0.98, 0.6)]
+    ps = spark.createDataFrame([(b, p, c, c, f, fill) for b, p, c, f, fill in pages], "book long, page long, code string, label string, confidence double, filler boolean").repartition(3)
+    ss = spark.createDataFrame([(b, p, c, c, f) for b, p, c, f in seen], "book long, page long, code string, label string, confidence double")
+    want, ranges = {}, []
+    for book in {p[0] for p in pages}:
+        own = [p for p in pages if p[0] == book]
+        hits = {}
+        for _, p, c, f, _ in own:
+            if c and p >= 8:
+                hits[p] = (c, f, "TEXT_HEADING")
+        for b, p, c, f in sorted(seen, key=lambda x: x[3]):
+            if b == book:
+                hits[p] = (c, f, "VISUAL_HEADING")
+        at = sorted(hits)
+        ranges += [(book, p, (q - 1 if q else max(x[1] for x in own)), hits[p][0]) for p, q in zip(at, [*at[1:], None])]
+        for _, p, _, _, fill in own:
+            last = max([q for q in at if q <= p], default=at[0] if at else None)
+            want[book, p] = ("UNKNOWN", 0.0, "UNKNOWN") if fill or last is None else (hits[last][0], pytest.approx(hits[last][1] if last == p else max(0.55, hits[last][1] - 0.08)), hits[last][2] if last == p else "LAYOUT_BOUNDARY")
+    assert {(r.book, r.page): (r.code, r.confidence, r.evidence) for r in R.stage_map(ps, ss, parts).collect()} == want
+    found = R.stage_ranges(R.stage_hits(ps, ss), ps.groupBy("book").agg(F.max("page").alias("last_page")), parts).collect()
+    assert sorted(map(str, ((r.book, r.page_start, r.page_end, r.code) for r in found))) == sorted(map(str, ranges))
+    assert R.stage_map(ps.limit(0), ss.limit(0), parts).count() == 0
