@@ -9,8 +9,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Bytes of patterns that one automaton holds; more rules are matched in several passes.
-AUTOMATON_BYTES = 4 << 20
+from ..sources.shared import kept
+
+#: Bytes of patterns that one automaton holds, some hundred MB in a task; more rules are matched in several passes.
+AUTOMATON_BYTES = 512 << 10
 
 
 class Automaton:
@@ -60,6 +62,16 @@ class Automaton:
         return counts
 
 
+_last: list[tuple[list[str], Automaton]] = []
+
+
+def _machine(patterns: list[str]) -> Automaton:
+    """The automaton of these patterns; a Python worker that runs several tasks of one pass builds it once."""
+    if not _last or _last[0][0] != patterns:
+        _last[:] = [(patterns, Automaton(patterns))]
+    return _last[0][1]
+
+
 def _blocks(rules: DataFrame, most: int, fold: bool) -> list[list[dict[str, Any]]]:
     """Rules dealt to blocks of at most so many bytes of patterns, each collected by itself: (pattern, priority, label, confidence)."""
     known = rules.where("pattern IS NOT NULL AND pattern <> ''").select("pattern", F.col("priority").cast("long").alias("priority"), F.col("label").cast("string").alias("label"), F.col("confidence").cast("double").alias("confidence")).distinct()
@@ -76,12 +88,13 @@ def first_rules(texts: DataFrame, rules: DataFrame, text_col: str = "text", *, f
     rules: pattern, priority, label, confidence. The least priority wins, then the smaller label, then the smaller pattern; a pattern may stand in several
     rules. fold: A-Z and other capitals count as small letters on both sides. Null and empty patterns are left out; a null text, or one without any, has null results and no hits.
     Nothing is shuffled: patterns of up to `most` bytes make one automaton that goes to all tasks, more are matched in blocks, each a further pass
-    over the texts that keeps the better result. Columns of texts with names of the results are replaced.
+    over the texts that keeps the better result and is stored before the next. Columns of texts with names of the results are replaced.
     """
     names = ["label", "confidence", "pattern", "priority", "hits"]
     rest = [c for c in texts.columns if c not in names]
     out = texts.select(*rest, F.lit(None).cast("string").alias("label"), F.lit(None).cast("double").alias("confidence"), F.lit(None).cast("string").alias("pattern"), F.lit(None).cast("long").alias("priority"), F.lit(0).cast("long").alias("hits"))
-    for block in _blocks(rules, most, fold):
+    blocks = _blocks(rules, most, fold)
+    for number, block in enumerate(blocks):
         lower = [(r["pattern"].lower() if fold else r["pattern"]) for r in block]
         patterns = sorted(set(lower))
         place = {p: i for i, p in enumerate(patterns)}
@@ -95,7 +108,7 @@ def first_rules(texts: DataFrame, rules: DataFrame, text_col: str = "text", *, f
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             patterns, best = sent.value
-            machine = Automaton(patterns)
+            machine = _machine(patterns)
             for b in batches:
                 at = {n: b.schema.get_field_index(n) for n in (text_col, *names)}
                 had = {n: b.column(at[n]).to_pylist() for n in names}
@@ -115,6 +128,9 @@ def first_rules(texts: DataFrame, rules: DataFrame, text_col: str = "text", *, f
                 yield b
 
         out = out.mapInArrow(run, out.schema)
+        if number + 1 < len(blocks):
+            # one automaton at a time in a task
+            out = kept(out, "rules")
     return out
 
 
