@@ -88,8 +88,9 @@ def formulas(text: Column) -> Column:
     return F.transform(F.filter(F.array_distinct(bare), lambda w: F.length(w) >= 2), read)
 
 
-def meaningful(text: Column) -> Column:
-    return F.regexp_count(text, F.lit(MEANINGFUL))
+def has_text(text: Column) -> Column:
+    """Whether a text has as many letters and digits as can be read; the first few are looked for, not all counted."""
+    return text.rlike(rf"(?:{MEANINGFUL}[\s\S]*?){{{LEAST_MEANINGFUL}}}")
 
 
 def workbook_anchor(raw: Column) -> Column:

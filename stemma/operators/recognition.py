@@ -27,21 +27,24 @@ def recognised(rows: DataFrame, text: str = "text", *, scan: bool = False) -> Da
     step = step.withColumn("__stem", F.when(left != "", left).otherwise(F.col("__n.rest")))
     step = step.withColumn("__math", R.formulas(F.concat("__stem", F.lit(" "), F.array_join(F.transform("__choices", lambda c: c["text"]), " "))))
     t, choices, math = F.col("__t"), F.col("__choices"), F.col("__math")
-    figure, table, numbered = R.shows_figure(t), R.shows_table(t), F.col("__n.number").isNotNull()
-    broken = (F.size(choices) > 0) & ~R.in_order(F.transform(choices, lambda c: c["order"]))
-    weak = F.exists(math, lambda m: ~m["structure_ok"]) | ((F.size(math) == 0) & t.rlike(R.MATHY))
+    # what is asked of whole texts is a column, so that it is worked out once
+    step = step.withColumns({
+        "__figure": R.shows_figure(t), "__table": R.shows_table(t), "__broken": (F.size(choices) > 0) & ~R.in_order(F.transform(choices, lambda c: c["order"])), "__poor": F.exists(math, lambda m: ~m["structure_ok"]),
+        "__mathy": F.when(F.size(math) == 0, t.rlike(R.MATHY)).otherwise(False), "__fell": t.rlike(r"[A-Za-z]\d") & ~t.rlike("[²³^]") if scan else F.lit(False), "__nothing": ~R.has_text(t),
+    })
+    figure, table, broken, poor, fell, numbered = *map(F.col, ("__figure", "__table", "__broken", "__poor", "__fell")), F.col("__n.number").isNotNull()
+    weak = poor | F.col("__mathy")
     parts = [F.lit("TEXT_OK"), F.when(numbered, "NUMBER_OK").otherwise("NUMBER_REVIEW_REQUIRED"), F.when(broken, "CHOICES_REVIEW_REQUIRED").when(F.size(choices) > 0, "CHOICES_OK"), F.when(weak, "MATH_REVIEW_REQUIRED").when(F.size(math) > 0, "MATH_OK"), F.when(figure, "FIGURE_DETECTED"), F.when(table, "TABLE_DETECTED")]
-    told = [F.when(F.col("__n.circled"), "circled_number").when(~numbered, "number_left_in_stem"), F.when(broken, "choice_missing_or_out_of_order"), F.when(F.exists(math, lambda m: ~m["structure_ok"]), "formula_incomplete").when(weak, "formula_not_structured"), F.when(figure, "figure_detected"), F.when(table, "table_detected"), F.when(F.col("__answer").isNotNull(), "answer_copied")]
-    fell = t.rlike(r"[A-Za-z]\d") & ~t.rlike("[²³^]")
+    told = [F.when(F.col("__n.circled"), "circled_number").when(~numbered, "number_left_in_stem"), F.when(broken, "choice_missing_or_out_of_order"), F.when(poor, "formula_incomplete").when(weak, "formula_not_structured"), F.when(figure, "figure_detected"), F.when(table, "table_detected"), F.when(F.col("__answer").isNotNull(), "answer_copied")]
     if scan:
         parts += [F.lit("LOW_CONFIDENCE"), F.when(~weak, "MATH_REVIEW_REQUIRED")]
         told += [F.lit("raw_scan"), F.when(fell, "exponent_maybe_lost")]
     step = step.withColumns({"__parts": F.array_compact(F.array(*parts)), "__told": F.array_compact(F.array(*told))})
     lost = F.exists(math, lambda m: F.array_contains(m["notes"], "lost_exponent"))
     review = F.exists("__parts", lambda p: p.rlike("REVIEW_REQUIRED|FIGURE_DETECTED|TABLE_DETECTED"))
-    red = (F.col("__stem") == "") | lost | (fell if scan else F.lit(False))
+    red = (F.col("__stem") == "") | lost | fell
     verdict = F.when(red, "RED").when(F.lit(True) if scan else review, "YELLOW").otherwise("GREEN")
-    nothing = R.meaningful(t) < R.LEAST_MEANINGFUL
+    nothing = F.col("__nothing")
     number = F.col("__n.number")
     if scan:
         number = F.coalesce(number, F.nullif(F.regexp_extract(t, R.SCAN_NUMBER, 1), F.lit("")))
