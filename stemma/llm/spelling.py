@@ -20,7 +20,7 @@ LETTERS = "A-Za-zÀ-ÿ"
 _LOWER = {c: c + 32 for c in range(65, 91)}
 #: Distinct words that a task holds before it sends their counts on, and characters of text read at once.
 HELD, SLICE = 200_000, 1 << 20
-#: What deletions leave is compared as strings up to so many code points; beyond, two keys of 64 bits tell it, as a word would travel once a letter.
+#: What deletions leave brings its word along up to so many code points; longer words, which would travel once a letter, are sent for where keys meet.
 SHORT = 64
 
 _B1, _B2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
@@ -138,19 +138,32 @@ def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             at = to
 
 
+def _meets(rows: pa.RecordBatch) -> pa.RecordBatch:
+    """The rows that can have a near word in what they share keys with: another word with that deletion at the same place, or another word that is or leaves the same. rows: whole runs of a key."""
+    key, other, place, first, rank = (column(rows, c).to_numpy(zero_copy_only=False) for c in ("key", "other", "place", "first", "rank"))
+    order = np.lexsort((rank, place, other, key))
+    k, o, p, f, r = key[order], other[order], place[order], first[order], rank[order]
+    run = np.cumsum(np.concatenate([[True], (k[1:] != k[:-1]) | (o[1:] != o[:-1])])[: len(k)]) - 1
+    spot = np.cumsum(np.concatenate([[True], (np.diff(run) != 0) | (p[1:] != p[:-1])])[: len(k)]) - 1
+    many = (np.bincount(spot)[spot] > 1) & (p >= 0) if len(k) else np.zeros(0, bool)
+    whole = np.bincount(run[p < 0], minlength=len(k))[run] > 0
+    shorter = np.bincount(run[(p >= 0) & f], minlength=len(k))[run] > 0
+    some = many | (whole & (p >= 0) & f) | (shorter & (p < 0))
+    return rows.take(pa.array(np.sort(order[some])))
+
+
 def _groups(rows: pa.RecordBatch) -> pa.RecordBatch:
-    """(rank, n, best) of the near words that rows meet under equal keys. rows: whole runs of a key."""
+    """(rank, n, best) of the near words that rows meet under equal keys. rows: whole runs of a key, each with its word."""
     key, other, place, first, rank = (column(rows, c).to_numpy(zero_copy_only=False) for c in ("key", "other", "place", "first", "rank"))
     run = np.concatenate([[0], np.cumsum((key[1:] != key[:-1]) | (other[1:] != other[:-1]))]) if len(key) else np.empty(0, np.int64)
-    # equal keys: the strings themselves decide
+    # equal keys: the strings themselves decide, whatever their length
     shared = np.flatnonzero(np.bincount(run)[run] > 1) if len(key) else np.empty(0, np.int64)
     key, place, first, rank, run = run[shared], place[shared], first[shared], rank[shared], run[shared]
     code: dict = {}
     same = np.empty(len(shared), np.int64)
     for i, (word, at, of) in enumerate(zip(column(rows, "word").take(pa.array(shared)).to_pylist(), place.tolist(), run.tolist())):
-        # long words are told apart by both keys, which the run stands for
-        left = of if word is None else word if at < 0 else word[:at] + word[at + 1 :]
-        same[i] = code.setdefault(left, len(code))
+        left = word if at < 0 else word[:at] + word[at + 1 :]
+        same[i] = code.setdefault((of, left), len(code))
     out_rank, out_n, out_best = [], [], []
 
     def add(ranks, ns, bests):
@@ -182,8 +195,8 @@ def _groups(rows: pa.RecordBatch) -> pa.RecordBatch:
     return pa.record_batch([pa.array(np.concatenate([*x, np.empty(0, np.int64)]).astype(np.int64)) for x in (out_rank, out_n, out_best)], ["rank", "n", "best"])
 
 
-def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Partitions sorted by keys: runs that go on in the next batch wait for it."""
+def _by_key(batches: Iterator[pa.RecordBatch], use: Callable[[pa.RecordBatch], pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """use() of whole runs of keys. Partitions are sorted by keys: runs that go on in the next batch wait for it."""
     rest = None
     for b in batches:
         if b.num_rows == 0:
@@ -192,9 +205,9 @@ def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key = column(b, "key").to_numpy()
         cut = int(np.searchsorted(key, key[-1]))
         rest = b.slice(cut)
-        yield _groups(b.slice(0, cut))
+        yield use(b.slice(0, cut))
     if rest is not None:
-        yield _groups(rest)
+        yield use(rest)
 
 
 def near_words(words: DataFrame) -> DataFrame:
@@ -202,13 +215,18 @@ def near_words(words: DataFrame) -> DataFrame:
 
     A word meets its near words under the keys of what is left when one code point is left out: a replacement leaves the same string at
     the same place, an insertion leaves the other word. Keys are dealt by their value and sorted; each group adds up its size and its two least
-    ranks, so no pair is written. Equal keys are compared as strings, and beyond SHORT code points by a second key of 64 bits. A group has
-    at most one word for each letter and place, so none is large. Words without a near word have no row.
+    ranks, so no pair is written. Equal keys are compared as strings, of whatever length: up to SHORT code points the word comes along with each
+    key; a longer one is first met by its keys alone, and joined to those of its keys under which there is another word, at most one or two for
+    each near word. A group has at most one word for each letter and place, so none is large. Words without a near word have no row.
     """
     spark = words.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    keyed = words.select("rank", "word").mapInArrow(_keyed, _KEYS)
-    met = keyed.repartition(n, "key").sortWithinPartitions("key", "other").mapInArrow(_near, "rank long, n long, best long")
+    dealt = lambda rows: rows.repartition(n, "key").sortWithinPartitions("key", "other")
+    keyed = words.where(F.length("word") <= SHORT + 1).select("rank", "word").mapInArrow(_keyed, _KEYS)
+    long = words.where(F.length("word") > SHORT).select("rank", "word")
+    alone = long.mapInArrow(_keyed, _KEYS).where("word IS NULL")
+    meeting = dealt(alone).mapInArrow(lambda batches: _by_key(batches, _meets), _KEYS).drop("word").join(long, "rank").select("key", "other", "place", "first", "rank", "word")
+    met = dealt(keyed.where("word IS NOT NULL").unionByName(meeting)).mapInArrow(lambda batches: _by_key(batches, _groups), "rank long, n long, best long")
     return met.groupBy("rank").agg(F.sum("n").alias("n_near"), F.min("best").alias("best"))
 
 

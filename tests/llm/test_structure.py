@@ -200,6 +200,17 @@ def test_equal_keys_are_told_apart():
     assert sorted((r["rank"], r["n"], r["best"]) for r in got) == [(1, 1, 2), (1, 1, 4), (2, 1, 1), (2, 1, 4), (4, 1, 1), (4, 1, 2)]
 
 
+def test_long_words_are_compared_as_strings(spark):
+    """Two words of 1,024 letters, unlike in every place (Thue and Morse's), whose polynomial hashes are the same modulo 2**64 for every odd base: what is near one is not near the other."""
+    one = "".join("ab"[i.bit_count() % 2] for i in range(1024))
+    two = one.translate(str.maketrans("ab", "ba"))
+    _, place, _, key, other = spelling.deletion_keys(pa.array([one, two]))
+    assert len(set(zip(key[place < 0].tolist(), other[place < 0].tolist()))) == 1
+    words = [(one, 3), (two, 40), (one + "c", 2), ("c" + two[:700] + "x" + two[701:], 2), ("c" + two, 5), ("d" * 65, 7), ("d" * 66, 8), ("d" * 64, 9)]
+    found = {r.word: (r.form, r.root, r.n_near, r.form_n) for r in spelling.group_variants(spark.createDataFrame(words, "word string, n long"), 2).collect()}
+    assert found == brute.variants(dict(words), 2)
+
+
 def test_deletion_keys():
     """The keys by cumulative sums are those of each deletion's own string."""
     words = ["abcabca", "aabbccd", "é" * 9, "z" * 100]
