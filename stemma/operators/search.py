@@ -11,12 +11,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.scores import dot, norm
+from ..functions.scores import norm
 
 #: Queries that are sent to all tasks at once; more are searched in blocks of about this many.
 MOST_BROADCAST = 20_000
 #: Rows and bytes that the centres of an index are fitted on.
 SAMPLE_ROWS, SAMPLE_BYTES = 20_000, 64 << 20
+#: Vectors and queries whose products are worked out at once, and pairs that are then compared in full.
+VECTOR_ROWS, QUERY_ROWS, PAIR_ROWS = 4_096, 512, 1 << 17
 #: Rows of a section that meet others in one task.
 PART_ROWS = 4_096
 #: Sampled vectors that each list of an index stands for at least, and queries that the number of lists to look into is measured on.
@@ -33,35 +35,154 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int | None = 5, *, id_col:
     """The k most similar vectors of each query (query_id, query_vec): query_id, id_col, similarity, rank from 1.
 
     A query never finds itself. excluded: (query_id, id_col) pairs to leave out, as blocked ones are. unlike: columns of vectors and of queries; pairs in which they are equal are left out before they are ranked. Ties go to the smaller id.
-    Queries are a stated set: up to MOST_BROADCAST of them go to all tasks, more are searched in blocks by a hash of their id.
-    Each task keeps k rows per query before anything is shuffled.
+    Vectors that are zero, null, hold nulls or are of another length have similarity 0. Queries are a stated set: up to MOST_BROADCAST of them go to all tasks, more are searched
+    in blocks by a hash of their id. Vectors are dealt to all cores; each task holds k rows per query (and as many more as a query has excluded ones), and gives no more.
     """
     k = clamp_k(k)
     blocks = max(1, -(-queries.count() // MOST_BROADCAST))
-    if blocks > 1:
-        of = F.pmod(F.xxhash64("query_id"), F.lit(blocks))
-        parts = [_search(vectors, queries.where(of == b), k, id_col, vec_col, excluded, where, unlike) for b in range(blocks)]
-        out = parts[0]
-        for p in parts[1:]:
-            out = out.unionByName(p)
-        return out
-    return _search(vectors, queries, k, id_col, vec_col, excluded, where, unlike)
-
-
-def _search(vectors: DataFrame, queries: DataFrame, k: int, id_col: str, vec_col: str, excluded: DataFrame | None, where: Column | None, unlike: tuple[str, str] | None) -> DataFrame:
-    mine, theirs = ([F.col(unlike[0]).alias("__mine")], [F.col(unlike[1]).alias("__theirs")]) if unlike else ([], [])
-    base = vectors.select(F.col(id_col), F.col(vec_col).alias("__v"), *mine).where(F.lit(True) if where is None else where)
-    base = base.withColumn("__n", norm(F.col("__v")))
-    asked = F.broadcast(queries.select("query_id", "query_vec", norm(F.col("query_vec")).alias("__qn"), *theirs))
-    size = F.col("__n") * F.col("__qn")
-    similarity = F.when((F.size("__v") == F.size("query_vec")) & (size > 0), dot(F.col("__v"), F.col("query_vec")) / size).otherwise(0.0)
-    met = (F.col(id_col) != F.col("query_id")) & (F.coalesce(F.col("__mine") != F.col("__theirs"), F.lit(True)) if unlike else F.lit(True))
-    scored = base.join(asked, met).select("query_id", id_col, similarity.alias("similarity"))
+    of = F.pmod(F.xxhash64("query_id"), F.lit(blocks))
+    more = 0 if excluded is None else excluded.groupBy("query_id").count().agg(F.max("count")).first()[0] or 0
+    mine = F.col(unlike[0]) if unlike else F.lit(None).cast("int")
+    base = vectors.where(F.lit(True) if where is None else where).where(F.col(id_col).isNotNull()).select(F.col(id_col), F.col(vec_col).cast("array<double>").alias("__v"), mine.alias("__mine"))
+    base = base.repartition(2 * vectors.sparkSession.sparkContext.defaultParallelism, id_col)
+    theirs = F.col(unlike[1]) if unlike else F.lit(None).cast("int")
+    asked = queries.where("query_id IS NOT NULL").select("query_id", F.col("query_vec").cast("array<double>").alias("query_vec"), theirs.alias("__theirs"))
+    found = reduce(DataFrame.unionByName, [_nearest(base, asked.where(of == b), k + more, id_col) for b in range(blocks)])
     if excluded is not None:
-        scored = scored.join(excluded, ["query_id", id_col], "left_anti")
-    # row_number below a limit is kept per task before the shuffle (WindowGroupLimit)
+        found = found.join(excluded, ["query_id", id_col], "left_anti")
     order = W.partitionBy("query_id").orderBy(F.col("similarity").desc(), F.col(id_col))
-    return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+
+class _Sides:
+    """Vectors prepared for comparison: m (void rows, which are null, hold nulls or are of another length, are zero), size (their norms), unit (for products that tell how similar they may be) and odd (not finite, or too large or small for that)."""
+
+    def __init__(self, column: pa.Array, dim: int):
+        lengths = pc.fill_null(pc.list_value_length(column), -1).to_numpy(zero_copy_only=False)
+        at = np.flatnonzero(lengths == dim)
+        flat = column.take(pa.array(at)).flatten()
+        void = np.zeros(len(column), bool)
+        void[lengths != dim] = True
+        void[at[~pc.is_valid(flat).to_numpy(zero_copy_only=False).reshape(len(at), dim).all(axis=1)]] = True
+        self.m = np.zeros((len(column), dim))
+        self.m[at] = pc.fill_null(flat, 0.0).to_numpy(zero_copy_only=False).reshape(len(at), dim)
+        self.m[void], self.void = 0, void
+        with np.errstate(all="ignore"):
+            self.size = np.sqrt(_dots(self.m, self.m))
+            self.odd = ~np.isfinite(self.m).all(axis=1) | (self.size > 1e70) | ((self.size < 1e-70) & (self.m != 0).any(axis=1))
+            self.unit = np.where((self.odd | (self.size == 0))[:, None], 0.0, self.m / np.where(self.size == 0, 1, self.size)[:, None])
+
+
+def _dots(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Scalar products of rows, added up from the first component to the last, as scores.dot() does."""
+    out = np.zeros(len(a))
+    for i in range(a.shape[1]):
+        out += a[:, i] * b[:, i]
+    return out
+
+
+def _nearest(vectors: DataFrame, queries: DataFrame, k: int, id_col: str) -> DataFrame:
+    """(query_id, id_col, similarity) of each task's k best vectors (id_col, __v, __mine) of one block of queries (query_id, query_vec, __theirs).
+
+    A product of matrices tells which pairs can be among the best; these are worked out component by component, so that equal vectors are equally similar.
+    """
+    part = queries.toArrow()
+    vecs = part.column("query_vec").combine_chunks()
+    names, labels = part.column("query_id").to_pylist(), part.column("__theirs").to_pylist()
+    sent = vectors.sparkSession.sparkContext.broadcast((vecs, names, labels))
+    shape = pa.schema([pa.field("query_id", part.schema.field("query_id").type), pa.field(id_col, _arrow_type(vectors, id_col)), pa.field("similarity", pa.float64())])
+    kinds = f"query_id {queries.schema['query_id'].dataType.simpleString()}, {id_col} {vectors.schema[id_col].dataType.simpleString()}, similarity double"
+
+    def run(batches):
+        vecs, names, labels = sent.value
+        code: dict = {}
+        theirs = np.array([-1 if v is None else code.setdefault(v, len(code)) for v in labels], np.int64)
+        place: dict = {}
+        for i, name in enumerate(names):
+            place.setdefault(name, []).append(i)
+        dims = [d for d in pc.unique(pc.list_value_length(vecs)).to_pylist() if d]
+        # queries of a length are compared with vectors made for it; those without one, or empty, are similar to nothing
+        length = pc.fill_null(pc.list_value_length(vecs), 0).to_numpy(zero_copy_only=False)
+        groups = [(d, np.flatnonzero(length == d)) for d in [*dims, 0] if (length == d).any()]
+        sides = {d: _Sides(vecs.take(pa.array(at)), max(d, 1)) for d, at in groups}
+        best = _Best(len(names), k)
+        for batch in batches:
+            ordered = batch.take(pc.sort_indices(batch.column(0)))
+            for lo in range(0, batch.num_rows, VECTOR_ROWS):
+                some = ordered.slice(lo, VECTOR_ROWS)
+                ids = some.column(0).to_pylist()
+                mine = np.array([-2 if v is None else code.get(v, -3) for v in some.column(2).to_pylist()], np.int64)
+                for dim, at in groups:
+                    rows = _Sides(some.column(1), max(dim, 1))
+                    keep = _few_copies(rows.m, mine, k + 1) if len(set(ids)) == len(ids) else np.arange(len(ids))
+                    own = {j: place[ids[i]] for j, i in enumerate(keep.tolist()) if ids[i] in place}
+                    for q in range(0, len(at), QUERY_ROWS):
+                        best.meet(at[q : q + QUERY_ROWS], sides[dim], slice(q, q + QUERY_ROWS), rows, keep, mine[keep], theirs, own, ids)
+        r, c = np.nonzero(best.filled)
+        yield pa.RecordBatch.from_pydict({"query_id": [names[i] for i in r], id_col: best.ids[r, c].tolist(), "similarity": best.sims[r, c]}, schema=shape)
+
+    return vectors.mapInArrow(run, kinds)
+
+
+def _few_copies(m: np.ndarray, label: np.ndarray, most: int) -> np.ndarray:
+    """The rows but those that come after `most` others with the same components and label."""
+    whole = np.ascontiguousarray(np.hstack([m, label[:, None].astype(float)]))
+    of = np.unique(whole.view(np.dtype((np.void, whole.shape[1] * 8))).ravel(), return_inverse=True)[1].ravel()
+    order = np.argsort(of, kind="stable")
+    first = np.concatenate([[True], np.diff(of[order]) != 0])
+    nth = np.empty(len(of), np.int64)
+    nth[order] = np.arange(len(of)) - np.flatnonzero(first)[np.cumsum(first) - 1]
+    return np.flatnonzero(nth < most)
+
+
+class _Best:
+    """The k most similar vectors of each query so far: larger similarity (not a number is the largest, as in Spark), then smaller id."""
+
+    def __init__(self, queries: int, k: int):
+        self.k = k
+        self.sims, self.ids, self.filled = np.full((queries, k), -np.inf), np.full((queries, k), None, object), np.zeros((queries, k), bool)
+
+    def meet(self, who: np.ndarray, asked: _Sides, part: slice, rows: _Sides, keep: np.ndarray, mine: np.ndarray, theirs: np.ndarray, own: dict[int, list[int]], ids: list) -> None:
+        """Queries `who` (rows `part` of asked) meet the rows `keep` of vectors. own: the queries that such a row is itself."""
+        may = asked.unit[part] @ rows.unit[keep].T
+        may[asked.odd[part]] = np.inf
+        may[:, rows.odd[keep]] = np.inf
+        may[theirs[who][:, None] == mine] = -np.inf
+        for j, several in own.items():
+            for i in several:
+                at = int(np.searchsorted(who, i))
+                if at < len(who) and who[at] == i:
+                    may[at, j] = -np.inf
+        least = np.where(self.filled[who, -1], np.where(np.isnan(self.sims[who, -1]), np.inf, self.sims[who, -1]), -2.0)
+        if (least == -2.0).any() and may.shape[1] > self.k:
+            least = np.maximum(least, np.partition(may, -self.k, axis=1)[:, -self.k])
+        i, j = np.nonzero((may >= least[:, None] - 1e-9) & (may > -np.inf))
+        for lo in range(0, len(i), PAIR_ROWS):
+            self._add(who, asked, part, rows, keep, i[lo : lo + PAIR_ROWS], j[lo : lo + PAIR_ROWS], ids)
+
+    def _add(self, who, asked, part, rows, keep, i, j, ids) -> None:
+        a, b = i + part.start, keep[j]
+        with np.errstate(all="ignore"):
+            size = rows.size[b] * asked.size[a]
+            sim = np.where(((size > 0) | np.isnan(size)) & ~rows.void[b] & ~asked.void[a], _dots(rows.m[b], asked.m[a]) / np.where(size == 0, 1, size), 0.0)
+        some = np.unique(who[i])
+        old_q, old_c = np.nonzero(self.filled[some])
+        q = np.concatenate([who[i], some[old_q]])
+        sims = np.concatenate([sim, self.sims[some[old_q], old_c]])
+        name = np.concatenate([_objects(ids)[b], self.ids[some[old_q], old_c]])
+        rank = np.empty(len(name), np.int64)
+        rank[np.argsort(name, kind="stable")] = np.arange(len(name))
+        order = np.lexsort((rank, -np.where(np.isnan(sims), np.inf, sims), q))
+        first = np.concatenate([[True], np.diff(q[order]) != 0])
+        nth = np.arange(len(q)) - np.flatnonzero(first)[np.cumsum(first) - 1]
+        order, nth = order[nth < self.k], nth[nth < self.k]
+        self.sims[q[order], nth], self.ids[q[order], nth], self.filled[q[order], nth] = sims[order], name[order], True
+
+
+def _objects(values: list) -> np.ndarray:
+    out = np.empty(len(values), object)
+    out[:] = values
+    return out
 
 
 def _matrix(column: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:

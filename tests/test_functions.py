@@ -118,6 +118,27 @@ def test_search_in_blocks(spark, monkeypatch):
     assert sorted(map(tuple, V.top_k(rows, asked, 4).collect())) == whole and len(whole) == 80
 
 
+@pytest.mark.parametrize("blocked", [False, True])
+def test_nearest_by_products(spark, blocked, monkeypatch):
+    """Copies, zeros, nulls, other lengths, not a number, infinite and tiny vectors, equal labels and blocked pairs, in small steps: the rows of the definition, of which no task writes or joins all pairs."""
+    from stemma.functions.scores import cosine
+    from stemma.operators import search as V
+
+    for name, size in (("VECTOR_ROWS", 7), ("QUERY_ROWS", 3), ("PAIR_ROWS", 10)):
+        monkeypatch.setattr(V, name, size)
+    odd = [[0.0, 0.0, 0.0], None, [1.0, None, 2.0], [1.0, 2.0], [], [float("nan"), 1.0, 1.0], [float("inf"), 1.0, 0.0], [1e-200, 0.0, 0.0], [1e200, 0.0, 1e200], [1e-90, 1e-90, 0.0]]
+    data = [(i, [(i * 7) % 5 - 2.0, (i * 3) % 4 - 1.0, i % 3 - 1.0], i % 4 if i % 9 else None) for i in range(80)] + [(80 + i, [0.3, 0.1, 0.7], 1) for i in range(30)] + [(200 + i, v, i % 2) for i, v in enumerate(odd)]
+    rows = spark.createDataFrame(data, "vec_id long, embedding array<double>, label int").repartition(3)
+    asked = rows.where("vec_id % 5 = 0 OR vec_id >= 200").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vec"), F.col("label").alias("ql"))
+    gone = asked.select("query_id", F.explode(F.array(*[F.col("query_id") + i for i in (1, 5, 10)])).alias("vec_id"))
+    found = V.top_k(rows, asked, 4, unlike=("label", "ql"), excluded=gone if blocked else None)
+    pairs = rows.join(asked, (F.col("vec_id") != F.col("query_id")) & F.coalesce(F.col("label") != F.col("ql"), F.lit(True)))
+    pairs = pairs.join(gone, ["query_id", "vec_id"], "left_anti") if blocked else pairs
+    ranked = pairs.select("query_id", "vec_id", cosine(F.col("embedding"), F.col("query_vec")).alias("s")).selectExpr("query_id", "vec_id", "s", "row_number() OVER (PARTITION BY query_id ORDER BY s DESC, vec_id) AS n").where("n <= 4")
+    assert sorted(map(repr, map(tuple, found.collect()))) == sorted(map(repr, map(tuple, ranked.collect()))) and found.count() == 4 * asked.count()
+    assert "NestedLoop" not in found._jdf.queryExecution().executedPlan().toString()
+
+
 def test_readings_and_choices(spark):
     from stemma.functions import mathtext as M
 
