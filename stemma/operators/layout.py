@@ -31,20 +31,25 @@ def number_anchors(blocks: DataFrame, page: str = "page") -> DataFrame:
     answers and tables of contents hold no problems but those that ask for something. Null coordinates count as 0 and null
     texts are empty; repeated blocks are blocks; an empty table gives no rows.
     """
+    return _anchors(blocks, page).drop("i")
+
+
+def _anchors(blocks: DataFrame, page: str) -> DataFrame:
+    """number_anchors() with i, the block's place on its page. A page's blocks stay with its first row while rows are sorted."""
     said = lambda b: F.coalesce(b["content"], F.lit(""))
     rows = _clamped(blocks, page).select(page, "bs", L.page_map(F.col("bs")).alias("map"), F.substring(F.array_join(F.transform("bs", said), "\n"), 1, 400).rlike(L.EXAMPLE_PAGE).alias("example_page"), (L.answer_key_like(F.col("bs")) | L.catalog_like(F.col("bs"))).alias("listed"))
-    rows = rows.select("*", F.posexplode("bs").alias("i", "b")).withColumn("n", glued_number(F.col("b.content"))).withColumn("following", F.array_join(F.transform(F.slice("bs", F.col("i") + 1, 4), said), ""))
+    rows = rows.select("*", F.posexplode("bs").alias("i", "b")).withColumn("n", glued_number(F.col("b.content"))).withColumn("following", F.array_join(F.transform(F.slice("bs", F.col("i") + 1, 4), said), "")).withColumn("bs", F.when(F.col("i") == 0, F.col("bs")))
     whole = W.partitionBy(page).orderBy("i").rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
     rows = rows.withColumn("seeds", F.collect_list(F.when(L.is_seed(F.col("n"), F.col("b.x")), F.col("n.value"))).over(whole))
     rows = rows.withColumn("n", L.number_among(F.col("n"), F.col("b.content"), F.col("seeds")))
-    rows = rows.withColumn("lefts", F.collect_list(F.when(F.col("n.display").isNotNull(), F.col("b.x"))).over(whole)).where("n.display IS NOT NULL OR n.reason = 'step_marker'")
+    rows = rows.withColumn("lefts", F.collect_list(F.when(F.col("n.display").isNotNull(), F.col("b.x"))).over(whole)).withColumn("bs", F.first("bs", ignorenulls=True).over(whole)).where("n.display IS NOT NULL OR n.reason = 'step_marker'")
     n, step = F.col("n"), F.col("n.reason") == "step_marker"
     rows = rows.withColumns(L.anchor_facts(n, F.col("b.x"), F.col("b.y"), F.col("following"), F.col("map"), F.col("example_page"), F.col("seeds"), F.col("lefts")))
     rows = rows.withColumns({"score": L.anchor_score(n), "kind": L.anchor_kind(n), "preview": F.when(step, "").otherwise(F.substring("n.rest", 1, 80))})
     mute = (F.col("kind") == "PROBLEM_ANCHOR") & F.col("listed") & ~F.concat("preview", "following").rlike(L.PROBLEM_BODY)
     zeros = (F.col("kind") == "PAGE_DECORATION") & (F.length("n.display") >= 2) & n["display"].startswith("0") & (n["style"] != "4_DIGIT")
     score = F.when(step, 0.1).when(zeros, F.least(F.col("score"), F.lit(0.3))).when(mute, F.least(F.col("score"), F.lit(0.25))).otherwise(F.col("score"))
-    return rows.select(page, "b.pos", "b.x", "b.y", F.when(step, "STEP").otherwise(n["display"]).alias("display"), F.when(~step, n["value"]).alias("value"), "n.style", F.when(mute, "PAGE_DECORATION").otherwise(F.col("kind")).alias("kind"), score.alias("score"), "region", "preview", "n.ambiguous", L.anchor_evidence(n).alias("evidence"), "bs")
+    return rows.select(page, "i", "b.pos", "b.x", "b.y", F.when(step, "STEP").otherwise(n["display"]).alias("display"), F.when(~step, n["value"]).alias("value"), "n.style", F.when(mute, "PAGE_DECORATION").otherwise(F.col("kind")).alias("kind"), score.alias("score"), "region", "preview", "n.ambiguous", L.anchor_evidence(n).alias("evidence"), "bs")
 
 
 def problem_boxes(anchors: DataFrame, page: str = "page") -> DataFrame:
@@ -72,9 +77,12 @@ def exercise_runs(problems: DataFrame, page: str = "page") -> DataFrame:
 
 def context_roles(blocks: DataFrame, page: str = "page") -> DataFrame:
     """Each problem of the pages with its box and its role by what stands around it: columns of problem_boxes() with role, role_score, confidence and role_evidence."""
-    rows = problem_boxes(number_anchors(blocks, page), page)
+    found = _anchors(blocks, page).where("kind = 'PROBLEM_ANCHOR'")
+    # again a page's blocks stay with one row until all windows but the last are done
+    nth = F.row_number().over(W.partitionBy(page).orderBy("i"))
+    rows = problem_boxes(found.withColumn("nth", nth).withColumn("bs", F.when(F.col("nth") == 1, F.col("bs"))).drop("nth", "i"), page)
     whole = W.partitionBy(page).orderBy("y", "x", "pos").rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
-    rows = rows.withColumns({"numbers": F.collect_list("number").over(whole), "spans": F.collect_list(F.when(F.col("run").isNotNull(), F.struct("run_start", "run_end"))).over(whole)})
+    rows = rows.withColumns({"numbers": F.collect_list("number").over(whole), "spans": F.collect_list(F.when(F.col("run").isNotNull(), F.struct("run_start", "run_end"))).over(whole), "bs": F.first("bs", ignorenulls=True).over(whole)})
     until = F.array_join(F.transform(F.filter("bs", lambda b: (b["y"] >= F.col("by") - 0.002) & F.coalesce(b["y"] < F.col("next_top") - 0.002, F.lit(True))), lambda b: F.coalesce(b["content"], F.lit(""))), "")
     exercise = F.exists("spans", lambda r: F.col("by").between(r["run_start"] - 0.02, r["run_end"] + 0.02))
     rows = rows.withColumns({"until": until, "exercise": exercise, "sequence": F.exists("numbers", lambda n: F.abs(n - F.col("number")) == 1)})

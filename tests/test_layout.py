@@ -250,3 +250,14 @@ def test_odd_pages(spark):
     # one exchange of blocks, by page
     plan = roles._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1 and "Python" not in plan
+
+
+def test_pages_are_not_sorted_once_a_problem(spark):
+    """What context_roles() sorts holds the blocks of a page in one row; blocks without a page are a page."""
+    blocks = spark.createDataFrame([(p, i, 0.2, 0.1 + i / 10, 0.6, 0.02, f"{21 + i}. 다음 중 옳은 것을 고르시오") for p in (None, 7) for i in range(4)], "page long, pos long, x double, y double, w double, h double, content string")
+    found = Q.context_roles(blocks)
+    rows = [(r.page, r.pos, r.display, r.role) for r in found.collect()]
+    assert len(rows) == 8 and {r[1:] for r in rows if r[0] is None} == {r[1:] for r in rows if r[0] == 7}
+    # both sorts, that of blocks and that of problems, are of rows of which the first of a page alone has its blocks
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("= 0) THEN bs#") == 1 and plan.count("= 1) THEN bs#") == 1
