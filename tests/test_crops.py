@@ -152,3 +152,13 @@ def test_known_cases(spark):
         assert (found[k, 1].decision, set(found[k, 1].hard)) == (decision, hard), k
     assert gated_crops(t.limit(0)).count() == 0
     same({k: (r.iou, r.next_number, sorted(r.neighbours), r.adjacent, r.decision, sorted(r.hard), sorted(r.soft), r.recovery_h) for k, r in found.items() if k[0] != 10}, {k: v for k, v in judged([r for r in rows if r["page"] != 10], [], []).items()})
+
+
+def test_full_pages_and_shuffles(spark, sf):
+    """Full pages, met in tiles, have the same crops as pages met as arrays; texts are dealt by page, so that few exchanges are left."""
+    parts = [crop_parts(spark, sf, s) for s in (0.1, 0.05)]
+    some = lambda full: sorted(map(str, gated_crops(crops(spark, sf).where("page % 5 = 1"), *[p.where("page % 5 = 1") for p in parts], full=full).drop("image").collect()))
+    as_arrays = some(10**6)
+    assert as_arrays == some(0) and as_arrays == some(6)
+    plan = QUERIES["crop_decisions"](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") <= 8
