@@ -43,3 +43,15 @@ def test_dictionary_grows(spark):
     heads = spark.createDataFrame([("a", "t", "1", 9), ("c", "t", "1", 3), ("c", "t", "1", 3), (None, "t", "1", 1), ("q", "no", "7", 5), ("r", None, None, None)] + [("c", "t", "1", i) for i in range(20, 40)], "title string, type string, code string, example int")
     found = {r.type: (list(r.aliases), list(r.examples)) for r in D.grown_dictionary(types, heads).collect()}
     assert found == {"t": (["b", "a", "c"], [1, 3, 9, 20, 21]), "u": ([], []), "REVIEW_7": (["q"], [5]), "REVIEW_": (["r"], [])}
+
+
+def test_many_texts_at_once(monkeypatch):
+    """Texts met many at a time and in steps: nothing is found across texts or lost at a step's edge, and one pass holds rules that took many."""
+    rng = random.Random(2)
+    patterns = sorted({"".join(rng.choice("ab가") for _ in range(rng.randint(1, 20))) for _ in range(300)})
+    texts = ["".join(rng.choice("ab가c") for _ in range(rng.randrange(60))) for _ in range(80)] + ["", patterns[7] * 9]
+    for step in (1 << 18, 64):
+        monkeypatch.setattr(D, "STEP_BYTES", step)
+        found = {i: set(n.tolist()) for i, n in D.Automaton(patterns).texts(texts)}
+        assert found == {i: want for i, t in enumerate(texts) if (want := {k for k, p in enumerate(patterns) if p in t})}
+    assert not list(D.Automaton([]).texts(["a", ""])) and D.AUTOMATON_BYTES >= 4 << 20
