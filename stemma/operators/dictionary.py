@@ -108,7 +108,7 @@ class Automaton:
 _last: list[tuple[str, Automaton]] = []
 
 
-def _machine(name: str, patterns: list[str]) -> Automaton:
+def automaton_of(name: str, patterns: list[str]) -> Automaton:
     """The automaton of these patterns; a Python worker that runs several tasks of one pass builds it once."""
     if not _last or _last[0][0] != name:
         _last[:] = [(name, Automaton(patterns))]
@@ -158,7 +158,7 @@ def first_rules(texts: DataFrame, rules: DataFrame, text_col: str = "text", *, f
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             name, patterns, rank, told = sent.value
-            machine = _machine(name, patterns)
+            machine = automaton_of(name, patterns)
             key = lambda at, row: (at["priority"][row] is None, at["priority"][row] or 0, at["label"][row] is None, at["label"][row] or "", at["pattern"][row].lower() if fold else at["pattern"][row])
             for b in batches:
                 at = {n: b.schema.get_field_index(n) for n in (text_col, *names)}

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
 import numpy as np
@@ -12,6 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.scores import norm
+from .dictionary import automaton_of
 
 #: Queries that are sent to all tasks at once; more are searched in blocks of about this many.
 MOST_BROADCAST = 20_000
@@ -367,7 +369,7 @@ def partial_hits(docs: DataFrame, queries: DataFrame, *, id_col: str = "doc_id",
     """(query_col, id_col, hit) of each query and text that holds any of its tokens: the share of the query's tokens, repeats included, that it holds.
 
     Tokens are what white space surrounds in a query, so one that a text holds lies within a word of it: each distinct word is searched
-    once while it stays in a cache. Queries are a stated set: up to MOST_BROADCAST of them go to all tasks, more in blocks by a hash of
+    once while it stays in a cache, new words of many texts in one go. Queries are a stated set: up to MOST_BROADCAST of them go to all tasks, more in blocks by a hash of
     their id and text, each with a pass over the texts; nothing is shuffled.
     """
     blocks = max(1, -(-queries.count() // MOST_BROADCAST))
@@ -386,29 +388,33 @@ def _partial_hits(docs: DataFrame, queries: DataFrame, id_col: str, query_col: s
     flat = np.array([number.setdefault(w, len(number)) for i in some for w in own[i]], np.int64)
     size = np.array([len(own[i]) for i in some], np.int64)
     begin = np.cumsum(size) - size
-    sent = docs.sparkSession.sparkContext.broadcast((number, sorted({len(w) for w in number}), flat, size, begin, names))
+    sent = docs.sparkSession.sparkContext.broadcast((uuid.uuid4().hex, list(number), flat, size, begin, names))
     base = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     kinds = f"q {queries.schema[query_col].dataType.simpleString()}, id {base.schema['id'].dataType.simpleString()}, hit double"
 
     def run(batches):
-        number, sizes, flat, size, begin, names = sent.value
-        cache: dict[str, frozenset[int]] = {}
-
-        def tokens(word: str) -> frozenset[int]:
-            found = cache.get(word)
-            if found is None:
-                if len(cache) >= MOST_WORDS:
-                    cache.clear()
-                found = cache[word] = frozenset(number[t] for k in sizes if k <= len(word) for t in {word[i : i + k] for i in range(len(word) - k + 1)} & number.keys())
-            return found
+        name, own, flat, size, begin, names = sent.value
+        found, none = automaton_of(name, own), np.zeros(0, np.int64)
+        cache: dict[str, np.ndarray] = {}
+
+        def look(words: set[str]) -> None:
+            """Tokens of all words that the cache lacks, looked for in one go."""
+            new = [w for w in words if w not in cache]
+            if len(cache) + len(new) > MOST_WORDS:
+                cache.clear()
+                new = list(words)
+            cache.update(dict.fromkeys(new, none))
+            cache.update((new[i], held) for i, held in found.texts(new))
 
         for batch in batches:
             ids, texts = batch.column(0), batch.column(1)
             for lo in range(0, batch.num_rows if len(size) else 0, 256):
                 of, row, rate = [], [], []
-                for r in range(lo, min(lo + 256, batch.num_rows)):
-                    held = np.zeros(len(number), bool)
-                    held[list(set().union(*map(tokens, set((texts[r].as_py() or "").split()))))] = True
+                words = [set((t.as_py() or "").split()) for t in texts[lo : lo + 256]]
+                look(set().union(*words))
+                for r, mine in enumerate(words, lo):
+                    held = np.zeros(len(own), bool)
+                    held[np.concatenate([none, *map(cache.__getitem__, mine)])] = True
                     n = np.add.reduceat(held[flat], begin, dtype=np.int64)
                     at = np.flatnonzero(n)
                     of.append(at), row.append(np.full(len(at), r)), rate.append(n[at] / size[at])

@@ -40,3 +40,29 @@ def test_token_hit_rate(spark, tmp_path):
     found = QUERIES["token_hit_rate"](spark, str(tmp_path))
     assert sorted((str(r.item_id), str(r.doc_id), r.hit) for r in found.collect()) == sorted(want)
     assert any(0 < w[2] < 1 for w in want) and found.columns == ["item_id", "doc_id", "hit"]
+
+
+def test_token_hit_rate_of_new_words(spark, monkeypatch):
+    """Words that no cache holds are searched many at a time: one search for up to 256 texts, none for words that are known; also where the cache is full."""
+    from stemma.operators import search
+
+    docs = [(i, f"w{i}x a{i % 7}b cat{i}") for i in range(300)]
+    t = spark.createDataFrame(docs, "doc_id long, text string").coalesce(1)
+    items = spark.createDataFrame([(1, "w1 cat2 b"), (2, "a3 zz x")], "item_id int, text string")
+    calls = spark.sparkContext.accumulator(0)
+    real = search.automaton_of
+
+    class Counted:
+        def __init__(self, found):
+            self.found = found
+
+        def texts(self, words):
+            calls.add(1)
+            return self.found.texts(words)
+
+    monkeypatch.setattr(search, "automaton_of", lambda name, own: Counted(real(name, own)))
+    for most in (100_000, 300):
+        monkeypatch.setattr(search, "MOST_WORDS", most)
+        want = sorted((i, d, round(n / 3, 6)) for i, q in ((1, "w1 cat2 b"), (2, "a3 zz x")) for d, text in docs if (n := sum(w in text for w in q.split())))
+        assert sorted(map(tuple, search.partial_hits(t, items).collect())) == want
+    assert 0 < calls.value <= 4
