@@ -54,8 +54,9 @@ def replayed_types(items: DataFrame, headings: DataFrame, types: DataFrame, part
     by_stem = (F.size("__stem") == 1) & (F.col("c_stage") | F.col("inherited").isNull() | F.col("inherited.code").eqNullSafe(stem))
     heading = F.struct("inherited.code", "inherited.node", "inherited.type", F.when(F.col("inherited.how").startswith("concept"), "inherit_concept_heading").otherwise("inherit_previous_in_section").alias("how"))
     own = F.when(F.col("section").isNull(), None).when(by_stem, of(stem, "stem_type_marker")).when(F.col("c_stage"), None).when(F.size("__page") == 1, of(sheet, "page_ocr_unique_type")).when(F.col("inherited").isNotNull(), heading)
-    rows = rows.withColumn("__own", own)
-    several = F.size("__stem") > 1
+    # what is dealt anew is what is still asked for: neither the section's types nor the marks
+    rows = rows.select("item", "number", "section", "page", "top", "c_stage", "blocked", own.alias("__own"), (F.size("__stem") > 1).alias("__several"))
+    several = F.col("__several")
     gives = F.col("__own.node").isNotNull() & F.col("__own.type").isNotNull() & ~F.col("c_stage") & ~several
     carried = running(rows, ["section"], ["number", "page", "top", "item"], {"__carried": ("last", F.when(gives, F.col("__own")))}, strict=True, parts=parts)
     last = F.when(F.col("section").isNotNull() & ~F.col("c_stage") & ~F.col("blocked") & F.col("__carried").isNotNull(), F.struct("__carried.code", "__carried.node", "__carried.type", F.lit("inherit_previous_in_section").alias("how")))

@@ -145,3 +145,14 @@ def test_stages(spark, parts):
     found = R.stage_ranges(R.stage_hits(ps, ss), ps.groupBy("book").agg(F.max("page").alias("last_page")), parts).collect()
     assert sorted(map(str, ((r.book, r.page_start, r.page_end, r.code) for r in found))) == sorted(map(str, ranges))
     assert R.stage_map(ps.limit(0), ss.limit(0), parts).count() == 0
+
+
+def test_replayed_types_deals_narrow_rows(spark, sf, monkeypatch):
+    """Items are not dealt anew with the types of their section."""
+    from stemma.operators import replay
+    from stemma.sources.views import section_headings, section_items, section_types
+
+    seen, real = [], replay.running
+    monkeypatch.setattr(replay, "running", lambda rows, *a, **k: seen.append(rows.columns) or real(rows, *a, **k))
+    replay.replayed_types(section_items(spark, sf).where("page < 400"), section_headings(spark, sf).where("page < 400"), section_types(spark, sf))
+    assert len(seen) == 2 and not {"__types", "__stem", "stem_codes"} & set(seen[1])
