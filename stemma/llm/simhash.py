@@ -1,8 +1,9 @@
 """SimHash near-duplicates: fingerprints linked by the generalised pigeonhole principle.
 
 Two uses. near_duplicates() links 64-bit fingerprints within a radius of a few bits: every such pair is met. With `similarity`
-it looks for texts whose shingle sets have that Jaccard similarity: fingerprints of 128 bits of such pairs differ in about a seventh of their
-bits, blocks and thresholds are planned for that share, and what is found is verified on the sets themselves.
+it links texts whose shingle sets have that Jaccard similarity: fingerprints of 128 bits of such pairs differ in about a seventh of their
+bits, blocks and thresholds are planned for that share, and what is found is verified on the sets themselves. Most links are met so; what is
+left between the components of these is met exactly, by the shingles that two similar sets must share (see across()).
 """
 
 from __future__ import annotations
@@ -31,6 +32,12 @@ PIECE = 11
 WIDE_BITS, MEET = 128, 0.95
 #: Rows of one key that are compared in one go; a key of more is compared in parts.
 HOT_KEY = 4000
+#: Distinct texts, about, of which the frequent shingles are told, and the most shingles that are told; both say only in which order shingles are taken.
+SEEN_TEXTS, MOST_FREQUENT = 20_000, 100_000
+#: Bits of a set's sketch.
+SKETCH = 1024
+#: Room for rounding where a similarity is turned into a count.
+EPS = 1e-9
 
 
 def _majority(hashes: np.ndarray, n: np.ndarray) -> np.ndarray:
@@ -41,29 +48,58 @@ def _majority(hashes: np.ndarray, n: np.ndarray) -> np.ndarray:
     return np.packbits(2 * ones > n[:, None], axis=1, bitorder="little").view("<u8").ravel()
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, seed: int = 42, wide: bool = False) -> DataFrame:
+def _rarest(h: np.ndarray, n: np.ndarray, frequent: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Of runs of n hashes each (n > 0) the first in one order of all hashes, the frequent ones last: as many as hold one that any similar set shares. (hashes, number of each run)."""
+    run = np.repeat(np.arange(len(n)), n)
+    rank = np.zeros(len(h), np.int64)
+    if len(frequent):
+        by = np.argsort(frequent)
+        at = np.minimum(np.searchsorted(frequent, h, sorter=by), len(frequent) - 1)
+        rank = np.where(frequent[by[at]] == h, len(frequent) - by[at], 0)
+    order = np.lexsort((h, rank, run))
+    place = np.arange(len(h)) - np.repeat(np.cumsum(n) - n, n)
+    many = n - np.ceil(similarity * n - EPS).astype(np.int64) + 1
+    return h[order][place < np.repeat(many, n)], many
+
+
+def _sketches(h: np.ndarray, n: np.ndarray) -> pa.Array:
+    """Of runs of n hashes each (n > 0) whether an odd number falls on each of SKETCH places: sets differ in at least as many hashes as their sketches in bits."""
+    at = np.repeat(np.arange(len(n)), n) * SKETCH + (mix(h) >> np.uint64(64 - SKETCH.bit_length() + 1)).astype(np.int64)
+    bits = np.packbits((np.bincount(at, minlength=len(n) * SKETCH) & 1).astype(np.uint8))
+    return pa.Array.from_buffers(pa.binary(SKETCH // 8), len(n), [None, pa.py_buffer(bits)]).cast(pa.binary())
+
+
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, seed: int = 42, wide: bool = False, frequent: np.ndarray | None = None, similarity: float = 1.0) -> DataFrame:
     """(id_col, fp long, digest long) for each row: SimHash over all shingles of so many words, repeats included, and a hash of the text.
 
     Texts are lower-cased in A-Z and cut at ASCII white space; a shingle is XXH64 of its words joined by a space. Fewer
     words make one shingle; no words (null, empty or blank texts) have fingerprint 0. wide: over the set of shingles, with
-    fp2 long (64 more bits) and size int (distinct shingles).
+    fp2 long (64 more bits), size int (distinct shingles), sum long (a hash of the set), rarest array<long> and sketch binary (see _rarest()
+    and _sketches(); empty and null of no words).
     """
+    frequent = np.empty(0, np.uint64) if frequent is None else frequent
 
     def run(batches):
         import xxhash
 
         digest = xxhash.xxh64_intdigest
         for batch in batches:
-            out = np.zeros((2, batch.num_rows), np.uint64)
-            distinct = np.zeros(batch.num_rows, np.int32)
-            held, sizes, rows = [], [], []
+            out = np.zeros((3, batch.num_rows), np.uint64)
+            distinct, many = np.zeros(batch.num_rows, np.int32), np.zeros(batch.num_rows, np.int64)
+            held, sizes, rows, first, sketches, at = [], [], [], [], [pa.array([None], pa.binary())], np.zeros(batch.num_rows, np.int64)
 
             def flush():
                 if rows:
                     h, n = np.array(held, np.uint64), np.array(sizes, np.int64)
                     out[0, rows] = _majority(h, n)
                     if wide:
-                        out[1, rows] = _majority(mix(h), n)
+                        m = mix(h)
+                        out[1, rows] = _majority(m, n)
+                        out[2, rows] = np.add.reduceat(mix(m), np.cumsum(n) - n)
+                        some, many[rows] = _rarest(h, n, frequent, similarity)
+                        first.append(some)
+                        at[rows] = np.arange(len(rows)) + sum(map(len, sketches))
+                        sketches.append(_sketches(h, n))
                     held.clear(), sizes.clear(), rows.clear()
 
             for r, text in enumerate(column(batch, "text").cast(pa.binary()).to_pylist()):
@@ -81,12 +117,15 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                     flush()
             flush()
             cols = [column(batch, "id"), pa.array(out[0].view(np.int64)), column(batch, "digest")]
-            yield pa.record_batch([*cols, pa.array(out[1].view(np.int64)), pa.array(distinct)] if wide else cols, names=names)
+            if wide:
+                rarest = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(many)]).astype(np.int32)), pa.array(np.concatenate([np.empty(0, np.uint64), *first]).view(np.int64)))
+                cols += [pa.array(out[1].view(np.int64)), pa.array(distinct), pa.array(out[2].view(np.int64)), rarest, pa.concat_arrays(sketches).take(pa.array(at))]
+            yield pa.record_batch(cols, names=names)
 
     kind = docs.schema[id_col].dataType.simpleString()
-    names = ["id", "fp", "digest", "fp2", "size"] if wide else ["id", "fp", "digest"]
+    names = ["id", "fp", "digest", "fp2", "size", "sum", "rarest", "sketch"] if wide else ["id", "fp", "digest"]
     text = F.col(text_col).cast("string")
-    made = f"id {kind}, fp long, digest long" + (", fp2 long, size int" if wide else "")
+    made = f"id {kind}, fp long, digest long" + (", fp2 long, size int, sum long, rarest array<long>, sketch binary" if wide else "")
     return docs.select(F.col(id_col).alias("id"), text.alias("text"), F.xxhash64(text).alias("digest")).mapInArrow(run, made).withColumnRenamed("id", id_col)
 
 
@@ -369,7 +408,7 @@ def forest(u: np.ndarray, v: np.ndarray, d: np.ndarray, n: int) -> np.ndarray:
 
 
 def similar_fingerprints(nodes: DataFrame, similarity: float) -> DataFrame:
-    """Links (a, b: structs of fp and fp2) between wide fingerprints (fp, fp2, size) that texts of that Jaccard similarity may have.
+    """Links (a, b: structs of fp, fp2 and sum) between sets with wide fingerprints (fp, fp2, sum, size) that may have that Jaccard similarity.
 
     Similar sets differ in a known share of bits, and in size by no more than the similarity; so blocks are keyed by the power of two of the
     size, and a set near its upper end probes the next one too. Bits are grouped by correlation, and dynamic programming allots each
@@ -378,17 +417,17 @@ def similar_fingerprints(nodes: DataFrame, similarity: float) -> DataFrame:
     spanning forest goes on, so a large group of near-copies gives about one link a member and key and never its pairs.
     A key of many rows is compared in parts: its rows as queries against each part.
     """
-    names = ["fp", "fp2"]
+    names = ["fp", "fp2", "sum"]
     spark = nodes.sparkSession
-    kind = "struct<fp: bigint, fp2: bigint>"
-    pairs, n = _pair_counts(nodes, names)
+    kind = "struct<fp: bigint, fp2: bigint, sum: bigint>"
+    pairs, n = _pair_counts(nodes, names[:2])
     if n < 2:
         return spark.createDataFrame([], f"a {kind}, b {kind}")
     share = math.acos(2 * similarity / (1 + similarity)) / math.pi
     limit = math.floor(WIDE_BITS * share + 2.3 * math.sqrt(WIDE_BITS * share * (1 - share)))
     m, t = wide_blocks(n, share)
     parts = Partitions(pairs, n, m * (t + 1) - 1, m, most=t + 1, probe_cost=ROW_COST)
-    _histograms(nodes, parts, names)
+    _histograms(nodes, parts, names[:2])
 
     def deal(batches):
         """Rows of keys: 1 stands in the index, 2 asks, 3 both."""
@@ -413,9 +452,9 @@ def similar_fingerprints(nodes: DataFrame, similarity: float) -> DataFrame:
                                     found.append((row, level[row] + up, (value[which][:, None] ^ flip).ravel(), np.full(len(row), 2)))
                     row, at, value, does = (np.concatenate(x) for x in zip(*found, strict=True))
                     key = (at * 32 + i) << 32 | value
-                    yield pa.record_batch([pa.array(key), pa.array(does.astype(np.int8)), *(pa.array(fp[row, c].view(np.int64)) for c in range(2))], names=["key", "does", *names])
+                    yield pa.record_batch([pa.array(key), pa.array(does.astype(np.int8)), *(pa.array(fp[row, c].view(np.int64)) for c in range(3))], names=["key", "does", *names])
 
-    dealt = stored(nodes.select(*names, "size").mapInArrow(deal, "key long, does byte, fp long, fp2 long"), "dealt")
+    dealt = stored(nodes.select(*names, "size").mapInArrow(deal, "key long, does byte, fp long, fp2 long, sum long"), "dealt")
     full = dealt.groupBy("key").count().where(F.col("count") > HOT_KEY).select("key", F.ceil(F.col("count") / HOT_KEY).cast("int").alias("parts"))
     split = dealt.join(full, "key", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
     split = split.select("key", "does", *names, F.pmod(F.xxhash64(*names), F.col("parts")).cast("int").alias("own"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
@@ -447,20 +486,161 @@ def similar_fingerprints(nodes: DataFrame, similarity: float) -> DataFrame:
         for lo in range(0, len(asks), 256):
             a = asks[lo : lo + 256]
             far = np.bitwise_count(fp[a, 0][:, None] ^ fp[index, 0]) + np.bitwise_count(fp[a, 1][:, None] ^ fp[index, 1])
-            i, j = np.nonzero((far <= limit) & (far > 0))
+            i, j = np.nonzero(far <= limit)
+            other = (fp[a[i]] != fp[index[j]]).any(axis=1)
+            i, j = i[other], j[other]
             if len(i):
                 u, v, d = np.append(u, a[i]), np.append(v, index[j]), np.append(d, far[i, j])
                 tree = forest(u, v, d, len(fp))
                 u, v, d = u[tree], v[tree], d[tree]
         if len(u):
             signed = fp.view(np.int64)
-            ends = [pa.StructArray.from_arrays([pa.array(signed[x, 0]), pa.array(signed[x, 1])], names) for x in (u, v)]
+            ends = [pa.StructArray.from_arrays([pa.array(signed[x, c]) for c in range(3)], names) for x in (u, v)]
             yield pa.record_batch(ends, names=["a", "b"])
 
     found = rows.mapInArrow(compare, f"a {kind}, b {kind}")
     return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
+def _frequent(docs: DataFrame, text_col: str, words: int, seed: int) -> np.ndarray:
+    """Hashes of shingles that several texts hold, the most frequent first: of all texts, or some SEEN_TEXTS distinct ones. They tell in which order shingles are taken, not which links are found."""
+
+    def run(batches):
+        import xxhash
+
+        for batch in batches:
+            some = [h for t in column(batch, "text").cast(pa.binary()).to_pylist() if t and not t.isspace() for h in set(_shingles(t.lower().split(), words, seed, xxhash.xxh64_intdigest))]
+            yield pa.record_batch([pa.array(np.array(some, np.uint64).view(np.int64))], names=["h"])
+
+    texts = docs.select(F.col(text_col).cast("string").alias("text"))
+    one_in = max(1, texts.count() // SEEN_TEXTS)
+    seen = texts.where(F.pmod(F.xxhash64("text"), F.lit(one_in)) == 0).distinct()
+    counted = seen.mapInArrow(run, "h long").groupBy("h").count().where("count > 2").orderBy(F.col("count").desc(), "h").limit(MOST_FREQUENT)
+    return np.array([r.h for r in counted.select("h").collect()], np.int64).view(np.uint64)
+
+
+def _least_shared(x: np.ndarray, y: np.ndarray, similarity: float) -> np.ndarray:
+    """How many members sets of these sizes share at least if they are similar."""
+    return np.ceil(similarity / (1 + similarity) * (x + y) - EPS).astype(np.int64)
+
+
+def across(nodes: DataFrame, similarity: float) -> DataFrame:
+    """(a, b: n of two sets): all pairs of sets in different components that may have that Jaccard similarity. nodes: n long, c long (component), size, rarest.
+
+    Similar sets share a member among their `rarest` (prefix filter), so each set goes to the keys of these, and sets of one key are paired if size and
+    places allow that this is the first member that they share. Sets of one component are not paired. A key of over HOT_KEY sets is compared in tiles of its parts.
+    """
+    shape = "key long, n long, c long, size int, place int"
+    columns = ["key", "n", "c", "size", "place"]
+    rows = nodes.select(F.posexplode("rarest").alias("place", "key"), "n", "c", "size").select(*columns)
+    rows = rows.repartition("key").sortWithinPartitions("key")
+
+    def pairs(keys, n, c, size, place, apart=None):
+        """Pairs of places in sorted keys; apart: of rows that are alike in it only those of different components in the tile."""
+        order = np.lexsort((c, keys))
+        keys, n, c, size, place = (x[order] for x in (keys, n, c, size, place))
+        own = None if apart is None else apart[order]
+        edge = np.append(np.flatnonzero(np.append(True, keys[1:] != keys[:-1])), len(keys))
+        end = np.repeat(edge[1:], np.diff(edge))
+        turn = np.append(np.flatnonzero(np.append(True, (keys[1:] != keys[:-1]) | (c[1:] != c[:-1]))), len(keys))
+        j = np.repeat(turn[1:], np.diff(turn))
+        i = np.arange(len(keys))
+        found, held = [], 0
+        while len(i):
+            live = j < end[i]
+            i, j = i[live], j[live]
+            least = _least_shared(size[i], size[j], similarity)
+            ok = (place[i] <= size[i] - least) & (place[j] <= size[j] - least)
+            if own is not None:
+                ok &= own[i] != own[j]
+            if ok.any():
+                found.append(np.stack([np.minimum(n[i[ok]], n[j[ok]]), np.maximum(n[i[ok]], n[j[ok]])]))
+                held += found[-1].shape[1]
+                if held > 1_000_000:
+                    found = [np.unique(np.concatenate(found, axis=1), axis=1)]
+                    yield found.pop()
+                    held = 0
+            j = j + 1
+        if found:
+            yield np.unique(np.concatenate(found, axis=1), axis=1)
+
+    def meet(batches):
+        """Pairs (key null: n, c) of keys of few sets; rows of the others as they are."""
+        held, full = None, None
+
+        def whole(some):
+            for ab in pairs(*some):
+                none = pa.nulls(ab.shape[1], pa.int64())
+                yield pa.record_batch([none, pa.array(ab[0]), pa.array(ab[1]), pa.nulls(ab.shape[1], pa.int32()), pa.nulls(ab.shape[1], pa.int32())], names=columns)
+
+        for batch in batches:
+            some = [column(batch, x).to_numpy(zero_copy_only=False) for x in columns]
+            if held is not None:
+                some = [np.concatenate(x) for x in zip(held, some, strict=True)]
+            keys = some[0]
+            if not len(keys):
+                continue
+            edge = np.append(np.flatnonzero(np.append(True, keys[1:] != keys[:-1])), len(keys))
+            many = np.diff(edge)
+            crowd = np.repeat((many > HOT_KEY) | (keys[edge[:-1]] == full), many) if full is not None else np.repeat(many > HOT_KEY, many)
+            last = np.zeros(len(keys), bool)
+            last[edge[-2] :] = not crowd[-1]
+            if crowd.any():
+                yield pa.record_batch([pa.array(x[crowd]) for x in some], names=columns)
+            if crowd[-1]:
+                full = keys[-1]
+            alone = np.repeat(many == 1, many)
+            yield from whole([x[~crowd & ~last & ~alone] for x in some])
+            held = [x[last] for x in some]
+        if held is not None and len(held[0]):
+            yield from whole(held)
+
+    met = stored(rows.mapInArrow(meet, shape), "met")
+    crowds = met.where("key IS NOT NULL")
+    full = crowds.groupBy("key").agg(F.count("*").alias("rows"), F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("key", F.ceil(F.col("rows") / HOT_KEY).cast("int").alias("parts"))
+    own = F.pmod(F.xxhash64("n"), F.col("parts")).cast("int")
+    tiles = crowds.join(full, "key").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    tiles = tiles.select(*columns, "own", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q")).repartition("key", "p", "q").sortWithinPartitions("key", "p", "q")
+
+    def tile(batches):
+        names = [*columns, "own", "p", "q"]
+        held = None
+        for batch in batches:
+            some = [column(batch, x).to_numpy(zero_copy_only=False) for x in names]
+            if held is not None:
+                some = [np.concatenate(x) for x in zip(held, some, strict=True)]
+            if not len(some[0]):
+                continue
+            fresh = (some[0][1:] != some[0][:-1]) | (some[6][1:] != some[6][:-1]) | (some[7][1:] != some[7][:-1])
+            edge = np.append(np.flatnonzero(np.append(True, fresh)), len(some[0]))
+            for a, z in zip(edge[:-2].tolist(), edge[1:-1].tolist(), strict=True):
+                yield from one([x[a:z] for x in some])
+            held = [x[edge[-2] :] for x in some]
+        if held is not None:
+            yield from one(held)
+
+    def one(some):
+        for ab in pairs(*some[:5], apart=some[5] if some[6][0] != some[7][0] else None):
+            yield pa.record_batch([pa.array(ab[0]), pa.array(ab[1])], names=["a", "b"])
+
+    return met.where("key IS NULL").select(F.col("n").alias("a"), F.col("c").alias("b")).unionByName(tiles.mapInArrow(tile, "a long, b long")).distinct()
+
+
+def _close(pairs: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b: n) whose sketches allow that similarity, as links (a, b: node). nodes: node, n, size, sketch."""
+    side = lambda e: nodes.select(F.col("n").alias(e), F.col("node").alias(f"{e}_node"), F.col("size").alias(f"{e}_size"), F.col("sketch").alias(f"{e}_sketch"))
+    kind = nodes.schema["node"].dataType.simpleString()
+
+    def run(batches):
+        for batch in batches:
+            x, y = (column(batch, f"{e}_size").to_numpy(zero_copy_only=False).astype(np.int64) for e in "ab")
+            u, v = (np.frombuffer(b"".join(column(batch, f"{e}_sketch").to_pylist()), np.uint64).reshape(len(x), -1) for e in "ab")
+            ok = np.bitwise_count(u ^ v).sum(axis=1, dtype=np.int64) <= x + y - 2 * _least_shared(x, y, similarity)
+            yield pa.record_batch([column(batch, "a_node"), column(batch, "b_node")], names=["a", "b"]).filter(pa.array(ok))
+
+    return pairs.join(side("a"), "a").join(side("b"), "b").select("a_node", "a_size", "a_sketch", "b_node", "b_size", "b_sketch").mapInArrow(run, f"a {kind}, b {kind}")
+
+
 def _verified(links: DataFrame, texts: DataFrame, words: int, seed: int, similarity: float) -> DataFrame:
     """The links (a, b) whose texts' shingle sets have at least that Jaccard similarity. texts: node, text; one row a node."""
 
@@ -486,8 +666,8 @@ def _verified(links: DataFrame, texts: DataFrame, words: int, seed: int, similar
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, radius: int = 2, seed: int = 42, hot: int = HOT_BLOCK, similarity: float | None = None) -> DataFrame:
     """(id_col, fp long, component_id) for each row: component_id is the smallest id reachable over links.
 
-    Links join fingerprints within the radius or, with `similarity`, texts whose shingle sets have at least that Jaccard similarity (see
-    similar_fingerprints() for what is found). Equal fingerprints are one node, whose id is the smallest of its rows, so copies never meet in pairs. Rows without
+    Links join fingerprints within the radius or, with `similarity`, texts whose shingle sets have at least that Jaccard similarity, all of them
+    either way. Equal fingerprints (sets) are one node, whose id is the smallest of its rows, so copies never meet in pairs. Rows without
     words have fingerprint 0 and are linked like any others; repeated rows and ids each get their row; null ids are
     larger than all others and give a null component_id only where all of a component are null; an empty table gives
     no rows; other columns are not read.
@@ -505,22 +685,34 @@ def _least(id_col: str) -> Column:
 def _grouped(docs: DataFrame, id_col: str, text_col: str, words: int, radius: int, seed: int, hot: int, similarity: float | None) -> tuple[DataFrame, DataFrame]:
     """The fingerprints of all rows (with `node`), and of each node its least id and a number that its component shares."""
     bounded_batches(docs.sparkSession)
-    prints = stored(fingerprints(docs, id_col, text_col, words, seed, wide=similarity is not None), "fingerprints")
+    told = {} if similarity is None else {"wide": True, "frequent": _frequent(docs, text_col, words, seed), "similarity": similarity}
+    prints = stored(fingerprints(docs, id_col, text_col, words, seed, **told), "fingerprints")
     if similarity is None:
         prints = prints.withColumn("node", F.col("fp"))
         nodes = prints.groupBy("node").agg(F.min(id_col).alias("low"))
         found = components(link_fingerprints(nodes.select(F.col("node").alias("fp")), radius, hot))
-    else:
-        prints = prints.withColumn("node", F.struct("fp", "fp2"))
-        nodes = stored(prints.groupBy("node").agg(F.min(id_col).alias("low"), _least(id_col).alias("k"), F.max("size").alias("size")), "nodes")
-        links = stored(similar_fingerprints(nodes.select("node.fp", "node.fp2", "size"), similarity), "similar")
+        return prints, nodes.join(found, "node", "left").select("node", "low", F.coalesce("component", "node").alias("c"))
+    prints = prints.withColumn("node", F.struct("fp", "fp2", "sum"))
+    nodes = stored(prints.groupBy("node").agg(F.min(id_col).alias("low"), _least(id_col).alias("k"), F.max("size").alias("size"), F.first("rarest").alias("rarest"), F.first("sketch").alias("sketch")), "nodes")
+    repeats = _repeats(prints, id_col)
+
+    def similar(links: DataFrame) -> DataFrame:
         used = nodes.join(links.select(F.col("a").alias("node")).unionByName(links.select(F.col("b").alias("node"))).distinct(), "node").select("node", "k.i", "k.d")
         text = F.col(text_col).cast("string")
         base = docs.select(F.col(id_col).alias("i"), text.alias("text"), F.xxhash64(text).alias("d"))
         texts = base.join(used, base["i"].eqNullSafe(used["i"]) & (base["d"] == used["d"])).select("node", "text")
         # rows that repeat both id and text are one
-        found = components(_verified(links, texts.groupBy("node").agg(F.min("text").alias("text")) if _repeats(prints, id_col) else texts, words, seed, similarity))
-    return prints, nodes.join(found, "node", "left").select("node", "low", F.coalesce("component", "node").alias("c"))
+        return _verified(links, texts.groupBy("node").agg(F.min("text").alias("text")) if repeats else texts, words, seed, similarity)
+
+    found = components(similar(stored(similar_fingerprints(nodes.select("node.fp", "node.fp2", "node.sum", "size"), similarity), "similar")))
+    parts = stored(nodes.join(found, "node", "left").select("node", "low", F.coalesce("component", "node").alias("c"), F.col("node.sum").alias("n"), "size", "rarest", "sketch"), "parts")
+    # links between these components that fingerprints do not tell
+    apart = across(parts.select("n", F.col("c.sum").alias("c"), "size", "rarest"), similarity)
+    more = similar(stored(_close(apart, parts.select("node", "n", "size", "sketch"), similarity), "close"))
+    of = parts.select("node", "c")
+    ends = more.join(of.toDF("a", "x"), "a").join(of.toDF("b", "y"), "b").select("x", "y")
+    whole = components(ends, "x", "y").toDF("c", "component")
+    return prints, parts.select("node", "low", "c").join(whole, "c", "left").select("node", "low", F.coalesce("component", "c").alias("c"))
 
 
 def _repeats(prints: DataFrame, id_col: str) -> bool:

@@ -238,6 +238,35 @@ def test_similar(spark, hot, monkeypatch):
     assert simhash.deduplicate(table(spark, docs).limit(0), words=5, similarity=0.8).count() == 0
 
 
+def least_pairs(seed=4, pairs=150):
+    """Pairs at the very least similarity, 0.8, of few shingles and of many, and passages that many unlike texts share."""
+    rng = random.Random(seed)
+    word = lambda: f"u{rng.randrange(10**6)}"
+    rows = []
+    for p in range(pairs):
+        base = [word() for _ in range(8 if p % 2 else 76)]
+        rows += [(2 * p, " ".join(base)), (2 * p + 1, " ".join([*base, *(word() for _ in range(1 if p % 2 else 18))]))]
+    shared = [word() for _ in range(24)]
+    rows += [(1000 + i, " ".join([*shared, *(word() for _ in range(rng.choice([2, 4, 8, 30])))])) for i in range(60)]
+    # different in white space and case alone
+    return [*rows, (2000, rows[0][1].upper().replace(" ", "\n")), (2001, "one word"), (2002, "ONE  word"), (2003, ""), (2004, None)]
+
+
+@pytest.mark.parametrize("hot", [4000, 7])
+def test_similar_loses_no_link(spark, hot, monkeypatch):
+    """All pairs' components, also of pairs that fingerprints do not tell and where keys are compared in tiles."""
+    monkeypatch.setattr(simhash, "HOT_KEY", hot)
+    docs = [*least_pairs(), *((k + 10**6 if k is not None else -1, t) for k, t in near_texts(2))]
+    docs = list({k: (k, t) for k, t in docs}.values())
+    want = brute.similar_texts([t for _, t in docs])
+    ids = {}
+    for (k, _), c in zip(docs, want, strict=True):
+        ids[c] = min(k, ids.get(c, k))
+    found = {r.doc_id: r.component_id for r in simhash.near_duplicates(table(spark, docs), words=5, similarity=0.8).collect()}
+    assert found == {k: ids[c] for (k, _), c in zip(docs, want, strict=True)}
+    assert simhash.deduplicate(table(spark, docs), words=5, similarity=0.8).count() == len(ids)
+
+
 def test_forest():
     rng = np.random.default_rng(3)
     for n in (1, 2, 30, 200):
