@@ -6,15 +6,18 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .repair import STEM_START, resolve_digits
+from .text import bare as _bare
 from .text import bound
 
 #: The bands of headers and footers, where a gap between left edges may lie, and the least gap that counts.
 HEADER_Y, FOOTER_Y, GAP_FROM, GAP_TO, LEAST_GAP = 0.07, 0.93, 0.18, 0.88, 0.08
-#: Words that ask for something, heads of theory, marks of lists, and circled numbers.
-PROBLEM_BODY = r"구하시오|구하여라|구하라|값은\?|값은\b|고르시오|다음 중|다음중|서술하시오|증명하시오|말하시오|만족시키|고르면"
-THEORY_HEAD = r"용어|정의|정리|성질|개념|주의|보기|예제|풀이|설명|항:|상수항|동류항|내림차순|오름차순"
-LIST_MARK = r"[⑴⑵⑶⑷⑸⑹⑺⑻⑼⑽㈎㈏㈐]"
-CIRCLED, CHOICES = r"[①②③④⑤⑥⑦⑧⑨⑩]", r"[①②③④⑤]"
+#: Words that ask for something, heads of theory, marks of lists, and circled numbers. What begins with one of few letters is looked for at these alone, not tried word by word at every place, and signs in a row are ranges.
+PROBLEM_BODY = r"(?=[가-힣])(?:구하시오|구하여라|구하라|값은\?|값은\b|고르시오|다음 중|다음중|서술하시오|증명하시오|말하시오|만족시키|고르면)"
+THEORY_HEAD = r"(?=[가-힣])(?:용어|정의|정리|성질|개념|주의|보기|예제|풀이|설명|항:|상수항|동류항|내림차순|오름차순)"
+LIST_MARK = r"[⑴-⑽㈎-㈐]"
+CIRCLED, CHOICES = r"[①-⑩]", r"[①-⑤]"
+#: Fixed value: signs, names and coefficients of formulas.
+FORMULA = r"(?=[=^\\fs0123456789])(?:[=^\\]|frac|sqrt|\d+x)"
 #: Heads of examples, solutions, explanations and answer keys, titles of sections, chains of equations, and definitions.
 EXAMPLE_HEAD = r"예제|보기|Example|EXAMPLE"
 SOLUTION_HEAD = r"(?:^|[^가-힣])(풀이|해답|Solution)(?:\z|[^가-힣])"
@@ -25,11 +28,7 @@ SECTIONISH = r"단원|활용-|연산\z|정리\z|공식\z|추정\z"
 EQUALS_CHAIN = r"(=|∴|이므로|따라서).{0,40}(=|∴)"
 DEFINITION = r"항:|정의|용어"
 #: Fixed value: what the first 400 characters of a page on theory hold.
-EXAMPLE_PAGE = r"보기|예제|정의|정리"
-
-
-def _bare(text: Column) -> Column:
-    return F.regexp_replace(text, r"\s+", "")
+EXAMPLE_PAGE = r"(?=[가-힣])(?:보기|예제|정의|정리)"
 
 
 def _median(values: Column) -> Column:
@@ -100,7 +99,7 @@ def stem_like(rest: Column, following: Column, style: Column) -> Column:
     return (
         blob.rlike(PROBLEM_BODY)
         | ((style == "4_DIGIT") & (F.length(F.regexp_replace(rest, r"[|\s#]", "")) >= 4))
-        | (blob.rlike(r"[=^\\]|frac|sqrt|\d+x") & (F.length(_bare(blob)) >= 8))
+        | (blob.rlike(FORMULA) & blob.rlike(r"(?:\S\s*+){8}"))
         | blob.rlike(CIRCLED)
         | (rest.rlike(STEM_START) & (F.length(rest) >= 4) & ~F.substring(rest, 1, 12).rlike(THEORY_HEAD))
     )
@@ -121,7 +120,8 @@ def is_seed(n: Column, x: Column) -> Column:
 def number_among(n: Column, content: Column, seeds: Column) -> Column:
     """A number read again by those of its page (array of long): long runs of digits, and doubtful ones."""
     near = F.filter(seeds, lambda v: v.between(10, 999))
-    bare = _bare(F.coalesce(content, F.lit("")))
+    # most texts do not begin with digits, and white space is taken out of none of these
+    bare = F.when(content.rlike(r"^\s*\d\s*\d\s*\d"), _bare(content)).otherwise("")
     run = F.regexp_extract(bare, r"^(\d{3,4})", 1)
     long = (F.length(run) == 4) & (F.size(near) >= 2)
     doubtful = n["ambiguous"] & (run != "") & (F.size(seeds) >= 2)
@@ -175,13 +175,13 @@ def answer_key_like(blocks: Column) -> Column:
     """Whether a page reads as a list of answers: eight numbers or more and at most one request."""
     body = F.filter(blocks, lambda b: (b["y"] > HEADER_Y) & (b["y"] < FOOTER_Y))
     asks = F.size(F.filter(body, lambda b: F.coalesce(b["content"].rlike(PROBLEM_BODY), F.lit(False))))
-    return (F.size(body) >= 8) & (asks <= 1) & (F.size(F.filter(body, lambda b: F.coalesce(_bare(b["content"]).rlike(r"^\d{2,}"), F.lit(False)))) >= 8)
+    return (F.size(body) >= 8) & (asks <= 1) & (F.size(F.filter(body, lambda b: F.coalesce(b["content"].rlike(r"^\s*\d\s*\d"), F.lit(False)))) >= 8)
 
 
 def catalog_like(blocks: Column) -> Column:
     """Whether it reads as a table of contents: six numbered titles or more and at most three requests."""
     asks = lambda b: F.coalesce(b["content"].rlike(PROBLEM_BODY), F.lit(False))
-    titles = F.size(F.filter(blocks, lambda b: F.coalesce(_bare(b["content"]).rlike(r"^\d{2,4}가"), F.lit(False)) & ~asks(b)))
+    titles = F.size(F.filter(blocks, lambda b: F.coalesce(b["content"].rlike(r"^\s*\d(?:\s*\d){1,3}\s*가"), F.lit(False)) & ~asks(b)))
     return (titles >= 6) & (F.size(F.filter(blocks, asks)) <= 3)
 
 

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import bound, squeeze
+from .text import bare, bound, squeeze
 
 #: Marks of an answer key, and its heading in front of an item.
 LEAK = r"정답\s*및\s*\S+|정답\s*:|\[정답\]|정답\s+\d"
@@ -100,7 +100,7 @@ def glued_number(raw: Column) -> Column:
         out = out.when(rest.rlike(STEM_START), _number(run, run, _digits(run), rest, yes, False, "glued_number_plus_stem"))
         return out.otherwise(_number(run, run, _digits(run), rest, no, False, "plain_leading_digits"))
 
-    return bound(F.regexp_replace(F.coalesce(raw, F.lit("")), r"\s+", ""), read)
+    return bound(bare(F.coalesce(raw, F.lit(""))), read)
 
 
 def resolve_digits(run: Column, rest: Column, near: Column) -> Column:
@@ -123,8 +123,8 @@ def resolve_digits(run: Column, rest: Column, near: Column) -> Column:
 
 def math_token(token: Column) -> Column:
     """KEEP, REVIEW (nothing or one bracket) or REMOVE_ARTIFACT (two-digit sums, which are references to pages)."""
-    bare = F.regexp_replace(F.coalesce(token, F.lit("")), r"\s+", "")
-    return F.when(bare.rlike(r"^\d{2}\+\d{2}$"), "REMOVE_ARTIFACT").when(bare.isin("", "(", ")"), "REVIEW").otherwise("KEEP")
+    token = bare(F.coalesce(token, F.lit("")))
+    return F.when(token.rlike(r"^\d{2}\+\d{2}$"), "REMOVE_ARTIFACT").when(token.isin("", "(", ")"), "REVIEW").otherwise("KEEP")
 
 
 def filter_math(tokens: Column) -> Column:

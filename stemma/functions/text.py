@@ -13,6 +13,11 @@ def bound(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), use)[0]
 
 
+def bare(text: Column) -> Column:
+    """The text without white space; most of it is blanks, which need no pattern."""
+    return F.regexp_replace(F.replace(text, F.lit(" "), F.lit("")), r"\s+", "")
+
+
 def char_count(text: Column) -> Column:
     """Characters that are not white space."""
     return F.length(F.regexp_replace(text, r"\s+", ""))

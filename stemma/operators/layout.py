@@ -39,6 +39,8 @@ def _anchors(blocks: DataFrame, page: str) -> DataFrame:
     said = lambda b: F.coalesce(b["content"], F.lit(""))
     rows = _clamped(blocks, page).select(page, "bs", L.page_map(F.col("bs")).alias("map"), F.substring(F.array_join(F.transform("bs", said), "\n"), 1, 400).rlike(L.EXAMPLE_PAGE).alias("example_page"), (L.answer_key_like(F.col("bs")) | L.catalog_like(F.col("bs"))).alias("listed"))
     rows = rows.select("*", F.posexplode("bs").alias("i", "b")).withColumn("n", glued_number(F.col("b.content"))).withColumn("following", F.array_join(F.transform(F.slice("bs", F.col("i") + 1, 4), said), "")).withColumn("bs", F.when(F.col("i") == 0, F.col("bs")))
+    # blocks without a number are neither seeds nor anchors, so they are not sorted; but a page's first one has its blocks
+    rows = rows.where("n.display IS NOT NULL OR n.reason = 'step_marker' OR i = 0")
     whole = W.partitionBy(page).orderBy("i").rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
     rows = rows.withColumn("seeds", F.collect_list(F.when(L.is_seed(F.col("n"), F.col("b.x")), F.col("n.value"))).over(whole))
     rows = rows.withColumn("n", L.number_among(F.col("n"), F.col("b.content"), F.col("seeds")))

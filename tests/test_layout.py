@@ -252,6 +252,20 @@ def test_odd_pages(spark):
     assert plan.count("Exchange hashpartitioning") == 1 and "Python" not in plan
 
 
+def test_blocks_without_numbers_are_not_sorted(spark):
+    """Rows that no window needs are left out below the sort, and patterns that look for first letters find what the plain ones do."""
+    blocks = spark.createDataFrame([(1, 0, 0.2, 0.1, 0.6, 0.02, "21. 값은?")], "page long, pos long, x double, y double, w double, h double, content string")
+    plan = Q.number_anchors(blocks)._jdf.queryExecution().optimizedPlan().toString()
+    assert "step_marker" in plan[plan.rindex("Window") :].split("Generate")[0].split("Filter")[1]
+    plain = [
+        (L.PROBLEM_BODY, r"구하시오|구하여라|구하라|값은\?|값은\b|고르시오|다음 중|다음중|서술하시오|증명하시오|말하시오|만족시키|고르면"), (L.THEORY_HEAD, r"용어|정의|정리|성질|개념|주의|보기|예제|풀이|설명|항:|상수항|동류항|내림차순|오름차순"),
+        (L.LIST_MARK, r"[⑴⑵⑶⑷⑸⑹⑺⑻⑼⑽㈎㈏㈐]"), (L.CIRCLED, r"[①②③④⑤⑥⑦⑧⑨⑩]"), (L.CHOICES, r"[①②③④⑤]"), (L.EXAMPLE_PAGE, r"보기|예제|정의|정리"), (L.FORMULA, r"[=^\\]|frac|sqrt|\d+x"),
+    ]
+    parts = ["값은", "?", "구하라", " ", "다음", "중", "항", ":", "상수항", "⑽", "⑾", "⑿", "㈐", "㈑", "⑩", "⑪", "⑥", "⑤", "frac", "fra", "2x", "2 x", "\\", "보기", "x", "말하", "시오"]
+    texts = spark.createDataFrame([("".join(random.Random(i).choices(parts, k=3)),) for i in range(400)], "t string")
+    assert texts.where(" OR ".join(f"(rlike(t, r'{a}') <> rlike(t, r'{b}'))" for a, b in plain)).count() == 0
+
+
 def test_pages_are_not_sorted_once_a_problem(spark):
     """What context_roles() sorts holds the blocks of a page in one row; blocks without a page are a page."""
     blocks = spark.createDataFrame([(p, i, 0.2, 0.1 + i / 10, 0.6, 0.02, f"{21 + i}. 다음 중 옳은 것을 고르시오") for p in (None, 7) for i in range(4)], "page long, pos long, x double, y double, w double, h double, content string")
