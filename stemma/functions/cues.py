@@ -7,11 +7,11 @@ from pyspark.sql import functions as F
 
 from .text import bound, squeeze, strip_leading_number
 
-#: A type's mark, its heading with a title, and words that speak of figures and tables.
+#: A type's mark, its heading with a title, and words that speak of figures and tables (looked for where their first letters are).
 TYPE_MARK = r"유형\s*0?(\d{1,2})"
 TYPE_TITLE = r"유형\s*(\d{1,2})(?:\s*([가-힣]{2,16}))?"
-FIGURE_WORDS = r"(?i)그림|도형|그래프|figure|diagram"
-TABLE_WORDS = r"(?i)다음 표|표\s*\d|table"
+FIGURE_WORDS = r"(?=[가-힣fFdD])(?i:그림|도형|그래프|figure|diagram)"
+TABLE_WORDS = r"(?=[가-힣tT])(?i:다음 표|표\s*\d|table)"
 #: Words that ask for something, lines of a book's packaging, a page's reference to a type, a choice alone on its line, and subjects.
 ASKING = r"구하시오|하시오|고르시오|나타내시오|풀이하시오|푸시오|전개하시오|인수분해하시오|계산하시오|답하시오|말하시오|정리하시오|구하여라"
 PACKAGING_LINE = r"^(?:#\s*)?(?:유형\s*\d+|개념\s*\d+(?:\s*-\s*\d+)?|정답 및 풀이\s*\d+쪽|대표 문제|보기)\s*\z"

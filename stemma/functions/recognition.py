@@ -15,12 +15,14 @@ ANSWER_LINE = r"^(?:정답|답)\s*[:：]\s*(.+)\z"
 CHOICE_FORMS = ((r"^([①-⑩])\s*(.*)\z", "{0}"), (r"^\((\d{1,2})\)\s*(.*)\z", "({0})"), (r"^(\d{1,2})\)\s+(.*)\z", "{0})"))
 CIRCLED = "①②③④⑤⑥⑦⑧⑨⑩"
 #: Signs of a formula, digits beside letters or brackets, a lost exponent, what looks like mathematics, and the letters that count as text.
-FORMULA_SIGN = r"[=≠≤≥<>±√^²³]|sqrt"
-BESIDE = (r"(?<![0-9])([A-Za-z]\d)(?![0-9])", r"(\)\d)(?![0-9])")
+FORMULA_SIGN = r"(?=[=<>^±²³s√-≥])(?:[=≠≤≥<>±√^²³]|sqrt)"
+BESIDE = (r"([A-Za-z]\d(?<![0-9][A-Za-z]\d))(?![0-9])", r"(\)\d)(?![0-9])")
 LOST_EXPONENT = r"(?<![0-9])([A-Za-z])(\d)(?![0-9])|\)\d"
-MATHY = r"[=≠≤≥<>±√]|<=|>=|\^|²|³|sqrt|\d/\d|[A-Za-z]\s*[+-]\s*[A-Za-z0-9]"
+FRACTION, SUM = r"/(?<=\d/)\d", r"[A-Za-z]\s*[+-]\s*[A-Za-z0-9]"
 MEANINGFUL = "[0-9A-Za-z\u3131-\ud79d]"
 LEAST_MEANINGFUL = 3
+#: Fixed value: white space that is not one blank already.
+SQUEEZED = r"\s{2,}|[\t\n\x0B\f\r]"
 #: How signs are written in TeX, in the order in which they are replaced.
 TEX = (("<=", r"\\le "), (">=", r"\\ge "), ("≤", r"\\le "), ("≥", r"\\ge "), ("≠", r"\\neq "), ("±", r"\\pm "), ("√", r"\\sqrt "), (r"sqrt\(([^)]+)\)", r"\\sqrt{$1}"), (r"\^(\d+)", "^{$1}"), ("²", "^{2}"), ("³", "^{3}"))
 #: Labels of choices and titles of sections, which are no problems; numbers of four digits and of sections, and other heads.
@@ -31,13 +33,17 @@ FOUR_DIGITS, SECTION_NUMBER, DOTTED = r"^(\d{4})(?![A-Za-z0-9_])", r"^(\d{2}-\d)
 COMPARED = ((r"\\left|\\right", ""), (r"\\bar\{([A-Za-z])\}", "$1bar"), (r"\\overline\{([A-Za-z])\}", "$1bar"), ("²", "^2"), ("³", "^3"), (r"\^\{(\d+)\}", "^$1"), (r"_\{(\d+)\}", "_$1"), (r"\\frac\{([^}]*)\}\{([^}]*)\}", "FRAC($1/$2)"), (r"\\sqrt\{([^}]*)\}", "SQRT($1)"), (r"\\le\b|≤", "<="), (r"\\ge\b|≥", ">="), (r"\\neq\b|≠", "!="), (r"\s+", ""))
 
 
+#: White space, as patterns have it.
+SPACE = " \t\n\x0b\f\r"
+
+
 def strip(text: Column) -> Column:
-    return F.regexp_replace(text, r"^\s+|\s+\z", "")
+    return F.trim(text, F.lit(SPACE))
 
 
 def split_lines(raw: Column) -> Column:
     """Lines that hold something, white space squeezed."""
-    return F.filter(F.transform(F.split(F.replace(raw, F.lit("\r"), F.lit("\n")), r"\n+"), lambda s: strip(F.regexp_replace(s, r"\s+", " "))), lambda s: s != "")
+    return F.filter(F.transform(F.split(F.replace(raw, F.lit("\r"), F.lit("\n")), r"\n+"), lambda s: strip(F.regexp_replace(s, SQUEEZED, " "))), lambda s: s != "")
 
 
 def problem_number(raw: Column) -> Column:
@@ -73,7 +79,8 @@ def formulas(text: Column) -> Column:
 
     A digit beside a letter may be an exponent that was lost: it has no TeX. Carets, sqrt() and slashes are noted, as nothing was seen of their layout.
     """
-    words = F.filter(F.split(text, r"[\s,]+"), lambda w: w.rlike(FORMULA_SIGN))
+    # most texts hold no sign at all, and are not cut into words
+    words = F.when(text.rlike(FORMULA_SIGN), F.filter(F.split(text, r"[\s,]+"), lambda w: w.rlike(FORMULA_SIGN))).otherwise(F.array().cast("array<string>"))
     beside = [F.regexp_extract_all(text, F.lit(p), F.lit(1)) for p in BESIDE]
     bare = F.transform(F.concat(words, *beside), lambda c: F.regexp_replace(c, r"[.;]+\z", ""))
 
@@ -88,6 +95,11 @@ def formulas(text: Column) -> Column:
     return F.transform(F.filter(F.array_distinct(bare), lambda w: F.length(w) >= 2), read)
 
 
+def looks_mathematical(text: Column) -> Column:
+    """Whether a text holds a sign of mathematics, a fraction of digits or a sum that begins with a letter; each is looked for by itself, the last only where there is a plus or minus."""
+    return text.rlike(FORMULA_SIGN) | text.rlike(FRACTION) | ((text.contains("+") | text.contains("-")) & text.rlike(SUM))
+
+
 def has_text(text: Column) -> Column:
     """Whether a text has as many letters and digits as can be read; the first few are looked for, not all counted."""
     return text.rlike(rf"(?:{MEANINGFUL}[\s\S]*?){{{LEAST_MEANINGFUL}}}")

@@ -30,7 +30,7 @@ def recognised(rows: DataFrame, text: str = "text", *, scan: bool = False) -> Da
     # what is asked of whole texts is a column, so that it is worked out once
     step = step.withColumns({
         "__figure": R.shows_figure(t), "__table": R.shows_table(t), "__broken": (F.size(choices) > 0) & ~R.in_order(F.transform(choices, lambda c: c["order"])), "__poor": F.exists(math, lambda m: ~m["structure_ok"]),
-        "__mathy": F.when(F.size(math) == 0, t.rlike(R.MATHY)).otherwise(False), "__fell": t.rlike(r"[A-Za-z]\d") & ~t.rlike("[²³^]") if scan else F.lit(False), "__nothing": ~R.has_text(t),
+        "__mathy": F.when(F.size(math) == 0, R.looks_mathematical(t)).otherwise(False), "__fell": t.rlike(r"[A-Za-z]\d") & ~t.rlike("[²³^]") if scan else F.lit(False), "__nothing": ~R.has_text(t),
     })
     figure, table, broken, poor, fell, numbered = *map(F.col, ("__figure", "__table", "__broken", "__poor", "__fell")), F.col("__n.number").isNotNull()
     weak = poor | F.col("__mathy")

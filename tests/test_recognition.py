@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import random
 import re
 
 import pytest
@@ -144,3 +145,19 @@ def test_conflicts_and_errors(spark):
     rows = spark.createDataFrame([(1, "x2 < 3", [("x²", "x2")], ["√2"], ["≤", "≥"], ["|x|"]), (2, "x² <= |y| √", [("x²", "x2")], ["√2"], ["≤"], ["|x|"]), (3, None, None, None, None, None)], "k int, t string, c array<struct<whole:string,collapsed:string>>, r array<string>, i array<string>, b array<string>")
     found = {r.k: list(r.e) for r in rows.select("k", R.critical_errors(F.col("t"), F.col("c"), F.col("r"), F.col("i"), F.col("b")).alias("e")).collect()}
     assert found == {1: ["COLLAPSED:x²", "RADICAL_MISSING", "LE_FLATTENED", "BARS_MISSING"], 2: [], 3: []}
+
+
+def test_patterns_as_plain(spark):
+    """What is looked for by parts or first letters is what the plain patterns find."""
+    from stemma.functions import cues as C
+
+    parts = ["a", "1", "22", "/", "+", " - ", " ", "\n", "x2", ")3", "=", "²", "≥", "sqrt", "그림", "표", "Table", "FIGURE", "다음 표", "\t"]
+    texts = spark.createDataFrame([("".join(random.Random(i).choices(parts, k=3)),) for i in range(500)], "t string")
+    t = F.col("t")
+    all_of = lambda p: F.regexp_extract_all(t, F.lit(p), F.lit(1))
+    same = [
+        R.looks_mathematical(t) == t.rlike(r"[=≠≤≥<>±√]|<=|>=|\^|²|³|sqrt|\d/\d|[A-Za-z]\s*[+-]\s*[A-Za-z0-9]"), t.rlike(R.FORMULA_SIGN) == t.rlike(r"[=≠≤≥<>±√^²³]|sqrt"),
+        all_of(R.BESIDE[0]) == all_of(r"(?<![0-9])([A-Za-z]\d)(?![0-9])"), F.regexp_replace(t, R.SQUEEZED, " ") == F.regexp_replace(t, r"\s+", " "), R.strip(t) == F.regexp_replace(t, r"^\s+|\s+\z", ""),
+        C.shows_figure(t) == t.rlike(r"(?i)그림|도형|그래프|figure|diagram"), C.shows_table(t) == t.rlike(r"(?i)다음 표|표\s*\d|table"),
+    ]
+    assert texts.where(~F.forall(F.array(*same), lambda ok: ok)).count() == 0
