@@ -34,8 +34,10 @@ WIDE_BITS, MEET = 128, 0.95
 HOT_KEY = 4000
 #: Distinct texts, about, of which the frequent shingles are told, and the most shingles that are told; both say only in which order shingles are taken.
 SEEN_TEXTS, MOST_FREQUENT = 20_000, 100_000
-#: Bits of a set's sketch.
-SKETCH = 1024
+#: Bits of a set's sketch, powers of two of 64 on: as many as it has members, and so many at most.
+MOST_SKETCH = 1 << 14
+#: Pairs that a task gathers before it writes them.
+PAIRS = 200_000
 #: Room for rounding where a similarity is turned into a count.
 EPS = 1e-9
 
@@ -63,10 +65,29 @@ def _rarest(h: np.ndarray, n: np.ndarray, frequent: np.ndarray, similarity: floa
 
 
 def _sketches(h: np.ndarray, n: np.ndarray) -> pa.Array:
-    """Of runs of n hashes each (n > 0) whether an odd number falls on each of SKETCH places: sets differ in at least as many hashes as their sketches in bits."""
-    at = np.repeat(np.arange(len(n)), n) * SKETCH + (mix(h) >> np.uint64(64 - SKETCH.bit_length() + 1)).astype(np.int64)
-    bits = np.packbits((np.bincount(at, minlength=len(n) * SKETCH) & 1).astype(np.uint8))
-    return pa.Array.from_buffers(pa.binary(SKETCH // 8), len(n), [None, pa.py_buffer(bits)]).cast(pa.binary())
+    """Of runs of n hashes each (n > 0) whether an odd number falls on each of its places: sets differ in at least as many hashes as their sketches in bits. See _apart()."""
+    places = 1 << np.ceil(np.log2(np.clip(n, 64, MOST_SKETCH))).astype(np.int64)
+    edge = np.append(0, np.cumsum(places))
+    at = np.repeat(edge[:-1], n) + (mix(h) & np.repeat(places - 1, n).astype(np.uint64)).astype(np.int64)
+    bits = np.packbits((np.bincount(at, minlength=edge[-1]) & 1).astype(np.uint8))
+    return pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer((edge // 8).astype(np.int32)), pa.py_buffer(bits)])
+
+
+def _apart(flat: np.ndarray, edge: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """In how many bits the sketches i and j differ, words flat[edge[x] : edge[x + 1]] of each: the longer of two is folded to the shorter's length, which makes of it the sketch of that length."""
+    n = np.diff(edge)
+    far, common = np.zeros(len(i), np.int64), np.minimum(n[i], n[j])
+    for words in np.unique(common).tolist():
+        some = np.flatnonzero(common == words)
+        for lo in range(0, len(some), max(1, MOST_SKETCH * 16 // words)):
+            which = some[lo : lo + max(1, MOST_SKETCH * 16 // words)]
+            both = np.zeros((len(which), words), np.uint64)
+            for x in (i[which], j[which]):
+                for k in range(0, int(n[x].max()), words):
+                    longer = np.flatnonzero(n[x] > k)
+                    both[longer] ^= flat[(edge[x[longer]] + k)[:, None] + np.arange(words)]
+            far[which] = np.bitwise_count(both).sum(axis=1, dtype=np.int64)
+    return far
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, seed: int = 42, wide: bool = False, frequent: np.ndarray | None = None, similarity: float = 1.0) -> DataFrame:
@@ -525,27 +546,27 @@ def _least_shared(x: np.ndarray, y: np.ndarray, similarity: float) -> np.ndarray
 
 
 def across(nodes: DataFrame, similarity: float) -> DataFrame:
-    """(a, b: n of two sets): all pairs of sets in different components that may have that Jaccard similarity. nodes: n long, c long (component), size, rarest.
+    """(a, b: n of two sets): all pairs of sets in different components that may have that Jaccard similarity. nodes: n long, c long (component), size, rarest, sketch.
 
     Similar sets share a member among their `rarest` (prefix filter), so each set goes to the keys of these, and sets of one key are paired if size and
-    places allow that this is the first member that they share. Sets of one component are not paired. A key of over HOT_KEY sets is compared in tiles of its parts.
+    places allow that this is the first member that they share, and if their sketches allow the similarity. Sets of one component are not paired. Which
+    sets have another to be compared with is found first, a row for each set and key, so sketches go nowhere else, and only pairs that these allow are
+    written. A key of over HOT_KEY sets is compared in tiles of its parts.
     """
-    shape = "key long, n long, c long, size int, place int"
     columns = ["key", "n", "c", "size", "place"]
     rows = nodes.select(F.posexplode("rarest").alias("place", "key"), "n", "c", "size").select(*columns)
     rows = rows.repartition("key").sortWithinPartitions("key")
 
-    def pairs(keys, n, c, size, place, apart=None):
-        """Pairs of places in sorted keys; apart: of rows that are alike in it only those of different components in the tile."""
+    def pairs(keys, c, size, place, own):
+        """Pairs (i, j) of rows, one at a time for each row; own: only rows that differ in it."""
         order = np.lexsort((c, keys))
-        keys, n, c, size, place = (x[order] for x in (keys, n, c, size, place))
-        own = None if apart is None else apart[order]
+        keys, c, size, place = (x[order] for x in (keys, c, size, place))
+        own = None if own is None else own[order]
         edge = np.append(np.flatnonzero(np.append(True, keys[1:] != keys[:-1])), len(keys))
         end = np.repeat(edge[1:], np.diff(edge))
         turn = np.append(np.flatnonzero(np.append(True, (keys[1:] != keys[:-1]) | (c[1:] != c[:-1]))), len(keys))
         j = np.repeat(turn[1:], np.diff(turn))
         i = np.arange(len(keys))
-        found, held = [], 0
         while len(i):
             live = j < end[i]
             i, j = i[live], j[live]
@@ -554,24 +575,23 @@ def across(nodes: DataFrame, similarity: float) -> DataFrame:
             if own is not None:
                 ok &= own[i] != own[j]
             if ok.any():
-                found.append(np.stack([np.minimum(n[i[ok]], n[j[ok]]), np.maximum(n[i[ok]], n[j[ok]])]))
-                held += found[-1].shape[1]
-                if held > 1_000_000:
-                    found = [np.unique(np.concatenate(found, axis=1), axis=1)]
-                    yield found.pop()
-                    held = 0
+                yield order[i[ok]], order[j[ok]]
             j = j + 1
-        if found:
-            yield np.unique(np.concatenate(found, axis=1), axis=1)
 
     def meet(batches):
-        """Pairs (key null: n, c) of keys of few sets; rows of the others as they are."""
+        """Rows that have another to be compared with; of keys of many sets all."""
         held, full = None, None
 
+        def some_of(some, crowd):
+            yield pa.record_batch([*(pa.array(x) for x in some), pa.array(np.full(len(some[0]), crowd))], names=[*columns, "crowd"])
+
         def whole(some):
-            for ab in pairs(*some):
-                none = pa.nulls(ab.shape[1], pa.int64())
-                yield pa.record_batch([none, pa.array(ab[0]), pa.array(ab[1]), pa.nulls(ab.shape[1], pa.int32()), pa.nulls(ab.shape[1], pa.int32())], names=columns)
+            keys, _, c, size, place = some
+            used = np.zeros(len(keys), bool)
+            for i, j in pairs(keys, c, size, place, None):
+                used[i] = used[j] = True
+            if used.any():
+                yield from some_of([x[used] for x in some], False)
 
         for batch in batches:
             some = [column(batch, x).to_numpy(zero_copy_only=False) for x in columns]
@@ -586,7 +606,7 @@ def across(nodes: DataFrame, similarity: float) -> DataFrame:
             last = np.zeros(len(keys), bool)
             last[edge[-2] :] = not crowd[-1]
             if crowd.any():
-                yield pa.record_batch([pa.array(x[crowd]) for x in some], names=columns)
+                yield from some_of([x[crowd] for x in some], True)
             if crowd[-1]:
                 full = keys[-1]
             alone = np.repeat(many == 1, many)
@@ -595,50 +615,64 @@ def across(nodes: DataFrame, similarity: float) -> DataFrame:
         if held is not None and len(held[0]):
             yield from whole(held)
 
-    met = stored(rows.mapInArrow(meet, shape), "met")
-    crowds = met.where("key IS NOT NULL")
-    full = crowds.groupBy("key").agg(F.count("*").alias("rows"), F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("key", F.ceil(F.col("rows") / HOT_KEY).cast("int").alias("parts"))
-    own = F.pmod(F.xxhash64("n"), F.col("parts")).cast("int")
-    tiles = crowds.join(full, "key").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    tiles = tiles.select(*columns, "own", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q")).repartition("key", "p", "q").sortWithinPartitions("key", "p", "q")
+    met = stored(rows.mapInArrow(meet, "key long, n long, c long, size int, place int, crowd boolean"), "met")
+    full = met.where("crowd").groupBy("key").agg(F.count("*").alias("rows"), F.min("c").alias("lo"), F.max("c").alias("hi")).select("key", F.ceil(F.col("rows") / HOT_KEY).cast("int").alias("parts"), "lo", "hi")
+    tiles = met.join(full, "key", "left").where("lo IS NULL OR lo < hi").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    tiles = tiles.withColumn("own", F.pmod(F.xxhash64("n"), F.col("parts")).cast("int")).join(nodes.select("n", "sketch"), "n").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    named = [*columns, "own", "p", "q"]
+    tiles = tiles.select(*columns, "own", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "sketch").repartition("key", "p", "q").sortWithinPartitions("key", "p", "q")
 
     def tile(batches):
-        names = [*columns, "own", "p", "q"]
-        held = None
-        for batch in batches:
-            some = [column(batch, x).to_numpy(zero_copy_only=False) for x in names]
+        held, found, many = None, [], 0
+
+        def written():
+            if found:
+                a, b = np.unique(np.concatenate(found, axis=1), axis=1)
+                found.clear()
+                yield pa.record_batch([pa.array(a), pa.array(b)], names=["a", "b"])
+
+        def wholes():
+            """Rows of whole tiles, many at a time."""
+            nonlocal held
+            for batch in batches:
+                batch = pa.record_batch([column(batch, x) for x in (*named, "sketch")], names=[*named, "sketch"])
+                table = pa.Table.from_batches([batch] if held is None else [held, batch]).combine_chunks()
+                if not len(table):
+                    continue
+                at = [table[x].to_numpy() for x in ("key", "p", "q")]
+                last = int(np.flatnonzero(np.append(True, np.logical_or.reduce([x[1:] != x[:-1] for x in at])))[-1])
+                (batch,) = table.to_batches()
+                yield batch.slice(0, last)
+                held = batch.slice(last)
             if held is not None:
-                some = [np.concatenate(x) for x in zip(held, some, strict=True)]
-            if not len(some[0]):
-                continue
-            fresh = (some[0][1:] != some[0][:-1]) | (some[6][1:] != some[6][:-1]) | (some[7][1:] != some[7][:-1])
-            edge = np.append(np.flatnonzero(np.append(True, fresh)), len(some[0]))
-            for a, z in zip(edge[:-2].tolist(), edge[1:-1].tolist(), strict=True):
-                yield from one([x[a:z] for x in some])
-            held = [x[edge[-2] :] for x in some]
-        if held is not None:
-            yield from one(held)
-
-    def one(some):
-        for ab in pairs(*some[:5], apart=some[5] if some[6][0] != some[7][0] else None):
-            yield pa.record_batch([pa.array(ab[0]), pa.array(ab[1])], names=["a", "b"])
-
-    return met.where("key IS NULL").select(F.col("n").alias("a"), F.col("c").alias("b")).unionByName(tiles.mapInArrow(tile, "a long, b long")).distinct()
-
-
-def _close(pairs: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (a, b: n) whose sketches allow that similarity, as links (a, b: node). nodes: node, n, size, sketch."""
-    side = lambda e: nodes.select(F.col("n").alias(e), F.col("node").alias(f"{e}_node"), F.col("size").alias(f"{e}_size"), F.col("sketch").alias(f"{e}_sketch"))
-    kind = nodes.schema["node"].dataType.simpleString()
-
-    def run(batches):
-        for batch in batches:
-            x, y = (column(batch, f"{e}_size").to_numpy(zero_copy_only=False).astype(np.int64) for e in "ab")
-            u, v = (np.frombuffer(b"".join(column(batch, f"{e}_sketch").to_pylist()), np.uint64).reshape(len(x), -1) for e in "ab")
-            ok = np.bitwise_count(u ^ v).sum(axis=1, dtype=np.int64) <= x + y - 2 * _least_shared(x, y, similarity)
-            yield pa.record_batch([column(batch, "a_node"), column(batch, "b_node")], names=["a", "b"]).filter(pa.array(ok))
+                yield held
+
+        for whole in wholes():
+            for ab in close(whole):
+                found.append(ab)
+                many += ab.shape[1]
+                if many > PAIRS:
+                    yield from written()
+                    many = 0
+        yield from written()
+
+    def close(batch):
+        """(2, pairs) of n, of whole tiles."""
+        if not batch.num_rows:
+            return
+        key, n, c, size, place, own, p, q = (column(batch, x).to_numpy(zero_copy_only=False) for x in named)
+        sketch = column(batch, "sketch").to_pylist()
+        flat, edge = np.frombuffer(b"".join(sketch), np.uint64), np.append(0, np.cumsum([len(x) // 8 for x in sketch]))
+        # in a tile of one part all rows may meet: each counts as a part there
+        fresh = np.append(True, (key[1:] != key[:-1]) | (p[1:] != p[:-1]) | (q[1:] != q[:-1]))
+        part = np.where(p == q, np.arange(len(own)), own - (1 << 30))
+        for i, j in pairs(np.cumsum(fresh), c, size, place, part):
+            ok = _apart(flat, edge, i, j) <= size[i].astype(np.int64) + size[j] - 2 * _least_shared(size[i], size[j], similarity)
+            if ok.any():
+                i, j = i[ok], j[ok]
+                yield np.stack([np.minimum(n[i], n[j]), np.maximum(n[i], n[j])])
 
-    return pairs.join(side("a"), "a").join(side("b"), "b").select("a_node", "a_size", "a_sketch", "b_node", "b_size", "b_sketch").mapInArrow(run, f"a {kind}, b {kind}")
+    return tiles.mapInArrow(tile, "a long, b long").distinct()
 
 
 def _verified(links: DataFrame, texts: DataFrame, words: int, seed: int, similarity: float) -> DataFrame:
@@ -707,9 +741,9 @@ def _grouped(docs: DataFrame, id_col: str, text_col: str, words: int, radius: in
     found = components(similar(stored(similar_fingerprints(nodes.select("node.fp", "node.fp2", "node.sum", "size"), similarity), "similar")))
     parts = stored(nodes.join(found, "node", "left").select("node", "low", F.coalesce("component", "node").alias("c"), F.col("node.sum").alias("n"), "size", "rarest", "sketch"), "parts")
     # links between these components that fingerprints do not tell
-    apart = across(parts.select("n", F.col("c.sum").alias("c"), "size", "rarest"), similarity)
-    more = similar(stored(_close(apart, parts.select("node", "n", "size", "sketch"), similarity), "close"))
     of = parts.select("node", "c")
+    apart = across(parts.select("n", F.col("c.sum").alias("c"), "size", "rarest", "sketch"), similarity)
+    more = similar(stored(apart.join(parts.select(F.col("n").alias("a"), F.col("node").alias("x")), "a").join(parts.select(F.col("n").alias("b"), F.col("node").alias("y")), "b").select(F.col("x").alias("a"), F.col("y").alias("b")), "close"))
     ends = more.join(of.toDF("a", "x"), "a").join(of.toDF("b", "y"), "b").select("x", "y")
     whole = components(ends, "x", "y").toDF("c", "component")
     return prints, parts.select("node", "low", "c").join(whole, "c", "left").select("node", "low", F.coalesce("component", "c").alias("c"))

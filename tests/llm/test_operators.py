@@ -267,6 +267,47 @@ def test_similar_loses_no_link(spark, hot, monkeypatch):
     assert simhash.deduplicate(table(spark, docs), words=5, similarity=0.8).count() == len(ids)
 
 
+def sets_of(groups, seed=5):
+    """Rows for across(): sets of so many members, some of them shared by a group, of which nothing tells that they are frequent."""
+    rng = np.random.default_rng(seed)
+    rows = []
+    for many, size, shared in groups:
+        same = rng.integers(0, 2**64, shared, np.uint64)
+        for _ in range(many):
+            h = np.concatenate([same, rng.integers(0, 2**64, size - shared, np.uint64)])
+            n = np.array([len(h)])
+            rarest, _ = simhash._rarest(h, n, np.empty(0, np.uint64), 0.8)
+            rows.append((len(rows), len(rows), len(h), rarest.view(np.int64).tolist(), simhash._sketches(h, n)[0].as_py()))
+    return rows
+
+
+@pytest.mark.parametrize("hot", [4000, 20])
+def test_unlike_sets_make_no_pairs(spark, hot, monkeypatch):
+    """A passage that many unlike texts share makes a row for each text and key, and no pair; long and short sets that are similar stay pairs."""
+    monkeypatch.setattr(simhash, "HOT_KEY", hot)
+    rows = sets_of([(60, 120, 30), (25, 4000, 800), (2, 4000, 3700), (2, 40, 37), (3, 700, 660)])
+    sketches = spark.createDataFrame(rows, "n long, c long, size int, rarest array<long>, sketch binary")
+    found = simhash.across(sketches, 0.8)
+    assert {(r.a, r.b) for r in found.collect()} == {(85, 86), (87, 88), (89, 90), (89, 91), (90, 91)}
+    apart = simhash.across(sketches.withColumn("c", F.when(F.col("n") > 88, 89).otherwise(F.col("n"))), 0.8)
+    assert {(r.a, r.b) for r in apart.collect()} == {(85, 86), (87, 88)}
+
+
+def test_sketches_bound_differences():
+    """Sketches of any two lengths differ in no more bits than their sets in members."""
+    rng = np.random.default_rng(6)
+    sets = [rng.choice(2**40, n, replace=False).astype(np.uint64) for n in (1, 60, 64, 65, 500, 1025, 16384, 20000)]
+    sets += [np.concatenate([s[: len(s) * 9 // 10], rng.integers(2**41, 2**42, len(s) // 20 + 1, np.uint64)]) for s in sets]
+    n = np.array([len(s) for s in sets])
+    made = simhash._sketches(np.concatenate(sets), n).to_pylist()
+    assert max(map(len, made)) * 8 == simhash.MOST_SKETCH
+    flat, edge = np.frombuffer(b"".join(made), np.uint64), np.append(0, np.cumsum([len(x) // 8 for x in made]))
+    i, j = (x.ravel() for x in np.indices((len(sets), len(sets))))
+    far = simhash._apart(flat, edge, i, j)
+    real = np.array([len(np.setxor1d(sets[x], sets[y])) for x, y in zip(i, j)])
+    assert (far <= real).all() and (far[i == j] == 0).all() and (far[real == 1] == 1).all()
+
+
 def test_forest():
     rng = np.random.default_rng(3)
     for n in (1, 2, 30, 200):
