@@ -119,13 +119,17 @@ def is_seed(n: Column, x: Column) -> Column:
 
 def number_among(n: Column, content: Column, seeds: Column) -> Column:
     """A number read again by those of its page (array of long): long runs of digits, and doubtful ones."""
-    near = F.filter(seeds, lambda v: v.between(10, 999))
-    # most texts do not begin with digits, and white space is taken out of none of these
-    bare = F.when(content.rlike(r"^\s*\d\s*\d\s*\d"), _bare(content)).otherwise("")
-    run = F.regexp_extract(bare, r"^(\d{3,4})", 1)
-    long = (F.length(run) == 4) & (F.size(near) >= 2)
-    doubtful = n["ambiguous"] & (run != "") & (F.size(seeds) >= 2)
-    return F.when(long, resolve_digits(run, F.substring(bare, F.length(run) + 1, F.length(bare)), near)).when(doubtful, resolve_digits(run, n["rest"], seeds)).otherwise(n)
+
+    def read(t: Column) -> Column:
+        near = F.filter(seeds, lambda v: v.between(10, 999))
+        long = (F.length(t["run"]) == 4) & (F.size(near) >= 2)
+        doubtful = n["ambiguous"] & (t["run"] != "") & (F.size(seeds) >= 2)
+        return F.when(long, resolve_digits(t["run"], t["rest"], near)).when(doubtful, resolve_digits(t["run"], n["rest"], seeds)).otherwise(n)
+
+    run = lambda bare: F.regexp_extract(bare, r"^(\d{3,4})", 1)
+    cut = bound(_bare(content), lambda t: bound(run(t), lambda r: F.struct(r.alias("run"), F.substring(t, F.length(r) + 1, F.length(t)).alias("rest"))))
+    # most texts do not begin with digits, and nothing else is done with these
+    return F.when(content.rlike(r"^\s*\d\s*\d\s*\d"), bound(cut, read)).otherwise(n)
 
 
 def anchor_facts(n: Column, x: Column, y: Column, following: Column, page: Column, example_page: Column, seeds: Column, lefts: Column) -> dict[str, Column]:

@@ -7,6 +7,7 @@ import re
 from collections import defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 import stemma.queries  # noqa: F401
 from stemma.catalog import QUERIES
@@ -275,3 +276,8 @@ def test_pages_are_not_sorted_once_a_problem(spark):
     # both sorts, that of blocks and that of problems, are of rows of which the first of a page alone has its blocks
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("= 0) THEN bs#") == 1 and plan.count("= 1) THEN bs#") == 1
+
+
+def test_runs_of_digits_are_read_once(spark):
+    """The digits that a text begins with are cut off once, not at every place where they are used."""
+    assert str(L.number_among(F.col("n"), F.col("content"), F.col("seeds"))).count("{3,4}") == 1
